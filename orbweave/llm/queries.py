@@ -13,5 +13,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {"op2_minhash": op2_minhash}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .recompress import drop_repeats
+
+    return drop_repeats(table(spark, sf_dir, "documents"), 50).drop("kept")
+
+
+QUERIES = {"op2_minhash": op2_minhash, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {}
