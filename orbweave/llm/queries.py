@@ -13,11 +13,23 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), 1024, 2)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunked_bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .recompress import drop_repeats
 
     return drop_repeats(table(spark, sf_dir, "documents"), 50).drop("kept")
 
 
-QUERIES = {"op2_minhash": op2_minhash, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op2_minhash": op2_minhash, "op5_packing": op5_packing, "op8_bpe": op8_bpe, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {}
