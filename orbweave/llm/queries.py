@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .workspace import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_warc
+
+    read = read_warc(spark, write_warc(table(spark, sf_dir, "pages"))).filter("status = 'record'")
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).cast("long")
+    return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -19,6 +27,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), 1024, 2)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chunked_bpe import encode_documents
 
@@ -31,5 +46,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents"), 50).drop("kept")
 
 
-QUERIES = {"op2_minhash": op2_minhash, "op5_packing": op5_packing, "op8_bpe": op8_bpe, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_warc": op1_warc, "op2_minhash": op2_minhash, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op8_bpe": op8_bpe, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {}
+ORACLES["op1_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x FROM p),
+b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1, 1)), '') AS payload_digest FROM d),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM b GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to FROM b JOIN f USING (payload_digest)
+"""
