@@ -21,6 +21,18 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import rotate_perspectives
+
+    return rotate_perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fingerprint_pairs
+
+    return fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -34,6 +46,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chunked_bpe import encode_documents
 
@@ -46,7 +64,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents"), 50).drop("kept")
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_minhash": op2_minhash, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op8_bpe": op8_bpe, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_warc": op1_warc, "op2_minhash": op2_minhash, "op3_chat": op3_chat, "op4_merkle": op4_merkle, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_bpe": op8_bpe, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {}
 ORACLES["op1_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -57,3 +75,23 @@ f AS (SELECT payload_digest, min(page_id) AS first_id FROM b GROUP BY payload_di
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first_id THEN first_id END AS refers_to FROM b JOIN f USING (payload_digest)
 """
+ORACLES["op3_chat"] = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+r AS (SELECT t.*, p.perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS rendered_role
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+h AS (SELECT *, '<|im_start|>' || CASE WHEN rendered_role = 'user' THEN 'user name=' || speaker ELSE rendered_role END || chr(10) AS head FROM r),
+s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
+o AS (SELECT *, length(segment)::BIGINT AS length, (coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective
+      ORDER BY turn NULLS LAST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM s)
+SELECT conv_id, perspective, turn, speaker, rendered_role, segment, start, length,
+  CASE WHEN speaker = perspective THEN start + length(head) END AS mask_start,
+  CASE WHEN speaker = perspective THEN length(text) + 10 ELSE 0 END::BIGINT AS mask_length FROM o
+"""
+ORACLES["op7_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
