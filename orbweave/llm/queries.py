@@ -58,13 +58,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .recompress import drop_repeats
 
-    return drop_repeats(table(spark, sf_dir, "documents"), 50).drop("kept")
+    return drop_repeats(table(spark, sf_dir, "documents"), 50, texts_too=False)
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_minhash": op2_minhash, "op3_chat": op3_chat, "op4_merkle": op4_merkle, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_bpe": op8_bpe, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_warc": op1_warc, "op2_minhash": op2_minhash, "op3_chat": op3_chat, "op4_merkle": op4_merkle, "op5_packing": op5_packing, "op6_toxicity": op6_toxicity, "op7_topk": op7_topk, "op8_bpe": op8_bpe, "op9_lm": op9_lm, "op10_substring_dedup": op10_substring_dedup}
 ORACLES: dict[str, str] = {}
 ORACLES["op1_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

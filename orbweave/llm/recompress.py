@@ -199,7 +199,7 @@ def _earlier_windows(table: pa.Table) -> pa.Table:
     return pa.table({"pack": pa.array([r[0] for r in rows], pa.int64()), "answer": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def _remover(size: int) -> Callable:
+def _remover(size: int, texts_too: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, ids, texts, answers in pack_rows(batches):
             bounds, starts, ends, words, buffer = scan_words(texts)
@@ -222,25 +222,31 @@ def _remover(size: int) -> Callable:
                 np.add.at(covered, start[hit], 1)
                 np.add.at(covered, start[hit] + size, -1)
             gone = np.cumsum(covered)[:n] > 0
-            out: dict[str, list] = {"doc_id": ids, "n_words": [], "n_removed": [], "kept": []}
+            out: dict[str, list] = {"doc_id": ids, "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 left = np.flatnonzero(~gone[a:b]) + a
                 out["n_words"].append(b - a)
                 out["n_removed"].append(b - a - len(left))
-                if len(left) == b - a and b > a:
-                    out["kept"].append(b" ".join(buffer[starts[a] : ends[b - 1]].split()))
+                if len(left) == b - a:
+                    words_left = b" ".join(buffer[starts[a] : ends[b - 1]].split()) if b > a else b""
+                    out["kept"].append(texts[len(out["kept"])])
                 else:
-                    out["kept"].append(b" ".join([buffer[s:e] for s, e in zip(starts[left].tolist(), ends[left].tolist(), strict=True)]))
-            out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in out["kept"]]
-            out["kept"] = pa.array(out["kept"], pa.binary()).cast(pa.string())
+                    words_left = b" ".join([buffer[s:e] for s, e in zip(starts[left].tolist(), ends[left].tolist(), strict=True)])
+                    out["kept"].append(words_left)
+                out["kept_sha256"].append(hashlib.sha256(words_left).hexdigest())
+            if not texts_too:
+                del out["kept"]
+            else:
+                out["kept"] = pa.array(out["kept"], pa.binary()).cast(pa.string())
             out["doc_id"] = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def drop_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept (its remaining words, one space between), kept_sha256.
+def drop_repeats(docs: DataFrame, size: int = 50, texts_too: bool = True) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256 (of its remaining words, one space between),
+    and with texts_too kept: those words where some were removed, else the text as it was.
 
     A word goes if a window of `size` words that covers it also starts in a document with a smaller doc_id.
     """
@@ -252,4 +258,4 @@ def drop_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     shared = materialize(asked.groupBy("bucket").applyInArrow(_shared_symbols, "pack long, answer binary"), "shared-symbols", "none")
     asked = joined(packs, shared).mapInArrow(_ask_windows(size, bucket_count(total // 3)), "pack long, bucket long, base long, one binary, two binary, doc binary")
     earlier = asked.groupBy("bucket").applyInArrow(_earlier_windows, "pack long, answer binary")
-    return joined(packs, earlier).mapInArrow(_remover(size), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return joined(packs, earlier).mapInArrow(_remover(size, texts_too), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts_too)
