@@ -1,4 +1,4 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL, gathered from the plan modules."""
 
 from __future__ import annotations
 
@@ -11,9 +11,24 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
+def register(name: str, query: Query, sql: str | None = None) -> None:
+    if name in _QUERIES:
+        raise ValueError(f"{name} is registered twice")
+    _QUERIES[name] = query
+    if sql is not None:
+        _SQL[name] = sql
+
+
+def _load() -> None:
+    if not _QUERIES:
+        from . import catalog_plans, pixel_plans, series_plans, spatial_plans  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
