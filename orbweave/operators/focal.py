@@ -58,15 +58,17 @@ def hillshade(azimuth: float = 315.0, altitude: float = 45.0) -> Column:
 
 
 def box(df: DataFrame, columns: dict[str, tuple[str, str]], half: int) -> DataFrame:
-    """Window aggregates over (2 * half + 1)^2 boxes, separable: first along rows, then along columns.
+    """Window aggregates over (2 * half + 1)^2 boxes, separable: first along columns, then along rows.
 
-    columns: out name -> (input column, 'sum', 'min' or 'max'). Pixels outside the grid do not count.
+    columns: out name -> (input column, 'sum', 'min' or 'max'). Pixels that do not exist do not count. A pixel sends its
+    values to the rows that see it, so a box is whole even where its middle column lacks a pixel.
     """
     fn = {"sum": F.sum, "min": F.min, "max": F.max}
-    down = Window.partitionBy("col").orderBy("row").rangeBetween(-half, half)
+    used = sorted({c for c, _ in columns.values()})
+    sent = df.select("col", *used, F.col("row").alias("own"), F.explode(F.sequence(F.col("row") - half, F.col("row") + half)).alias("row"))
+    first = sent.groupBy("row", "col").agg(F.bool_or(F.col("own") == F.col("row")).alias("here"), *(fn[k](c).alias(o) for o, (c, k) in columns.items()))
     across = Window.partitionBy("row").orderBy("col").rangeBetween(-half, half)
-    first = df.select("row", "col", *(fn[k](c).over(down).alias(o) for o, (c, k) in columns.items()))
-    return first.select("row", "col", *(fn[k](o).over(across).alias(o) for o, (_, k) in columns.items()))
+    return first.select("row", "col", "here", *(fn[k](o).over(across).alias(o) for o, (_, k) in columns.items())).filter("here").drop("here")
 
 
 def local_statistics(df: DataFrame, value: str, half: int = 1) -> DataFrame:
