@@ -22,7 +22,9 @@ from .textscan import U64, groups, mix, ragged, scan_words, text_bytes
 from .workspace import materialize
 
 BANDS, ROWS = 32, 4
-#: Buckets up to this many members are compared whole; larger ones take hubs, so many per round, until none is left.
+#: Open buckets up to this many members are compared whole. Larger ones are split by a second band that members share
+#: (documents of similarity 0.8 share two bands or more but for one case in a million); parts that are still larger take
+#: hubs, in each round four times as many, until no member is left.
 WHOLE_BUCKET, HUBS = 48, 16
 
 _rng = np.random.default_rng(97)
@@ -150,7 +152,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     hubs = members.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
     members = materialize(members.join(hubs, ["band", "key"]).filter("rep > hub").select("band", "key", "rep", "hub"), "minhash-members")
     pairs = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    labels = _loop(docs, members.select("band", "key", "rep"), pairs, k, percent)
+    bands = sketch.join(classes, ["h1", "h2"]).filter("doc_id = rep").select("rep", "bands")
+    buckets = members.select(F.xxhash64("band", "key").alias("bucket"), "band", "rep")
+    # Only documents of buckets with several members are ever compared: their texts are shuffled once.
+    near = members.select(F.explode(F.array("rep", "hub")).alias("doc_id")).distinct()
+    near = materialize(docs.join(near, "doc_id", "left_semi"), "minhash-near")
+    labels = _loop(near, buckets, bands, pairs, k, percent)
     labels = labels.select(F.col("node").alias("rep"), "component")
     out = sketch.join(classes, ["h1", "h2"], "left").join(labels, "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
@@ -158,25 +165,34 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _loop(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Components after every bucket is settled: its members share a component, or all pairs across were compared."""
-    links = None
+def _loop(docs: DataFrame, members: DataFrame, bands: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Components after every bucket is settled: its members share a component, or those across were compared.
+
+    members: bucket, band (-1: a bucket of two bands), rep.
+    """
+    links, hub_count = None, HUBS
     while True:
         found = materialize(verified_links(docs, materialize(pairs, "minhash-pairs"), k, percent), "minhash-links")
         links = found if links is None else links.union(found)
         labels = materialize(components(links), "minhash-labels")
         named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        size = named.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        named = materialize(named.join(size.select("band", "key", "n"), ["band", "key"]), "minhash-open")
+        size = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        named = materialize(named.join(size.select("bucket", "n"), "bucket"), "minhash-open")
         if named.isEmpty():
             return labels
         lone = named.filter(F.col("n") <= WHOLE_BUCKET)
-        other = lone.select("band", "key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-        pairs = lone.join(other, ["band", "key"]).filter("a < rep and ca != component").select("a", F.col("rep").alias("b"))
+        other = lone.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"))
+        pairs = lone.join(other, "bucket").filter("a < rep and ca != component").select("a", F.col("rep").alias("b"))
         crowd = named.filter(F.col("n") > WHOLE_BUCKET)
-        slot = F.pmod(F.xxhash64("rep"), F.lit(HUBS))
-        hubs = crowd.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct("rep", "component")).alias("h"))
-        hubs = hubs.select("band", "key", F.col("h.rep").alias("a"), F.col("h.component").alias("ca"))
-        across = crowd.join(hubs, ["band", "key"]).filter("a != rep and ca != component")
+        # Buckets of one band are split by every other band.
+        split = crowd.filter("band >= 0").join(bands, "rep").select("bucket", "band", "rep", F.posexplode("bands").alias("second", "key")).filter("second != band")
+        split = split.select(F.xxhash64("bucket", "second", "key").alias("bucket"), F.lit(-1).alias("band"), "rep")
+        # Buckets of two bands take hubs, which are compared with all members and leave.
+        rest = crowd.filter("band < 0")
+        hubs = rest.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(hub_count)).alias("slot")).agg(F.min(F.struct("rep", "component")).alias("h"))
+        hubs = hubs.select("bucket", F.col("h.rep").alias("a"), F.col("h.component").alias("ca"))
+        across = rest.join(hubs, "bucket").filter("a != rep and ca != component")
         pairs = pairs.union(across.select(F.least("a", "rep"), F.greatest("a", "rep"))).distinct()
-        members = materialize(crowd.join(hubs.withColumnRenamed("a", "rep"), ["band", "key", "rep"], "left_anti").select("band", "key", "rep"), "minhash-members")
+        left = rest.join(hubs.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "band", "rep")
+        members = materialize(left.union(split), "minhash-members")
+        hub_count *= 4
