@@ -170,11 +170,12 @@ def _loop(docs: DataFrame, members: DataFrame, bands: DataFrame, pairs: DataFram
 
     members: bucket, band (-1: a bucket of two bands), rep.
     """
-    links, hub_count = None, HUBS
+    links, labels, hub_count = None, None, HUBS
     while True:
         found = materialize(verified_links(docs, materialize(pairs, "minhash-pairs"), k, percent), "minhash-links")
-        links = found if links is None else links.union(found)
-        labels = materialize(components(links), "minhash-labels")
+        if links is None or not found.isEmpty():  # without new links the components stay
+            links = found if links is None else links.union(found)
+            labels = materialize(components(links), "minhash-labels")
         named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         size = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
         named = materialize(named.join(size.select("bucket", "n"), "bucket"), "minhash-open")
