@@ -8,10 +8,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-PIXEL = Window.partitionBy("row", "col").orderBy("day")
 KEYS = ["row", "col"]
 
 
+def pixel_window():
+    return Window.partitionBy("row", "col").orderBy("day")
+
+
 def calendar_composite(series: DataFrame, pattern: str) -> DataFrame:
     """Mean for each pixel and calendar label; undated observations take no part."""
     return series.filter("day is not null").groupBy(*KEYS, F.date_format("day", pattern).alias("label")).agg(F.avg("value").alias("value"))
@@ -25,14 +28,14 @@ def composite(series: DataFrame, statistic: str) -> DataFrame:
 def moving_window(series: DataFrame, size: int) -> DataFrame:
     """Centered mean of the valid neighbours; an even size is raised to the next odd one."""
     half = max(1, size + (size % 2 == 0)) // 2
-    return series.select(*KEYS, "day", F.avg("value").over(PIXEL.rowsBetween(-half, half)).alias("value"))
+    return series.select(*KEYS, "day", F.avg("value").over(pixel_window().rowsBetween(-half, half)).alias("value"))
 
 
 def gap_fill(series: DataFrame) -> DataFrame:
     """Linear interpolation over the observation index; ends are held, a pixel without values stays missing."""
-    s = series.withColumn("idx", F.row_number().over(PIXEL) - 1)
-    back = PIXEL.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = PIXEL.rowsBetween(0, Window.unboundedFollowing)
+    s = series.withColumn("idx", F.row_number().over(pixel_window()) - 1)
+    back = pixel_window().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = pixel_window().rowsBetween(0, Window.unboundedFollowing)
     place = F.when(F.col("value").isNotNull(), F.col("idx"))
     s = s.withColumns({"v0": F.last("value", True).over(back), "i0": F.last(place, True).over(back), "v1": F.first("value", True).over(ahead), "i1": F.first(place, True).over(ahead)})
     between = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("idx") - F.col("i0")) / (F.col("i1") - F.col("i0"))
@@ -109,6 +112,6 @@ def ordered(scenes: DataFrame) -> DataFrame:
 
 def cadence(series: DataFrame) -> DataFrame:
     """Per pixel: gaps in days, whether they differ, and whether a date repeats."""
-    gap = F.datediff("day", F.lag("day").over(PIXEL))
+    gap = F.datediff("day", F.lag("day").over(pixel_window()))
     g = series.select(*KEYS, gap.alias("gap")).groupBy(*KEYS)
     return g.agg(F.min("gap").alias("least"), F.max("gap").alias("most"), (F.count_distinct("gap") > 1).alias("irregular"), F.coalesce(F.bool_or(F.col("gap") == 0), F.lit(False)).alias("repeated"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import focal as N, gridgraph as G, learn, resample as R, transforms, vector as X
 from . import views as V
-from .pixel_plans import SIX, b2, b3, b4, b5, nd, rounded
+from .pixel_plans import SIX, at, nd, rounded
 from .registry import register
 
 
@@ -101,17 +101,16 @@ register("align_to_grid_nearest", lambda s, d: R.nearest(half(s, d), V.dem(s, d)
 register("align_to_grid_bilinear", lambda s, d: rounded(R.bilinear(half(s, d), V.dem(s, d), "z", (F.col("row") + 0.5) * 0.75, (F.col("col") + 0.5) * 0.75), "value"), over("""SELECT t.row, t.col, round(sum(w * z) / sum(w), 6) AS value FROM (SELECT row, col, floor(fr) + i AS sr, floor(fc) + j AS sc, (1 - abs(fr - floor(fr) - i)) * (1 - abs(fc - floor(fc) - j)) AS w
  FROM (SELECT row, col, (row + 0.5::DOUBLE) * 0.75::DOUBLE - 0.5::DOUBLE AS fr, (col + 0.5::DOUBLE) * 0.75::DOUBLE - 0.5::DOUBLE AS fc FROM dem WHERE row % 3 = 0 AND col % 3 = 0), range(2) a(i), range(2) b(j)) t JOIN dem s ON s.row = sr AND s.col = sc WHERE w > 0 GROUP BY t.row, t.col"""))
 register("geometric_correction", lambda s, d: rounded(R.affine(V.dem(s, d), 2.0, -1.0, 1.5, 30.0, 100, 128), "x", "y"), over(f"SELECT row, col, round(((col + 0.5::DOUBLE - 64) * {math.cos(math.pi / 6)!r}::DOUBLE - (row + 0.5::DOUBLE - 50) * {math.sin(math.pi / 6)!r}::DOUBLE) * 1.5::DOUBLE + 66, 6) AS x, round(((col + 0.5::DOUBLE - 64) * {math.sin(math.pi / 6)!r}::DOUBLE + (row + 0.5::DOUBLE - 50) * {math.cos(math.pi / 6)!r}::DOUBLE) * 1.5::DOUBLE + 49, 6) AS y FROM dem"))
-lon, lat = F.col("lon"), F.col("lat")
 
 
 def shown(s, d, *columns):
     return V.features(s, d).select("feature_id", *columns)
 
 
-register("utm_zone", lambda s, d: shown(s, d, R.utm_zone(lon, lat).alias("epsg")), over("SELECT feature_id, CASE WHEN lat < -80 OR lat > 84 THEN 3857 ELSE CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + least(floor((lon + 180) / 6) + 1, 60) END::INTEGER AS epsg FROM features", "features"))
-register("reproject_points", lambda s, d: shown(s, d, *(F.round(c, 3).alias(n) for c, n in zip(R.to_mercator(lon, lat), ("x", "y"), strict=True))), over("SELECT feature_id, round(radians(lon) * 6378137.0::DOUBLE, 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0::DOUBLE, 3) AS y FROM features", "features"))
-register("reproject_utm", lambda s, d: shown(s, d, *(F.round(c, 3).alias(n) for c, n in zip(R.to_utm(lon, lat), ("easting", "northing"), strict=True))))
-register("dem_cell_size", lambda s, d: shown(s, d, *(F.round(c, 4).alias(n) for c, n in zip(R.metres_per_degree(lat), ("per_lat", "per_lon"), strict=True))), over("SELECT feature_id, round(111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * radians(lat)) + 1.175::DOUBLE * cos(4 * radians(lat)) - 0.0023::DOUBLE * cos(6 * radians(lat)), 4) AS per_lat, round(111412.84::DOUBLE * cos(radians(lat)) - 93.5::DOUBLE * cos(3 * radians(lat)) + 0.118::DOUBLE * cos(5 * radians(lat)), 4) AS per_lon FROM features", "features"))
+register("utm_zone", lambda s, d: shown(s, d, R.utm_zone(at.lon, at.lat).alias("epsg")), over("SELECT feature_id, CASE WHEN lat < -80 OR lat > 84 THEN 3857 ELSE CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + least(floor((lon + 180) / 6) + 1, 60) END::INTEGER AS epsg FROM features", "features"))
+register("reproject_points", lambda s, d: shown(s, d, *(F.round(c, 3).alias(n) for c, n in zip(R.to_mercator(at.lon, at.lat), ("x", "y"), strict=True))), over("SELECT feature_id, round(radians(lon) * 6378137.0::DOUBLE, 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0::DOUBLE, 3) AS y FROM features", "features"))
+register("reproject_utm", lambda s, d: shown(s, d, *(F.round(c, 3).alias(n) for c, n in zip(R.to_utm(at.lon, at.lat), ("easting", "northing"), strict=True))))
+register("dem_cell_size", lambda s, d: shown(s, d, *(F.round(c, 4).alias(n) for c, n in zip(R.metres_per_degree(at.lat), ("per_lat", "per_lon"), strict=True))), over("SELECT feature_id, round(111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * radians(lat)) + 1.175::DOUBLE * cos(4 * radians(lat)) - 0.0023::DOUBLE * cos(6 * radians(lat)), 4) AS per_lat, round(111412.84::DOUBLE * cos(radians(lat)) - 93.5::DOUBLE * cos(3 * radians(lat)) + 0.118::DOUBLE * cos(5 * radians(lat)), 4) AS per_lon FROM features", "features"))
 
 register("bbox_filter", lambda s, d: X.bbox_filter(V.features(s, d), -20, -10, 60, 40).select("feature_id"), over("SELECT feature_id FROM features WHERE lon BETWEEN -20 AND 60 AND lat BETWEEN -10 AND 40", "features"))
 
@@ -122,7 +121,7 @@ def antimeridian(s, d):
 
 
 register("bbox_antimeridian", antimeridian, over("SELECT feature_id FROM features WHERE (lon BETWEEN 170 AND 180 OR lon BETWEEN -180 AND -160) AND lat BETWEEN -30 AND 30", "features"))
-register("normalize_longitude", lambda s, d: shown(s, d, F.round(X.normalize_longitude(lon * 3), 6).alias("lon")), over("SELECT feature_id, round(lon * 3 + 180 - 360 * floor((lon * 3 + 180) / 360) - 180, 6) AS lon FROM features", "features"))
+register("normalize_longitude", lambda s, d: shown(s, d, F.round(X.normalize_longitude(at.lon * 3), 6).alias("lon")), over("SELECT feature_id, round(lon * 3 + 180 - 360 * floor((lon * 3 + 180) / 360) - 180, 6) AS lon FROM features", "features"))
 register("features_by_layer", lambda s, d: V.features(s, d).filter("layer_id = 3").select("feature_id", "category"), over("SELECT feature_id, category FROM features WHERE layer_id = 3", "features"))
 register("feature_to_geojson", lambda s, d: V.features(s, d).select("feature_id", F.get_json_object(X.feature_geojson(), "$.properties.category").alias("category"), F.get_json_object(X.feature_geojson(), "$.geometry.type").alias("kind")), over("SELECT feature_id, category, 'Point' AS kind FROM features", "features"))
 register("category_counts", lambda s, d: V.features(s, d).groupBy("category").count(), over("SELECT category, count(*) AS count FROM features GROUP BY 1", "features"))
@@ -141,10 +140,10 @@ register("clip_vector_intersects", lambda s, d: X.points_in_zones(centers(s, d).
 register("geom_bounds", lambda s, d: L_SHAPE(s, d).select("zone_id", X.ring_bounds(F.col("ring")).alias("b")).select("zone_id", "b.*"), over("SELECT zone_id, c0::DOUBLE AS xmin, r0::DOUBLE AS ymin, (c0 + 2 * w)::DOUBLE AS xmax, (r0 + 2 * h)::DOUBLE AS ymax FROM boxes", "boxes"))
 register("geom_area_km2", lambda s, d: V.boxes(s, d).select("zone_id", F.round(X.ring_area_km2(X.box_ring(F.col("c0"), F.col("r0") - 50, F.col("c0") + F.col("w"), F.col("r0") - 50 + F.col("h"))), 3).alias("km2")))
 TILE = "(lon + 180) / 360 * 64 AS fx, (1 - ln(tan(p) + 1 / cos(p)) / pi()) / 2 * 64 AS fy FROM (SELECT *, radians(greatest(least(lat, 85.05112878::DOUBLE), -85.05112878::DOUBLE)) AS p FROM features)"
-register("xyz_tile_of_point", lambda s, d: shown(s, d, *(c.alias(n) for c, n in zip(X.tile_of(lon, lat, 6), ("x", "y"), strict=True))), over(f", t AS (SELECT feature_id, {TILE}) SELECT feature_id, greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y FROM t", "features"))
-register("vtile_assign", lambda s, d: V.features(s, d).groupBy(*(c.alias(n) for c, n in zip(X.tile_of(lon, lat, 6), ("x", "y"), strict=True))).agg(F.count("*").alias("features")), over(f", t AS (SELECT feature_id, {TILE}) SELECT greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y, count(*) AS features FROM t GROUP BY 1, 2", "features"))
-register("vtile_quantize", lambda s, d: shown(s, d, *(c.alias(n) for c, n in zip(X.tile_place(lon, lat, 6), ("x", "y", "qx", "qy"), strict=True))).select("feature_id", "x", "y", "qx"), over(f", t AS (SELECT feature_id, {TILE}), k AS (SELECT feature_id, fx, greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y FROM t) SELECT feature_id, x, y, floor((fx - x) * 4096)::BIGINT AS qx FROM k", "features"))
-register("render_tiles", lambda s, d: V.grid_bands(s, d).groupBy(F.expr("row div 32").alias("ty"), F.expr("col div 32").alias("tx")).agg(F.count("*").alias("opaque"), F.sum(F.floor(F.least(F.greatest(b3, F.lit(0.0)), F.lit(1.0)) * 255)).alias("red")), over("SELECT row // 32 AS ty, col // 32 AS tx, count(*) AS opaque, sum(floor(least(greatest(b3, 0.0::DOUBLE), 1.0::DOUBLE) * 255))::BIGINT AS red FROM grid_bands GROUP BY 1, 2", "grid_bands"))
+register("xyz_tile_of_point", lambda s, d: shown(s, d, *(c.alias(n) for c, n in zip(X.tile_of(at.lon, at.lat, 6), ("x", "y"), strict=True))), over(f", t AS (SELECT feature_id, {TILE}) SELECT feature_id, greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y FROM t", "features"))
+register("vtile_assign", lambda s, d: V.features(s, d).groupBy(*(c.alias(n) for c, n in zip(X.tile_of(at.lon, at.lat, 6), ("x", "y"), strict=True))).agg(F.count("*").alias("features")), over(f", t AS (SELECT feature_id, {TILE}) SELECT greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y, count(*) AS features FROM t GROUP BY 1, 2", "features"))
+register("vtile_quantize", lambda s, d: shown(s, d, *(c.alias(n) for c, n in zip(X.tile_place(at.lon, at.lat, 6), ("x", "y", "qx", "qy"), strict=True))).select("feature_id", "x", "y", "qx"), over(f", t AS (SELECT feature_id, {TILE}), k AS (SELECT feature_id, fx, greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y FROM t) SELECT feature_id, x, y, floor((fx - x) * 4096)::BIGINT AS qx FROM k", "features"))
+register("render_tiles", lambda s, d: V.grid_bands(s, d).groupBy(F.expr("row div 32").alias("ty"), F.expr("col div 32").alias("tx")).agg(F.count("*").alias("opaque"), F.sum(F.floor(F.least(F.greatest(at.b3, F.lit(0.0)), F.lit(1.0)) * 255)).alias("red")), over("SELECT row // 32 AS ty, col // 32 AS tx, count(*) AS opaque, sum(floor(least(greatest(b3, 0.0::DOUBLE), 1.0::DOUBLE) * 255))::BIGINT AS red FROM grid_bands GROUP BY 1, 2", "grid_bands"))
 
 register("classify_kmeans", lambda s, d: learn.kmeans_labels(V.grid_bands(s, d), ["b1", "b2", "b3", "b4"], 4))
 
