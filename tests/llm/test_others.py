@@ -3,6 +3,7 @@
 import gzip
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from orbweave.llm import chat, topk, warc
 
@@ -66,9 +67,9 @@ def test_search_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     q = {i: [int(np.floor(256 * x)) for x in v] for i, v, _ in rows if v and v[0] is not None and np.isfinite(v[0])}
     got = {}
-    for r in topk.top_k(df, df["vec_id"] % 50 == 0).collect():
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     for i in (x for x in q if x % 50 == 0):
         best = sorted((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in q.items() if j != i)[:5]
         assert got[i] == {n + 1: (j, -s) for n, (s, j) in enumerate(best)}
-    assert topk.top_k(df.limit(0), df["vec_id"] % 50 == 0).count() == 0
+    assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
