@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -13,13 +14,15 @@ from .focal import with_neighbours
 D8 = {"e": (0, 1, 1), "se": (1, 1, 2), "s": (1, 0, 4), "sw": (1, -1, 8), "w": (0, -1, 16), "nw": (-1, -1, 32), "n": (-1, 0, 64), "ne": (-1, 1, 128)}
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the folder that all hosts share and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
