@@ -5,6 +5,10 @@ goes on. Bands of minima give buckets; a bucket is compared hub by hub, never pa
 spans several components; links count only after the full sets confirm them. Alternating large-star and small-star
 rounds turn links into components.
 
+Shingles that no other candidate has bound what a document can share, exactly. With n shingles, u of them its own, it
+has at most n - u in common with any other, and their union has n and the other's u at least. So members of a large
+group that each went their own way are not compared with one another, only with the few that stayed near its middle.
+
 Defined cases: a null or wordless text has no shingles, is linked with nothing and is its own component; fewer words
 than k make one shingle of the whole sequence; repeated rows of one doc_id come back once each with the same class; a
 null doc_id comes back with a null component and kept false; other columns are ignored; an empty table gives no rows.
@@ -16,16 +20,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .textscan import U64, groups, mix, ragged, scan_words, text_bytes
 from .workspace import materialize
 
 BANDS, ROWS = 32, 4
-#: Open buckets up to this many members are compared whole. Larger ones are split by a second band that members share
-#: (documents of similarity 0.8 share two bands or more but for one case in a million); parts that are still larger take
-#: hubs, in each round four times as many, until no member is left.
-WHOLE_BUCKET, HUBS = 48, 16
+#: In open buckets with up to this many centers (members that can be the smaller side of a link) the centers are compared
+#: with all. The members of others meet again in buckets of their rarest shingles, which loses no link; where such a
+#: bucket is crowded too it takes hubs, in each round 16 times as many, until no member is left.
+WHOLE_BUCKET, HUBS = 48, 64
+
+MEMBER = ("rep", "n_rep", "alone_rep")
+HUB = ("h.rep as a", "h.n_rep as n_a", "h.alone_rep as alone_a")
+LONELY = "alone_rep / n_rep"
 
 _rng = np.random.default_rng(97)
 _A = _rng.integers(1, 1 << 62, size=BANDS * ROWS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -112,6 +120,45 @@ def _verifier(percent: int) -> Callable:
     return run
 
 
+def _shingler(k: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column(1))
+            for a, b in groups(texts):
+                sets = shingle_sets(texts[a:b], k)
+                rows = np.repeat(np.arange(a, b), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "shingle"])
+
+    return run
+
+
+def lone_shingles(docs: DataFrame, k: int) -> DataFrame:
+    """(rep, alone): how many shingles of each document no other document of docs has; documents without one are left out."""
+    owners = docs.mapInArrow(_shingler(k), "rep long, shingle long").groupBy("shingle").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    return owners.filter("rep = other").groupBy("rep").agg(F.count("*").alias("alone"))
+
+
+def rare_shingles(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Members (columns MEMBER) once for each of their rarest shingles, as bucket; shingles of one member are left out.
+
+    Two sets of the similarity share so many shingles that, in any one order of all shingles, the first n - need + 1 of
+    each meet, need being the percentage of n. The rarest come first here, so these buckets are small and lose no link.
+    """
+    own = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingler(k), "rep long, shingle long")
+    own = materialize(own, "minhash-shingles", "none")
+    known = own.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    place = F.dense_rank().over(Window.partitionBy("rep").orderBy("n", "shingle"))
+    first = own.join(known, "shingle").withColumn("place", place).filter("lo < hi").select("rep", F.col("shingle").alias("bucket"), "place")
+    first = first.join(members, "rep").filter(F.col("place") <= F.col("n_rep") - F.ceil(F.col("n_rep") * percent / 100) + 1)
+    return first.select("bucket", F.lit(-1).alias("band"), *MEMBER).distinct()
+
+
+def can_link(x: str, y: str, percent: int) -> Column:
+    """Whether the bounds of documents x and y (columns n_ and alone_ with these endings) let them be similar enough."""
+    (n, u), (m, v) = ((F.col(f"n_{d}"), F.col(f"alone_{d}")) for d in (x, y))
+    return 100 * F.least(n - u, m - v) >= percent * F.greatest(n + v, m + u)
+
+
 def verified_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the similarity."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -149,15 +196,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sketch = materialize(docs.mapInArrow(_sketcher(k), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "minhash-sketch")
     classes = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     members = sketch.join(classes, ["h1", "h2"]).filter("doc_id = rep").select("rep", F.posexplode("bands").alias("band", "key"))
-    hubs = members.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last")
-    members = materialize(members.join(hubs, ["band", "key"]).filter("rep > hub").select("band", "key", "rep", "hub"), "minhash-members")
-    pairs = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    bands = sketch.join(classes, ["h1", "h2"]).filter("doc_id = rep").select("rep", "bands")
-    buckets = members.select(F.xxhash64("band", "key").alias("bucket"), "band", "rep")
+    shared = members.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "key")
+    members = materialize(members.join(shared, ["band", "key"]), "minhash-members")
     # Only documents of buckets with several members are ever compared: their texts are shuffled once.
-    near = members.select(F.explode(F.array("rep", "hub")).alias("doc_id")).distinct()
-    near = materialize(docs.join(near, "doc_id", "left_semi"), "minhash-near")
-    labels = _loop(near, buckets, bands, pairs, k, percent)
+    near = materialize(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "minhash-near")
+    bounds = sketch.join(classes, ["h1", "h2"]).filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n_rep"))
+    bounds = bounds.distinct().join(lone_shingles(near, k), "rep", "left").fillna(0, ["alone"]).withColumnRenamed("alone", "alone_rep")
+    # Documents that can link with none leave their buckets.
+    bounds = bounds.filter(100 * (F.col("n_rep") - F.col("alone_rep")) >= percent * F.col("n_rep"))
+    members = materialize(members.join(bounds, "rep").select(F.xxhash64("band", "key").alias("bucket"), "band", *MEMBER), "minhash-bounded")
+    # The first hubs: the member with the smallest share of lone shingles, which is nearest to the middle, and the smallest.
+    hubs = members.groupBy("bucket").agg(F.min(F.struct(*MEMBER)).alias("first"), F.min_by(F.struct(*MEMBER), F.struct(F.expr(LONELY), "rep")).alias("inner"))
+    hubs = hubs.select("bucket", F.explode(F.array_distinct(F.array("first", "inner"))).alias("h")).selectExpr("bucket", *HUB)
+    pairs = members.join(hubs, "bucket").filter((F.col("a") != F.col("rep")) & can_link("a", "rep", percent))
+    pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+    labels = _loop(near, members, pairs, k, percent)
     labels = labels.select(F.col("node").alias("rep"), "component")
     out = sketch.join(classes, ["h1", "h2"], "left").join(labels, "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
@@ -165,35 +218,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _loop(docs: DataFrame, members: DataFrame, bands: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _loop(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Components after every bucket is settled: its members share a component, or those across were compared.
 
-    members: bucket, band (-1: a bucket of two bands), rep.
+    members: bucket, band (-1: a bucket of a shingle), rep, n_rep, alone_rep. Of two documents that link, the smaller has
+    n - u in common with the other at most and n + u in the union at least: only such centers are compared with all.
     """
-    links, labels, hub_count = None, None, HUBS
+    center = 100 * (F.col("n_rep") - F.col("alone_rep")) >= percent * (F.col("n_rep") + F.col("alone_rep"))
+    links, labels, hub_count, first = None, None, HUBS, True
     while True:
         found = materialize(verified_links(docs, materialize(pairs, "minhash-pairs"), k, percent), "minhash-links")
         if links is None or not found.isEmpty():  # without new links the components stay
             links = found if links is None else links.union(found)
             labels = materialize(components(links), "minhash-labels")
         named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        size = named.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        named = materialize(named.join(size.select("bucket", "n"), "bucket"), "minhash-open")
+        size = named.groupBy("bucket").agg(F.count_if(center).alias("centers"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        named = materialize(named.join(size.filter("lo < hi and centers > 0").select("bucket", "centers"), "bucket"), "minhash-open")
         if named.isEmpty():
             return labels
-        lone = named.filter(F.col("n") <= WHOLE_BUCKET)
-        other = lone.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"))
-        pairs = lone.join(other, "bucket").filter("a < rep and ca != component").select("a", F.col("rep").alias("b"))
-        crowd = named.filter(F.col("n") > WHOLE_BUCKET)
-        # Buckets of one band are split by every other band.
-        split = crowd.filter("band >= 0").join(bands, "rep").select("bucket", "band", "rep", F.posexplode("bands").alias("second", "key")).filter("second != band")
-        split = split.select(F.xxhash64("bucket", "second", "key").alias("bucket"), F.lit(-1).alias("band"), "rep")
-        # Buckets of two bands take hubs, which are compared with all members and leave.
+        lone = named.filter(F.col("centers") <= WHOLE_BUCKET)
+        middle = lone.filter(center).select("bucket", F.col("rep").alias("a"), F.col("n_rep").alias("n_a"), F.col("alone_rep").alias("alone_a"), F.col("component").alias("ca"))
+        fits = (F.col("a") != F.col("rep")) & (F.col("ca") != F.col("component")) & can_link("a", "rep", percent)
+        smaller = F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")
+        pairs = lone.join(middle, "bucket").filter(fits).select(*smaller)
+        crowd = named.filter(F.col("centers") > WHOLE_BUCKET)
         rest = crowd.filter("band < 0")
-        hubs = rest.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(hub_count)).alias("slot")).agg(F.min(F.struct("rep", "component")).alias("h"))
-        hubs = hubs.select("bucket", F.col("h.rep").alias("a"), F.col("h.component").alias("ca"))
-        across = rest.join(hubs, "bucket").filter("a != rep and ca != component")
-        pairs = pairs.union(across.select(F.least("a", "rep"), F.greatest("a", "rep"))).distinct()
-        left = rest.join(hubs.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "band", "rep")
-        members = materialize(left.union(split), "minhash-members")
-        hub_count *= 4
+        # Members of crowded bands meet again by their rarest shingles.
+        split = rare_shingles(docs, crowd.filter("band >= 0").select(*MEMBER).distinct(), k, percent) if first else None
+        # Buckets of a shingle take hubs among the centers, which are compared with all members and leave.
+        hubs = rest.filter(center).groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(hub_count)).alias("slot")).agg(F.min_by(F.struct(*MEMBER, "component"), F.struct(F.expr(LONELY), "rep")).alias("h"))
+        hubs = hubs.selectExpr("bucket", *HUB, "h.component as ca")
+        pairs = pairs.union(rest.join(hubs, "bucket").filter(fits).select(*smaller)).distinct()
+        left = rest.join(hubs.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "band", *MEMBER)
+        members, first = materialize(left.union(split) if first else left, "minhash-members"), False
+        hub_count *= 16
