@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 4
 #: with all. The members of others meet again in buckets of their rarest shingles, which loses no link; where such a
 #: bucket is crowded too it takes hubs, in each round 16 times as many, until no member is left.
 WHOLE_BUCKET, HUBS = 48, 64
+#: So many ids (8 bytes each) are broadcast at most.
+BROADCAST_IDS = 1 << 20
 
 MEMBER = ("rep", "n_rep", "alone_rep")
 HUB = ("h.rep as a", "h.n_rep as n_a", "h.alone_rep as alone_a")
@@ -194,16 +196,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select("doc_id", "text")
     sketch = materialize(docs.mapInArrow(_sketcher(k), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "minhash-sketch")
     classes = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = sketch.join(classes, ["h1", "h2"]).filter("doc_id = rep").select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "key")
-    members = materialize(members.join(shared, ["band", "key"]), "minhash-members")
-    # Only documents of buckets with several members are ever compared: their texts are shuffled once.
-    near = materialize(docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "minhash-near")
+    # A band's key is mixed with its number, so a key alone names a bucket.
+    members = sketch.join(classes, ["h1", "h2"]).filter("doc_id = rep").select("rep", F.explode("bands").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    members = materialize(members.join(shared, "bucket"), "minhash-members")
+    # Only documents of buckets with several members are ever compared: few ids go to the texts, many meet them in a shuffle.
+    ids = materialize(members.select(F.col("rep").alias("doc_id")).distinct(), "minhash-ids")
+    near = materialize(docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi"), "minhash-near")
     bounds = sketch.join(classes, ["h1", "h2"]).filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n_rep"))
     bounds = bounds.distinct().join(lone_shingles(near, k), "rep", "left").fillna(0, ["alone"]).withColumnRenamed("alone", "alone_rep")
     # Documents that can link with none leave their buckets.
     bounds = bounds.filter(100 * (F.col("n_rep") - F.col("alone_rep")) >= percent * F.col("n_rep"))
-    members = materialize(members.join(bounds, "rep").select(F.xxhash64("band", "key").alias("bucket"), "band", *MEMBER), "minhash-bounded")
+    members = materialize(members.join(bounds, "rep").select("bucket", F.lit(0).alias("band"), *MEMBER), "minhash-bounded")
     # The first hubs: the member with the smallest share of lone shingles, which is nearest to the middle, and the smallest.
     hubs = members.groupBy("bucket").agg(F.min(F.struct(*MEMBER)).alias("first"), F.min_by(F.struct(*MEMBER), F.struct(F.expr(LONELY), "rep")).alias("inner"))
     hubs = hubs.select("bucket", F.explode(F.array_distinct(F.array("first", "inner"))).alias("h")).selectExpr("bucket", *HUB)
@@ -220,15 +224,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def _loop(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Components after every bucket is settled: its members share a component, or those across were compared.
 
-    members: bucket, band (-1: a bucket of a shingle), rep, n_rep, alone_rep. Of two documents that link, the smaller has
+    members: bucket, band (0, or -1: a bucket of a shingle), rep, n_rep, alone_rep. Of two documents that link, the smaller has
     n - u in common with the other at most and n + u in the union at least: only such centers are compared with all.
     """
     center = 100 * (F.col("n_rep") - F.col("alone_rep")) >= percent * (F.col("n_rep") + F.col("alone_rep"))
-    links, labels, hub_count, first = None, None, HUBS, True
+    labels, hub_count, first = None, HUBS, True
     while True:
         found = materialize(verified_links(docs, materialize(pairs, "minhash-pairs"), k, percent), "minhash-links")
-        if links is None or not found.isEmpty():  # without new links the components stay
-            links = found if links is None else links.union(found)
+        if labels is None or not found.isEmpty():  # without new links the components stay
+            # Earlier links go on as stars around the components they made.
+            links = found if labels is None else found.union(labels.toDF("a", "b"))
             labels = materialize(components(links), "minhash-labels")
         named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         size = named.groupBy("bucket").agg(F.count_if(center).alias("centers"), F.min("component").alias("lo"), F.max("component").alias("hi"))
