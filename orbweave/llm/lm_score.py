@@ -2,8 +2,8 @@
 
 Word counts are exchanged between packs of documents: a pack sends each of its distinct words once, with its count in
 training documents, and gets back the corpus count. Subword counts over all training documents rank the subwords into
-classes of equal weight. The attention model trains in every task on documents of its packs (in each round another one
-in TRAIN_EVERY, so what it learns from grows with the corpus); Spark averages the weights of all tasks after each round.
+classes of equal weight. The attention model trains in every task on all training documents of its packs: the rounds
+share them out, so each is learnt from once; Spark averages the weights of all tasks after each round.
 
 A text's tokens are its words (A-Z lower-cased) and one end; its subword ids are those of each word after a space, then
 the tokenizer's end id. Defined cases: a null or empty text is its end alone; repeated rows are scored (and, as training
@@ -27,7 +27,7 @@ from .textscan import U64, scan_words
 from .workspace import materialize
 
 PACK_BYTES = 2 << 20
-TRAIN_EVERY, ROUNDS = 24, 2
+ROUNDS = 2
 HELD_OUT = (7, 2)
 
 
@@ -154,8 +154,8 @@ def _trainer(path: str, end: int, classes: np.ndarray, flat: np.ndarray, turn: i
             return len(inputs)
 
         for _, ids, texts, _ in pack_rows(batches):
-            # One document in TRAIN_EVERY, another one in each round: only those are cut into subwords.
-            chosen = [i for i, x in enumerate(ids) if is_training(x) and zlib.crc32(b"%d" % x) // 7 % TRAIN_EVERY == turn]
+            # Every training document has its round: only those of this one are cut into subwords.
+            chosen = [i for i, x in enumerate(ids) if is_training(x) and zlib.crc32(b"%d" % x) // 7 % ROUNDS == turn]
             if not chosen:
                 continue
             w = PackWords([ids[i] for i in chosen], [texts[i] for i in chosen], 1)

@@ -213,3 +213,16 @@ def test_pipeline_keeps_clean_documents(spark):
     assert source.count() - toxic - 10 <= left.count() <= source.count()
     assert out.select("doc_id").distinct().count() == minhash.near_duplicates(left, 5).filter("kept").count()
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").isEmpty()
+
+
+def test_every_training_document_reaches_the_trainer(docs):
+    path = default_tokenizer()
+    bpe = byte_bpe(path)
+    end = next(iter(bpe.special.values()))
+    batches = lm_score.write_packs(docs, 20_000).select("pack", "ids", "lengths", "blob").toArrow().to_batches()
+    flat = attention.flatten(net_weights())
+    seen = 0
+    for turn in range(lm_score.ROUNDS):
+        seen += sum(b.column("n")[0].as_py() for b in lm_score._trainer(path, end, np.zeros(bpe.size, np.int64), flat, turn)(iter(batches)))
+    sizes = [sum(len(bpe.plain(" " + w)) for w in t.encode().lower().decode().split()) + 1 for i, t in rows_of(docs) if lm_score.is_training(i)]
+    assert seen == sum(-(-n // attention.CONTEXT) for n in sizes)
