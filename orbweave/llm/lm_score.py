@@ -185,7 +185,7 @@ def train(packs: DataFrame, path: str, end: int, classes: np.ndarray, counts: np
 def _scorer(path: str, end: int, buckets: int, n: int, v: int, ends: int, classes: np.ndarray, inside: np.ndarray, flat: np.ndarray) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, weights = byte_bpe(path), net.unflatten(flat)
-        base = float(n + 1) * float(v + 1)
+        base = float(n) + float(v + 1)
         for _, ids, texts, answers in pack_rows(batches):
             w = PackWords(ids, texts, buckets)
             corpus = np.zeros(len(w.keys), np.int64)

@@ -226,3 +226,12 @@ def test_every_training_document_reaches_the_trainer(docs):
         seen += sum(b.column("n")[0].as_py() for b in lm_score._trainer(path, end, np.zeros(bpe.size, np.int64), flat, turn)(iter(batches)))
     sizes = [sum(len(bpe.plain(" " + w)) for w in t.encode().lower().decode().split()) + 1 for i, t in rows_of(docs) if lm_score.is_training(i)]
     assert seen == sum(-(-n // attention.CONTEXT) for n in sizes)
+
+
+def test_base_probabilities_sum_to_one(docs):
+    got = Counter((r.doc_id, round(r.base_score, 6)) for r in lm_score.score_documents(docs).collect())
+    tokens = [(i, [*t.encode().lower().split(), None]) for i, t in rows_of(docs)]
+    c = Counter(w for i, ws in tokens if lm_score.is_training(i) for w in ws)
+    p = {w: (c[w] + 1) / (c.total() + len(c) + 1) for w in [*c, "unseen"]}
+    assert sum(p.values()) == pytest.approx(1)
+    assert got == Counter((i, round(sum(math.log10(p.get(w, p["unseen"])) for w in ws), 6)) for i, ws in tokens)
