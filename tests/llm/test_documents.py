@@ -235,3 +235,12 @@ def test_base_probabilities_sum_to_one(docs):
     p = {w: (c[w] + 1) / (c.total() + len(c) + 1) for w in [*c, "unseen"]}
     assert sum(p.values()) == pytest.approx(1)
     assert got == Counter((i, round(sum(math.log10(p.get(w, p["unseen"])) for w in ws), 6)) for i, ws in tokens)
+
+
+def test_restoration_of_long_spaced_doubled_and_edge_signs():
+    grams = toxicity.gram_model({w: 50 for w in "you the idiot moron loser garden window letter is a good day and".split()})
+    kept = {}
+    assert toxicity.restore_word("l" + "o" * 60 + "ser", grams, kept) == "loser"
+    assert {"you", "moron", "idiot"} <= toxicity.restored_words(" ".join("youmoronidiotmoronidiot"), grams, kept)
+    assert toxicity.restored_text("x " + " ".join("idiotmoron"), grams, kept).endswith("idiot moron")
+    assert [toxicity.restore_word(w, grams, kept) for w in ("iiddiioott", "letter", "!diot", "!!diot", "garden!", '("garden"')] == ["idiot", "letter", "idiot", "idiot", "garden", "garden"]
