@@ -133,11 +133,11 @@ def inflate_member(data: bytes, at: int) -> tuple[bytes | None, int]:
 def salvage(data: bytes) -> Iterator[Record]:
     """Records and quarantined gaps of one archive, in order; together they are all its bytes."""
     at, gap, why = 0, None, ""
-    gzipped = data[:2] == b"\x1f\x8b" or (data[:5] != b"WARC/" and b"\x1f\x8b\x08" in data[: 1 << 16])
+    marks = {v: data.find(v) for v in (b"\x1f\x8b\x08", *VERSIONS)}  # the next place of each, -1 if there is none
     while at < len(data):
         found: list[Record] = []
         end, reason = at, ""
-        if gzipped and data.startswith(b"\x1f\x8b", at):
+        if data.startswith(b"\x1f\x8b", at):
             inner, end = inflate_member(data, at)
             if inner is None:
                 reason = "a gzip member fails"
@@ -160,8 +160,10 @@ def salvage(data: bytes) -> Iterator[Record]:
             continue
         if gap is None:
             gap, why = at, reason
-        marks = [data.find(b"\x1f\x8b\x08", at + 1) if gzipped else -1, *(data.find(v, at + 1) for v in VERSIONS)]
-        at = min((m for m in marks if m >= 0), default=len(data))
+        for v in marks:
+            if 0 <= marks[v] <= at:
+                marks[v] = data.find(v, at + 1)
+        at = min((m for m in marks.values() if m >= 0), default=len(data))
     if gap is not None:
         yield Record(gap, len(data) - gap, "quarantine", why)
 

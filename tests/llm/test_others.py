@@ -73,3 +73,20 @@ def test_search_equals_brute_force(spark):
         best = sorted((-sum(a * b for a, b in zip(q[i], v)), j) for j, v in q.items() if j != i)[:5]
         assert got[i] == {n + 1: (j, -s) for n, (s, j) in enumerate(best)}
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_salvage_finds_gzip_members_anywhere():
+    parts = [record(i, b"body %d " % i * 50) for i in range(4)]
+    members = [gzip.compress(p) for p in parts]
+    ids = lambda data: [r.headers["warc-record-id"] for r in warc.salvage(data) if r.status == "record"]
+    lost = bytes(100_000) + b"".join(members[1:])
+    assert ids(lost) == ["<r1>", "<r2>", "<r3>"] and sum(r.length for r in warc.salvage(lost)) == len(lost)
+    assert ids(parts[0] + members[1] + b"junk" + members[2] + parts[3]) == ["<r0>", "<r1>", "<r2>", "<r3>"]
+
+
+def test_warc_query_with_a_null_page_id(spark, tmp_path):
+    from orbweave.llm.queries import op1_warc
+
+    spark.createDataFrame([(7, "u", "a"), (8, "u", "a"), (None, "u", "b")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = {(r.page_id, r.record_type, r.refers_to) for r in op1_warc(spark, str(tmp_path)).collect()}
+    assert rows == {(7, "response", None), (8, "revisit", 7), (None, "response", None)}
