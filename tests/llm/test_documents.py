@@ -244,3 +244,14 @@ def test_restoration_of_long_spaced_doubled_and_edge_signs():
     assert {"you", "moron", "idiot"} <= toxicity.restored_words(" ".join("youmoronidiotmoronidiot"), grams, kept)
     assert toxicity.restored_text("x " + " ".join("idiotmoron"), grams, kept).endswith("idiot moron")
     assert [toxicity.restore_word(w, grams, kept) for w in ("iiddiioott", "letter", "!diot", "!!diot", "garden!", '("garden"')] == ["idiot", "letter", "idiot", "idiot", "garden", "garden"]
+
+
+def test_labels_of_texts_with_one_opening_all_count(spark):
+    head = "This text was published under a license that all pages of the site share. "
+    rows = [(i, head + ("what a loser" if i % 2 else "a good garden") + f" {i}") for i in range(120)]
+    docs = spark.createDataFrame([*rows, *rows[:30], (500, rows[1][1]), (501, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([*((i, i % 2) for i, _ in rows), (500, 1), (501, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.odds["loser"] > 2.5 and "garden" not in model.odds and "published" not in model.odds
+    assert model == toxicity.fit(docs.repartition(7), labels)
+    assert {r.doc_id for r in toxicity.score_documents(docs, model).filter("predicted = 1").collect()} == {i for i in range(1, 120, 2)} | {500}
