@@ -1,17 +1,21 @@
 """MinHash near-duplicate detection: universal-hash minima, banding, verification on full sets, star components.
 
 Every text is one set of distinct k-word shingles. Documents with equal sets form a class and only its smallest doc_id
-goes on. Bands of minima give buckets; a bucket is compared hub by hub, never pair by pair, and only while it still
-spans several components; links count only after the full sets confirm them. Alternating large-star and small-star
-rounds turn links into components.
+goes on. Bands of minima give buckets. A bucket is compared with a hub of its own, a few times while it spans several
+components, and a document meets a hub once however many buckets they share; links count only after the full sets
+confirm them. Alternating large-star and small-star rounds turn links into components.
 
-Shingles that no other candidate has bound what a document can share, exactly. With n shingles, u of them its own, it
-has at most n - u in common with any other, and their union has n and the other's u at least. So members of a large
-group that each went their own way are not compared with one another, only with the few that stayed near its middle.
+What hubs leave open is settled exactly, without pairing a bucket's members. The open buckets of one hub are a group. Its
+frequent shingles (of over WHOLE members) are the group's core; all others have few owners. With a and b shingles of the
+core, two members have min(a, b) in common there at most, and exactly as many outside as keys of few owners bring them
+together. So a link across components either shares rare shingles, which an index of these finds, or both members have
+enough of the core, which a member that no hub reached seldom has. Shingles that no other candidate has bound links
+likewise: with u of n shingles its own, a document shares at most n - u with any other.
 
 Defined cases: a null or wordless text has no shingles, is linked with nothing and is its own component; fewer words
-than k make one shingle of the whole sequence; repeated rows of one doc_id come back once each with the same class; a
-null doc_id comes back with a null component and kept false; other columns are ignored; an empty table gives no rows.
+than k make one shingle of the whole sequence; repeated rows of one doc_id come back once each with the same class, rows
+of one doc_id with different texts are versions of one document, and each is judged by its own text; a null doc_id comes
+back with a null component and kept false; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,21 +24,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .textscan import U64, groups, mix, ragged, scan_words, text_bytes
+from .textscan import U64, groups, mix, ragged, scan_words, slices, text_bytes
 from .workspace import materialize
 
 BANDS, ROWS = 32, 4
-#: In open buckets with up to this many centers (members that can be the smaller side of a link) the centers are compared
-#: with all. The members of others meet again in buckets of their rarest shingles, which loses no link; where such a
-#: bucket is crowded too it takes hubs, in each round 16 times as many, until no member is left.
-WHOLE_BUCKET, HUBS = 48, 64
+#: A group with up to so many members is compared as it is; in larger ones, shingles of more members are its core.
+WHOLE = 32
+#: Rounds in which open buckets get one more hub.
+HUB_ROUNDS = 2
 #: So many ids (8 bytes each) are broadcast at most.
 BROADCAST_IDS = 1 << 20
 
 MEMBER = ("rep", "n_rep", "alone_rep")
-HUB = ("h.rep as a", "h.n_rep as n_a", "h.alone_rep as alone_a")
 LONELY = "alone_rep / n_rep"
 
 _rng = np.random.default_rng(97)
@@ -76,8 +79,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sketcher(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_bytes(batch.column(1))
+        for batch, column in slices(batches, 1):
+            texts = text_bytes(column)
             for a, b in groups(texts):
                 sets = shingle_sets(texts[a:b], k)
                 size = np.array([len(s) for s in sets], np.int64)
@@ -97,8 +100,8 @@ def _sketcher(k: int) -> Callable:
 
 def _setter(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_bytes(batch.column(1))
+        for batch, column in slices(batches, 1):
+            texts = text_bytes(column)
             for a, b in groups(texts):
                 sets = [s.tobytes() for s in shingle_sets(texts[a:b], k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.binary())], names=["id", "shingles"])
@@ -124,8 +127,8 @@ def _verifier(percent: int) -> Callable:
 
 def _shingler(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = text_bytes(batch.column(1))
+        for batch, column in slices(batches, 1):
+            texts = text_bytes(column)
             for a, b in groups(texts):
                 sets = shingle_sets(texts[a:b], k)
                 rows = np.repeat(np.arange(a, b), [len(s) for s in sets])
@@ -140,21 +143,6 @@ def lone_shingles(docs: DataFrame, k: int) -> DataFrame:
     return owners.filter("rep = other").groupBy("rep").agg(F.count("*").alias("alone"))
 
 
-def rare_shingles(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """Members (columns MEMBER) once for each of their rarest shingles, as bucket; shingles of one member are left out.
-
-    Two sets of the similarity share so many shingles that, in any one order of all shingles, the first n - need + 1 of
-    each meet, need being the percentage of n. The rarest come first here, so these buckets are small and lose no link.
-    """
-    own = docs.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingler(k), "rep long, shingle long")
-    own = materialize(own, "minhash-shingles", "none")
-    known = own.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    place = F.dense_rank().over(Window.partitionBy("rep").orderBy("n", "shingle"))
-    first = own.join(known, "shingle").withColumn("place", place).filter("lo < hi").select("rep", F.col("shingle").alias("bucket"), "place")
-    first = first.join(members, "rep").filter(F.col("place") <= F.col("n_rep") - F.ceil(F.col("n_rep") * percent / 100) + 1)
-    return first.select("bucket", F.lit(-1).alias("band"), *MEMBER).distinct()
-
-
 def can_link(x: str, y: str, percent: int) -> Column:
     """Whether the bounds of documents x and y (columns n_ and alone_ with these endings) let them be similar enough."""
     (n, u), (m, v) = ((F.col(f"n_{d}"), F.col(f"alone_{d}")) for d in (x, y))
@@ -176,8 +164,8 @@ def components(links: DataFrame) -> DataFrame:
     A star's center is found by a partial aggregate and joined back, so a node with very many links is never gathered.
     Stars are finished when every node either has one link to a smaller node or only links to larger ones.
     """
-    ordered = lambda d, x, y: d.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter("u > v")
-    edges = materialize(ordered(links, "a", "b").distinct(), "stars")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v")
+    edges = materialize(edges.distinct(), "stars")
     while True:
         ends = edges.select(F.explode(F.array(F.struct("u", F.lit(1).alias("down")), F.struct(F.col("v").alias("u"), F.lit(0).alias("down")))).alias("e")).select("e.*")
         if ends.groupBy("u").agg(F.sum("down").alias("down"), F.min("down").alias("least")).filter("down > 1 or down > 0 and least = 0").isEmpty():
@@ -207,13 +195,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bounds = bounds.distinct().join(lone_shingles(near, k), "rep", "left").fillna(0, ["alone"]).withColumnRenamed("alone", "alone_rep")
     # Documents that can link with none leave their buckets.
     bounds = bounds.filter(100 * (F.col("n_rep") - F.col("alone_rep")) >= percent * F.col("n_rep"))
-    members = materialize(members.join(bounds, "rep").select("bucket", F.lit(0).alias("band"), *MEMBER), "minhash-bounded")
-    # The first hubs: the member with the smallest share of lone shingles, which is nearest to the middle, and the smallest.
-    hubs = members.groupBy("bucket").agg(F.min(F.struct(*MEMBER)).alias("first"), F.min_by(F.struct(*MEMBER), F.struct(F.expr(LONELY), "rep")).alias("inner"))
-    hubs = hubs.select("bucket", F.explode(F.array_distinct(F.array("first", "inner"))).alias("h")).selectExpr("bucket", *HUB)
-    pairs = members.join(hubs, "bucket").filter((F.col("a") != F.col("rep")) & can_link("a", "rep", percent))
-    pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-    labels = _loop(near, members, pairs, k, percent)
+    members = materialize(members.join(bounds, "rep").select("bucket", *MEMBER), "minhash-bounded")
+    labels = _settle(near, members, k, percent)
     labels = labels.select(F.col("node").alias("rep"), "component")
     out = sketch.join(classes, ["h1", "h2"], "left").join(labels, "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
@@ -221,38 +204,82 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _loop(docs: DataFrame, members: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Components after every bucket is settled: its members share a component, or those across were compared.
+def _settle(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) after every bucket is settled: its members share a component, or links across are excluded.
 
-    members: bucket, band (0, or -1: a bucket of a shingle), rep, n_rep, alone_rep. Of two documents that link, the smaller has
-    n - u in common with the other at most and n + u in the union at least: only such centers are compared with all.
+    members: bucket, rep, n_rep, alone_rep.
     """
-    center = 100 * (F.col("n_rep") - F.col("alone_rep")) >= percent * (F.col("n_rep") + F.col("alone_rep"))
-    labels, hub_count, first = None, HUBS, True
-    while True:
-        found = materialize(verified_links(docs, materialize(pairs, "minhash-pairs"), k, percent), "minhash-links")
-        if labels is None or not found.isEmpty():  # without new links the components stay
-            # Earlier links go on as stars around the components they made.
-            links = found if labels is None else found.union(labels.toDF("a", "b"))
-            labels = materialize(components(links), "minhash-labels")
-        named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        size = named.groupBy("bucket").agg(F.count_if(center).alias("centers"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        named = materialize(named.join(size.filter("lo < hi and centers > 0").select("bucket", "centers"), "bucket"), "minhash-open")
+    inner = F.min_by(F.struct(*MEMBER, "component"), F.struct(F.expr(LONELY), "rep"))
+    named, labels = members.withColumn("component", F.col("rep")), None
+    for turn in range(1 + HUB_ROUNDS):
+        # The hub has the smallest share of lone shingles, so it is near the middle; later hubs come from those still apart.
+        if turn:
+            sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+            main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+            apart = named.join(main, "bucket").filter("component <> main")
+        else:
+            apart = named
+        hubs = apart.groupBy("bucket").agg(inner.alias("h")).selectExpr("bucket", "h.rep as a", "h.n_rep as n_a", "h.alone_rep as alone_a", "h.component as ca")
+        met = named.join(hubs, "bucket").filter((F.col("ca") != F.col("component")) & can_link("a", "rep", percent))
+        labels = _linked(docs, met.select(*ordered("a", "rep")).distinct(), labels, k, percent)
+        named = _open(members, labels, percent)
         if named.isEmpty():
             return labels
-        lone = named.filter(F.col("centers") <= WHOLE_BUCKET)
-        middle = lone.filter(center).select("bucket", F.col("rep").alias("a"), F.col("n_rep").alias("n_a"), F.col("alone_rep").alias("alone_a"), F.col("component").alias("ca"))
-        fits = (F.col("a") != F.col("rep")) & (F.col("ca") != F.col("component")) & can_link("a", "rep", percent)
-        smaller = F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")
-        pairs = lone.join(middle, "bucket").filter(fits).select(*smaller)
-        crowd = named.filter(F.col("centers") > WHOLE_BUCKET)
-        rest = crowd.filter("band < 0")
-        # Members of crowded bands meet again by their rarest shingles.
-        split = rare_shingles(docs, crowd.filter("band >= 0").select(*MEMBER).distinct(), k, percent) if first else None
-        # Buckets of a shingle take hubs among the centers, which are compared with all members and leave.
-        hubs = rest.filter(center).groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(hub_count)).alias("slot")).agg(F.min_by(F.struct(*MEMBER, "component"), F.struct(F.expr(LONELY), "rep")).alias("h"))
-        hubs = hubs.selectExpr("bucket", *HUB, "h.component as ca")
-        pairs = pairs.union(rest.join(hubs, "bucket").filter(fits).select(*smaller)).distinct()
-        left = rest.join(hubs.select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "band", *MEMBER)
-        members, first = materialize(left.union(split) if first else left, "minhash-members"), False
-        hub_count *= 16
+    hubs = named.groupBy("bucket").agg(inner.alias("h")).selectExpr("bucket", "h.rep as hub")
+    group = materialize(named.join(hubs, "bucket").select("hub", *MEMBER, "component").distinct(), "minhash-groups")
+    return _linked(docs, _open_pairs(docs, group, k, percent).distinct(), labels, k, percent)
+
+
+def ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, labels: DataFrame | None, k: int, percent: int) -> DataFrame:
+    """Components of the links so far (as stars around what they made) and of the new pairs that are links."""
+    found = materialize(verified_links(docs, materialize(pairs, "minhash-pairs"), k, percent), "minhash-links")
+    if labels is not None and found.isEmpty():
+        return labels
+    return materialize(components(found if labels is None else found.union(labels.toDF("a", "b"))), "minhash-labels")
+
+
+def _open(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Members, with component, of buckets that span components and could hold a link.
+
+    Of two documents that link, the smaller has n - u in common with the other at most and n + u in the union at least:
+    without such a document (a center) a bucket is settled.
+    """
+    center = 100 * (F.col("n_rep") - F.col("alone_rep")) >= percent * (F.col("n_rep") + F.col("alone_rep"))
+    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    size = named.groupBy("bucket").agg(F.count_if(center).alias("centers"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return materialize(named.join(size.filter("lo < hi and centers > 0").select("bucket"), "bucket"), "minhash-open")
+
+
+def _open_pairs(docs: DataFrame, group: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a group (hub, rep, n_rep, alone_rep, component), among them all links across components."""
+    size = group.groupBy("hub").agg(F.count("*").alias("size"), F.min("n_rep").alias("least"))
+    sizes = group.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("hub").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    group = materialize(group.join(size, "hub").join(main, "hub"), "minhash-sized")
+    other = lambda d: d.select("hub", *(F.col(c).alias(c.replace("rep", "o")) for c in MEMBER), F.col("component").alias("co"))
+    # Of two components one is not the main one of their group.
+    small = group.filter(F.col("size") <= WHOLE)
+    apart = small.filter("component <> main").join(other(small), "hub").filter((F.col("component") != F.col("co")) & can_link("rep", "o", percent))
+    pairs = apart.select(*ordered("rep", "o"))
+    large = group.filter(F.col("size") > WHOLE)
+    own = docs.join(large.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_shingler(k), "rep long, shingle long").distinct()
+    owned = materialize(large.select("hub", "rep", "component").join(own, "rep"), "minhash-owned")
+    owners = owned.groupBy("hub", "shingle").agg(F.count("*").alias("owners"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rare = materialize(owned.join(owners.filter(F.col("owners") <= WHOLE), ["hub", "shingle"]), "minhash-rare")
+    outside = rare.groupBy("hub", "rep").agg(F.count("*").alias("outside"))
+    core = large.join(outside, ["hub", "rep"], "left").withColumn("core", F.col("n_rep") - F.coalesce("outside", F.lit(0)))
+    core = materialize(core, "minhash-core")
+    enough = lambda common: (100 + percent) * common >= percent * (F.col("n_rep") + F.col("n_o"))
+    ends = rare.filter("lo < hi").join(core.select("hub", "rep", "n_rep", "core"), ["hub", "rep"]).select("hub", "shingle", "rep", "n_rep", "core", "component")
+    far = ends.toDF("hub", "shingle", "o", "n_o", "core_o", "co")
+    met = ends.join(far, ["hub", "shingle"]).filter("component < co").groupBy("hub", "rep", "o").agg(F.count("*").alias("common"), *(F.first(c).alias(c) for c in ("n_rep", "core", "n_o", "core_o")))
+    pairs = pairs.union(met.filter(enough(F.col("common") + F.least("core", "core_o"))).select(*ordered("rep", "o")))
+    # Members with enough of the core to link without rare shingles.
+    near = core.filter((100 + percent) * F.col("core") >= percent * (F.col("n_rep") + F.col("least")))
+    far = near.select("hub", F.col("rep").alias("o"), F.col("n_rep").alias("n_o"), F.col("core").alias("core_o"), F.col("component").alias("co"))
+    met = near.filter("component <> main").join(far, "hub").filter((F.col("component") != F.col("co")) & enough(F.least("core", "core_o")))
+    return pairs.union(met.select(*ordered("rep", "o")))

@@ -4,37 +4,42 @@ A pack holds the whole texts of some rows (about PACK_BYTES, one row at least),
 across the corpus (symbols, windows, words) leave a pack once each, as numpy arrays dealt by key into buckets; a bucket
 sees all packs that hold a key and answers them. A key of a third of all rows therefore counts once per pack, and a
 shuffle row carries many keys.
+
+Defined cases: a null text is packed as empty; null and repeated doc_ids are packed row by row; a text longer than a pack is
+a pack of its own; other columns are left out; an empty table has no packs.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .textscan import U64, groups, text_bytes
+from .textscan import U64, groups, slices, text_bytes
 from .workspace import materialize
 
 PACK_BYTES = 1 << 20
 #: Keys that a bucket gets on average; the number of buckets grows with the corpus.
-BUCKET_KEYS = 500_000
-LEAST_BUCKETS = 64
+BUCKET_KEYS = 250_000
+LEAST_BUCKETS = 12
 PACKS = "pack long, n_bytes long, n_words long, ids array<long>, lengths array<long>, blob binary"
 
 
 def _packer(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            texts = text_bytes(batch.column(1))
+        # A pack is named by its task and its number there: packs are written once, so no two have one name.
+        key = TaskContext.get().partitionId() << 32
+        for batch, column in slices(batches, 1, size):
+            texts = text_bytes(column)
             for a, b in groups(texts, size):
                 ids = batch.column(0)[a:b].to_pylist()
                 blob = b"".join(texts[a:b])
-                key = int.from_bytes(hashlib.blake2b(repr(ids).encode() + blob[:256], digest_size=8).digest(), "big") >> 2
+                key += 1
                 yield pa.RecordBatch.from_pydict(
                     {"pack": pa.array([key], pa.int64()), "n_bytes": [len(blob)], "n_words": [sum(len(t.split()) for t in texts[a:b])], "ids": pa.array([ids], pa.list_(pa.int64())), "lengths": [[len(t) for t in texts[a:b]]], "blob": [zip_.compress(blob)]}
                 )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Texts are scanned in groups of about this many bytes, so memory follows the longest text and not the batch.
@@ -31,6 +34,30 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = GROUP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """(rows, their text column) in pieces of about `limit` text bytes (one row at least); freed memory goes back at the end."""
+    for batch in batches:
+        column = batch.column(at)
+        if pa.types.is_null(column.type):
+            column = column.cast(pa.string())
+        size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        start = 0
+        while start < len(size):
+            before = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, before + limit, "right")))
+            yield batch.slice(start, stop - start), column.slice(start, stop - start)
+            start = stop
+        del batch, column
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, for workers that Spark uses again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def groups(texts: list[bytes], limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts have about `limit` bytes together (one text at least)."""
     start, size = 0, 0
@@ -65,9 +92,14 @@ def scan_words(texts: list[bytes], second: bool = False):
         np.cumsum(length[:-1], out=begin[1:])
         flat = buf[~space].astype(U64) + U64(1)
         place = np.arange(len(flat)) - np.repeat(begin, length)
+        # Weights repeat after so many bytes; from there on they are mixed with the number of the repetition.
+        over = place >> 14 if length.max() > 1 << 14 else None
         place &= (1 << 14) - 1
         for k in range(1 + second):
-            hashes.append(mix(np.add.reduceat(flat * _WEIGHTS[k][place], begin) + length.astype(U64)))
+            weights = _WEIGHTS[k][place]
+            if over is not None:
+                weights = np.where(over > 0, mix(weights + over.astype(U64)) | U64(1), weights)
+            hashes.append(mix(np.add.reduceat(flat * weights, begin) + length.astype(U64)))
     else:
         hashes = [np.zeros(0, U64)] * (1 + second)
     return bounds, starts, ends, *hashes, buffer
