@@ -44,6 +44,39 @@ def test_near_duplicates_equal_brute_force(docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_large_families_equal_brute_force(spark):
+    """Near copies of a base, of a far variant of it, and of its parts: groups beyond what is compared as it is."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = [words[i] for i in rng.integers(0, 3000, 120)]
+    variant = [words[j] if rng.random() < 0.09 else w for w, j in zip(base, rng.integers(0, 3000, 120), strict=True)]
+    rows = []
+    for i in range(420):
+        text = list((base, variant, base, base)[i % 4])
+        for at in rng.integers(0, len(text), rng.integers(0, 7)):
+            text[at] = words[rng.integers(0, 12)]  # few words, so that edits recur
+        if i % 4 == 2:
+            cut = int(rng.integers(0, 40))
+            text = text[cut : len(text) - int(rng.integers(0, 30))]
+        rows.append((i * 3 + 1, " ".join(text)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in rows)}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 100 * len(a & b) >= 80 * len(a | b) and root(i) != root(j):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    assert got == {i: root(i) for i in sets}
+    assert len(set(got.values())) > 3
+
+
 def test_repeats_equal_brute_force(docs):
     words = [(i, t.encode().split()) for i, t in rows_of(docs)]
     first = {}
@@ -154,7 +187,7 @@ def test_base_scores_equal_brute_force(docs):
     expected = Counter()
     for i, ws in tokens:
         out = i is None or zlib.crc32(str(i).encode()) % 7 == 2
-        expected[i, out, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / ((n + 1) * (v + 1))) for w in ws), 6)] += 1
+        expected[i, out, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in ws), 6)] += 1
     assert got == expected
     assert lm_score.score_documents(docs.limit(0)).count() == 0
 
