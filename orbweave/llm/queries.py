@@ -10,7 +10,7 @@ from .workspace import table
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_warc, write_warc
 
-    read = read_warc(spark, write_warc(table(spark, sf_dir, "pages"))).filter("status = 'record'")
+    read = read_warc(spark, write_warc(table(spark, sf_dir, "pages")), payloads=False).filter("status = 'record'")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 

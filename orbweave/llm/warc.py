@@ -1,14 +1,16 @@
-"""WARC archives: written by Spark's own writers, read by a reader that salvages what damage leaves.
+"""WARC archives: one gzip member a record, written by Spark's own writer; a reader that salvages what damage leaves.
 
-Records are plain WARC/1.1 in UTF-8 files of a bounded number of records; archives from elsewhere may hold a gzip member
-per record. Reading checks each record's version line, lengths, ends and block digest. After a failed check the reader
-searches for the next place where a whole member or record passes, goes on from there, and reports the bytes between as
-a quarantined gap; nothing is dropped without a row.
+Equal payloads are found from digests alone: html never travels for them. A task packs records into gzip members and
+members into blocks of about BLOCK_BYTES; an archive holds at most ARCHIVE_BLOCKS of these, so its size is bounded by
+bytes. Reading checks each record's version line, lengths, ends and digests. At every place it takes a gzip member or a
+version line, whichever is there; a member may hold several records, and of a truncated or damaged member the part that
+inflates is searched too. After a failed check the reader goes to the next place where a member or record may start, and
+reports the bytes between as a quarantined gap; nothing is dropped without a row.
 
 Defined cases: a null payload is an empty one; equal payloads, the empty one included, have one response (the smallest
-page_id; repeated rows of that page_id are responses too), the others are revisits; a null page_id is written without
-identity and never referred to; other columns are ignored; an empty table gives no records; an archive is read whole by
-one task, so writers bound its records.
+page_id; repeated rows of that page_id are responses too), the others are revisits; a null page_id is written as a
+response without identity and never referred to; other columns are ignored; an empty table gives no records; an archive
+is read whole by one task, so archives from elsewhere must stay under 2 GB each.
 """
 
 from __future__ import annotations
@@ -17,18 +19,23 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .workspace import fresh_path
+from .textscan import give_back, slices, text_bytes
+from .workspace import fresh_path, materialize
 
 CRLF = "\r\n"
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
-#: Records of one archive at most.
-ARCHIVE_RECORDS = 5_000
+#: Bytes of a block of gzip members, about; blocks of one archive at most; the level of compression.
+BLOCK_BYTES, ARCHIVE_BLOCKS, LEVEL = 4 << 20, 16, 4
+#: So many digests of several pages (some 60 bytes each) are broadcast at most.
+BROADCAST_DIGESTS = 1 << 19
+#: A gzip member is inflated by so many bytes at a time.
+STEP = 1 << 16
 
 
 def base32_sha1(value: Column) -> Column:
@@ -39,12 +46,14 @@ def base32_sha1(value: Column) -> Column:
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
-    """One text column: each page as a response record, or as a revisit of the first page with an equal payload."""
+    """Per page: header and block (text) of its record, a response or a revisit of the first page with an equal payload."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", base32_sha1(F.col("html")))
-    first = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "digest")
+    first = rows.select("digest", "page_id").groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").drop("last")
+    first = materialize(first, "warc-repeats")
+    # Only digests of several pages are needed: few go to the pages, many meet them in a shuffle.
+    rows = rows.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, "digest", "left")
     head = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.octet_length("html").cast("string"), F.lit(CRLF * 2))
-    revisit = F.col("page_id") > F.col("first")
+    revisit = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
     block = F.when(revisit, head).otherwise(F.concat(head, "html"))
     header = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(CRLF))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
@@ -55,29 +64,64 @@ def warc_records(pages: DataFrame) -> DataFrame:
         header("WARC-Date", F.lit("2024-01-01T00:00:00Z")),
         header("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")),
         header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        header("WARC-Block-Digest", F.concat(F.lit("sha1:"), base32_sha1(block))),
         F.when(revisit, F.concat(header("WARC-Refers-To", urn("first")), header("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
         header("Content-Type", F.lit("application/http; msgtype=response")),
         header("Content-Length", F.octet_length(block).cast("string")),
     )
-    return rows.select(F.concat(lines, F.lit(CRLF), block).alias("value"))
+    return rows.select(lines.alias("header"), block.alias("block"))
 
 
-def write_warc(pages: DataFrame, path: str | None = None) -> str:
+def gzip_member(data: bytes) -> bytes:
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def _packer(block_bytes: int) -> Callable:
+    """Rows that Spark's text writer ends with a zero byte: the last byte of a gzip member of less than 16 MiB is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            whole = b"".join(held)
+            held.clear()
+            # A longer record's member is followed by the zero byte, which readers of gzip take as padding.
+            return pa.RecordBatch.from_arrays([pa.array([whole[:-1] if whole.endswith(b"\0") else whole], pa.binary())], names=["value"])
+
+        for rows, blocks in slices(batches, 1):
+            for header, block in zip(text_bytes(rows.column(0)), text_bytes(blocks), strict=True):
+                digest = f"WARC-Block-Digest: sha1:{digest_of(block)}{CRLF}".encode()
+                held.append(gzip_member(b"".join((header, digest, b"\r\n", block, b"\r\n\r\n"))))
+                size += len(held[-1])
+                if size >= block_bytes or not held[-1].endswith(b"\0"):
+                    yield made()
+                    size = 0
+        if held:
+            yield made()
+
+    return run
+
+
+def write_warc(pages: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> str:
     """Write pages(page_id, url, html) as archives into a new folder of shared storage; returns the folder."""
     path = path or fresh_path(pages.sparkSession, "warc")
-    warc_records(pages).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    blocks = warc_records(pages).mapInArrow(_packer(block_bytes), "value binary").select(F.col("value").cast("string"))
+    blocks.write.option("lineSep", "\0").option("maxRecordsPerFile", ARCHIVE_BLOCKS).text(path)
     return path
 
 
 @dataclass
 class Record:
+    """A record or a gap. Records after the first of one gzip member have length 0; inner_offset tells them apart."""
+
     offset: int
     length: int
     status: str  # record or quarantine
     reason: str = ""
     headers: dict[str, str] = field(default_factory=dict)
     payload: bytes = b""
+    inner_offset: int = 0
 
 
 def digest_of(data: bytes) -> str:
@@ -120,14 +164,25 @@ def parse_record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     return Record(at, stop + 4 - at, "record", "", headers, payload), stop + 4, ""
 
 
-def inflate_member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """The content and end of the gzip member at a place, or (None, at)."""
-    d = zlib.decompressobj(31)
+def inflate_member(data: bytes, at: int) -> tuple[bytes, int]:
+    """The content of the gzip member at a place and its end, or what inflates of a damaged one and -1."""
+    d, view, out, place = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        out = d.decompress(data[at:])
+        while place < len(data) and not d.eof:
+            out.append(d.decompress(view[place : place + STEP]))
+            place += STEP
     except zlib.error:
-        return None, at
-    return (out, len(data) - len(d.unused_data)) if d.eof else (None, at)
+        pass
+    end = min(place, len(data)) - len(d.unused_data) if d.eof else -1
+    return b"".join(out), end
+
+
+def _marks(data: bytes, at: int, marks: dict[bytes, int]) -> int:
+    """The next place after `at` where one of the marks stands, or the end of the data."""
+    for v in marks:
+        if marks[v] <= at and marks[v] >= 0:
+            marks[v] = data.find(v, at + 1)
+    return min((m for m in marks.values() if m >= 0), default=len(data))
 
 
 def salvage(data: bytes) -> Iterator[Record]:
@@ -135,43 +190,61 @@ def salvage(data: bytes) -> Iterator[Record]:
     at, gap, why = 0, None, ""
     marks = {v: data.find(v) for v in (b"\x1f\x8b\x08", *VERSIONS)}  # the next place of each, -1 if there is none
     while at < len(data):
-        found: list[Record] = []
-        end, reason = at, ""
         if data.startswith(b"\x1f\x8b", at):
             inner, end = inflate_member(data, at)
-            if inner is None:
-                reason = "a gzip member fails"
-            else:
-                record, stop, reason = parse_record(inner, 0)
-                if record is not None and stop != len(inner):
-                    record, reason = None, "bytes after the record in its member"
-                if record is not None:
-                    record.offset, record.length = at, end - at
-                    found = [record]
+            found = list(salvage_plain(inner))
+            records = [r for r in found if r.status == "record"]
+            whole, reason = end >= 0 and bool(records), "no record in a gzip member"
+            if whole:
+                while data[end : end + 1] == b"\0":  # padding
+                    end += 1
+            elif end < 0:
+                reason, found = "a gzip member fails", records
+            for i, r in enumerate(found):
+                r.inner_offset, r.offset, r.length = r.offset, at, end - at if whole and not i else 0
         else:
             record, end, reason = parse_record(data, at)
-            found = [record] if record else []
-        if found:
+            found, whole = [record] if record else [], record is not None
+        if gap is not None and (whole or found):
+            yield Record(gap, at - gap, "quarantine", why)
+            gap = None
+        if not whole and gap is None:
+            gap, why = at, reason
+        yield from found
+        at = end if whole else _marks(data, at, marks)
+    if gap is not None:
+        yield Record(gap, len(data) - gap, "quarantine", why)
+
+
+def salvage_plain(data: bytes) -> Iterator[Record]:
+    """Records and gaps of uncompressed data."""
+    at, gap, why = 0, None, ""
+    marks = {v: data.find(v) for v in VERSIONS}
+    while at < len(data):
+        record, end, reason = parse_record(data, at)
+        if record:
             if gap is not None:
                 yield Record(gap, at - gap, "quarantine", why)
                 gap = None
-            yield from found
+            yield record
             at = end
             continue
         if gap is None:
             gap, why = at, reason
-        for v in marks:
-            if 0 <= marks[v] <= at:
-                marks[v] = data.find(v, at + 1)
-        at = min((m for m in marks.values() if m >= 0), default=len(data))
+        at = _marks(data, at, marks)
     if gap is not None:
         yield Record(gap, len(data) - gap, "quarantine", why)
 
 
-READ = "archive string, offset long, length long, status string, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+READ = "archive string, offset long, length long, inner_offset long, status string, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long"
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reader(payloads: bool) -> Callable:
+    names = [x.split()[0] for x in READ.split(", ")]
+    kinds = [pa.int64() if x.endswith("long") else pa.string() for x in READ.split(", ")]
+    if payloads:
+        names, kinds = [*names, "payload"], [*kinds, pa.binary()]
+
     def rows(archive: str, content: bytes) -> Iterator[tuple]:
         for r in salvage(content):
             h = r.headers
@@ -179,25 +252,31 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = len(r.payload)
             if h.get("warc-type") == "revisit":
                 size = int(h.get("http-content-length") or 0)
-            yield (archive, r.offset, r.length, r.status, r.reason, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), digest, size, r.payload)
+            row = (archive, r.offset, r.length, r.inner_offset, r.status, r.reason, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-refers-to"), digest, size)
+            yield (*row, r.payload) if payloads else row
 
-    names = [x.split()[0] for x in READ.split(", ")]
-    kinds = [pa.int64() if x.endswith("long") else pa.binary() if x.endswith("binary") else pa.string() for x in READ.split(", ")]
-    for batch in batches:
-        for i in range(batch.num_rows):
-            held: list[tuple] = []
-            size = 0
-            for row in rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
-                held.append(row)
-                size += len(row[-1])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
-                    held, size = [], 0
-            if held:
+    def batched(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for row in found:
+            held.append(row)
+            size += 200 + (len(row[-1]) if payloads else 0)
+            if size > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from batched(rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()))
+        give_back()
+
+    return run
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and quarantined gaps of all archives under a path. A revisit's payload_bytes is the length it states."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content").mapInArrow(_reader, READ)
+    return files.select("path", "content").mapInArrow(_reader(payloads), READ + ", payload binary" * payloads)

@@ -1,6 +1,7 @@
 """WARC, chat and search."""
 
 import gzip
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def test_salvage_recovers_what_follows_damage():
         broken[len(broken) // 2] ^= 0xFF
         data = packed[0] + bytes(broken) + b"junk" + packed[2] + packed[3][:-7]
         out = list(warc.salvage(data))
-        assert [r.headers.get("warc-record-id") for r in out if r.status == "record"] == ["<r0>", "<r2>"]
+        assert [r.headers.get("warc-record-id") for r in out if r.status == "record"] == ["<r0>", "<r2>", *["<r3>"] * (not plain)]  # of a gzip member only the trailer is lost
         assert sum(r.length for r in out) == len(data) and [r.offset for r in out] == sorted(r.offset for r in out)
         assert all(r.reason for r in out if r.status == "quarantine")
 
@@ -90,3 +91,39 @@ def test_warc_query_with_a_null_page_id(spark, tmp_path):
     spark.createDataFrame([(7, "u", "a"), (8, "u", "a"), (None, "u", "b")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     rows = {(r.page_id, r.record_type, r.refers_to) for r in op1_warc(spark, str(tmp_path)).collect()}
     assert rows == {(7, "response", None), (8, "revisit", 7), (None, "response", None)}
+
+
+def test_archives_are_gzip_members_of_bounded_size(spark):
+    pages = spark.range(300).selectExpr("id as page_id", "'u' as url", "repeat(cast(sha2(cast(id as string), 256) as string), 300) as html").coalesce(1)
+    path = warc.write_warc(pages, block_bytes=1 << 11)
+    files = [os.path.join(path, f) for f in os.listdir(path) if f.startswith("part-")]
+    assert len(files) > 2
+    for f in files:
+        data = open(f, "rb").read()
+        assert gzip.decompress(data).count(b"WARC-Record-ID") == sum(r.status == "record" for r in warc.salvage(data)) > 0
+    rows = warc.read_warc(spark, path, payloads=False).collect()
+    assert len(rows) == 300 and "payload" not in rows[0] and all(r.status == "record" and r.payload_bytes == 19200 for r in rows)
+
+
+def test_a_record_beyond_16_mib_keeps_its_archive_whole():
+    body = np.random.default_rng(2).bytes((17 << 20) + 5)
+    member, rest = warc.gzip_member(record(1, body)), warc.gzip_member(record(2, b"x"))
+    out = list(warc.salvage(member + b"\0" + rest))
+    assert [r.headers["warc-record-id"] for r in out] == ["<r1>", "<r2>"] and out[0].length == len(member) + 1
+
+
+def test_salvage_of_members_with_several_records():
+    parts = [record(i, np.random.default_rng(i).bytes(90_000)) for i in range(4)]
+    member, after = gzip.compress(b"".join(parts)), gzip.compress(record(9, b"after"))
+    ids = lambda data: [r.headers["warc-record-id"] for r in warc.salvage(data) if r.status == "record"]
+    covered = lambda data: sum(r.length for r in warc.salvage(data)) == len(data)
+    assert ids(member + after) == ["<r0>", "<r1>", "<r2>", "<r3>", "<r9>"] and covered(member + after)
+    broken = bytearray(member)
+    broken[len(member) * 5 // 8] ^= 0xFF  # in the third record
+    cut = member[: len(member) // 2]
+    assert ids(bytes(broken) + after)[:2] == ["<r0>", "<r1>"] and ids(bytes(broken) + after)[-1] == "<r9>" and covered(bytes(broken) + after)
+    assert ids(cut) == ["<r0>", "<r1>"] and covered(cut)
+    inner = bytearray(b"".join(parts))
+    inner[100_000] ^= 0xFF  # in the second record, inside a whole member
+    out = list(warc.salvage(gzip.compress(bytes(inner))))
+    assert [r.status for r in out] == ["record", "quarantine", "record", "record"] and [r.inner_offset for r in out] == sorted(r.inner_offset for r in out)
