@@ -5,8 +5,8 @@ goes on. Bands of minima give buckets. A bucket is compared with a hub of its ow
 components, and a document meets a hub once however many buckets they share; links count only after the full sets
 confirm them. Alternating large-star and small-star rounds turn links into components.
 
-What hubs leave open is settled exactly, without pairing a bucket's members. The open buckets of one hub are a group. Its
-frequent shingles (of over WHOLE members) are the group's core; all others have few owners. With a and b shingles of the
+What hubs leave open is settled exactly, without pairing a bucket's members. Open buckets whose hubs share a component
+are one group. Its frequent shingles (of over WHOLE members) are the group's core; all others have few owners. With a and b shingles of the
 core, two members have min(a, b) in common there at most, and exactly as many outside as keys of few owners bring them
 together. So a link across components either shares rare shingles, which an index of these finds, or both members have
 enough of the core, which a member that no hub reached seldom has. Shingles that no other candidate has bound links
@@ -225,7 +225,8 @@ def _settle(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFr
         named = _open(members, labels, percent)
         if named.isEmpty():
             return labels
-    hubs = named.groupBy("bucket").agg(inner.alias("h")).selectExpr("bucket", "h.rep as hub")
+    # Buckets whose hubs share a component are one group.
+    hubs = named.groupBy("bucket").agg(inner.alias("h")).selectExpr("bucket", "h.component as hub")
     group = materialize(named.join(hubs, "bucket").select("hub", *MEMBER, "component").distinct(), "minhash-groups")
     return _linked(docs, _open_pairs(docs, group, k, percent).distinct(), labels, k, percent)
 
@@ -274,7 +275,14 @@ def _open_pairs(docs: DataFrame, group: DataFrame, k: int, percent: int) -> Data
     core = large.join(outside, ["hub", "rep"], "left").withColumn("core", F.col("n_rep") - F.coalesce("outside", F.lit(0)))
     core = materialize(core, "minhash-core")
     enough = lambda common: (100 + percent) * common >= percent * (F.col("n_rep") + F.col("n_o"))
-    ends = rare.filter("lo < hi").join(core.select("hub", "rep", "n_rep", "core"), ["hub", "rep"]).select("hub", "shingle", "rep", "n_rep", "core", "component")
+    # Keys of several components count as outside; who has too few with its core is in no link across, and leaves its keys.
+    ends = rare.filter("lo < hi").select("hub", "shingle", "rep", "component")
+    for _ in range(2):
+        worth = ends.groupBy("hub", "rep").agg(F.count("*").alias("met")).join(core.select("hub", "rep", "n_rep", "core", "least"), ["hub", "rep"])
+        worth = worth.filter((100 + percent) * (F.col("core") + F.col("met")) >= percent * (F.col("n_rep") + F.col("least"))).select("hub", "rep", "n_rep", "core")
+        ends = ends.select("hub", "shingle", "rep", "component").join(worth, ["hub", "rep"])
+        keys = ends.groupBy("hub", "shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        ends = materialize(ends.join(keys.select("hub", "shingle"), ["hub", "shingle"]).select("hub", "shingle", "rep", "n_rep", "core", "component"), "minhash-ends")
     far = ends.toDF("hub", "shingle", "o", "n_o", "core_o", "co")
     met = ends.join(far, ["hub", "shingle"]).filter("component < co").groupBy("hub", "rep", "o").agg(F.count("*").alias("common"), *(F.first(c).alias(c) for c in ("n_rep", "core", "n_o", "core_o")))
     pairs = pairs.union(met.filter(enough(F.col("common") + F.least("core", "core_o"))).select(*ordered("rep", "o")))
