@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .subwords import ByteBpe, byte_bpe, default_tokenizer
-from .textscan import U64, groups, mix, text_bytes
+from .textscan import U64, groups, mix, slices, text_bytes
 
 #: One in so many possible places is a cut; a chunk has at most MOST_BYTES.
 CUT_ODDS, MOST_BYTES = 64, 4096
@@ -146,8 +146,8 @@ def _coder(path: str, keep_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
         encoder = ChunkEncoder(bpe)
-        for batch in batches:
-            texts = text_bytes(batch.column(1))
+        for batch, column in slices(batches, 1, 1 << 22):
+            texts = text_bytes(column)
             for a, b in groups(texts, 1 << 22):
                 ids = [encoder.encode(t) for t in texts[a:b]]
                 raw = [x.astype("<u4").tobytes() for x in ids]

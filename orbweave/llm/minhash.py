@@ -20,6 +20,7 @@ back with a null component and kept false; other columns are ignored; an empty t
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -90,9 +91,10 @@ def _sketcher(k: int) -> Callable:
                 digest[1, full] = [mix(s * _K[40] + _K[41]).sum() for s in sets if len(s)]
                 keys = signatures([s for s in sets if len(s)]) if len(full) else np.zeros((0, BANDS), U64)
                 bounds = np.concatenate(([0], np.cumsum((size > 0) * BANDS)))
+                texts_sha1 = pa.array([hashlib.sha1(t).digest() for t in texts[a:b]], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), ragged(keys.view(np.int64).ravel(), bounds, pa.int64())],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                    [batch.column(0)[a:b], texts_sha1, pa.array(size), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), ragged(keys.view(np.int64).ravel(), bounds, pa.int64())],
+                    names=["doc_id", "text_sha1", "n_shingles", "h1", "h2", "bands"],
                 )
 
     return run
@@ -179,10 +181,22 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
+def distinct_texts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, of one document of each group, the one with the smallest doc_id.
+
+    Of a doc_id with several texts each is judged by itself; rows without doc_id or without words stay; repeated rows of
+    the document that stays are that document.
+    """
+    found = near_duplicates(docs, k, percent, text_key=True).filter(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = found.select(F.col("doc_id").alias("gone_id"), "text_sha1").distinct()
+    same = (docs.doc_id == gone.gone_id) & (F.unhex(F.sha1(F.coalesce(docs.text, F.lit("")))) == gone.text_sha1)
+    return docs.join(gone, same, "left_anti")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_key: bool = False) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept; with text_key the text's text_sha1."""
     docs = docs.select("doc_id", "text")
-    sketch = materialize(docs.mapInArrow(_sketcher(k), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "minhash-sketch")
+    sketch = materialize(docs.mapInArrow(_sketcher(k), "doc_id long, text_sha1 binary, n_shingles long, h1 long, h2 long, bands array<long>"), "minhash-sketch")
     classes = sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     # A band's key is mixed with its number, so a key alone names a bucket.
     members = sketch.join(classes, ["h1", "h2"]).filter("doc_id = rep").select("rep", F.explode("bands").alias("bucket"))
@@ -200,7 +214,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labels = labels.select(F.col("node").alias("rep"), "component")
     out = sketch.join(classes, ["h1", "h2"], "left").join(labels, "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", *["text_sha1"] * text_key, F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

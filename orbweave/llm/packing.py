@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .subwords import byte_bpe, default_tokenizer
-from .textscan import text_bytes
+from .textscan import slices, text_bytes
 from .workspace import materialize
 
 #: Pricing rounds of the linear program, and the step of its weights.
@@ -35,16 +35,15 @@ SALT_ROWS = 100_000
 def _cutter(path: str, size: int, end: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
-        for batch in batches:
+        for batch, column in slices(batches, 1):
             rows: list[list] = [[], [], [], [], []]
-            owners = batch.column(0).to_pylist()
-            for owner, text in zip(owners, text_bytes(batch.column(1)), strict=True):
+            for owner, text in zip(batch.column(0).to_pylist(), text_bytes(column), strict=True):
                 ids = np.append(bpe.encode(text.decode()), np.uint32(end)).astype("<u4")
                 first = len(ids) % size or size
                 edges = [0, *range(first, len(ids) + 1, size)]
                 for piece, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                    for column, x in zip(rows, (owner, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())), strict=True):
-                        column.append(x)
+                    for out, x in zip(rows, (owner, piece, a, b - a, zlib.crc32(ids[a:b].tobytes())), strict=True):
+                        out.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run

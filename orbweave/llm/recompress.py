@@ -222,7 +222,7 @@ def _remover(size: int, texts_too: bool) -> Callable:
                 np.add.at(covered, start[hit], 1)
                 np.add.at(covered, start[hit] + size, -1)
             gone = np.cumsum(covered)[:n] > 0
-            out: dict[str, list] = {"doc_id": ids, "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
+            out: dict[str, list] = {"doc_id": ids, "n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "text_sha1": []}
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 left = np.flatnonzero(~gone[a:b]) + a
                 out["n_words"].append(b - a)
@@ -235,8 +235,9 @@ def _remover(size: int, texts_too: bool) -> Callable:
                     out["kept"].append(words_left)
                 out["kept_sha256"].append(hashlib.sha256(words_left).hexdigest())
             if not texts_too:
-                del out["kept"]
+                del out["kept"], out["text_sha1"]
             else:
+                out["text_sha1"] = pa.array([hashlib.sha1(t).digest() for t in texts], pa.binary())
                 out["kept"] = pa.array(out["kept"], pa.binary()).cast(pa.string())
             out["doc_id"] = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_pydict(out)
@@ -244,9 +245,21 @@ def _remover(size: int, texts_too: bool) -> Callable:
     return run
 
 
+def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
+    """docs, all columns, with the words that drop_repeats keeps as text, and n_chars, where there is one, following it."""
+    found = drop_repeats(docs, size).filter("n_removed > 0").select(F.col("doc_id").alias("found_id"), F.col("text_sha1").alias("found_sha1"), "kept")
+    found = materialize(found, "repeats").dropDuplicates(["found_id", "found_sha1"])
+    same = (docs.doc_id == F.col("found_id")) & (F.unhex(F.sha1(F.coalesce(docs.text, F.lit("")))) == F.col("found_sha1"))
+    out = docs.join(found, same, "left")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), docs.n_chars).otherwise(F.char_length("kept").cast(kind)))
+    return out.withColumn("text", F.coalesce("kept", docs.text)).select(docs.columns)
+
+
 def drop_repeats(docs: DataFrame, size: int = 50, texts_too: bool = True) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, n_removed, kept_sha256 (of its remaining words, one space between),
-    and with texts_too kept: those words where some were removed, else the text as it was.
+    and with texts_too kept (those words where some were removed, else the text as it was) and the text's text_sha1.
 
     A word goes if a window of `size` words that covers it also starts in a document with a smaller doc_id.
     """
@@ -258,4 +271,4 @@ def drop_repeats(docs: DataFrame, size: int = 50, texts_too: bool = True) -> Dat
     shared = materialize(asked.groupBy("bucket").applyInArrow(_shared_symbols, "pack long, answer binary"), "shared-symbols", "none")
     asked = joined(packs, shared).mapInArrow(_ask_windows(size, bucket_count(total // 3)), "pack long, bucket long, base long, one binary, two binary, doc binary")
     earlier = asked.groupBy("bucket").applyInArrow(_earlier_windows, "pack long, answer binary")
-    return joined(packs, earlier).mapInArrow(_remover(size, texts_too), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts_too)
+    return joined(packs, earlier).mapInArrow(_remover(size, texts_too), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string, text_sha1 binary" * texts_too)
