@@ -163,3 +163,41 @@ def quick_correction(df: DataFrame, band: str, low: float = 0.01, high: float =
     spread = F.col("p")[1] - F.col("p")[0]
     value = F.when(spread <= 0, 0.0).otherwise(clip01((F.col(band) - F.col("p")[0]) / spread))
     return df.crossJoin(F.broadcast(stats)).withColumn(band, value).drop("p")
+
+
+def valid_bands(df: DataFrame, bands: list[str], mask: Column | None = None, nodata: float | None = None, zero_is_invalid: bool = False) -> DataFrame:
+    """Bands with NULL where the explicit mask, the nodata value, NaN or (if it counts) zero says that a pixel is missing."""
+
+    def valid(c: str) -> Column:
+        bad = F.isnan(c)
+        if mask is not None:
+            bad |= ~F.coalesce(mask, F.lit(False))
+        if nodata is not None:
+            bad |= F.col(c) == nodata
+        if zero_is_invalid:
+            bad |= F.col(c) == 0
+        return F.when(~bad, F.col(c))
+
+    return df.withColumns({c: valid(c) for c in bands})
+
+
+def reflectance(df: DataFrame, band: str) -> DataFrame:
+    """The band scaled by its largest value's range (1, 255, 10000 or 65535) and clipped to 0..1; missing counts as 0."""
+    top = df.agg(F.max(F.when(~F.isnan(F.col(band).cast("double")), F.col(band))).alias("_top"))
+    scale = F.when(F.col("_top") <= 1, 1.0).when(F.col("_top") <= 255, 255.0).when(F.col("_top") <= 12000, 10000.0).otherwise(65535.0)
+    value = F.greatest(F.least(F.nanvl(F.col(band) / scale, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return df.crossJoin(F.broadcast(top)).withColumn(band, F.coalesce(value, F.lit(0.0))).drop("_top")
+
+
+#: Largest NDVI and near infrared of water in each mode, and of near infrared and SWIR in deep water (fixed values).
+WATER_MODES = {"standard": (0.1, 0.15), "strict": (0.05, 0.12), "sensitive": (0.15, 0.18)}
+DEEP_NIR, DEEP_SWIR = 0.05, 0.05
+
+
+def water_rules(blue: Column, green: Column, red: Column, nir: Column, swir: Column, threshold: float = 0.0, mode: str = "standard") -> Column:
+    """Water mask of reflectances by MNDWI, NDVI, near infrared and colour rules, or by the deep-water rule."""
+    most_ndvi, most_nir = WATER_MODES[mode]
+    ratio = lambda a, b: (a - b) / F.nullif(a + b, F.lit(0.0))
+    base = (ratio(green, swir) > threshold) & (ratio(nir, red) < most_ndvi) & (nir < most_nir) & (green > red) & (blue < green)
+    deep = (ratio(green, swir) > -0.1) & (nir < DEEP_NIR) & (swir < DEEP_SWIR)
+    return F.coalesce((base | deep).cast("int"), F.lit(0))

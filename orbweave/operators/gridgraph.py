@@ -1,4 +1,5 @@
-"""Graphs on the grid: flow, watersheds, components, holes. Iterations are pointer jumps, O(log length) joins each."""
+"""Graphs on the grid: flow, watersheds, components, holes. Flow is pointer jumping, O(log length) joins; components lower
+labels hop by hop, so their rounds grow with the longest way through a region. Each round ends in files."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .focal import with_neighbours
 
@@ -19,11 +20,18 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-shared-")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; without one, a folder of this process, which only a local master can share."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts share")
+    return (found or _own_folder()).rstrip("/")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the folder that all hosts share and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

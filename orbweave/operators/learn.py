@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -36,3 +38,17 @@ def random_forest(samples: DataFrame, rows: DataFrame, columns: list[str], label
 def scores_to_labels(scores: DataFrame) -> DataFrame:
     """Argmax over channels (row, col, channel, score), ties to the smaller channel; labels from 1."""
     return scores.groupBy("row", "col").agg((F.max_by("channel", F.struct("score", -F.col("channel"))) + 1).alias("label"))
+
+
+def kernel_svm(rows: DataFrame, vector: str, label: str, features: int = 64, gamma: float = 0.5, seed: int = 42) -> DataFrame:
+    """Predictions of one linear machine for each label on random Fourier features of an RBF kernel (an approximation)."""
+    dim = rows.select(F.size(vector).alias("n")).first()
+    rng = np.random.default_rng(seed)
+    weights, shift = rng.normal(0, (2 * gamma) ** 0.5, (features, dim[0] if dim else 1)), rng.uniform(0, 2 * np.pi, features)
+    mapped = F.transform(
+        F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in w)).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, shift, strict=True))),
+        lambda t: F.cos(F.aggregate(F.zip_with(t["w"], F.col(vector), lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x) + t["b"]),
+    )
+    rows = rows.withColumn("features", array_to_vector(mapped))
+    model = OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), labelCol=label).fit(rows)
+    return model.transform(rows).drop("features", "rawPrediction")
