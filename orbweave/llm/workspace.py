@@ -1,4 +1,7 @@
-"""Shared storage for intermediate tables: jobs survive a lost executor because lineage ends in files all hosts see."""
+"""Shared storage for intermediate tables: jobs survive a lost executor because lineage ends in files all hosts see.
+
+Defined cases: an empty table is written and read back with its schema; clashing names are the caller's to resolve.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +20,8 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset (tests), one temporary folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts share")
     return (found or _own_dir()).rstrip("/")
 
 
