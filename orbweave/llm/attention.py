@@ -1,125 +1,152 @@
-"""A small causal self-attention model over classes of subword ids, trained and run in numpy inside Spark tasks.
+"""A small causal self-attention model on subword ids, trained and run in numpy inside Spark tasks.
 
-The next subword's class is predicted from the classes before it (one attention layer over the last CONTEXT to
-2 * CONTEXT - 1 places, plus a direct term of the last class); the subword inside its class follows corpus counts. The
-token sequence of a text is scored by overlapping windows: a window holds 2 * CONTEXT places, reads all of them and
-scores its last CONTEXT, so each token is scored once, with batched masked attention.
+Every subword id has its own embedding. One attention layer looks from each place at the last CONTEXT to 2 * CONTEXT - 1
+inputs; its result and the last input's embedding give the next subword's class by a low-rank output, and the subword
+inside its class follows corpus counts. Windows of 2 * CONTEXT places overlap by half: each reads all its places and
+scores its last CONTEXT, so every token is scored once, with batched masked attention.
+
+Defined cases: an empty sequence has no window; a text's first token is predicted from a start mark alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from numpy.lib.stride_tricks import as_strided
 
-CLASSES, WIDTH, CONTEXT = 64, 16, 16
-#: Windows that are computed at once.
-BATCH = 1024
-START = CLASSES  # the class before a text's first token
-SHAPES = {"query": (CLASSES + 1, WIDTH), "key": (CLASSES + 1, WIDTH), "value": (CLASSES + 1, WIDTH), "query_at": (CONTEXT, WIDTH), "key_at": (2 * CONTEXT, WIDTH), "out": (WIDTH, CLASSES), "direct": (CLASSES + 1, CLASSES)}
+CLASSES, WIDTH, CONTEXT = 32, 8, 16
+#: Windows that are computed at once: few, so that they stay in the processor's cache.
+BATCH = 128
+SMALL = {"qkv": (WIDTH, 3 * WIDTH), "query_at": (CONTEXT, WIDTH), "key_at": (2 * CONTEXT, WIDTH), "out": (2 * WIDTH + 1, CLASSES)}
 _place = np.arange(2 * CONTEXT)
 _CAUSAL = np.where(_place[None, :] <= _place[CONTEXT:, None], 0.0, -1e9).astype(np.float32)
+_SCALE = np.float32(WIDTH**-0.5)
+_ONES = np.ones(CLASSES, np.float32)
 
 Weights = dict[str, np.ndarray]
 
 
-def first_weights(class_counts: np.ndarray, seed: int = 11) -> Weights:
+def first_weights(ids: int, class_counts: np.ndarray, seed: int = 11) -> Weights:
+    """Weights for that many subword ids; the row after them is the start mark's, the last one padding's."""
     rng = np.random.default_rng(seed)
-    w = {n: (rng.standard_normal(s) * 0.2).astype(np.float32) for n, s in SHAPES.items()}
-    w["direct"] = np.tile(np.log((class_counts + 1) / (class_counts.sum() + CLASSES)), (CLASSES + 1, 1)).astype(np.float32)
+    w = {n: (rng.standard_normal(s) * 0.2).astype(np.float32) for n, s in SMALL.items()}
+    w["embed"] = (rng.standard_normal((ids + 2, WIDTH)) * 0.3).astype(np.float32)
+    w["out"][-1] = np.log((class_counts + 1) / (class_counts.sum() + CLASSES))
     return w
 
 
-def flatten(w: Weights) -> np.ndarray:
-    return np.concatenate([w[n].ravel() for n in SHAPES])
-
-
-def unflatten(flat: np.ndarray) -> Weights:
-    out, at = {}, 0
-    for n, s in SHAPES.items():
-        size = int(np.prod(s))
-        out[n], at = np.asarray(flat[at : at + size], np.float32).reshape(s), at + size
-    return out
-
+def layout(tokens: np.ndarray, bounds: np.ndarray, classes: np.ndarray, ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, place of each token) of documents laid out in blocks of CONTEXT, a block of padding before each.
 
-def windows(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs of each window, -1 before the text; targets of its last CONTEXT places, -1 after the text)."""
-    n = -(-len(classes) // CONTEXT)
-    inputs = np.full((n + 1) * CONTEXT, -1, np.int16)
-    inputs[CONTEXT] = START
-    inputs[CONTEXT + 1 : CONTEXT + len(classes)] = classes[:-1]
-    inputs[CONTEXT + len(classes) :] = START
-    targets = np.full(n * CONTEXT, -1, np.int16)
-    targets[: len(classes)] = classes
-    rows = inputs.reshape(n + 1, CONTEXT)
-    return np.concatenate((rows[:-1], rows[1:]), axis=1), targets.reshape(n, CONTEXT)
+    An input is the token before; targets are classes, -1 where there is none.
+    """
+    size = np.diff(bounds)
+    blocks = -(-size // CONTEXT) + (size > 0)
+    start = (np.cumsum(blocks) - blocks) * CONTEXT
+    inputs = np.full(int(blocks.sum()) * CONTEXT, ids + 1, np.int32)
+    targets = np.full(len(inputs), -1, np.int16)
+    at = np.arange(len(tokens)) + np.repeat(start + CONTEXT - bounds[:-1], size)
+    targets[at] = classes[tokens]
+    inputs[at[1:]] = tokens[:-1]
+    inputs[(start + CONTEXT)[size > 0]] = ids
+    return inputs, targets, at
 
 
 def forward(w: Weights, inputs: np.ndarray):
-    """Log probabilities of classes at the last CONTEXT places of each window, and what the backward pass needs."""
-    known = np.where(inputs < 0, START, inputs)
-    late = known[:, CONTEXT:]
-    q = w["query"][late] + w["query_at"]
-    k = w["key"][known] + w["key_at"]
-    v = w["value"][known]
-    scores = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5)
-    scores += _CAUSAL
-    scores += np.where(inputs < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-    scores -= scores.max(-1, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(-1, keepdims=True)
-    mixed = np.matmul(scores, v)
-    logits = mixed.reshape(-1, WIDTH) @ w["out"]
-    logits += w["direct"][late].reshape(-1, CLASSES)
-    logits -= logits.max(-1, keepdims=True)
+    """Class logits after each input but the first CONTEXT, their exponentials and sums, and what the backward pass needs.
+
+    The last row of "out" is a bias. Scores and logits stay far from the limits of exp, so nothing is taken off before it.
+    """
+    n = len(inputs) // CONTEXT - 1
+    x = w["embed"][inputs]
+    h = x @ w["qkv"]
+    q = (h[CONTEXT:, :WIDTH].reshape(n, CONTEXT, WIDTH) + w["query_at"]) * _SCALE
+    shape, step = (n, 2 * CONTEXT, WIDTH), (CONTEXT * h.strides[0], h.strides[0], h.strides[1])
+    k, v = as_strided(h[:, WIDTH:], shape, step), as_strided(h[:, 2 * WIDTH :], shape, step)
+    keys = k + w["key_at"]
+    a = np.matmul(q, keys.transpose(0, 2, 1))
+    a += _CAUSAL
+    padding = inputs == len(w["embed"]) - 1
+    blank = as_strided(padding, (n, 2 * CONTEXT), (CONTEXT * padding.strides[0], padding.strides[0]))
+    some = np.flatnonzero(blank.any(1))
+    if len(some):
+        a[some] += np.where(blank[some], np.float32(-1e9), np.float32(0))[:, None, :]
+    np.exp(a, out=a)
+    weight = np.float32(1) / np.maximum(a.sum(-1), np.float32(1e-30))
+    z = np.empty((n * CONTEXT, 2 * WIDTH + 1), np.float32)
+    z[:, :WIDTH] = (np.matmul(a, v) * weight[:, :, None]).reshape(-1, WIDTH)
+    z[:, WIDTH:-1] = x[CONTEXT:]
+    z[:, -1] = 1
+    logits = z @ w["out"]
     e = np.exp(logits)
-    total = e.sum(-1, keepdims=True)
-    return logits, e, total, (known, late, q, k, v, scores, mixed)
-
-
-def score_windows(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target class (0 where there is no target)."""
-    out = np.zeros(targets.shape, np.float32)
-    for a in range(0, len(inputs), BATCH):
-        logits, _, total, _ = forward(w, inputs[a : a + BATCH])
-        t = targets[a : a + BATCH].ravel()
-        found = logits[np.arange(len(t)), np.maximum(t, 0)] - np.log(total[:, 0])
-        out[a : a + BATCH] = np.where(t < 0, 0, found).reshape(-1, CONTEXT)
+    return logits, e, e @ _ONES, (x, q, keys, v, a, weight, z)
+
+
+def score(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log probability of the target class at each place, 0 where there is none."""
+    out = np.zeros(len(targets), np.float32)
+    for a in range(0, len(inputs) - CONTEXT, BATCH * CONTEXT):
+        b = min(len(inputs), a + (BATCH + 1) * CONTEXT)
+        logits, _, total, _ = forward(w, inputs[a:b])
+        t = targets[a + CONTEXT : b]
+        found = logits[np.arange(len(t)), np.maximum(t, 0)] - np.log(total)
+        out[a + CONTEXT : b] = np.where(t < 0, 0, found)
     return out
 
 
-def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> Weights:
-    """Gradients of the mean cross entropy over the targets."""
-    _, e, total, (known, late, q, k, v, a, mixed) = forward(w, inputs)
-    t = targets.ravel()
-    use = t >= 0
-    d = e / total
-    d[np.arange(len(t))[use], t[use]] -= 1
-    d *= use[:, None] / max(1, use.sum())
-    scale = np.float32(WIDTH**-0.5)
-    one_late = np.eye(CLASSES + 1, dtype=np.float32)[late.ravel()]
-    one_known = np.eye(CLASSES + 1, dtype=np.float32)[known.ravel()]
-    d_mixed = (d @ w["out"].T).reshape(mixed.shape)
-    d_a = np.matmul(d_mixed, v.transpose(0, 2, 1))
-    d_v = np.matmul(a.transpose(0, 2, 1), d_mixed)
-    d_s = a * (d_a - (d_a * a).sum(-1, keepdims=True)) * scale
-    d_q, d_k = np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q)
-    return {
-        "query": one_late.T @ d_q.reshape(-1, WIDTH), "key": one_known.T @ d_k.reshape(-1, WIDTH), "value": one_known.T @ d_v.reshape(-1, WIDTH),
-        "query_at": d_q.sum(0), "key_at": d_k.sum(0), "out": mixed.reshape(-1, WIDTH).T @ d, "direct": one_late.T @ d,
-    }
+def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> tuple[Weights, np.ndarray, np.ndarray]:
+    """Gradients of the mean cross entropy: of the small weights, then of embedding rows with their ids."""
+    _, d, total, (x, q, keys, v, a, weight, z) = forward(w, inputs)
+    n = len(q)
+    t = targets[CONTEXT:]
+    use = np.flatnonzero(t >= 0)
+    share = np.float32(1 / max(1, len(use)))
+    d *= np.where(t >= 0, share / total, np.float32(0))[:, None]
+    d[use, t[use]] -= share
+    g = {"out": z.T @ d}
+    dz = d @ w["out"][:-1].T
+    mixed = np.ascontiguousarray(dz[:, :WIDTH]).reshape(n, CONTEXT, WIDTH)
+    a *= weight[:, :, None]
+    s = np.matmul(mixed, v.transpose(0, 2, 1))
+    s -= np.einsum("ijk,ijk->ij", mixed, z[:, :WIDTH].reshape(n, CONTEXT, WIDTH))[:, :, None]
+    s *= a
+    dq = np.matmul(s, keys) * _SCALE
+    dk = np.matmul(s.transpose(0, 2, 1), q)
+    g["query_at"], g["key_at"] = dq.sum(0), dk.sum(0)
+    dh = np.zeros((len(inputs), 3 * WIDTH), np.float32)
+    dh[CONTEXT:, :WIDTH] = dq.reshape(-1, WIDTH)
+    for part, own in ((dh[:, WIDTH : 2 * WIDTH], dk), (dh[:, 2 * WIDTH :], np.matmul(a.transpose(0, 2, 1), mixed))):
+        part[:-CONTEXT] += own[:, :CONTEXT].reshape(-1, WIDTH)
+        part[CONTEXT:] += own[:, CONTEXT:].reshape(-1, WIDTH)
+    g["qkv"] = x.T @ dh
+    dx = dh @ w["qkv"].T
+    dx[CONTEXT:] += dz[:, WIDTH:]
+    order = np.argsort(inputs, kind="stable")
+    ids = inputs[order]
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return g, ids[first], np.add.reduceat(dx[order], first)
 
 
 class Trainer:
-    """Adam steps on batches of windows."""
+    """Adam steps for the small weights, steps scaled by their own size so far for embedding rows."""
 
     def __init__(self, w: Weights, rate: float = 0.01):
         self.w, self.rate, self.steps = {n: x.copy() for n, x in w.items()}, rate, 0
-        self.mean = {n: np.zeros_like(x) for n, x in w.items()}
-        self.square = {n: np.zeros_like(x) for n, x in w.items()}
+        self.mean, self.square = ({n: np.zeros(s, np.float32) for n, s in SMALL.items()} for _ in range(2))
+        self.rows = np.full(len(w["embed"]), 1e-8, np.float32)
 
     def step(self, inputs: np.ndarray, targets: np.ndarray) -> None:
         self.steps += 1
-        for n, g in gradients(self.w, inputs, targets).items():
-            self.mean[n] = 0.9 * self.mean[n] + 0.1 * g
-            self.square[n] = 0.99 * self.square[n] + 0.01 * g * g
-            up = self.mean[n] / (1 - 0.9**self.steps)
-            self.w[n] -= self.rate * up / (np.sqrt(self.square[n] / (1 - 0.99**self.steps)) + 1e-8)
+        g, ids, rows = gradients(self.w, inputs, targets)
+        for n, x in g.items():
+            self.mean[n] = 0.9 * self.mean[n] + 0.1 * x
+            self.square[n] = 0.99 * self.square[n] + 0.01 * x * x
+            self.w[n] -= self.rate * self.mean[n] / (1 - 0.9**self.steps) / (np.sqrt(self.square[n] / (1 - 0.99**self.steps)) + 1e-8)
+        self.rows[ids] += np.einsum("ij,ij->i", rows, rows) / WIDTH
+        self.w["embed"][ids] -= 5 * self.rate * rows / np.sqrt(self.rows[ids])[:, None]
+
+    def learn(self, inputs: np.ndarray, targets: np.ndarray) -> int:
+        """Steps over all windows in order; returns the number of targets."""
+        for a in range(0, len(inputs) - CONTEXT, BATCH * CONTEXT):
+            b = min(len(inputs), a + (BATCH + 1) * CONTEXT)
+            self.step(inputs[a:b], targets[a:b])
+        return int((targets >= 0).sum())

@@ -1,9 +1,10 @@
 """Language-model scores of whole texts: corpus word counts for a base score, a causal attention model for the score.
 
 Word counts are exchanged between packs of documents: a pack sends each of its distinct words once, with its count in
-training documents, and gets back the corpus count. Subword counts over all training documents rank the subwords into
-classes of equal weight. The attention model trains in every task on all training documents of its packs: the rounds
-share them out, so each is learnt from once; Spark averages the weights of all tasks after each round.
+training documents, and gets back the corpus count. Packs are cut into subword ids once. The attention model learns from
+every training document: the rounds share them out, so each is learnt from once. In a round each pack is one local pass
+from the same weights, and Spark averages what the passes end with, by their tokens. The next subword's class comes from
+the model, the subword inside it from corpus counts; classes are equal weights of the ids in order of their counts.
 
 A text's tokens are its words (A-Z lower-cased) and one end; its subword ids are those of each word after a space, then
 the tokenizer's end id. Defined cases: a null or empty text is its end alone; repeated rows are scored (and, as training
@@ -18,16 +19,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import attention as net
 from .packs import bucket_count, deal, joined, pack_rows, write_packs
 from .subwords import ByteBpe, byte_bpe, default_tokenizer
-from .textscan import U64, scan_words
+from .textscan import U64, give_back, scan_words
 from .workspace import materialize
 
-PACK_BYTES = 2 << 20
-ROUNDS = 2
+PACK_BYTES = 4 << 20
+#: Rounds of training; parts of the weights that are summed apart.
+ROUNDS, SLICES = 2, 16
 HELD_OUT = (7, 2)
 
 
@@ -115,15 +118,39 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table({"pack": pa.array([*packs, None], pa.int64()), "answer": pa.array([*rows, None], pa.binary()), "n": pa.array([0] * n + [int(total.sum())], pa.int64()), "v": pa.array([0] * n + [int((total > 0).sum())], pa.int64())})
 
 
-def _count_subwords(path: str, end: int) -> Callable:
+def _cut(path: str, end: int) -> Callable:
+    """Packs as subword ids: what the model reads, made once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(path)
-        counts = np.zeros(bpe.size, np.int64)
-        for _, ids, texts, _ in pack_rows(batches):
+        bpe, zip_ = byte_bpe(path), zstandard.ZstdCompressor(level=1)
+        for pack, ids, texts, _ in pack_rows(batches):
             w = PackWords(ids, texts, 1)
-            sub, bounds = w.subwords(bpe)
-            counts += np.bincount(sub, np.repeat(w.counts, np.diff(bounds)), bpe.size).astype(np.int64)
-            counts[end] += int(w.training.sum())
+            tokens, bounds = w.sequences(*w.subwords(bpe), end)
+            kind = np.uint16 if bpe.size <= 1 << 16 else np.uint32
+            yield pa.RecordBatch.from_pydict({"pack": pa.array([pack], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "bounds": pa.array([bounds], pa.list_(pa.int64())), "tokens": [zip_.compress(tokens.astype(kind).tobytes())], "width": pa.array([np.dtype(kind).itemsize], pa.int32())})
+        give_back()
+
+    return run
+
+
+CUT = "pack long, ids array<long>, bounds array<long>, tokens binary, width int"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
+    """(pack, doc_ids, tokens, bounds) of every pack of subword ids."""
+    unzip = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            pack, ids, bounds, tokens, width = (batch.column(c)[i].as_py() for c in range(5))
+            yield pack, ids, np.frombuffer(unzip.decompress(tokens), np.uint16 if width == 2 else np.uint32), np.array(bounds, np.int64)
+
+
+def _count_subwords(size: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        for _, ids, tokens, bounds in _read(batches):
+            trained = np.repeat([is_training(i) for i in ids], np.diff(bounds))
+            counts += np.bincount(tokens[trained], minlength=size)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"id": pa.array(used), "n": pa.array(counts[used])})
 
@@ -141,83 +168,94 @@ def classes_of(counts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def _trainer(path: str, end: int, classes: np.ndarray, flat: np.ndarray, turn: int) -> Callable:
+def _trainer(w: net.Weights, classes: np.ndarray, turn: int) -> Callable:
+    """Sums over packs of the weights that each pack's own pass ends with, weighted by its tokens, cut into SLICES parts.
+
+    Every pass starts from the same weights, so the sums do not depend on how packs are dealt to tasks.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, trainer, seen = byte_bpe(path), net.Trainer(net.unflatten(flat), 0.01 / (1 + turn)), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def learn() -> int:
-            inputs, targets = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            for a in range(0, len(inputs), 256):
-                trainer.step(inputs[a : a + 256], targets[a : a + 256])
-            return len(inputs)
-
-        for _, ids, texts, _ in pack_rows(batches):
-            # Every training document has its round: only those of this one are cut into subwords.
-            chosen = [i for i, x in enumerate(ids) if is_training(x) and zlib.crc32(b"%d" % x) // 7 % ROUNDS == turn]
-            if not chosen:
+        small = {n: np.zeros(s) for n, s in net.SMALL.items()}
+        embed, seen, total = np.zeros(w["embed"].shape), np.zeros(len(w["embed"])), 0
+        for _, ids, tokens, bounds in _read(batches):
+            # Every training document has its round.
+            chosen = np.array([is_training(i) and zlib.crc32(b"%d" % i) // 7 % ROUNDS == turn for i in ids])
+            size = np.diff(bounds)
+            tokens = tokens[np.repeat(chosen, size)].astype(np.int64)
+            if not len(tokens):
                 continue
-            w = PackWords([ids[i] for i in chosen], [texts[i] for i in chosen], 1)
-            tokens, bounds = w.sequences(*w.subwords(bpe), end)
-            classed = classes[tokens]
-            held += [net.windows(classed[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            if held:
-                seen += learn()
-        if seen:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([seen], pa.int64()), "weights": pa.array([net.flatten(trainer.w).astype(np.float64)], pa.list_(pa.float64()))})
+            inputs, targets, _ = net.layout(tokens, np.concatenate(([0], np.cumsum(size[chosen]))), classes, len(classes))
+            trainer = net.Trainer(w, 0.01 / (1 + turn))
+            n = trainer.learn(inputs, targets)
+            for x in small:
+                small[x] += n * trainer.w[x].astype(float)
+            own = np.bincount(inputs, minlength=len(embed))
+            used = np.flatnonzero(own)
+            embed[used] += own[used, None] * trainer.w["embed"][used]
+            seen, total = seen + own, total + n
+        if total:
+            flat = np.concatenate([small[x].ravel() for x in net.SMALL] + [[total], seen, embed.ravel()]).astype(np.float32)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(SLICES), pa.int32()), "sums": pa.array([x.tobytes() for x in np.array_split(flat, SLICES)], pa.binary())})
+        give_back()
 
     return run
 
 
-def train(packs: DataFrame, path: str, end: int, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Weights after ROUNDS rounds of local training in all tasks and averaging by Spark."""
-    flat = net.flatten(net.first_weights(np.bincount(classes, counts, net.CLASSES)))
+def _add(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.float32).astype(float) for x in table.column("sums").to_pylist())
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def train(tokens: DataFrame, classes: np.ndarray, counts: np.ndarray) -> net.Weights:
+    """Weights after ROUNDS rounds: local passes over all packs, averaged by Spark; rows of unseen ids stay as they were."""
+    w = net.first_weights(len(classes), np.bincount(classes, counts, net.CLASSES))
     for turn in range(ROUNDS):
-        made = packs.mapInArrow(_trainer(path, end, classes, flat, turn), "n long, weights array<double>")
-        mean = made.select("n", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w"))
-        rows = mean.collect()  # one row per weight of the model, whatever the corpus
-        for r in rows:
-            flat[r[0]] = r[1]
-    return flat
+        made = tokens.mapInArrow(_trainer(w, classes, turn), "part int, sums binary").groupBy("part").applyInArrow(_add, "part int, sums binary")
+        rows = sorted(made.collect())  # one vector of the model's size, whatever the corpus
+        if not rows:
+            return w
+        flat, at, mean = np.concatenate([np.frombuffer(r[1]) for r in rows]), 0, {}
+        for n, s in net.SMALL.items():
+            mean[n], at = flat[at : at + int(np.prod(s))].reshape(s), at + int(np.prod(s))
+        total, seen, embed = flat[at], flat[at + 1 : at + 1 + len(w["embed"])], flat[at + 1 + len(w["embed"]) :].reshape(w["embed"].shape)
+        w |= {n: (x / total).astype(np.float32) for n, x in mean.items()}
+        w["embed"] = np.where(seen[:, None] > 0, embed / np.maximum(seen, 1)[:, None], w["embed"]).astype(np.float32)
+    return w
+
+
+def _model_scores(w: net.Weights, classes: np.ndarray, inside: np.ndarray) -> Callable:
+    """(pack, natural log probability of each of its documents)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack, _, tokens, bounds in _read(batches):
+            tokens = tokens.astype(np.int64)
+            inputs, targets, at = net.layout(tokens, bounds, classes, len(classes))
+            each = net.score(w, inputs, targets)[at] + inside[tokens]
+            yield pa.RecordBatch.from_pydict({"pack": pa.array([pack], pa.int64()), "scores": pa.array([np.add.reduceat(each, bounds[:-1])], pa.list_(pa.float64()))})
+        give_back()
 
-def _scorer(path: str, end: int, buckets: int, n: int, v: int, ends: int, classes: np.ndarray, inside: np.ndarray, flat: np.ndarray) -> Callable:
+    return run
+
+
+def _scorer(buckets: int, n: int, v: int, ends: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, weights = byte_bpe(path), net.unflatten(flat)
         base = float(n) + float(v + 1)
-        for _, ids, texts, answers in pack_rows(batches):
-            w = PackWords(ids, texts, buckets)
-            corpus = np.zeros(len(w.keys), np.int64)
-            place = {b: (x, y) for b, x, y in zip(w.where.tolist(), w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True)}
-            for a in answers:
-                x, y = place[int.from_bytes(a[:8], "little")]
-                corpus[x:y] = np.frombuffer(a, np.uint32 if len(a) == 8 + 4 * (y - x) else np.int64, offset=8)
-            logs = np.concatenate(([0.0], np.cumsum(np.log10((corpus + 1.0) / base)[w.inverse])))
-            known = np.concatenate(([0], np.cumsum((corpus > 0)[w.inverse])))
-            a, b = w.bounds[:-1], w.bounds[1:]
-            tokens, bounds = w.sequences(*w.subwords(bpe), end)
-            classed, own = classes[tokens], inside[tokens]
-            scores, held, docs, size = np.zeros(len(ids)), [], [], 0
-
-            def score(held: list, docs: list, scores: np.ndarray) -> None:
-                found = net.score_windows(weights, *(np.concatenate(x) for x in zip(*held, strict=True))).sum(1, dtype=np.float64)
-                scores += np.bincount(np.repeat(docs, [len(h[0]) for h in held]), found, len(scores))
-
-            for i in range(len(ids)):
-                held.append(net.windows(classed[bounds[i] : bounds[i + 1]]))
-                docs.append(i)
-                size += len(held[-1][0])
-                if size >= 4 * net.BATCH:
-                    score(held, docs, scores)
-                    held, docs, size = [], [], 0
-            if held:
-                score(held, docs, scores)
-            scores += np.add.reduceat(own, bounds[:-1])
-            m = len(ids)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": pa.array(ids, pa.int64()), "held_out": ~w.training, "n_tokens": b - a + 1, "n_known": known[b] - known[a] + (ends > 0), "train_tokens": pa.array([n] * m, pa.int64()), "base_score": logs[b] - logs[a] + np.log10((ends + 1.0) / base), "score": scores / np.log(10)}
-            )
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, texts, answers, scores = next(pack_rows([batch.slice(i, 1)]))[1:] + (batch.column(5)[i].as_py(),)
+                w = PackWords(ids, texts, buckets)
+                corpus = np.zeros(len(w.keys), np.int64)
+                place = {b: (x, y) for b, x, y in zip(w.where.tolist(), w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True)}
+                for a in answers:
+                    x, y = place[int.from_bytes(a[:8], "little")]
+                    corpus[x:y] = np.frombuffer(a, np.uint32 if len(a) == 8 + 4 * (y - x) else np.int64, offset=8)
+                logs = np.concatenate(([0.0], np.cumsum(np.log10((corpus + 1.0) / base)[w.inverse])))
+                known = np.concatenate(([0], np.cumsum((corpus > 0)[w.inverse])))
+                a, b = w.bounds[:-1], w.bounds[1:]
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": pa.array(ids, pa.int64()), "held_out": ~w.training, "n_tokens": b - a + 1, "n_known": known[b] - known[a] + (ends > 0), "train_tokens": pa.array([n] * len(ids), pa.int64()), "base_score": logs[b] - logs[a] + np.log10((ends + 1.0) / base), "score": np.array(scores) / np.log(10)}
+                )
+        give_back()
 
     return run
 
@@ -237,7 +275,8 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     asked = bare.mapInArrow(_ask(buckets), "pack long, bucket long, keys binary, counts binary")
     answers = materialize(asked.groupBy("bucket").applyInArrow(_total, "pack long, answer binary, n long, v long"), "word-counts", "none")
     sums = answers.filter("pack is null").agg(F.sum("n"), F.sum("v")).first()
-    rows = bare.mapInArrow(_count_subwords(path, end), "id long, n long").groupBy("id").agg(F.sum("n")).collect()  # at most one row per id
+    tokens = materialize(bare.mapInArrow(_cut(path, end), CUT), "lm-tokens", "none")
+    rows = tokens.mapInArrow(_count_subwords(bpe.size), "id long, n long").groupBy("id").agg(F.sum("n")).collect()  # at most one row per id
     counts = np.zeros(bpe.size, np.int64)
     for r in rows:
         counts[r[0]] = r[1]
@@ -245,6 +284,7 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     n, v = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
     classes = classes_of(counts, end)
     inside = np.log(counts + 1.0) - np.log(np.maximum(np.bincount(classes, counts + 1.0, net.CLASSES), 1.0))[classes]
-    flat = train(bare, path, end, classes, counts)
-    answered = joined(packs, answers.filter("pack is not null").select("pack", "answer"))
-    return answered.mapInArrow(_scorer(path, end, buckets, n, v, ends, classes, inside, flat), SCORED)
+    w = train(tokens, classes, counts)
+    scores = materialize(tokens.mapInArrow(_model_scores(w, classes, inside), "pack long, scores array<double>"), "lm-scores")
+    answered = joined(packs, answers.filter("pack is not null").select("pack", "answer")).join(scores, "pack")
+    return answered.mapInArrow(_scorer(buckets, n, v, ends), SCORED)

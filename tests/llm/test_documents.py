@@ -192,23 +192,72 @@ def test_base_scores_equal_brute_force(docs):
     assert lm_score.score_documents(docs.limit(0)).count() == 0
 
 
+def small_net(ids=9):
+    """A model of few ids whose classes are ids, and a laid-out text with other texts around it."""
+    classes = np.arange(ids) % attention.CLASSES
+    w = attention.first_weights(ids, np.bincount(classes, minlength=attention.CLASSES) + 1.0)
+    sizes = [3, 0, 45, 1, 32]
+    tokens = np.array([(i * i + 3 * i) % ids for i in range(sum(sizes))])
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    return w, tokens, bounds, classes
+
+
 def test_attention_scores_sum_to_one_and_gradients_hold():
-    w = net_weights()
-    inputs, targets = attention.windows(np.array([3, 5, 7, 5, 3] * 9))
-    assert (targets >= 0).sum() == 45
+    w, tokens, bounds, classes = small_net()
+    inputs, targets, _ = attention.layout(tokens, bounds, classes, 9)
+    assert (targets >= 0).sum() == len(tokens)
     _, e, total, _ = attention.forward(w, inputs)
-    assert np.allclose((e / total).sum(-1), 1, atol=1e-5)
-    loss = lambda w: -attention.score_windows(w, inputs, targets).sum(dtype=np.float64) / 45
-    g = attention.gradients(w, inputs, targets)
-    for name, at in (("out", (2, 5)), ("key", (5, 3)), ("value", (7, 1)), ("direct", (3, 5)), ("query_at", (4, 2))):
+    assert np.allclose(e.sum(-1), total, rtol=1e-5)
+    loss = lambda w: -attention.score(w, inputs, targets).sum(dtype=np.float64) / len(tokens)
+    g, ids, rows = attention.gradients(w, inputs, targets)
+    slopes = {n: x for n, x in g.items()} | {"embed": np.zeros_like(w["embed"])}
+    slopes["embed"][ids] = rows
+    for name, at in (("out", (2, 5)), ("out", (12, 3)), ("qkv", (5, 3)), ("qkv", (2, 11)), ("qkv", (7, 20)), ("query_at", (4, 2)), ("key_at", (17, 3)), ("embed", (3, 5)), ("embed", (9, 1))):
         up, down = ({n: x.copy() for n, x in w.items()} for _ in range(2))
         up[name][at] += 0.02
         down[name][at] -= 0.02
-        assert g[name][at] == pytest.approx((loss(up) - loss(down)) / 0.04, abs=2e-3)
-
-
-def net_weights():
-    return attention.first_weights(np.arange(attention.CLASSES) + 1.0)
+        assert slopes[name][at] == pytest.approx((loss(up) - loss(down)) / 0.04, abs=2e-3), (name, at)
+
+
+def test_windows_score_each_token_once_as_one_by_one():
+    w, tokens, bounds, classes = small_net()
+    inputs, targets, at = attention.layout(tokens, bounds, classes, 9)
+    got = attention.score(w, inputs, targets)[at]
+    c, width = attention.CONTEXT, attention.WIDTH
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        before = [9, *tokens[a : b - 1]]  # the start mark, then the token before
+        for j in range(b - a):
+            low = max(0, j - j % c - c)
+            seen = w["embed"][before[low : j + 1]] @ w["qkv"]
+            place = np.arange(low, j + 1) - (j - j % c - c)
+            q = seen[-1, :width] + w["query_at"][j % c]
+            s = (seen[:, width : 2 * width] + w["key_at"][place]) @ q / width**0.5
+            p = np.exp(s - s.max())
+            z = np.concatenate((p / p.sum() @ seen[:, 2 * width :], w["embed"][before[j]], [1]))
+            logits = z @ w["out"]
+            assert got[a + j] == pytest.approx(logits[classes[tokens[a + j]]] - np.log(np.exp(logits).sum()), abs=1e-4)
+
+
+def test_held_out_scores_beat_the_model_without_attention(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").coalesce(1)
+    bpe = byte_bpe(default_tokenizer())
+    packs = lm_score.write_packs(df, lm_score.PACK_BYTES).select("pack", "ids", "lengths", "blob")
+    tokens = packs.mapInArrow(lm_score._cut(default_tokenizer(), 2), lm_score.CUT)
+    counts = np.zeros(bpe.size, np.int64)
+    for r in tokens.mapInArrow(lm_score._count_subwords(bpe.size), "id long, n long").collect():
+        counts[r[0]] += r[1]
+    classes = lm_score.classes_of(counts, 2)
+    w = lm_score.train(tokens, classes, counts)
+    without = {n: x.copy() for n, x in w.items()}
+    without["out"][: attention.WIDTH] = 0
+    sums = {True: 0.0, False: 0.0}
+    for _, ids, toks, bounds in lm_score._read(iter(tokens.toArrow().to_batches())):
+        out = np.repeat([not lm_score.is_training(i) for i in ids], np.diff(bounds))
+        inputs, targets, at = attention.layout(toks.astype(np.int64), bounds, classes, bpe.size)
+        for whole, weights in ((True, w), (False, without)):
+            sums[whole] += attention.score(weights, inputs, targets)[at][out].sum()
+    first = attention.first_weights(bpe.size, np.bincount(classes, counts, attention.CLASSES))
+    assert sums[True] > 0.99 * sums[False] and not np.array_equal(first["embed"], w["embed"])
 
 
 def test_restoration_and_scores(spark):
@@ -251,14 +300,15 @@ def test_pipeline_keeps_clean_documents(spark):
 def test_every_training_document_reaches_the_trainer(docs):
     path = default_tokenizer()
     bpe = byte_bpe(path)
-    end = next(iter(bpe.special.values()))
-    batches = lm_score.write_packs(docs, 20_000).select("pack", "ids", "lengths", "blob").toArrow().to_batches()
-    flat = attention.flatten(net_weights())
-    seen = 0
+    tokens = lm_score.write_packs(docs, 20_000).select("pack", "ids", "lengths", "blob").mapInArrow(lm_score._cut(path, 2), lm_score.CUT)
+    batches = tokens.toArrow().to_batches()
+    w = attention.first_weights(bpe.size, np.ones(attention.CLASSES))
+    seen, place = 0, sum(int(np.prod(s)) for s in attention.SMALL.values())
     for turn in range(lm_score.ROUNDS):
-        seen += sum(b.column("n")[0].as_py() for b in lm_score._trainer(path, end, np.zeros(bpe.size, np.int64), flat, turn)(iter(batches)))
+        for b in lm_score._trainer(w, np.zeros(bpe.size, np.int64), turn)(iter(batches)):
+            seen += int(np.concatenate([np.frombuffer(x, np.float32) for x in b.column("sums").to_pylist()])[place])
     sizes = [sum(len(bpe.plain(" " + w)) for w in t.encode().lower().decode().split()) + 1 for i, t in rows_of(docs) if lm_score.is_training(i)]
-    assert seen == sum(-(-n // attention.CONTEXT) for n in sizes)
+    assert seen == sum(sizes)
 
 
 def test_base_probabilities_sum_to_one(docs):
