@@ -9,6 +9,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
+from .gridgraph import stored
+
 
 def kmeans_labels(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFrame:
     """Labels 1..k of standardized vectors."""
@@ -25,14 +27,14 @@ def nearest_centroid(samples: DataFrame, rows: DataFrame, key: str, columns: lis
     return rows.crossJoin(F.broadcast(centers)).groupBy(key).agg(F.min_by("center", F.struct(F.round(distance, 9).alias("d"), "center")).alias("predicted"))
 
 
-def random_forest(samples: DataFrame, rows: DataFrame, columns: list[str], label: str, trees: int = 20, seed: int = 42) -> DataFrame:
-    """Class-balanced random forest."""
+def random_forest(samples: DataFrame, rows: DataFrame, vector: str, label: str, trees: int = 20, seed: int = 42) -> DataFrame:
+    """Class-balanced random forest on an array column; training rows are stored, since every level of the trees reads them."""
     n = samples.count()
     weights = samples.groupBy(label).agg((F.lit(float(n)) / F.count("*")).alias("weight"))
-    assemble = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip")
-    train = assemble.transform(samples.join(F.broadcast(weights), label))
-    model = RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, seed=seed).fit(train)
-    return model.transform(assemble.transform(rows)).drop("features", "rawPrediction", "probability")
+    train = stored(samples.join(F.broadcast(weights), label).select(F.col(vector).alias("features"), label, "weight"), "forest")
+    model = RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, seed=seed).fit(train.withColumn("features", array_to_vector(F.col("features"))))
+    found = model.transform(rows.withColumn("features", array_to_vector(F.col(vector))))
+    return found.drop("features", "rawPrediction", "probability")
 
 
 def scores_to_labels(scores: DataFrame) -> DataFrame:
@@ -49,6 +51,6 @@ def kernel_svm(rows: DataFrame, vector: str, label: str, features: int = 64, gam
         F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in w)).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, shift, strict=True))),
         lambda t: F.cos(F.aggregate(F.zip_with(t["w"], F.col(vector), lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x) + t["b"]),
     )
-    rows = rows.withColumn("features", array_to_vector(mapped))
+    rows = stored(rows.withColumn("mapped", mapped), "svm").withColumn("features", array_to_vector(F.col("mapped")))
     model = OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), labelCol=label).fit(rows)
-    return model.transform(rows).drop("features", "rawPrediction")
+    return model.transform(rows).drop("features", "mapped", "rawPrediction")

@@ -48,7 +48,7 @@ register("ts_candidates", lambda s, d: texts(candidates(s, d).drop("candidate").
 register("candidate_pick", lambda s, d: candidates(s, d).orderBy(F.desc("inputs"), F.desc("dated"), "first_scene").limit(1).select("inputs", "dated", "first_scene"), over(CAND + " SELECT inputs, dated, first_scene FROM c ORDER BY inputs DESC, dated DESC, first_scene LIMIT 1"))
 register("temporal_metadata_update", lambda s, d: C.apply_edits(scenes(s, d).select("scene_id", "file_name", "bands"), scenes(s, d).filter("scene_id % 10 = 0").select("scene_id", F.lit(9).alias("bands")), "scene_id"), over("SELECT scene_id, file_name, CASE WHEN scene_id % 10 = 0 THEN 9 ELSE bands END::INTEGER AS bands FROM scenes"))
 register("scene_delete", lambda s, d: scenes(s, d).select("scene_id", "bundle_id").join(scenes(s, d).filter("bundle_id = 'bundle-7'").select("scene_id"), "scene_id", "left_anti"), over("SELECT scene_id, bundle_id FROM scenes WHERE bundle_id <> 'bundle-7'"))
-register("lookup_scenes_in_order", lambda s, d: scenes(s, d).selectExpr("explode(array(scene_id, scene_id)) as wanted", "scene_id * 7 % 1000 as pos").filter("wanted % 50 = 0").join(scenes(s, d).select("scene_id", "file_name"), F.col("wanted") == F.col("scene_id"), "left").select("pos", "wanted", "file_name"), over(", r AS (SELECT scene_id AS wanted, scene_id * 7 % 1000 AS pos FROM scenes WHERE scene_id % 50 = 0 UNION ALL SELECT scene_id, scene_id * 7 % 1000 FROM scenes WHERE scene_id % 50 = 0) SELECT pos, wanted, file_name FROM r LEFT JOIN scenes ON wanted = scene_id"))
+register("lookup_scenes_in_order", lambda s, d: scenes(s, d).selectExpr("explode(array(scene_id, scene_id)) as wanted", "scene_id * 7 % 1000 as pos").join(scenes(s, d).select("scene_id", "file_name"), F.col("wanted") == F.col("scene_id"), "left").select("pos", "wanted", "file_name"), over(", r AS (SELECT scene_id AS wanted, scene_id * 7 % 1000 AS pos FROM scenes UNION ALL SELECT scene_id, scene_id * 7 % 1000 FROM scenes) SELECT pos, wanted, file_name FROM r LEFT JOIN scenes ON wanted = scene_id"))
 register("parse_date_multi", lambda s, d: scenes(s, d).selectExpr("scene_id", "case scene_id % 5 when 0 then date_format(uploaded_at, 'yyyy/MM/dd') when 1 then date_format(uploaded_at, 'yyyyMMdd') when 2 then date_format(uploaded_at, 'yyyy-MM') when 3 then 'n/a' else date_format(uploaded_at, 'yyyy') end as t").select("scene_id", C.parse_date(F.col("t")).cast("string").alias("acquired_on")), over("SELECT scene_id, CASE scene_id % 5 WHEN 0 THEN uploaded_at::DATE WHEN 1 THEN uploaded_at::DATE WHEN 2 THEN date_trunc('month', uploaded_at)::DATE WHEN 3 THEN NULL ELSE date_trunc('year', uploaded_at)::DATE END::VARCHAR AS acquired_on FROM scenes"))
 register("parse_date_list", lambda s, d: scenes(s, d).selectExpr("scene_id", "concat(date_format(uploaded_at, 'yyyy-MM-dd'), '; none, ', date_format(uploaded_at, 'yyyyMMdd')) as t").select("scene_id", F.posexplode(C.parse_date_list(F.col("t"))).alias("pos", "on")).select("scene_id", "pos", F.col("on").cast("string").alias("acquired_on")), over("SELECT scene_id, p::INTEGER AS pos, CASE WHEN p = 1 THEN NULL ELSE uploaded_at::DATE END::VARCHAR AS acquired_on FROM scenes, range(3) t(p)"))
 register("snowflake_id", lambda s, d: scenes(s, d).select("scene_id", C.snowflake(F.lit(1770681600000) + F.col("scene_id") * 1000, F.col("scene_id") % 16, F.col("scene_id") % 64).alias("id")), over("SELECT scene_id, (((scene_id * 1000) << 10) | ((scene_id % 16) << 6) | (scene_id % 64))::BIGINT AS id FROM scenes"))

@@ -93,7 +93,7 @@ for mode, p in A.BUILDING.items():
 IBI = f"(({rt('b5', 'b4')} - ({rt('b4', 'b3')} + {rt('b2', 'b5')}) / 2) / ({rt('b5', 'b4')} + ({rt('b4', 'b3')} + {rt('b2', 'b5')}) / 2 + 1e-10::DOUBLE))"
 pixel("extract_building_ui", lambda: flag(A.ratio(at.b5, at.b4) > 0), f"({rt('b5', 'b4')} > 0)::INTEGER", "mask", True)
 pixel("extract_building_ibi", lambda: A.building_mask(A.ibi(at.b2, at.b3, at.b4, at.b5), 0.0), f"({IBI} > 0 AND {rt('b4', 'b3')} < 0.2::DOUBLE AND {rt('b2', 'b5')} < 0.0::DOUBLE)::INTEGER", "mask", True)
-register("ibi", lambda s, d: V.grid_bands(s, d).filter(F.abs(A.ratio(at.b5, at.b4) + (A.ratio(at.b4, at.b3) + A.ratio(at.b2, at.b5)) / 2) > 0.001).select("row", "col", F.round(A.ibi(at.b2, at.b3, at.b4, at.b5), 4).alias("value")), V.with_views(f"SELECT row, col, round({IBI}, 4) AS value FROM grid_bands WHERE abs({rt('b5', 'b4')} + ({rt('b4', 'b3')} + {rt('b2', 'b5')}) / 2) > 0.001::DOUBLE", "grid_bands"))
+register("ibi", lambda s, d: V.grid_bands(s, d).select("row", "col", F.round(F.greatest(F.least(A.ibi(at.b2, at.b3, at.b4, at.b5), F.lit(1000.0)), F.lit(-1000.0)), 3).alias("value")), V.with_views(f"SELECT row, col, round(greatest(least({IBI}, 1000.0::DOUBLE), -1000.0::DOUBLE), 3) AS value FROM grid_bands", "grid_bands"))
 
 register("raster_calculator", lambda s, d: A.calculator(V.grid_bands(s, d), "where(A_2 > 0.2, sqrt(A), B + A_1)", {"A": ["b1", "b2", "b3"], "B": ["b4"]}).select("row", "col", *(F.round(f"r{i}", 6).alias(f"r{i}") for i in (1, 2, 3))), V.with_views("SELECT row, col, round(CASE WHEN b2 > 0.2::DOUBLE THEN sqrt(b1) ELSE b4 + b1 END, 6) AS r1, round(CASE WHEN b2 > 0.2::DOUBLE THEN sqrt(b2) ELSE b4 + b1 END, 6) AS r2, round(CASE WHEN b2 > 0.2::DOUBLE THEN sqrt(b3) ELSE b4 + b1 END, 6) AS r3 FROM grid_bands", "grid_bands"))
 register("extract_bands", lambda s, d: S.long_bands(V.grid_bands(s, d), ["b3", "b1"]), V.with_views("SELECT row, col, 1 AS band, b3 AS value FROM grid_bands UNION ALL SELECT row, col, 2, b1 FROM grid_bands", "grid_bands"))
@@ -114,7 +114,7 @@ def texts(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") if dict(df.dtypes)[c] == "timestamp" else F.col(c).cast("string") for c in columns})
 
 
-register("raster_statistics", lambda s, d: rounded(S.raster_statistics(V.grid_bands(s, d), SIX, 128, 2000), "low", "high", "mean", "std", "p2", "median", "p98"), V.with_views(f", l AS ({long_sql}) SELECT band, count(value) AS valid, 256000 - count(value) AS missing, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.02), 6) AS p2, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.98), 6) AS p98 FROM l GROUP BY band", "grid_bands"))
+register("raster_statistics", lambda s, d: rounded(S.raster_statistics(V.grid_bands(s, d), SIX, 128, V.height(s, d)), "low", "high", "mean", "std", "p2", "median", "p98"), V.with_views(f", l AS ({long_sql}) SELECT band, count(value) AS valid, 128 * (SELECT max(row) + 1 FROM dem) - count(value) AS missing, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.02), 6) AS p2, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.98), 6) AS p98 FROM l GROUP BY band", "grid_bands", "dem"))
 register("band_statistics_fields", lambda s, d: S.raster_statistics(V.grid_bands(s, d), SIX, 1, 1).select("band", F.expr("stack(4, 'min', low, 'max', high, 'mean', mean, 'std', std) as (stat, value)")).select(F.concat(F.lit("band"), "band", F.lit("_"), "stat").alias("field"), F.round("value", 6).alias("value")), V.with_views(f", l AS ({long_sql}), t AS (SELECT band, min(value) a, max(value) b, avg(value) c, stddev_pop(value) e FROM l GROUP BY band) SELECT 'band' || band || '_min' AS field, round(a, 6) AS value FROM t UNION ALL SELECT 'band' || band || '_max', round(b, 6) FROM t UNION ALL SELECT 'band' || band || '_mean', round(c, 6) FROM t UNION ALL SELECT 'band' || band || '_std', round(e, 6) FROM t", "grid_bands"))
 BIN = "CASE WHEN hi <= lo THEN 0 ELSE least(floor((b2 - lo) / (hi - lo) * {n}), {n} - 1) END"
 for name, n in (("histogram", 32), ("context_statistics", 5)):
@@ -145,7 +145,7 @@ JOINED = "grid_t1 a JOIN grid_t2 b USING (row, col)"
 register("change_band_diff", lambda s, d: rounded(change.band_diff(V.grid_t1(s, d), V.grid_t2(s, d), "b2", 0.2), "diff"), V.with_views(f"SELECT row, col, round(b.b2 - a.b2, 6) AS diff, (abs(b.b2 - a.b2) > 0.2::DOUBLE)::INTEGER AS mask FROM {JOINED}", "grid_t1", "grid_t2"))
 register("change_band_ratio", lambda s, d: rounded(change.band_ratio(V.grid_t1(s, d), V.grid_t2(s, d), "b2", 0.5), "ratio"), V.with_views(f"SELECT row, col, round(b.b2 / (a.b2 + 1e-6::DOUBLE), 6) AS ratio, (abs(b.b2 / (a.b2 + 1e-6::DOUBLE) - 1) > 0.5::DOUBLE)::INTEGER AS mask FROM {JOINED}", "grid_t1", "grid_t2"))
 register("change_index_diff", lambda s, d: rounded(change.index_diff(V.grid_t1(s, d), V.grid_t2(s, d), "b4", "b3", 0.3), "diff").withColumn("diff", F.col("diff") + 0.0), V.with_views(f", x AS (SELECT row, col, (b.b4 - b.b3) / (b.b4 + b.b3 + 1e-6::DOUBLE) - (a.b4 - a.b3) / (a.b4 + a.b3 + 1e-6::DOUBLE) AS v FROM {JOINED}) SELECT row, col, round(v, 6) + 0.0::DOUBLE AS diff, (abs(v) > 0.3::DOUBLE)::INTEGER AS mask FROM x", "grid_t1", "grid_t2"))
-register("change_area_ratio", lambda s, d: change.area_ratio(change.band_diff(V.grid_t1(s, d), V.grid_t2(s, d), "b2", 0.2), 128, 1000), V.with_views(f"SELECT round(sum((abs(b.b2 - a.b2) > 0.2::DOUBLE)::INTEGER) / 128000.0::DOUBLE, 6) AS ratio FROM {JOINED}", "grid_t1", "grid_t2"))
+register("change_area_ratio", lambda s, d: change.area_ratio(change.band_diff(V.grid_t1(s, d), V.grid_t2(s, d), "b2", 0.2), 128, V.height(s, d)), V.with_views(f"SELECT round(sum((abs(b.b2 - a.b2) > 0.2::DOUBLE)::INTEGER) / (128.0::DOUBLE * (SELECT max(row) + 1 FROM dem)), 6) AS ratio FROM {JOINED}", "grid_t1", "grid_t2", "dem"))
 register("join_bands_on_grid", lambda s, d: V.grid_t1(s, d).select("row", "col", F.col("b1").alias("first")).join(V.grid_t2(s, d).select("row", "col", F.col("b1").alias("second")), ["row", "col"]), V.with_views(f"SELECT row, col, a.b1 AS first, b.b1 AS second FROM {JOINED}", "grid_t1", "grid_t2"))
 register("mask_or", lambda s, d: V.grid_t1(s, d).select("row", "col").union(V.grid_t2(s, d).select("row", "col")).distinct(), V.with_views("SELECT row, col FROM grid_t1 UNION SELECT row, col FROM grid_t2", "grid_t1", "grid_t2"))
 register("mask_and", lambda s, d: V.grid_t1(s, d).select("row", "col").join(V.grid_t2(s, d), ["row", "col"], "left_semi"), V.with_views("SELECT row, col FROM grid_t1 SEMI JOIN grid_t2 USING (row, col)", "grid_t1", "grid_t2"))

@@ -12,9 +12,7 @@ from .pixel_plans import SIX, at, nd, rounded
 from .registry import register
 
 
-def height(spark, d) -> int:
-    """Rows of the order grid."""
-    return V.dem(spark, d).agg(F.max("row")).first()[0] + 1
+height = V.height
 
 
 def over(body: str, *names: str) -> str:
@@ -96,11 +94,11 @@ DUCK = {"average": "avg(z)", "max": "max(z)", "min": "min(z)", "med": "quantile_
 for method, sql in DUCK.items():
     register(f"resample_{method}", lambda s, d, m=method: rounded(R.downsample(V.dem(s, d), "z", 4, m), "value"), over(f"SELECT row // 4 AS row, col // 4 AS col, round({sql}, 6) AS value FROM dem GROUP BY 1, 2"))
 register("build_overviews", lambda s, d: R.overview(V.dem(s, d), "z", 2).withColumn("level", F.lit(2)).union(R.overview(V.dem(s, d), "z", 4).withColumn("level", F.lit(4))), over("SELECT row // 2 AS row, col // 2 AS col, z AS value, 2 AS level FROM dem WHERE row % 2 = 1 AND col % 2 = 1 UNION ALL SELECT row // 4, col // 4, z, 4 FROM dem WHERE row % 4 = 2 AND col % 4 = 2"))
-half = lambda s, d: V.dem(s, d).filter("row % 3 = 0 and col % 3 = 0").select("row", "col")
-register("align_to_grid_nearest", lambda s, d: R.nearest(half(s, d), V.dem(s, d), "z", (F.col("row") + 0.5) * 0.75, (F.col("col") + 0.5) * 0.75), over("SELECT t.row, t.col, s.z AS value FROM (SELECT row, col FROM dem WHERE row % 3 = 0 AND col % 3 = 0) t LEFT JOIN dem s ON s.row = floor((t.row + 0.5::DOUBLE) * 0.75::DOUBLE) AND s.col = floor((t.col + 0.5::DOUBLE) * 0.75::DOUBLE)"))
+half = lambda s, d: V.dem(s, d).select("row", "col")
+register("align_to_grid_nearest", lambda s, d: R.nearest(half(s, d), V.dem(s, d), "z", (F.col("row") + 0.5) * 0.75, (F.col("col") + 0.5) * 0.75), over("SELECT t.row, t.col, s.z AS value FROM dem t LEFT JOIN dem s ON s.row = floor((t.row + 0.5::DOUBLE) * 0.75::DOUBLE) AND s.col = floor((t.col + 0.5::DOUBLE) * 0.75::DOUBLE)"))
 register("align_to_grid_bilinear", lambda s, d: rounded(R.bilinear(half(s, d), V.dem(s, d), "z", (F.col("row") + 0.5) * 0.75, (F.col("col") + 0.5) * 0.75), "value"), over("""SELECT t.row, t.col, round(sum(w * z) / sum(w), 6) AS value FROM (SELECT row, col, floor(fr) + i AS sr, floor(fc) + j AS sc, (1 - abs(fr - floor(fr) - i)) * (1 - abs(fc - floor(fc) - j)) AS w
- FROM (SELECT row, col, (row + 0.5::DOUBLE) * 0.75::DOUBLE - 0.5::DOUBLE AS fr, (col + 0.5::DOUBLE) * 0.75::DOUBLE - 0.5::DOUBLE AS fc FROM dem WHERE row % 3 = 0 AND col % 3 = 0), range(2) a(i), range(2) b(j)) t JOIN dem s ON s.row = sr AND s.col = sc WHERE w > 0 GROUP BY t.row, t.col"""))
-register("geometric_correction", lambda s, d: rounded(R.affine(V.dem(s, d), 2.0, -1.0, 1.5, 30.0, 100, 128), "x", "y"), over(f"SELECT row, col, round(((col + 0.5::DOUBLE - 64) * {math.cos(math.pi / 6)!r}::DOUBLE - (row + 0.5::DOUBLE - 50) * {math.sin(math.pi / 6)!r}::DOUBLE) * 1.5::DOUBLE + 66, 6) AS x, round(((col + 0.5::DOUBLE - 64) * {math.sin(math.pi / 6)!r}::DOUBLE + (row + 0.5::DOUBLE - 50) * {math.cos(math.pi / 6)!r}::DOUBLE) * 1.5::DOUBLE + 49, 6) AS y FROM dem"))
+ FROM (SELECT row, col, (row + 0.5::DOUBLE) * 0.75::DOUBLE - 0.5::DOUBLE AS fr, (col + 0.5::DOUBLE) * 0.75::DOUBLE - 0.5::DOUBLE AS fc FROM dem), range(2) a(i), range(2) b(j)) t JOIN dem s ON s.row = sr AND s.col = sc WHERE w > 0 GROUP BY t.row, t.col"""))
+register("geometric_correction", lambda s, d: rounded(R.affine(V.dem(s, d), 2.0, -1.0, 1.5, 30.0, height(s, d), 128), "x", "y"), over(f"SELECT row, col, round(((col + 0.5::DOUBLE - 64) * {math.cos(math.pi / 6)!r}::DOUBLE - (row + 0.5::DOUBLE - {H} / 2.0::DOUBLE) * {math.sin(math.pi / 6)!r}::DOUBLE) * 1.5::DOUBLE + 66, 6) AS x, round(((col + 0.5::DOUBLE - 64) * {math.sin(math.pi / 6)!r}::DOUBLE + (row + 0.5::DOUBLE - {H} / 2.0::DOUBLE) * {math.cos(math.pi / 6)!r}::DOUBLE) * 1.5::DOUBLE + {H} / 2.0::DOUBLE - 1, 6) AS y FROM dem"))
 
 
 def shown(s, d, *columns):
@@ -136,23 +134,24 @@ register("zonal_statistics", lambda s, d: rounded(X.points_in_zones(centers(s, d
 register("clip_raster_by_vector", lambda s, d: centers(s, d).join(X.points_in_zones(centers(s, d), boxes_ring(s, d)).select("row", "col").distinct(), ["row", "col"], "left_semi").select("row", "col", "z"), over(f"SELECT DISTINCT row, col, z FROM {IN}", "dem", "boxes"))
 register("rasterize_features", lambda s, d: X.rasterize(V.boxes(s, d), "h"), over("SELECT row, col, arg_max(h, zone_id) AS value FROM (SELECT zone_id, h, r0 + i AS row, c0 + j AS col FROM boxes, range(10) a(i), range(9) b(j) WHERE i < h AND j < w) GROUP BY row, col", "boxes"))
 L_SHAPE = lambda s, d: V.boxes(s, d).select("zone_id", X.l_ring(F.col("c0"), F.col("r0"), F.col("w") * 2, F.col("h") * 2).alias("ring"))
-register("clip_vector_intersects", lambda s, d: X.points_in_zones(centers(s, d).filter("row % 2 = 0").select("row", "col", "x", "y"), L_SHAPE(s, d)).select("row", "col", "zone_id"), over("SELECT row, col, zone_id FROM dem JOIN boxes ON col >= c0 AND col + 0.5::DOUBLE < c0 + 2 * w AND row >= r0 AND row + 0.5::DOUBLE < r0 + 2 * h AND NOT (col + 0.5::DOUBLE > c0 + w AND row + 0.5::DOUBLE < r0 + h) WHERE row % 2 = 0", "dem", "boxes"))
+register("clip_vector_intersects", lambda s, d: X.points_in_zones(centers(s, d).select("row", "col", "x", "y"), L_SHAPE(s, d)).select("row", "col", "zone_id"), over("SELECT row, col, zone_id FROM dem JOIN boxes ON col >= c0 AND col + 0.5::DOUBLE < c0 + 2 * w AND row >= r0 AND row + 0.5::DOUBLE < r0 + 2 * h AND NOT (col + 0.5::DOUBLE > c0 + w AND row + 0.5::DOUBLE < r0 + h)", "dem", "boxes"))
 register("geom_bounds", lambda s, d: L_SHAPE(s, d).select("zone_id", X.ring_bounds(F.col("ring")).alias("b")).select("zone_id", "b.*"), over("SELECT zone_id, c0::DOUBLE AS xmin, r0::DOUBLE AS ymin, (c0 + 2 * w)::DOUBLE AS xmax, (r0 + 2 * h)::DOUBLE AS ymax FROM boxes", "boxes"))
 register("geom_area_km2", lambda s, d: V.boxes(s, d).select("zone_id", F.round(X.ring_area_km2(X.box_ring(F.col("c0"), F.col("r0") - 50, F.col("c0") + F.col("w"), F.col("r0") - 50 + F.col("h"))), 3).alias("km2")))
 TILE = "(lon + 180) / 360 * 64 AS fx, (1 - ln(tan(p) + 1 / cos(p)) / pi()) / 2 * 64 AS fy FROM (SELECT *, radians(greatest(least(lat, 85.05112878::DOUBLE), -85.05112878::DOUBLE)) AS p FROM features)"
 register("xyz_tile_of_point", lambda s, d: shown(s, d, *(c.alias(n) for c, n in zip(X.tile_of(at.lon, at.lat, 6), ("x", "y"), strict=True))), over(f", t AS (SELECT feature_id, {TILE}) SELECT feature_id, greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y FROM t", "features"))
 register("vtile_assign", lambda s, d: V.features(s, d).groupBy(*(c.alias(n) for c, n in zip(X.tile_of(at.lon, at.lat, 6), ("x", "y"), strict=True))).agg(F.count("*").alias("features")), over(f", t AS (SELECT feature_id, {TILE}) SELECT greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y, count(*) AS features FROM t GROUP BY 1, 2", "features"))
-register("vtile_quantize", lambda s, d: shown(s, d, *(c.alias(n) for c, n in zip(X.tile_place(at.lon, at.lat, 6), ("x", "y", "qx", "qy"), strict=True))).select("feature_id", "x", "y", "qx"), over(f", t AS (SELECT feature_id, {TILE}), k AS (SELECT feature_id, fx, greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y FROM t) SELECT feature_id, x, y, floor((fx - x) * 4096)::BIGINT AS qx FROM k", "features"))
+register("vtile_quantize", lambda s, d: shown(s, d, *(c.alias(n) for c, n in zip(X.tile_place(at.lon, at.lat, 6), ("x", "y", "qx", "qy"), strict=True))), over(f", t AS (SELECT feature_id, {TILE}), k AS (SELECT feature_id, fx, fy, greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y FROM t) SELECT feature_id, x, y, floor((fx - x) * 4096)::BIGINT AS qx, floor((fy - y) * 4096)::BIGINT AS qy FROM k", "features"))
 register("render_tiles", lambda s, d: V.grid_bands(s, d).groupBy(F.expr("row div 32").alias("ty"), F.expr("col div 32").alias("tx")).agg(F.count("*").alias("opaque"), F.sum(F.floor(F.least(F.greatest(at.b3, F.lit(0.0)), F.lit(1.0)) * 255)).alias("red")), over("SELECT row // 32 AS ty, col // 32 AS tx, count(*) AS opaque, sum(floor(least(greatest(b3, 0.0::DOUBLE), 1.0::DOUBLE) * 255))::BIGINT AS red FROM grid_bands GROUP BY 1, 2", "grid_bands"))
 
 register("classify_kmeans", lambda s, d: learn.kmeans_labels(V.grid_bands(s, d), ["b1", "b2", "b3", "b4"], 4))
 
 
 def spectra(s, d):
-    return V.read(s, d, "embeddings").select("vec_id", "label", *(F.floor(F.col("embedding")[i].cast("double") * 4096).alias(f"e{i}") for i in range(8)))
+    return V.read(s, d, "embeddings").select("vec_id", "label", *(F.floor(F.col("embedding")[i].cast("double") * 4096).alias(f"e{i}") for i in range(64)))
 
 
-E8 = [f"e{i}" for i in range(8)]
-register("classify_centroid", lambda s, d: learn.nearest_centroid(spectra(s, d), spectra(s, d), "vec_id", E8, "label"), "WITH x AS (SELECT vec_id, label, " + ", ".join(f"floor(embedding[{i + 1}]::DOUBLE * 4096) AS e{i}" for i in range(8)) + "), c AS (SELECT label AS center, " .replace("), c", " FROM embeddings), c") + ", ".join(f"avg(e{i}) AS m{i}" for i in range(8)) + " FROM x GROUP BY label), k AS (SELECT vec_id, center, round(" + " + ".join(f"(e{i} - m{i}) * (e{i} - m{i})" for i in range(8)) + ", 9) AS d FROM x, c) SELECT vec_id, arg_min(center, (d, center)) AS predicted FROM k GROUP BY vec_id")
-register("classify_random_forest", lambda s, d: learn.random_forest(spectra(s, d), spectra(s, d), E8, "label").select("vec_id", "prediction"))
+E64 = [f"e{i}" for i in range(64)]
+register("classify_centroid", lambda s, d: learn.nearest_centroid(spectra(s, d), spectra(s, d), "vec_id", E64, "label"), "WITH x AS (SELECT vec_id, label, " + ", ".join(f"floor(embedding[{i + 1}]::DOUBLE * 4096) AS e{i}" for i in range(64)) + "), c AS (SELECT label AS center, " .replace("), c", " FROM embeddings), c") + ", ".join(f"avg(e{i}) AS m{i}" for i in range(64)) + " FROM x GROUP BY label), k AS (SELECT vec_id, center, round(" + " + ".join(f"(e{i} - m{i}) * (e{i} - m{i})" for i in range(64)) + ", 9) AS d FROM x, c) SELECT vec_id, arg_min(center, (d, center)) AS predicted FROM k GROUP BY vec_id")
+bands = lambda s, d: V.read(s, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x.cast("double") * 4096).cast("double")).alias("bands"))
+register("classify_random_forest", lambda s, d: learn.random_forest(bands(s, d), bands(s, d), "bands", "label").select("vec_id", "prediction"))
 register("scores_to_labels", lambda s, d: learn.scores_to_labels(V.grid_bands(s, d).select("row", "col", F.posexplode(F.array("b1", "b2", "b3")).alias("channel", "score"))), over("SELECT row, col, CASE WHEN b1 >= b2 AND b1 >= b3 THEN 1 WHEN b2 >= b3 THEN 2 ELSE 3 END AS label FROM grid_bands", "grid_bands"))

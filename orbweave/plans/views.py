@@ -47,6 +47,11 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").selectExpr(f"o_orderkey div {GRID} as row", f"o_orderkey % {GRID} as col", "cast(round(o_totalprice) as long) % 1000 / 1D as z")
 
 
+def height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the order grid."""
+    return (dem(spark, sf_dir).agg(F.max("row")).first()[0] or 0) + 1
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean value of each pixel: a pixel for each user, an observation for each day."""
     e = read(spark, sf_dir, "events").selectExpr("user_id div 16 as row", "user_id % 16 as col", "to_date(ts) as day", "cast(round(value * 100) as long) as v")
