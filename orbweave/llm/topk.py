@@ -6,8 +6,8 @@ their bounds, the sums of what each term can add at most, and stops when the nex
 bounds are still scored, so ties are never lost. Query blocks meet groups of blocks by a key, and the best k of each
 meeting are merged by Spark.
 
-Defined cases: vectors that are null, hold null or non-finite components, or have a null vec_id take no part; only
-vectors of one length meet; ties go to the smaller vec_id; a repeated vec_id is one query, its rows are candidates of
+Defined cases: vectors that are null, hold null or non-finite components, or have a null vec_id take no part; so do finite ones
+whose 256-fold is beyond doubles; a score beyond 64 bits counts as the limit it passes; only vectors of one length meet; ties go to the smaller vec_id; a repeated vec_id is one query, its rows are candidates of
 their own, and a query never meets its own vec_id; other columns are ignored; an empty table gives no rows.
 """
 
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 BLOCK, GROUP_ROWS, QUERY_ROWS = 128, 8192, 1024
+#: The largest score.
+LIMIT = (1 << 63) - 1
 
 
 def _quantize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,7 +33,10 @@ def _quantize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.array(v, np.float64)
             if not np.isfinite(x).all():
                 continue
-            x = np.floor(256 * x)
+            with np.errstate(over="ignore"):
+                x = np.floor(256 * x)
+            if not np.isfinite(x).all():
+                continue
             top = int(np.abs(x).argmax())
             ids.append(i)
             out.append(x.astype("<f8").tobytes())
@@ -51,8 +56,8 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products; doubles hold them below 2**53, else Python integers do."""
     if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
         return a @ b.T
-    exact = lambda m: np.array([[int(x) for x in r] for r in m], object)
-    return exact(a).dot(exact(b).T)
+    exact = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
+    return np.clip(exact(a).dot(exact(b).T), -LIMIT - 1, LIMIT)
 
 
 def search_blocks(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
@@ -60,8 +65,9 @@ def search_blocks(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
     edges = list(range(0, len(rows), BLOCK))
     high = np.array([rows[e : e + BLOCK].max(0) for e in edges])
     low = np.array([rows[e : e + BLOCK].min(0) for e in edges])
-    bound = _scores(np.maximum(queries, 0), high) + _scores(np.minimum(queries, 0), low)
-    order = np.argsort(-bound.astype(float), axis=1, kind="stable")
+    bound = _scores(np.hstack((np.maximum(queries, 0), np.minimum(queries, 0))), np.hstack((high, low)))
+    # In exact integers: a block with the same double as the one before may still have a larger bound.
+    order = np.argsort(-bound, axis=1, kind="stable")
     best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
     live = np.arange(len(queries))
     for step in range(len(edges)):

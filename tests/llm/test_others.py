@@ -127,3 +127,15 @@ def test_salvage_of_members_with_several_records():
     inner[100_000] ^= 0xFF  # in the second record, inside a whole member
     out = list(warc.salvage(gzip.compress(bytes(inner))))
     assert [r.status for r in out] == ["record", "quarantine", "record", "record"] and [r.inner_offset for r in out] == sorted(r.inner_offset for r in out)
+
+
+def test_search_with_scores_beyond_64_bits(spark):
+    rows = [(0, [1e12, 1e12]), (1, [1e12, 1e12]), (2, [2e12, 3e12]), (3, [-1e12, -4e12]), (4, [1e307, 0.0]), (5, [0.5, 0.25]), (50, [3e12, -1.0])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i != 4}
+    clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    for i in (0, 50):
+        best = sorted((-clip(sum(a * b for a, b in zip(q[i], v))), j) for j, v in q.items() if j != i)[:5]
+        assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
