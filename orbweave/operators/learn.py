@@ -52,5 +52,5 @@ def kernel_svm(rows: DataFrame, vector: str, label: str, features: int = 64, gam
         lambda t: F.cos(F.aggregate(F.zip_with(t["w"], F.col(vector), lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x) + t["b"]),
     )
     rows = stored(rows.withColumn("mapped", mapped), "svm").withColumn("features", array_to_vector(F.col("mapped")))
-    model = OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), labelCol=label).fit(rows)
+    model = OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), labelCol=label, parallelism=4).fit(rows)
     return model.transform(rows).drop("features", "mapped", "rawPrediction")
