@@ -307,7 +307,7 @@ def test_every_training_document_reaches_the_trainer(docs):
     for turn in range(lm_score.ROUNDS):
         for b in lm_score._trainer(w, np.zeros(bpe.size, np.int64), turn)(iter(batches)):
             seen += int(np.concatenate([np.frombuffer(x, np.float32) for x in b.column("sums").to_pylist()])[place])
-    sizes = [sum(len(bpe.plain(" " + w)) for w in t.encode().lower().decode().split()) + 1 for i, t in rows_of(docs) if lm_score.is_training(i)]
+    sizes = [sum(len(bpe.plain(" " + w.decode())) for w in t.encode().lower().split()) + 1 for i, t in rows_of(docs) if lm_score.is_training(i)]
     assert seen == sum(sizes)
 
 
