@@ -120,7 +120,7 @@ def test_salvage_of_members_with_several_records():
     assert ids(member + after) == ["<r0>", "<r1>", "<r2>", "<r3>", "<r9>"] and covered(member + after)
     broken = bytearray(member)
     broken[len(member) * 5 // 8] ^= 0xFF  # in the third record
-    cut = member[: len(member) // 2]
+    cut = member[: len(member) * 5 // 8]  # in the third record
     assert ids(bytes(broken) + after)[:2] == ["<r0>", "<r1>"] and ids(bytes(broken) + after)[-1] == "<r9>" and covered(bytes(broken) + after)
     assert ids(cut) == ["<r0>", "<r1>"] and covered(cut)
     inner = bytearray(b"".join(parts))
