@@ -4,6 +4,7 @@ import gzip
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from orbweave.llm import chat, topk, warc
@@ -60,7 +61,10 @@ def test_perspectives_cover_every_turn(spark):
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
-def test_search_equals_brute_force(spark):
+@pytest.mark.parametrize("settings", [{}, {"FIRST": 1, "GROWTH": 2, "MAXIMA_TILES": 1, "QUERY_ROWS": 4}])
+def test_search_equals_brute_force(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(1)
     vectors = rng.normal(0, 0.2, (900, 8))
     vectors[100:300] = vectors[7]
