@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -83,6 +84,47 @@ def differing_paragraphs(a: str, b: str) -> list[int]:
     return out
 
 
+def located_edits(a: str, b: str) -> dict[str, list]:
+    """Where two fingerprints differ, paragraphs by number (from 0): removed of a, added in b, moved as (in a, in b).
+
+    Sections that both texts share at the start and the end are passed over. In the branches between, the n-th equal
+    paragraph of one text belongs to the n-th of the other; the most that keep their order stay, the others moved.
+    Nodes have 32 bits here, so paragraphs of equal nodes count as equal.
+    """
+    x, y = ([s for s in p[33:].split(";") if s] for p in (a, b))
+    shared = 0
+    while shared < min(len(x), len(y)) and x[shared][:8] == y[shared][:8]:
+        shared += 1
+    ends = 0
+    while ends < min(len(x), len(y)) - shared and x[-1 - ends][:8] == y[-1 - ends][:8]:
+        ends += 1
+    base = sum(s.count(",") + 1 for s in x[:shared])
+    old, new = ([p[:8] for s in t[shared : len(t) - ends] for p in s[9:].split(",")] for t in (x, y))
+    places: dict[str, list[int]] = {}
+    for i in range(len(old) - 1, -1, -1):
+        places.setdefault(old[i], []).append(i)
+    pairs, added = [], []
+    for j, node in enumerate(new):
+        if places.get(node):
+            pairs.append((places[node].pop(), j))
+        else:
+            added.append(base + j)
+    # Longest rising run of places: the last pair of the best run of each length, and what each pair goes on from.
+    tops: list[int] = []
+    ends_at: list[int] = []
+    before = [-1] * len(pairs)
+    for n, (i, _) in enumerate(pairs):
+        k = bisect_left(tops, i)
+        before[n] = ends_at[k - 1] if k else -1
+        tops[k : k + 1], ends_at[k : k + 1] = [i], [n]
+    stay, n = set(), ends_at[-1] if ends_at else -1
+    while n >= 0:
+        stay.add(n)
+        n = before[n]
+    moved = [(base + i, base + j) for n, (i, j) in enumerate(pairs) if n not in stay]
+    return {"removed": sorted(base + i for left in places.values() for i in left), "added": added, "moved": moved}
+
+
 def edited_by(text: str, other: str) -> str:
     """The text with its last half replaced by as much of the other's start (or all of it)."""
     half = len(text) // 2

@@ -338,3 +338,17 @@ def test_labels_of_texts_with_one_opening_all_count(spark):
     assert model.odds["loser"] > 2.5 and "garden" not in model.odds and "published" not in model.odds
     assert model == toxicity.fit(docs.repartition(7), labels)
     assert {r.doc_id for r in toxicity.score_documents(docs, model).filter("predicted = 1").collect()} == {i for i in range(1, 120, 2)} | {500}
+
+
+def test_edits_are_located_on_both_sides():
+    lines = [f"Paragraph {i} tells of {i * i}.\n" for i in range(40)]
+    edits = lambda other: merkle.located_edits(merkle.fingerprint("".join(lines)), merkle.fingerprint("".join(other)))
+    assert edits(lines) == {"removed": [], "added": [], "moved": []}
+    assert edits(lines[:17] + lines[18:]) == {"removed": [17], "added": [], "moved": []}
+    assert edits([*lines[:9], "New.\n", *lines[9:]]) == {"removed": [], "added": [9], "moved": []}
+    assert edits([*lines[:30], "Other.\n", *lines[31:]]) == {"removed": [30], "added": [30], "moved": []}
+    assert edits([*lines[:3], *lines[4:35], lines[3], *lines[35:]]) == {"removed": [], "added": [], "moved": [(3, 34)]}
+    assert edits([]) == {"removed": list(range(40)), "added": [], "moved": []}
+    empty = merkle.fingerprint("")
+    assert merkle.located_edits(empty, merkle.fingerprint("a\na\n")) == {"removed": [], "added": [0, 1], "moved": []}
+    assert merkle.located_edits(empty, empty) == {"removed": [], "added": [], "moved": []}
