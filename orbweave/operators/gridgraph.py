@@ -1,41 +1,18 @@
-"""Graphs on the grid: flow, watersheds, components, holes. Flow is pointer jumping, O(log length) joins; components lower
-labels hop by hop, so their rounds grow with the longest way through a region. Each round ends in files."""
+"""Graphs on the grid: flow, watersheds, components, holes. Flow is pointer jumping, O(log length) joins; components are labelled in
+blocks, whose border pairs are then contracted by star rounds. Each round ends in files."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .focal import with_neighbours
+from .graph import numbered, stored
+from .regions import labelled
 
 #: D8 neighbours in the order that wins ties: name -> (row, col, code).
 D8 = {"e": (0, 1, 1), "se": (1, 1, 2), "s": (1, 0, 4), "sw": (1, -1, 8), "w": (0, -1, 16), "nw": (-1, -1, 32), "n": (-1, 0, 64), "ne": (-1, 1, 128)}
 
 
-@functools.cache
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; without one, a folder of this process, which only a local master can share."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts share")
-    return (found or _own_folder()).rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder that all hosts share and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def d8_flow(dem: DataFrame, value: str = "z", cell: float = 1.0) -> DataFrame:
     """Code of the steepest drop (0: none) and the receiver's place; drops are compared in single precision."""
     n = with_neighbours(dem, value, {k: (r, c) for k, (r, c, _) in D8.items()})
@@ -71,34 +48,14 @@ def watershed(flow: DataFrame) -> DataFrame:
             break
         state = state.drop("moved")
     first = state.groupBy("to").agg(F.min("v").alias("first"))
-    # One row per basin: the only global order there is.
-    numbered = first.withColumn("basin", F.row_number().over(Window.orderBy("first")))
-    return state.join(numbered, "to").select("v.row", "v.col", "basin")
+    return state.join(numbered(first, "first", "basin"), "to").select("v.row", "v.col", F.col("basin").cast("int").alias("basin"))
 
 
 def components(cells: DataFrame, value: str | None = None) -> DataFrame:
-    """4-connected components of cells (of equal value, where one is named): label = first cell in row order.
-
-    Runs inside a row are merged by a window first; then labels of touching runs are lowered until none changes.
-    """
-    same = [value] if value else []
-    w = Window.partitionBy("row").orderBy("col")
-    breaks = (F.col("col") - F.lag("col").over(w) != 1) if not value else ((F.col("col") - F.lag("col").over(w) != 1) | (F.col(value) != F.lag(value).over(w)))
-    runs = cells.select("row", "col", *same).withColumn("new", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
-    cells = stored(runs.withColumn("node", F.struct("row", F.min("col").over(Window.partitionBy("row", "run")).alias("col"))).select("row", "col", *same, "node"), "runs")
-    below = cells.select((F.col("row") - 1).alias("row"), "col", *same, F.col("node").alias("other"))
-    touch = cells.join(below, ["row", "col", *same]).select("node", "other").distinct()
-    edges = stored(touch.union(touch.select("other", "node")), "touch")
-    labels = stored(cells.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
-        hop = lower.select(F.col("node").alias("label"), F.col("label").alias("hop"))
-        state = stored(lower.join(hop, "label", "left").select("node", F.least("label", F.coalesce("hop", "label")).alias("label"), "was"), "labels")
-        labels = state.select("node", "label")
-        if state.filter("label != was").isEmpty():
-            break
-    return cells.join(labels, "node").select("row", "col", *same, F.col("label.row").alias("label_row"), F.col("label.col").alias("label_col"))
+    """4-connected components of cells (of equal value, where one is named): label = first cell in row order."""
+    named = labelled(cells, value)
+    own = [F.col("value").cast(dict(cells.dtypes)[value]).alias(value)] if value else []
+    return named.select("row", "col", *own, F.shiftright("label", 32).alias("label_row"), F.col("label").bitwiseAND((1 << 32) - 1).alias("label_col"))
 
 
 def fill_holes(mask: DataFrame, height: int, width: int) -> DataFrame:

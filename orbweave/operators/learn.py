@@ -9,7 +9,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from .gridgraph import stored
+from .graph import stored
 
 
 def kmeans_labels(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFrame:

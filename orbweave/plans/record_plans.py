@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import algebra as A, records as K, timeseries as TS
-from ..operators.gridgraph import stored
+from ..operators.graph import stored
 from ..sources import geojson
 from . import views as V
 from .pixel_plans import at

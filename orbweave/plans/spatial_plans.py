@@ -64,11 +64,18 @@ register("d8_flow_direction", lambda s, d: G.d8_flow(V.dem(s, d)), over(f", {FLO
 register("flow_accumulation", lambda s, d: G.flow_accumulation(G.stored(G.d8_flow(V.dem(s, d)), "d8")), over(f", {FLOW}, walk AS (SELECT row AS r, col AS c, row, col FROM dem UNION ALL SELECT r, c, to_row, to_col FROM walk JOIN flow USING (row, col) WHERE to_row <> row OR to_col <> col) SELECT row, col, count(*) AS accumulation FROM walk GROUP BY row, col"))
 register("watershed", lambda s, d: G.watershed(G.stored(G.d8_flow(V.dem(s, d)), "d8")), over(f", {FLOW}, walk AS (SELECT row AS r, col AS c, row, col FROM dem UNION ALL SELECT r, c, to_row, to_col FROM walk JOIN flow USING (row, col) WHERE to_row <> row OR to_col <> col), e AS (SELECT r, c, w.row, w.col FROM walk w JOIN flow f USING (row, col) WHERE f.code = 0), k AS (SELECT row, col, (row_number() OVER (ORDER BY min(r * 128 + c)))::INTEGER AS basin FROM e GROUP BY row, col) SELECT r AS row, c AS col, basin FROM e JOIN k USING (row, col)"))
 wet = lambda s, d: V.dem(s, d).filter("z > 550").select("row", "col")
-COMP = "c AS (SELECT row, col, row * 128 + col AS id FROM dem WHERE z > 550), r AS (SELECT id, id AS label FROM c UNION SELECT n.id, r.label FROM r JOIN c ON c.id = r.id JOIN c n ON abs(n.row - c.row) + abs(n.col - c.col) = 1 AND n.id > r.label), l AS (SELECT id, min(label) AS label FROM r GROUP BY id)"
-register("connected_components", lambda s, d: G.components(wet(s, d)))
-register("component_sizes", lambda s, d: G.components(wet(s, d)).groupBy("label_row", "label_col").count().groupBy("count").agg(F.count("*").alias("components")))
-register("remove_small_components", lambda s, d: G.remove_small(high(s, d), 5))
-register("fill_holes", lambda s, d: G.fill_holes(high(s, d), height(s, d), 128))
+#: Labels of the cells of `c` (id, row, col, v) by the smallest id that a chain of equal neighbours leads to.
+LABELS = """c AS (SELECT row, col, v, row * 4294967296 + col AS id FROM x),
+ adj AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON b.row = a.row AND b.col = a.col + 1 AND a.v = b.v UNION ALL SELECT a.id, b.id FROM c a JOIN c b ON b.row = a.row + 1 AND b.col = a.col AND a.v = b.v),
+ sides AS (SELECT a, b FROM adj UNION ALL SELECT b, a FROM adj),
+ r(id, label) USING KEY (id) AS (SELECT id, id FROM c UNION SELECT sides.b, min(r.label) FROM r JOIN sides ON sides.a = r.id JOIN recurring.r AS k ON k.id = sides.b WHERE r.label < k.label GROUP BY sides.b),
+ l AS (SELECT row, col, v, id, label FROM c JOIN r USING (id))"""
+WET = "x AS (SELECT row, col, 1 AS v FROM dem WHERE z > 550)"
+register("connected_components", lambda s, d: G.components(wet(s, d)), over(f", {WET}, {LABELS} SELECT row, col, label // 4294967296 AS label_row, label % 4294967296 AS label_col FROM l"))
+register("component_sizes", lambda s, d: G.components(wet(s, d)).groupBy("label_row", "label_col").count().groupBy("count").agg(F.count("*").alias("components")), over(f", {WET}, {LABELS}, n AS (SELECT count(*) AS count FROM l GROUP BY label) SELECT count, count(*) AS components FROM n GROUP BY count"))
+HIGH = "x AS (SELECT row, col, (z > 300)::INTEGER AS v FROM dem)"
+register("remove_small_components", lambda s, d: G.remove_small(high(s, d), 5), over(f", {HIGH}, {LABELS} SELECT row, col, CASE WHEN count(*) OVER (PARTITION BY label) < 5 THEN 0 ELSE v END AS mask FROM l"))
+register("fill_holes", lambda s, d: G.fill_holes(high(s, d), height(s, d), 128), over(f", {HIGH}, {LABELS} SELECT row, col, CASE WHEN v = 0 AND NOT bool_or(row = 0 OR col = 0 OR col = 127 OR row = {H} - 1) OVER (PARTITION BY label) THEN 1 ELSE v END AS mask FROM l"))
 
 
 def clean_mask(s, d):
@@ -81,7 +88,7 @@ def clean_mask(s, d):
 register("clean_mask", clean_mask)
 EDGE = "SELECT a.row, a.col, a.v, o.side FROM x a CROSS JOIN (VALUES ('up', -1, 0), ('down', 1, 0), ('left', 0, -1), ('right', 0, 1)) o(side, dr, dc) LEFT JOIN x b ON b.row = a.row + dr AND b.col = a.col + dc WHERE b.v IS NULL OR b.v <> a.v"
 register("raster_to_vector_edges", lambda s, d: G.boundary_edges(V.dem(s, d).select("row", "col", F.floor(F.col("z") / 250).alias("v")), "v"), over(f", x AS (SELECT row, col, floor(z / 250)::BIGINT AS v FROM dem) {EDGE}"))
-register("valid_footprint", lambda s, d: V.grid_bands(s, d).agg(F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"), F.count("*").alias("valid")), over("SELECT min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1, count(*) AS valid FROM grid_bands", "grid_bands"))
+register("valid_bounds", lambda s, d: V.grid_bands(s, d).agg(F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"), F.count("*").alias("valid")), over("SELECT min(row) AS row0, max(row) AS row1, min(col) AS col0, max(col) AS col1, count(*) AS valid FROM grid_bands", "grid_bands"))
 
 AT = "max(CASE WHEN row % 2 = {} AND col % 2 = {} THEN z END)"
 register("haar_wavelet", lambda s, d: rounded(transforms.haar(V.dem(s, d), "z"), "ll", "lh", "hl", "hh"), over(f", q AS (SELECT row // 2 AS row, col // 2 AS col, {AT.format(0, 0)} a, {AT.format(0, 1)} b0, {AT.format(1, 0)} c0, {AT.format(1, 1)} d0 FROM dem GROUP BY 1, 2), x AS (SELECT row, col, a, coalesce(b0, a) b, coalesce(c0, a) c, coalesce(d0, CASE WHEN b0 IS NULL THEN coalesce(c0, a) ELSE coalesce(b0, a) END) d FROM q) SELECT row, col, round((a+b+c+d)/4, 6) AS ll, round((a-b+c-d)/4, 6) AS lh, round((a+b-c-d)/4, 6) AS hl, round((a-b-c+d)/4, 6) AS hh FROM x"))

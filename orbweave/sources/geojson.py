@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.gridgraph import shared_folder
+from ..operators.graph import shared_folder
 from ..operators.vector import feature_geojson
 
 GEOMETRIES = ("Point", "LineString", "Polygon", "MultiPolygon", "MultiLineString")
