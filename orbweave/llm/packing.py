@@ -1,10 +1,11 @@
 """Best-fit packing: a configuration linear program over the length histogram, multiplicative weights, rounding.
 
 Documents longer than a sequence are cut; only the histogram of piece lengths (at most `size` numbers) goes to the
-driver. A configuration is a multiset of lengths that fits one sequence. Multiplicative weights price lengths, a
-knapsack dynamic program over token counts finds the best configuration at those prices, and the average of the chosen
-configurations covers the histogram. The cover is rounded down; what is left goes best-fit, longest first, again counted
-by length. Pieces then find their sequence by their rank among the pieces of their length, which Spark counts in salted
+driver. A configuration is a multiset of lengths that fits one sequence. Multiplicative weights price the lengths, and a
+knapsack dynamic program over token counts finds the best configurations at those prices, for every length that is covered
+least. The cover is rounded by fixing: the longest length left takes its best configuration at the final prices, as often as
+whole counts allow; short lengths are filled up best-fit, again counted by length. Never more sequences than best-fit
+alone. Pieces then find their sequence by their rank among the pieces of their length, which Spark counts in salted
 groups, so that a very common length is never gathered.
 
 Defined cases: a null or empty text is its end token alone; equal lengths are ranked by salt and order inside a task,
@@ -26,8 +27,10 @@ from .subwords import byte_bpe, default_tokenizer
 from .textscan import slices, text_bytes
 from .workspace import materialize
 
-#: Pricing rounds of the linear program, and the step of its weights.
-ROUNDS, STEP = 600, 0.15
+#: Pricing rounds of the linear program, the step of its weights, and sequences after which rounding prices what is left anew.
+ROUNDS, STEP, REPRICE = 120, 0.25, 8
+#: Exponents by which prices of long pieces are raised, and shares of a sequence below which pieces are left to best-fit.
+TILTS, LEAVE = (0.1, 0.3), (0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.0)
 #: Pieces of one length that share a salt, about.
 SALT_ROWS = 100_000
 
@@ -55,45 +58,91 @@ def cut_documents(docs: DataFrame, size: int = 1024, end: int = 2, tokenizer: st
     return rows.mapInArrow(_cutter(tokenizer or default_tokenizer(), size, end), "doc_id long, piece long, start long, length long, ids_crc32 long")
 
 
-def best_configuration(price: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
-    """How often each length occurs in the configuration of highest price (knapsack over token counts)."""
-    best, last = np.zeros(size + 1), np.full(size + 1, -1)
-    for c in range(1, size + 1):
-        k = np.searchsorted(lengths, c, "right")
-        best[c], last[c] = best[c - 1], -1
-        if k:
-            value = best[c - lengths[:k]] + price[:k]
-            i = int(value.argmax())
-            if value[i] > best[c]:
-                best[c], last[c] = value[i], i
-    chosen, c = np.zeros(len(lengths), np.int64), size
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            chosen[last[c]] += 1
-            c -= lengths[last[c]]
-    return chosen
-
-
-def configurations(lengths: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[np.ndarray, float]]:
-    """Configurations with multiplicities that cover the counts, near the linear program's least total."""
-    weight = np.ones(len(lengths))
-    used: dict[bytes, list] = {}
-    covered = np.zeros(len(lengths))
+def knapsack(price: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """Highest total price of lengths that fit into 0..size tokens together, each as often as one likes."""
+    best = np.zeros(size + 1)
+    for room in range(1, size + 1):
+        k = int(np.searchsorted(lengths, room, "right"))
+        best[room] = max(best[room - 1], (best[room - lengths[:k]] + price[:k]).max() if k else 0.0)
+    return best
+
+
+def filled(first: int, best: np.ndarray, price: np.ndarray, lengths: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A configuration around one length: (places of lengths, how often each), along the best prices as far as pieces last."""
+    left, room, chosen = counts.copy(), size - int(lengths[first]), {first: 1}
+    left[first] -= 1
+    while (k := int(np.searchsorted(lengths, room, "right"))) > 0:
+        value = np.where(left[:k] > 0, best[room - lengths[:k]] + price[:k], -1.0)
+        i = int(value.argmax())
+        if value[i] <= 0:
+            break
+        chosen[i] = chosen.get(i, 0) + 1
+        left[i] -= 1
+        room -= int(lengths[i])
+    return np.fromiter(chosen, np.int64), np.fromiter(chosen.values(), np.int64)
+
+
+def prices(lengths: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(best prices, last prices, bound) of the covering program by multiplicative weights.
+
+    In a round the knapsack prices all configurations, and the lengths covered least get one each (so every length is covered
+    again and again); weights fall as their lengths are covered. Weights over the best configuration's price are a
+    feasible dual, so the counts at these prices are a lower bound of the sequences; the best bound is kept.
+    """
+    weight, covered, total = lengths / size, np.zeros(len(lengths)), np.zeros(len(lengths))
+    kept, bound = weight, -1.0
     for _ in range(ROUNDS):
-        price = weight / counts
-        chosen = best_configuration(price / price.max(), lengths, size)
-        chosen = np.minimum(chosen, counts)
-        take = (counts / np.maximum(chosen, 1e-9)).min(where=chosen > 0, initial=np.inf)
-        used.setdefault(chosen.tobytes(), [chosen, 0.0])[1] += take
-        covered += take * chosen
-        weight *= np.exp(-STEP * take * chosen / counts)
-        weight /= weight.max()
-        weight = np.maximum(weight, 1e-12)
-    least = (covered / counts).min()
-    scale = 1 / least if least > 0 else 1 / (covered / counts).max()
-    return [(c, x * scale) for c, x in used.values()]
+        best = knapsack(weight, lengths, size)
+        dual = weight / best[size]
+        total += dual
+        if dual @ counts > bound:
+            kept, bound = dual, float(dual @ counts)
+        gain = np.zeros(len(lengths))
+        for i in np.argsort(covered, kind="stable")[: max(8, len(lengths) // 12)].tolist():
+            at, n = filled(i, best, weight, lengths, counts, size)
+            gain[at] += (counts[at] / n).min() * n / counts[at]
+        covered += gain
+        weight = weight * np.exp(-STEP * gain / gain.max())
+        weight = np.maximum(weight / weight.max(), 1e-6)
+    mean = total / knapsack(total, lengths, size)[size]
+    return (mean, weight, float(mean @ counts)) if mean @ counts > bound else (kept, weight, bound)
+
+
+def rounded(price: np.ndarray, lengths: np.ndarray, counts: np.ndarray, size: int, leave: float) -> list[tuple[list[tuple[int, int]], int]]:
+    """Whole sequences from the program: the longest piece left with its best configuration, as often as the counts allow, down to
+    pieces of size * leave tokens. counts is left with what remains."""
+    plan, best, turn = [], None, 0
+    while len(act := np.flatnonzero(counts)) and lengths[act[-1]] > leave * size:
+        if turn % REPRICE == 0:
+            best = knapsack(price[act], lengths[act], size)
+        turn += 1
+        at, n = filled(len(act) - 1, best, price[act], lengths[act], counts[act], size)
+        at = act[at]
+        times = int((counts[at] // n).min())
+        counts[at] -= times * n
+        plan.append((sorted(zip(lengths[at].tolist(), n.tolist(), strict=True)), times))
+    return plan
+
+
+def program(histogram: dict[int, int], size: int) -> tuple[list, list, float]:
+    """(sequences from the program, sequences by best-fit for what it leaves, lower bound): the fewest in all, then the most from the program.
+
+    Long pieces are priced and filled first, which is where a bad partner costs a sequence; short ones go best-fit.
+    Best-fit alone is one of the plans compared, so the result never has more sequences than it.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[x] for x in lengths.tolist()], np.int64)
+    kept, last, bound = prices(lengths, counts, size)
+    found: list[tuple[list, list]] = [([], best_fit(dict(histogram), size))]
+    # Prices of long pieces are raised a little: of equally full configurations those with fewer short pieces go first.
+    for price in (last, kept, *(kept * (lengths / size) ** tilt for tilt in TILTS)):
+        rest, made = counts.copy(), []
+        for leave in LEAVE:
+            made = made + rounded(price, lengths, rest, size, leave)
+            found.append((made, best_fit({int(x): int(n) for x, n in zip(lengths, rest, strict=True) if n}, size)))
+    of = lambda plan: sum(n for _, n in plan)
+    best = min(found, key=lambda p: (of(p[0]) + of(p[1]), of(p[1])))
+    return *best, bound
 
 
 def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -102,16 +151,8 @@ def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[list[tupl
     if left.get(size):
         plan.append(([(size, 1)], left.pop(size)))
     if left:
-        lengths = np.array(sorted(left), np.int64)
-        rest = np.array([left[x] for x in lengths.tolist()], np.int64)
-        for chosen, x in sorted(configurations(lengths, rest.astype(float), size), key=lambda p: -p[1]):
-            # Rounding: whole sequences only, and never more pieces than are left.
-            n = int(min(np.floor(x), (rest[chosen > 0] // chosen[chosen > 0].astype(np.int64)).min()))
-            if n > 0:
-                chosen = chosen.astype(np.int64)
-                rest -= n * chosen
-                plan.append(([(int(lengths[i]), int(chosen[i])) for i in np.flatnonzero(chosen)], n))
-        plan += best_fit({int(a): int(b) for a, b in zip(lengths, rest, strict=True) if b}, size)
+        made, rest, _ = program(left, size)
+        plan += made + rest
     return plan
 
 

@@ -247,14 +247,18 @@ def _remover(size: int, texts_too: bool) -> Callable:
 
 def without_repeats(docs: DataFrame, size: int = 50) -> DataFrame:
     """docs, all columns, with the words that drop_repeats keeps as text, and n_chars, where there is one, following it."""
-    found = drop_repeats(docs, size).filter("n_removed > 0").select(F.col("doc_id").alias("found_id"), F.col("text_sha1").alias("found_sha1"), "kept")
-    found = materialize(found, "repeats").dropDuplicates(["found_id", "found_sha1"])
-    same = (docs.doc_id == F.col("found_id")) & (F.unhex(F.sha1(F.coalesce(docs.text, F.lit("")))) == F.col("found_sha1"))
-    out = docs.join(found, same, "left")
-    if "n_chars" in docs.columns:
+    found = drop_repeats(docs, size).filter("n_removed > 0").select("doc_id", "text_sha1", "kept")
+    found = materialize(found, "repeats").dropDuplicates(["doc_id", "text_sha1"])
+    # The documents travel in one column, so no name of theirs can meet a name of the other side.
+    whole = docs.select(F.struct("*").alias("row"))
+    same = (F.col("row.doc_id") == F.col("doc_id")) & (F.unhex(F.sha1(F.coalesce("row.text", F.lit("")))) == F.col("text_sha1"))
+    out = whole.join(found, same, "left")
+    columns = {c: F.col("row").getField(c) for c in docs.columns}
+    columns["text"] = F.coalesce("kept", columns["text"])
+    if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), docs.n_chars).otherwise(F.char_length("kept").cast(kind)))
-    return out.withColumn("text", F.coalesce("kept", docs.text)).select(docs.columns)
+        columns["n_chars"] = F.when(F.col("kept").isNull(), columns["n_chars"]).otherwise(F.char_length("kept").cast(kind))
+    return out.select(*(v.alias(c) for c, v in columns.items()))
 
 
 def drop_repeats(docs: DataFrame, size: int = 50, texts_too: bool = True) -> DataFrame:

@@ -163,6 +163,35 @@ def test_plan_near_the_bound():
     assert sum(t for _, t in plan) <= 1.02 * sum(x * n for x, n in lengths.items()) / 1024 + 1
 
 
+HISTOGRAMS = {
+    "300..700": {x: 50 for x in range(300, 701)}, "uniform": {x: 20 for x in range(1, 1025)},
+    "two": {400: 1000, 300: 777}, "thirds": {x: 33 for x in range(250, 400)}, "one": {17: 5}, "lognormal": dict(Counter(np.clip(np.random.default_rng(1).lognormal(5.5, 0.8, 9000).astype(int), 1, 1023).tolist())),
+}
+
+
+@pytest.mark.parametrize("name", [*HISTOGRAMS, "sf0.01"])
+def test_program_carries_the_packing(spark, name):
+    """Every piece once, never more sequences than best-fit, most of them from the program, none below its bound."""
+    if name in HISTOGRAMS:
+        histogram = HISTOGRAMS[name]
+    else:
+        pieces = packing.cut_documents(spark.read.parquet(f"/root/testdata/{name}/documents.parquet"))
+        histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect() if r[0] < 1024}
+    made, rest, bound = packing.program(dict(histogram), 1024)
+    held, total = Counter(), 0
+    for content, times in made + rest:
+        assert times > 0 and sum(x * n for x, n in content) <= 1024
+        total += times
+        for x, n in content:
+            held[x] += n * times
+    assert held == histogram
+    alone = sum(n for _, n in packing.best_fit(dict(histogram), 1024))
+    assert bound - 1e-6 <= total <= alone
+    assert sum(n for _, n in made) > 0.5 * total
+    if name in ("two", "thirds"):  # where best-fit pairs badly
+        assert total < 0.97 * alone
+
+
 def test_fingerprints(docs):
     got = sorted(merkle.fingerprint_pairs(docs).collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))
     order = sorted(rows_of(docs), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
@@ -352,3 +381,14 @@ def test_edits_are_located_on_both_sides():
     empty = merkle.fingerprint("")
     assert merkle.located_edits(empty, merkle.fingerprint("a\na\n")) == {"removed": [], "added": [0, 1], "moved": []}
     assert merkle.located_edits(empty, empty) == {"removed": [], "added": [], "moved": []}
+
+
+def test_repeats_leave_with_any_extra_columns(spark):
+    """Columns named like the stage's own are carried along, and rows keep their own values."""
+    shared = prose(50, 60)
+    rows = [(1, prose(1, 20) + " " + shared, "k1", 7, "s", 5), (2, prose(2, 20) + " " + shared, "k2", 8, None, 6), (3, None, "k3", None, "t", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, found_id long, text_sha1 string, row int")
+    got = {r.doc_id: r for r in recompress.without_repeats(df, 50).collect()}
+    assert [f.name for f in recompress.without_repeats(df, 50).schema] == df.columns
+    assert {i: tuple(r)[2:] for i, r in got.items()} == {r[0]: r[2:] for r in rows}
+    assert (got[1].text, got[2].text, got[3].text) == (rows[0][1], prose(2, 20), None)
