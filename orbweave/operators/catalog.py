@@ -34,30 +34,30 @@ def parse_date_list(text: Column) -> Column:
     return F.transform(parts, lambda p: F.when(F.lower(F.trim(p)).isin(*MISSING_DATES), None).otherwise(parse_date(p)))
 
 
-def metadata(scenes: DataFrame) -> DataFrame:
-    """acquired_at, source, confidence, platform, level, tile_id of scenes(scene_id, file_name, tag_date, stac).
+def metadata(scenes: DataFrame, *carried: str) -> DataFrame:
+    """acquired_at, source, confidence, platform, level, tile_id of scenes(scene_id, file_name, tag_date, stac), and carried columns.
 
-    Sidecar before tag before file name; the acquisition fields move together, the others each take the first value.
+    Sidecar before tag before file name; the acquisition fields move together, the others each take the first value. Each
+    pattern is matched once a row: the parts of a match are cut from its text. A null name, tag or sidecar gives nothing; a row
+    that nothing dates comes back with source 'unknown'; repeated rows stay.
     """
     name = F.col("file_name")
-    sentinel, landsat = group(SENTINEL, 3, name), group(LANDSAT, 4, name)
-    generic = F.concat_ws("-", *(group(GENERIC, i, name) for i in (1, 2, 3)))
-    stac = F.try_to_timestamp(F.get_json_object("stac", "$.properties.datetime"))
-    tag = F.try_to_timestamp("tag_date", F.lit("yyyy-MM-dd"))
-    options = [
-        ("stac", stac), ("raster_tag", tag), ("sentinel_filename", F.try_to_timestamp(F.regexp_replace(sentinel, "T", ""), F.lit("yyyyMMddHHmmss"))),
-        ("landsat_filename", F.try_to_timestamp(landsat, F.lit("yyyyMMdd"))), ("filename", F.try_to_timestamp(F.when(generic != "", generic), F.lit("yyyy-MM-dd"))),
-    ]
-    source = F.lit("unknown")
-    confidence = F.lit(0.0)
-    for label, value in reversed(options):
-        source = F.when(value.isNotNull(), label).otherwise(source)
-        confidence = F.when(value.isNotNull(), CONFIDENCE[label]).otherwise(confidence)
-    return scenes.select(
-        "scene_id", F.coalesce(*(v for _, v in options)).alias("acquired_at"), source.alias("source"), confidence.alias("confidence"),
-        F.coalesce(F.get_json_object("stac", "$.properties.platform"), group(SENTINEL, 1, name), F.when(landsat.isNotNull(), F.concat(F.lit("LANDSAT_"), F.regexp_extract(name, r"L[A-Z]0?(\d+)_", 1)))).alias("platform"),
-        F.coalesce(group(SENTINEL, 2, name), group(LANDSAT, 2, name)).alias("processing_level"), F.coalesce(group(SENTINEL, 4, name), group(LANDSAT, 3, name)).alias("tile_id"),
-    )
+    whole = lambda pattern: F.regexp_extract(name, pattern, 0)
+    found = scenes.select("scene_id", *carried, "stac", "tag_date", whole(SENTINEL).alias("_s"), whole(LANDSAT).alias("_l"), F.translate(whole(GENERIC), "-_", "").alias("_g"))
+    part = lambda c, i: F.when(F.col(c) != "", F.element_at(F.split(c, "_"), i))
+    dated = lambda c, form: F.when(c != "", F.try_to_timestamp(c, F.lit(form)))
+    dates = {
+        "stac": F.try_to_timestamp(F.get_json_object("stac", "$.properties.datetime")), "raster_tag": F.try_to_timestamp("tag_date", F.lit("yyyy-MM-dd")),
+        "sentinel_filename": dated(F.translate(part("_s", 3), "T", ""), "yyyyMMddHHmmss"), "landsat_filename": dated(part("_l", 4), "yyyyMMdd"), "filename": dated(F.col("_g"), "yyyyMMdd"),
+    }
+    options = F.array(*(F.struct(v.alias("at"), F.lit(k).alias("source"), F.lit(CONFIDENCE[k]).alias("confidence")) for k, v in dates.items()))
+    first = F.get(F.filter(options, lambda o: o["at"].isNotNull()), F.lit(0))
+    number = F.concat(F.lit("LANDSAT_"), F.regexp_extract("_l", r"L[A-Z]0?(\d+)_", 1))
+    platform = F.coalesce(F.get_json_object("stac", "$.properties.platform"), part("_s", 1), F.when(F.col("_l") != "", number))
+    level = F.coalesce(F.substring(part("_s", 2), 4, 3), part("_l", 2))
+    found = found.select("scene_id", *carried, first.alias("_f"), platform.alias("platform"), level.alias("processing_level"), F.coalesce(part("_s", -1), part("_l", 3)).alias("tile_id"))
+    best = F.col("_f")
+    return found.select("scene_id", *carried, best["at"].alias("acquired_at"), F.coalesce(best["source"], F.lit("unknown")).alias("source"), F.coalesce(best["confidence"], F.lit(CONFIDENCE["unknown"])).alias("confidence"), "platform", "processing_level", "tile_id")
 
 
 def candidates(scenes: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ register("meta_from_tags", lambda s, d: scenes(s, d).filter("tag_date is not nul
 
 
 def candidates(spark, d):
-    return C.candidates(C.metadata(scenes(spark, d)).join(scenes(spark, d).select("scene_id", "bands", "lon", "lat"), "scene_id"))
+    return C.candidates(C.metadata(scenes(spark, d), "bands", "lon", "lat"))
 
 
 CAND = f""", m AS ({META}), k AS (SELECT *, concat_ws('|', CASE WHEN platform IS NOT NULL THEN concat_ws('/', lower(platform), lower(coalesce(processing_level, '')), lower(coalesce(tile_id, ''))) END,
