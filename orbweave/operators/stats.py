@@ -76,3 +76,45 @@ def stretch_params(df: DataFrame, bands: list[str]) -> DataFrame:
     low = F.when(F.col("n") < 10, 0.0).otherwise(F.col("p")[0])
     high = F.when(F.col("n") < 10, 1.0).otherwise(F.col("p")[1])
     return s.select("band", low.alias("low"), F.when(high <= low, low + 1).otherwise(high).alias("high"))
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], bins: int = 4096, small: int = 1 << 16) -> list[float | None]:
+    """Exact quantiles (linear between neighbours) without holding a column's values in one place.
+
+    The rank's interval is cut into bins until it holds one value, or few enough rows to sort. Nulls and NaN are left out; without
+    values every quantile is None.
+    """
+    v = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    n, lo, hi = v.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    places = {int(k) for p in shares for k in (p * (n - 1) // 1, min(p * (n - 1) // 1 + 1, n - 1))}
+    found: dict[int, float] = {}
+    todo = {(lo, hi, 0): places}  # (least, largest, rows before): ranks inside
+    while todo:
+        onward: dict[tuple, set[int]] = {}
+        for (a, b, before), ranks in todo.items():
+            if a == b:
+                found |= dict.fromkeys(ranks, a)
+                continue
+            inside = v.filter(F.col("v").between(a, b))
+            width = (b - a) / bins
+            bin_ = F.least(F.floor((F.col("v") - a) / width), F.lit(bins - 1)) if width > 0 else F.when(F.col("v") == b, 1).otherwise(0)
+            total = before
+            for r in sorted(inside.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect(), key=lambda r: r.bin):
+                own = {k for k in ranks if total <= k < total + r.n}
+                if own and r.a == r.b:
+                    found |= dict.fromkeys(own, r.a)
+                elif own and r.n <= small:
+                    values = sorted(x.v for x in v.filter(F.col("v").between(r.a, r.b)).collect())
+                    found |= {k: values[k - total] for k in own}
+                elif own:
+                    onward[r.a, r.b, total] = own
+                total += r.n
+        todo = onward
+    out = []
+    for p in shares:
+        k = int(p * (n - 1) // 1)
+        a, b = found[k], found[min(k + 1, n - 1)]
+        out.append(a + (b - a) * (p * (n - 1) - k))
+    return out
