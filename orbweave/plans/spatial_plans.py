@@ -148,8 +148,6 @@ TILE = "(lon + 180) / 360 * 64 AS fx, (1 - ln(tan(p) + 1 / cos(p)) / pi()) / 2 *
 register("xyz_tile_of_point", lambda s, d: shown(s, d, *(c.alias(n) for c, n in zip(X.tile_of(at.lon, at.lat, 6), ("x", "y"), strict=True))), over(f", t AS (SELECT feature_id, {TILE}) SELECT feature_id, greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y FROM t", "features"))
 register("vtile_assign", lambda s, d: V.features(s, d).groupBy(*(c.alias(n) for c, n in zip(X.tile_of(at.lon, at.lat, 6), ("x", "y"), strict=True))).agg(F.count("*").alias("features")), over(f", t AS (SELECT feature_id, {TILE}) SELECT greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y, count(*) AS features FROM t GROUP BY 1, 2", "features"))
 register("vtile_quantize", lambda s, d: shown(s, d, *(c.alias(n) for c, n in zip(X.tile_place(at.lon, at.lat, 6), ("x", "y", "qx", "qy"), strict=True))), over(f", t AS (SELECT feature_id, {TILE}), k AS (SELECT feature_id, fx, fy, greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y FROM t) SELECT feature_id, x, y, floor((fx - x) * 4096)::BIGINT AS qx, floor((fy - y) * 4096)::BIGINT AS qy FROM k", "features"))
-register("render_tiles", lambda s, d: V.grid_bands(s, d).groupBy(F.expr("row div 32").alias("ty"), F.expr("col div 32").alias("tx")).agg(F.count("*").alias("opaque"), F.sum(F.floor(F.least(F.greatest(at.b3, F.lit(0.0)), F.lit(1.0)) * 255)).alias("red")), over("SELECT row // 32 AS ty, col // 32 AS tx, count(*) AS opaque, sum(floor(least(greatest(b3, 0.0::DOUBLE), 1.0::DOUBLE) * 255))::BIGINT AS red FROM grid_bands GROUP BY 1, 2", "grid_bands"))
-
 register("classify_kmeans", lambda s, d: learn.kmeans_labels(V.grid_bands(s, d), ["b1", "b2", "b3", "b4"], 4))
 
 

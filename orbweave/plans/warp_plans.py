@@ -1,4 +1,4 @@
-"""Queries over warping: reprojection there and back, kernels, metre units, control points."""
+"""Queries over warping: reprojection there and back, kernels, metre units, control points, map tiles."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import warp as W
+from ..operators import tiles as T, warp as W
 from . import views as V
 from .registry import register
 from .spatial_plans import H, height, over
@@ -105,3 +105,20 @@ register("control_point_fit", fitted, f"""WITH {POINTS}, {FIT}, z AS (SELECT *,
 register("geometric_correction_warp", lambda s, d: W.correct(masked(s, d), "z", (0.9, 0.2, 10.0, 0.2, -0.9, 400.0), height(s, d), V.GRID, "EPSG:3857", "nearest")[0], over(f""", {MASKED}, k AS (SELECT min(x) AS x0, max(x) AS x1, max(y) AS y0, min(y) AS y1, sqrt(0.81::DOUBLE + 0.04::DOUBLE) AS s FROM (SELECT 0.9::DOUBLE * c + 0.2::DOUBLE * r + 10 AS x, 0.2::DOUBLE * c - 0.9::DOUBLE * r + 400 AS y FROM h, (VALUES (0), (128)) a(c), (SELECT 0 AS r UNION ALL SELECT h FROM h))),
  b AS (SELECT i AS row, j AS col, x0 + (j + 0.5::DOUBLE) * s - 10 AS x, y0 - (i + 0.5::DOUBLE) * s - 400 AS y FROM k, range(ceil((y0 - y1) / s - 1e-9)::BIGINT) a(i), range(ceil((x1 - x0) / s - 1e-9)::BIGINT) c(j)),
  f AS (SELECT row, col, (0.9::DOUBLE * y - 0.2::DOUBLE * x) / -0.85::DOUBLE AS fr, (-0.9::DOUBLE * x - 0.2::DOUBLE * y) / -0.85::DOUBLE AS fc FROM b) SELECT f.row, f.col, z AS value FROM f JOIN p ON p.row = floor(fr) AND p.col = floor(fc)"""))
+ZOOM = 7
+
+
+def numbers(s, d):
+    """Three bands as whole numbers, which are stretched by their percentiles."""
+    return V.grid_bands(s, d).select("row", "col", *(F.expr(f"round({b} * 4000) + 100").alias(b) for b in ("b3", "b2", "b1")))
+
+
+def tiled(s, d):
+    return T.render(numbers(s, d), ["b3", "b2", "b1"], W.Grid("EPSG:4326", WEST, NORTH, STEP, STEP, V.GRID, height(s, d)), ZOOM).drop("rgba")
+
+
+SHOWN = ", ".join(f"sum(floor(greatest(least(({b} - lo_{b}) / (hi_{b} - lo_{b}) * 255, 255), 0)))::BIGINT AS {c}" for b, c in (("b3", "red"), ("b2", "green"), ("b1", "blue")))
+PIXELS = 256 << ZOOM
+register("render_tiles", tiled, over(f""", n AS (SELECT row, col, {", ".join(f"round({b} * 4000) + 100 AS {b}" for b in ("b3", "b2", "b1"))} FROM grid_bands), q AS (SELECT {", ".join(f"quantile_cont({b}, 0.02) AS lo_{b}, quantile_cont({b}, 0.98) AS hi_{b}" for b in ("b3", "b2", "b1"))} FROM n),
+ gx AS (SELECT i AS gx, floor(((i + 0.5::DOUBLE) / {PIXELS} * 360 - 180 - {WEST}::DOUBLE) / {STEP}::DOUBLE) AS col FROM range({PIXELS}) a(i)), gy AS (SELECT i AS gy, floor(({NORTH}::DOUBLE - degrees(atan(sinh(pi() * (1 - 2 * (i + 0.5::DOUBLE) / {PIXELS}))))) / {STEP}::DOUBLE) AS row FROM range({PIXELS}) a(i))
+ SELECT gx // 256 AS x, gy // 256 AS y, count(*) AS opaque, {SHOWN} FROM n JOIN gx USING (col) JOIN gy USING (row), q GROUP BY 1, 2""", "grid_bands"))

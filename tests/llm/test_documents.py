@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from orbweave.llm import attention, chunked_bpe, lm_score, merkle, minhash, packing, recompress, toxicity
 from orbweave.llm.subwords import byte_bpe, default_tokenizer
 
+from .conftest import prose
+
 
 def rows_of(docs):
     return [(r.doc_id, r.text or "") for r in docs.collect()]

@@ -103,3 +103,24 @@ def test_control_points(spark):
     assert (grid.width, grid.height) == (4, 5) and {(r.row, r.col): r.value for r in turned.collect()}[0, 0] == 4.0
     with pytest.raises(ValueError):
         W.correct(pixels, "v", (1.0, 1.0, 0.0, 1.0, 1.0, 0.0), 4, 5, "EPSG:3857")
+
+
+def test_tiles(spark):
+    from orbweave.operators import tiles as T
+
+    source = W.Grid("EPSG:3857", 0.0, T.EDGE, T.EDGE / 256, T.EDGE / 256, 256, 512)  # the eastern half of the world, two tiles of zoom 1
+    rows = [(r, c, float(r % 2), float(c), 0.5) for r in range(512) for c in range(0, 256, 2)]
+    df = spark.createDataFrame(rows, "row long, col long, mask double, dn double, index double")
+    got = {(r.x, r.y): r for r in T.render(df, ["mask"], source, 1).collect()}
+    assert got.keys() == {(1, 0), (1, 1)}
+    image = np.frombuffer(got[1, 0].rgba, np.uint8).reshape(256, 256, 4)
+    assert got[1, 0].opaque == 256 * 128 and set(image[..., 3].ravel().tolist()) == {0, 255} and not image[image[..., 3] == 0].any()
+    assert set(image[1, ::2, 0].tolist()) == {255} and set(image[0, ::2, 0].tolist()) == {0} and (image[..., 0] == image[..., 2]).all()
+    stretched = np.frombuffer(T.render(df, ["dn", "mask", "index"], source, 1).filter("y = 0").first().rgba, np.uint8).reshape(256, 256, 4)
+    low, high = np.quantile([float(c) for c in range(0, 256, 2)] * 512, [0.02, 0.98])
+    assert stretched[0, 100, 0] == int((100 - low) / (high - low) * 255) and stretched[0, 0, 0] == 0 and stretched[0, 254, 0] == 255
+    index = np.frombuffer(T.render(df, ["index"], source, 1).first().rgba, np.uint8).reshape(256, 256, 4)
+    assert index[0, 0, 0] == int(0.75 * 255)
+    assert T.render(df.limit(0), ["dn"], source, 1).count() == 0
+    with pytest.raises(ValueError):
+        T.render(df, [], source, 1)
