@@ -47,3 +47,13 @@ def merge(sources: list[tuple[DataFrame, int]]) -> DataFrame:
     stack = reduce(DataFrame.unionByName, shifted)
     valid = stack.filter("value is not null").groupBy("row", "col").agg(F.count_distinct("source").alias("n")).filter(F.col("n") == len(sources))
     return stack.join(valid, ["row", "col"], "left_semi").drop("source")
+
+
+def stack_bands(scenes: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(row, col, band, value) of the named bands of several rasters on one grid, numbered on from raster to raster."""
+    parts, before = [], 0
+    for pixels, bands in scenes:
+        pairs = ", ".join(f"{before + i + 1}, {b}" for i, b in enumerate(bands))
+        parts.append(pixels.select("row", "col", F.expr(f"stack({len(bands)}, {pairs}) as (band, value)")))
+        before += len(bands)
+    return reduce(DataFrame.unionByName, parts)

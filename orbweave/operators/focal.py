@@ -6,9 +6,13 @@ Grid edges are known from the extent; a NULL or missing neighbour inside the ext
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def shifted(df: DataFrame, value: str, dr: int, dc: int, name: str) -> DataFrame:
@@ -16,14 +20,60 @@ def shifted(df: DataFrame, value: str, dr: int, dc: int, name: str) -> DataFrame
     return df.select((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col(value).alias(name))
 
 
-def with_neighbours(df: DataFrame, value: str, offsets: dict[str, tuple[int, int]]) -> DataFrame:
-    """Columns for the values at offsets: every pixel sends its value to the pixels that look at it, one shuffle in all."""
-    sent = F.array(*(F.struct(F.lit(n).alias("n"), (F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.col(value).alias("v")) for n, (dr, dc) in offsets.items()))
-    own = F.struct(F.lit("self").alias("n"), F.col("row").alias("row"), F.col("col").alias("col"), F.col(value).alias("v"))
-    flat = df.select(F.explode(F.concat(F.array(own), sent)).alias("s")).select("s.*")
-    pick = lambda n: F.max(F.when(F.col("n") == n, F.col("v")))
-    g = flat.groupBy("row", "col").agg(F.bool_or(F.col("n") == "self").alias("here"), pick("self").alias(value), *(pick(n).alias(n) for n in offsets))
-    return g.filter("here").drop("here")
+#: Side of the blocks that neighbourhood operators work on: a pixel travels once for each block that sees it.
+BLOCK = 256
+
+
+def on_pixels(df: DataFrame, columns: list[str], half: int, make: Callable, made: list[StructField], block: int = BLOCK) -> DataFrame:
+    """(row, col, columns, made) of every pixel, worked out block by block with `half` more pixels on each side.
+
+    make(table, dense, r, c) gets a block's rows, their numbers on a dense frame (-1: no pixel), and the frame's rows and columns of
+    the block's own pixels; it returns the made columns as a dict of Arrow arrays for these pixels.
+    """
+    if half > block:
+        raise ValueError("a halo is at most a block wide")
+    sees = lambda at: F.explode(F.array_distinct(F.array(*(F.expr(f"floor(({at} + {d}) / {block})") for d in ((-half, 0, half) if half else (0,))))))
+    sent = df.select("row", "col", *columns, sees("row").alias("_br")).withColumn("_bc", sees("col"))
+    kept = ["row", "col", *columns]
+
+    def run(part: pa.Table) -> pa.Table:
+        row, col = (part.column(x).to_numpy().astype(np.int64) for x in ("row", "col"))
+        br, bc = part.column("_br")[0].as_py(), part.column("_bc")[0].as_py()
+        r, c = row - br * block + half, col - bc * block + half
+        dense = np.full((block + 2 * half, block + 2 * half), -1, np.int64)
+        dense[r, c] = np.arange(len(r))
+        own = (row // block == br) & (col // block == bc)
+        table = pa.table({x: part.column(x).combine_chunks() for x in kept})
+        mine = table.filter(pa.array(own))
+        return pa.table({x: mine.column(x) for x in kept} | make(table, dense, r[own], c[own]))
+
+    schema = StructType([*(df.schema[x] for x in kept), *made])
+    return sent.groupBy("_br", "_bc").applyInArrow(run, schema)
+
+
+def numbers_on(table: pa.Table, column: str, dense: np.ndarray) -> np.ndarray:
+    """A column on the dense frame as doubles, NaN where there is no value."""
+    values = np.append(table.column(column).to_numpy(zero_copy_only=False).astype(float), np.nan)
+    return values[dense]
+
+
+def window_sums(a: np.ndarray, r: np.ndarray, c: np.ndarray, rows: tuple[int, int], cols: tuple[int, int]) -> np.ndarray:
+    """Sums of a over rows r + rows[0] to r + rows[1] and the like columns."""
+    total = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
+    total[1:, 1:] = a.cumsum(axis=0).cumsum(axis=1)
+    r0, r1, c0, c1 = r + rows[0], r + rows[1] + 1, c + cols[0], c + cols[1] + 1
+    return total[r1, c1] - total[r0, c1] - total[r1, c0] + total[r0, c0]
+
+
+def with_neighbours(df: DataFrame, value: str, offsets: dict[str, tuple[int, int]], block: int = BLOCK) -> DataFrame:
+    """Columns for the values at offsets, NULL where there is no pixel."""
+
+    def make(table: pa.Table, dense: np.ndarray, r: np.ndarray, c: np.ndarray) -> dict:
+        at = {n: dense[r + dr, c + dc] for n, (dr, dc) in offsets.items()}
+        return {n: table.column(value).take(pa.array(np.maximum(i, 0), mask=i < 0)) for n, i in at.items()}
+
+    half = max(abs(d) for pair in offsets.values() for d in pair)
+    return on_pixels(df, [value], half, make, [StructField(n, df.schema[value].dataType) for n in offsets], block)
 
 
 FOUR = {"up": (-1, 0), "down": (1, 0), "left": (0, -1), "right": (0, 1)}
@@ -79,13 +129,20 @@ def local_statistics(df: DataFrame, value: str, half: int = 1) -> DataFrame:
     return b.select("row", "col", (F.col("s") / F.col("n")).alias("mean"), variance.alias("variance"), F.sqrt(variance).alias("std"), (F.col("hi") - F.col("lo")).alias("range"))
 
 
-def convolve(df: DataFrame, value: str, kernel: list[list[float]]) -> DataFrame:
-    """Sum of kernel times value over the pixels that exist; the kernel (small) is a literal, not a join."""
+def convolve(df: DataFrame, value: str, kernel: list[list[float]], block: int = BLOCK) -> DataFrame:
+    """Sum of kernel times value over the pixels that have one; NULL where the kernel meets none."""
     h, w = len(kernel) // 2, len(kernel[0]) // 2
     cells = [(i - h, j - w, k) for i, line in enumerate(kernel) for j, k in enumerate(line) if k]
-    sent = F.array(*(F.struct((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), (F.col(value) * k).alias("v")) for dr, dc, k in cells))
-    summed = df.select(F.explode(sent).alias("s")).select("s.*").groupBy("row", "col").agg(F.sum("v").alias("value"))
-    return df.select("row", "col").join(summed, ["row", "col"])
+
+    def make(table: pa.Table, dense: np.ndarray, r: np.ndarray, c: np.ndarray) -> dict:
+        a, total, met = numbers_on(table, value, dense), np.zeros(len(r)), np.zeros(len(r), bool)
+        for dr, dc, k in cells:
+            v = a[r + dr, c + dc]
+            met |= ~np.isnan(v)
+            total += k * np.nan_to_num(v)
+        return {"value": pa.array(total, mask=~met)}
+
+    return on_pixels(df, [value], max(h, w), make, [StructField("value", DoubleType())], block).select("row", "col", "value")
 
 
 def gaussian_kernel(sigma: float, radius: int) -> list[list[float]]:
@@ -125,14 +182,19 @@ def glcm(levels: DataFrame, half: int = 1, dr: int = 0, dc: int = 1) -> DataFram
     return both.select("row", "col", (F.col("c") / F.col("n")).alias("contrast"), (F.col("d") / F.col("n")).alias("dissimilarity"), (F.col("h") / F.col("n")).alias("homogeneity"))
 
 
-def local_entropy(levels: DataFrame, half: int = 1) -> DataFrame:
-    """Entropy (natural log) of the levels in each window: a pixel is sent to the windows that hold it."""
-    spread = [(i, j) for i in range(-half, half + 1) for j in range(-half, half + 1)]
-    sent = F.array(*(F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i, j in spread))
-    counts = levels.select(F.explode(sent).alias("w"), "level").groupBy("w.row", "w.col", "level").count()
-    n, nlogn = F.sum("count"), F.sum(F.col("count") * F.log("count"))
-    entropy = counts.groupBy("row", "col").agg((F.log(n) - nlogn / n).alias("entropy"))
-    return levels.select("row", "col").join(entropy, ["row", "col"])
+def local_entropy(levels: DataFrame, half: int = 1, block: int = BLOCK) -> DataFrame:
+    """Entropy (natural log) of the levels in each window."""
+
+    def make(table: pa.Table, dense: np.ndarray, r: np.ndarray, c: np.ndarray) -> dict:
+        a = numbers_on(table, "level", dense)
+        counts = [window_sums(a == v, r, c, (-half, half), (-half, half)) for v in np.unique(a[~np.isnan(a)])]
+        n = sum(counts, np.zeros(len(r)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bits = sum((np.where(k > 0, k * np.log(np.maximum(k, 1)), 0) for k in counts), np.zeros(len(r)))
+            return {"entropy": pa.array(np.log(n) - bits / n, mask=n == 0)}
+
+    found = on_pixels(levels, ["level"], half + 1, make, [StructField("entropy", DoubleType())], block)
+    return found.select("row", "col", "entropy")
 
 
 def focal_sum(columns: list[Column]) -> Column:

@@ -42,8 +42,11 @@ def scores_to_labels(scores: DataFrame) -> DataFrame:
     return scores.groupBy("row", "col").agg((F.max_by("channel", F.struct("score", -F.col("channel"))) + 1).alias("label"))
 
 
-def kernel_svm(rows: DataFrame, vector: str, label: str, features: int = 64, gamma: float = 0.5, seed: int = 42) -> DataFrame:
-    """Predictions of one linear machine for each label on random Fourier features of an RBF kernel (an approximation)."""
+def kernel_svm(rows: DataFrame, vector: str, label: str, features: int = 64, gamma: float = 0.5, seed: int = 42, samples: DataFrame | None = None) -> DataFrame:
+    """Predictions of one linear machine for each label on random Fourier features of an RBF kernel (an approximation).
+
+    Trained on samples, or on the rows themselves where there are none.
+    """
     dim = rows.select(F.size(vector).alias("n")).first()
     rng = np.random.default_rng(seed)
     weights, shift = rng.normal(0, (2 * gamma) ** 0.5, (features, dim[0] if dim else 1)), rng.uniform(0, 2 * np.pi, features)
@@ -51,6 +54,7 @@ def kernel_svm(rows: DataFrame, vector: str, label: str, features: int = 64, gam
         F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in w)).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, shift, strict=True))),
         lambda t: F.cos(F.aggregate(F.zip_with(t["w"], F.col(vector), lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x) + t["b"]),
     )
-    rows = stored(rows.withColumn("mapped", mapped), "svm").withColumn("features", array_to_vector(F.col("mapped")))
-    model = OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), labelCol=label, parallelism=4).fit(rows)
+    of = lambda df: stored(df.withColumn("mapped", mapped), "svm").withColumn("features", array_to_vector(F.col("mapped")))
+    rows = of(rows)
+    model = OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), labelCol=label, parallelism=4).fit(rows if samples is None else of(samples))
     return model.transform(rows).drop("features", "mapped", "rawPrediction")

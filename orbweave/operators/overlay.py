@@ -144,3 +144,43 @@ def clip_report(subjects: DataFrame, clipped: DataFrame, key: str = "zone_id") -
     left = clipped.select(F.col(key).alias("left_key")).distinct()
     met = subjects.select(key).join(left, F.col(key) == F.col("left_key"), "left")
     return met.agg(F.count("*").alias("features"), F.count("left_key").alias("kept"), F.count_if(F.col("left_key").isNull()).alias("dropped"))
+
+
+def along_cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: Column) -> Column:
+    """The cells (cx, cy) that a side passes: for each row of cells those between where it enters and leaves the row."""
+    low, high = F.least(y0, y1), F.greatest(y0, y1)
+
+    def row(cy: Column) -> Column:
+        at = lambda y: F.when(y1 == y0, F.lit(None).cast("double")).otherwise(x0 + (F.greatest(F.least(y, high), low) - y0) / (y1 - y0) * (x1 - x0))
+        a, b = F.coalesce(at(cy * cell), x0), F.coalesce(at((cy + 1) * cell), x1)
+        # A little wider, so rounding never loses a cell.
+        return F.transform(F.sequence(F.floor(F.least(a, b) / cell - 1e-9), F.floor(F.greatest(a, b) / cell + 1e-9)), lambda cx: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(F.floor(low / cell - 1e-9), F.floor(high / cell + 1e-9)), row))
+
+
+def validity(polygons: DataFrame, key: str) -> DataFrame:
+    """(key, valid, reason) of polygons(key, rings): closed rings of four points at least, no two sides of which cross.
+
+    Sides meet in cells of their polygon's own grid, so a ring of many short sides costs about its length; sides of different
+    rings of a polygon are held against each other too. Keys must differ. No rings, or a null among the coordinates, is not valid.
+    """
+    bad = lambda r: (F.size(r) < 4) | F.exists(r, lambda p: p["x"].isNull() | p["y"].isNull())
+    short = F.coalesce(F.size("rings") < 1, F.lit(True)) | F.exists("rings", lambda r: r.isNull() | F.coalesce(bad(r), F.lit(True)))
+    open_ = F.exists("rings", lambda r: F.element_at(r, 1) != F.element_at(r, -1))
+    first = polygons.select(key, "rings", F.when(short, "too few points").when(open_, "not closed").alias("reason"))
+    sound = first.filter("reason is null")
+    every = F.flatten("rings")
+    xs, ys = F.transform(every, lambda p: p["x"]), F.transform(every, lambda p: p["y"])
+    extent = F.greatest(F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys), F.lit(1e-9))
+    grid = sound.select(key, "rings", F.array_min(xs).alias("ox"), F.array_min(ys).alias("oy"), (extent / F.ceil(F.sqrt(F.size(every) / 2))).alias("cell"))
+    s = grid.select(key, "ox", "oy", "cell", F.posexplode("rings").alias("ring", "points"))
+    s = s.select(key, "ox", "oy", "cell", "ring", F.posexplode(F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("p"), F.slice("points", 2, F.size("points") - 1).alias("q"))).alias("i", "s"))
+    s = s.select(key, "cell", F.struct("ring", "i").alias("at"), *((F.col(f"s.{p}.{c}") - F.col(f"o{c}")).alias(f"{c}{n}") for n, p in enumerate("pq") for c in "xy"))
+    s = s.withColumn("c", F.explode(along_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.col("cell")))).drop("cell")
+    t = s.select(F.col(key).alias("_key"), F.col("c").alias("_c"), F.col("at").alias("_at"), *(F.col(f"{c}{n}").alias(f"_{c}{n}") for n in (0, 1) for c in "xy"))
+    met = s.join(t, (F.col(key) == F.col("_key")) & (F.col("c") == F.col("_c")) & (F.col("at") < F.col("_at")))
+    turn = lambda o, p, k: F.signum((F.col(f"{o}x1") - F.col(f"{o}x0")) * (F.col(f"{p}y{k}") - F.col(f"{o}y0")) - (F.col(f"{o}y1") - F.col(f"{o}y0")) * (F.col(f"{p}x{k}") - F.col(f"{o}x0")))
+    crossing = met.filter((turn("_", "", 0) * turn("_", "", 1) < 0) & (turn("", "_", 0) * turn("", "_", 1) < 0)).select(F.col(key).alias("_key")).distinct()
+    found = first.join(crossing, F.col(key) == F.col("_key"), "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_key").isNotNull(), "sides cross")))
+    return found.select(key, F.col("reason").isNull().alias("valid"), "reason")

@@ -10,9 +10,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField
 
-from .focal import gradient, with_neighbours
+from .focal import BLOCK as FOCAL_BLOCK, gradient, numbers_on, on_pixels, window_sums
 
 BLOCK = 128
 
@@ -109,29 +111,49 @@ def median_labels(df: DataFrame, label: str, height: int, width: int, half: int
     return on_blocks(df, label, half, work, height, width, "symmetric").select("row", "col", F.col("value").cast("int").alias("label"))
 
 
-def _pairs(levels: DataFrame, half: int, dr: int, dc: int) -> DataFrame:
-    """(row, col, a, b): each pair of levels at the offset, once for each window that holds both its pixels."""
-    pair = with_neighbours(levels, "level", {"other": (dr, dc)}).filter("other is not null").select("row", "col", F.col("level").alias("a"), F.col("other").alias("b"))
-    at = lambda c, d: F.explode(F.sequence(F.col(c) + (max(d, 0) - half), F.col(c) + (min(d, 0) + half)))
-    sent = pair.select("col", "a", "b", at("row", dr).alias("row")).select("row", "a", "b", at("col", dc).alias("col"))
-    return sent.join(levels.select("row", "col"), ["row", "col"], "left_semi")
+def _pair_windows(levels: DataFrame, half: int, dr: int, dc: int, columns: list[str], work: Callable, block: int) -> DataFrame:
+    """work(a, b, here, sums) of each window's level pairs at an offset whose both pixels lie in the window; sums adds up over windows."""
+    # First pixels of such pairs lie in a window that is shorter by the offset.
+    rows, cols = (-half + max(0, -dr), half - max(0, dr)), (-half + max(0, -dc), half - max(0, dc))
+    reach = max(abs(dr), abs(dc))
 
+    def make(table: pa.Table, dense: np.ndarray, r: np.ndarray, c: np.ndarray) -> dict:
+        a = np.pad(numbers_on(table, "level", dense), reach, constant_values=np.nan)
+        b = a[reach + dr : a.shape[0] - reach + dr, reach + dc : a.shape[1] - reach + dc]
+        a = a[reach : a.shape[0] - reach, reach : a.shape[1] - reach]
+        here = ~np.isnan(a) & ~np.isnan(b)
+        a, b = np.where(here, a, 0), np.where(here, b, 0)
+        found = work(a, b, here, lambda x: np.round(window_sums(x, r, c, rows, cols), 9))
+        none = window_sums(here, r, c, rows, cols) < 0.5
+        return {n: pa.array(v, mask=none) for n, v in found.items()}
 
-def glcm_histogram(levels: DataFrame, half: int = 1, dr: int = 0, dc: int = 1) -> DataFrame:
+    found = on_pixels(levels, ["level"], half + reach + 1, make, [StructField(n, DoubleType()) for n in columns], block)
+    return found.select("row", "col", *columns).filter(F.col(columns[0]).isNotNull())
+
+
+def glcm_histogram(levels: DataFrame, half: int = 1, dr: int = 0, dc: int = 1, block: int = FOCAL_BLOCK) -> DataFrame:
     """Angular second moment, energy and entropy (natural log) of the level pairs in each window."""
-    counts = _pairs(levels, half, dr, dc).groupBy("row", "col", "a", "b").count()
-    n = F.sum("count")
-    asm = F.sum(F.col("count") * F.col("count")) / (n * n)
-    return counts.groupBy("row", "col").agg(asm.alias("asm"), F.sqrt(asm).alias("energy"), (F.log(n) - F.sum(F.col("count") * F.log("count")) / n).alias("entropy"))
 
+    def work(a: np.ndarray, b: np.ndarray, here: np.ndarray, sums: Callable) -> dict:
+        code = np.where(here, a * (b.max(initial=0) + 1) + b, -1)
+        counts = [sums(code == v) for v in np.unique(code[here])] or [sums(here)]
+        n = np.maximum(sum(counts), 1)
+        asm = sum(k * k for k in counts) / (n * n)
+        return {"asm": asm, "energy": np.sqrt(asm), "entropy": np.log(n) - sum(k * np.log(np.maximum(k, 1)) for k in counts) / n}
+
+    return _pair_windows(levels, half, dr, dc, ["asm", "energy", "entropy"], work, block)
 
-def glcm_correlation(levels: DataFrame, half: int = 1, dr: int = 0, dc: int = 1) -> DataFrame:
+
+def glcm_correlation(levels: DataFrame, half: int = 1, dr: int = 0, dc: int = 1, block: int = FOCAL_BLOCK) -> DataFrame:
     """Correlation of the level pairs in each window, 0 where a side does not vary."""
-    a, b, n = F.col("a"), F.col("b"), F.count("*")
-    mean = lambda x: F.sum(x) / n
-    spread = F.sqrt(F.greatest(mean(a * a) - mean(a) * mean(a), F.lit(0.0)) * F.greatest(mean(b * b) - mean(b) * mean(b), F.lit(0.0)))
-    value = F.when(spread > 1e-12, (mean(a * b) - mean(a) * mean(b)) / spread).otherwise(0.0)
-    return _pairs(levels, half, dr, dc).groupBy("row", "col").agg(value.alias("correlation"))
+
+    def work(a: np.ndarray, b: np.ndarray, here: np.ndarray, sums: Callable) -> dict:
+        n = np.maximum(sums(here), 1)
+        ma, mb = sums(a) / n, sums(b) / n
+        spread = np.sqrt(np.maximum(sums(a * a) / n - ma * ma, 0) * np.maximum(sums(b * b) / n - mb * mb, 0))
+        return {"correlation": np.where(spread > 1e-12, (sums(a * b) / n - ma * mb) / np.maximum(spread, 1e-12), 0.0)}
+
+    return _pair_windows(levels, half, dr, dc, ["correlation"], work, block)
 
 
 def curvature(df: DataFrame, value: str, height: int, width: int, cell: float = 1.0) -> DataFrame:

@@ -63,14 +63,27 @@ def ring_bounds(ring: Column) -> Column:
     return F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 
 
-def points_in_zones(points: DataFrame, zones: DataFrame, cell: float = 8.0) -> DataFrame:
-    """(point columns, zone_id) of points (x, y) inside zones (zone_id, ring): cells are hashed, then tested exactly."""
+def points_in_zones(points: DataFrame, zones: DataFrame, depth: int = 3) -> DataFrame:
+    """(point columns, zone_id) of points (x, y) inside zones (zone_id, ring).
+
+    A zone is cut into cells of its own size's order, at most (2**depth + 1)**2 of them whatever its size; points are looked up
+    at each cell size in use. Cells carry bounds only: rings come back by id for the points that their bounds hold.
+    A null ring holds nothing; rows of one zone_id are zones of their own.
+    """
     b = ring_bounds(F.col("ring"))
-    z = zones.select("zone_id", "ring", b.alias("b"))
-    spans = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    z = z.select("zone_id", "ring", "b", spans("b.xmin", "b.xmax").alias("cx")).select("zone_id", "ring", "cx", spans("b.ymin", "b.ymax").alias("cy"))
-    p = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    return p.join(z, ["cx", "cy"]).filter(point_in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("cx", "cy", "ring")
+    z = zones.filter("ring is not null").select("zone_id", F.xxhash64("ring").alias("_ring"), b.alias("_b"))
+    side = F.greatest(F.col("_b.xmax") - F.col("_b.xmin"), F.col("_b.ymax") - F.col("_b.ymin"), F.lit(1e-9))
+    z = z.withColumn("_level", F.ceil(F.log2(side)).cast("int") - depth)
+    levels = [r[0] for r in z.select("_level").distinct().collect()] or [0]  # powers of two: a few dozen at most
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    spans = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    z = z.withColumn("_cx", spans("_b.xmin", "_b.xmax")).withColumn("_cy", spans("_b.ymin", "_b.ymax"))
+    p = points.withColumn("_level", F.explode(F.array(*(F.lit(x) for x in levels))))
+    p = p.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
+    met = p.join(z, ["_level", "_cx", "_cy"]).filter("x between _b.xmin and _b.xmax and y between _b.ymin and _b.ymax").drop("_level", "_cx", "_cy", "_b")
+    rings = zones.select("zone_id", F.xxhash64("ring").alias("_ring"), F.col("ring").alias("_points")).dropDuplicates(["zone_id", "_ring"])
+    found = met.join(rings, ["zone_id", "_ring"]).filter(point_in_ring(F.col("x"), F.col("y"), F.col("_points")))
+    return found.select(*points.columns, "zone_id")
 
 
 def rasterize(zones: DataFrame, value: str) -> DataFrame:

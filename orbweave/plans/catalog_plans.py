@@ -31,8 +31,8 @@ META = r"""SELECT scene_id, bands, lon, lat, coalesce(st, tg, se, la, ge) AS acq
   CASE WHEN file_name LIKE 'scene-%' THEN strptime(substr(file_name, 7, 10), '%Y-%m-%d') END AS ge FROM scenes)"""
 register("temporal_metadata_resolve", lambda s, d: texts(C.metadata(scenes(s, d)), "acquired_at"), over(f", m AS ({META}) SELECT scene_id, strftime(acquired_at, '%Y-%m-%d %H:%M:%S') AS acquired_at, source, confidence, platform, processing_level, tile_id FROM m"))
 register("meta_from_filename", lambda s, d: C.metadata(scenes(s, d).withColumns({"stac": F.lit(None).cast("string"), "tag_date": F.lit(None).cast("string")})).select("scene_id", "source", F.date_format("acquired_at", "yyyy-MM-dd HH:mm:ss").alias("acquired_at")), over(f", m AS ({META.replace('FROM scenes)', 'FROM (SELECT * REPLACE (NULL::VARCHAR AS stac, NULL::VARCHAR AS tag_date) FROM scenes))')}) SELECT scene_id, source, strftime(acquired_at, '%Y-%m-%d %H:%M:%S') AS acquired_at FROM m"))
-register("meta_from_stac", lambda s, d: scenes(s, d).filter("stac is not null").select("scene_id", F.get_json_object("stac", "$.properties.platform").alias("platform")), over("SELECT scene_id, json_extract_string(stac, '$.properties.platform') AS platform FROM scenes WHERE stac IS NOT NULL"))
-register("meta_from_tags", lambda s, d: scenes(s, d).filter("tag_date is not null").select("scene_id", C.parse_date(F.col("tag_date")).cast("string").alias("acquired_on")), over("SELECT scene_id, tag_date::DATE::VARCHAR AS acquired_on FROM scenes WHERE tag_date IS NOT NULL"))
+register("meta_from_stac", lambda s, d: scenes(s, d).select("scene_id", F.get_json_object("stac", "$.properties.platform").alias("platform")), over("SELECT scene_id, json_extract_string(stac, '$.properties.platform') AS platform FROM scenes"))
+register("meta_from_tags", lambda s, d: scenes(s, d).select("scene_id", C.parse_date(F.col("tag_date")).cast("string").alias("acquired_on")), over("SELECT scene_id, tag_date::DATE::VARCHAR AS acquired_on FROM scenes"))
 
 
 def candidates(spark, d):
@@ -78,3 +78,11 @@ register("workspace_inventory", lambda s, d: V.read(s, d, "region").join(V.read(
 register("layers_by_project", lambda s, d: V.read(s, d, "nation").groupBy(F.col("n_regionkey").alias("project_id")).agg(F.count("*").alias("layers")), "SELECT n_regionkey AS project_id, count(*) AS layers FROM nation GROUP BY 1")
 register("layer_cascade_delete", lambda s, d: V.features(s, d).join(V.read(s, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("layer_id")), "layer_id", "left_anti").groupBy("layer_id").count(), "SELECT c_nationkey::BIGINT AS layer_id, count(*) AS count FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1")
 register("write_table_safe", lambda s, d: V.features(s, d).select("feature_id", C.spreadsheet_safe(F.when(F.col("feature_id") % 2 == 0, F.concat(F.lit("="), "name")).otherwise(F.col("name"))).alias("cell")), V.with_views("SELECT feature_id, CASE WHEN feature_id % 2 = 0 THEN '''=' || name ELSE name END AS cell FROM features", "features"))
+
+#: Edits of scenes, layers and fields: a given value wins, a missing one leaves the row's own.
+scene_edits = lambda s, d: scenes(s, d).filter("scene_id % 10 in (0, 1)").selectExpr("scene_id", "if(scene_id % 10 = 0, 'moved', null) as bundle_id", "concat('renamed-', scene_id, '.tif') as file_name")
+register("scene_update", lambda s, d: C.apply_edits(scenes(s, d).select("scene_id", "file_name", "bundle_id", "bands"), scene_edits(s, d), "scene_id"), over("SELECT scene_id, CASE WHEN scene_id % 10 IN (0, 1) THEN 'renamed-' || scene_id || '.tif' ELSE file_name END AS file_name, CASE WHEN scene_id % 10 = 0 THEN 'moved' ELSE bundle_id END AS bundle_id, bands FROM scenes"))
+layers = lambda s, d: V.read(s, d, "nation").selectExpr("cast(n_nationkey as long) as layer_id", "n_name as name", "cast(n_regionkey as long) as project_id")
+register("layer_update", lambda s, d: C.apply_edits(layers(s, d), layers(s, d).filter("layer_id % 4 = 0").selectExpr("layer_id", "concat(lower(name), ' layer') as name", "if(layer_id % 8 = 0, 0L, null) as project_id"), "layer_id"), "SELECT n_nationkey::BIGINT AS layer_id, CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) || ' layer' ELSE n_name END AS name, CASE WHEN n_nationkey % 8 = 0 THEN 0 ELSE n_regionkey END::BIGINT AS project_id FROM nation")
+fields = lambda s, d: V.read(s, d, "part").selectExpr("p_partkey as field_id", "p_name as name", "p_brand as alias", "p_size as position")
+register("field_update", lambda s, d: C.apply_edits(fields(s, d), fields(s, d).filter("position > 40").selectExpr("field_id", "upper(alias) as alias", "if(position > 45, 0, null) as position"), "field_id"), "SELECT p_partkey AS field_id, p_name AS name, CASE WHEN p_size > 40 THEN upper(p_brand) ELSE p_brand END AS alias, CASE WHEN p_size > 45 THEN 0 ELSE p_size END AS position FROM part")

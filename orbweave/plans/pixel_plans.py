@@ -153,3 +153,4 @@ register("merge_bands", lambda s, d: change.merge([(V.grid_t1(s, d).select("row"
 register("zero_background_filter", lambda s, d: V.grid_bands(s, d).select("row", "col", F.when((at.b1 == 0) | F.isnan(at.b1), None).otherwise(at.b1).alias("value")), V.with_views("SELECT row, col, nullif(b1, 0) AS value FROM grid_bands", "grid_bands"))
 register("pixel_validity_union", lambda s, d: S.long_bands(V.grid_bands(s, d), ["b1", "b3"]).groupBy("row", "col").agg(F.bool_or(F.col("value") != 0).alias("valid")), V.with_views("SELECT row, col, (b1 <> 0 OR b3 <> 0) AS valid FROM grid_bands", "grid_bands"))
 register("write_pixels", lambda s, d: V.grid_bands(s, d).select("row", "col", F.coalesce(F.nullif(at.b1, F.lit(0.0)), F.lit(-9999.0)).cast("float").alias("value")), V.with_views("SELECT row, col, coalesce(nullif(b1, 0), -9999)::FLOAT AS value FROM grid_bands", "grid_bands"))
+register("union_band_stack", lambda s, d: change.stack_bands([(V.grid_t1(s, d), ["b1", "b4"]), (V.grid_t2(s, d), ["b1", "b4", "b5"])]), V.with_views("SELECT row, col, 1 AS band, b1 AS value FROM grid_t1 UNION ALL SELECT row, col, 2, b4 FROM grid_t1 UNION ALL SELECT row, col, 3, b1 FROM grid_t2 UNION ALL SELECT row, col, 4, b4 FROM grid_t2 UNION ALL SELECT row, col, 5, b5 FROM grid_t2", "grid_t1", "grid_t2"))

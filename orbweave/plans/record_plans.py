@@ -92,7 +92,7 @@ FIELDS = "SELECT p_size AS owner, p_name AS field_name, p_partkey % 7 AS field_o
 register("fields_in_order", lambda s, d: K.fields_in_order(fields(s, d).dropDuplicates(["owner", "field_name"]).select("owner", "field_name").withColumn("field_order", F.length("field_name")), "owner").select("owner", "field_name", "place"), f"WITH f AS ({FIELDS}), u AS (SELECT DISTINCT owner, field_name FROM f) SELECT owner, field_name, row_number() OVER (PARTITION BY owner ORDER BY length(field_name), field_name)::INTEGER AS place FROM u")
 register("field_create_guard", lambda s, d: K.accepted_fields(fields(s, d).filter("place % 4 = 0"), fields(s, d).filter("place % 4 <> 0").select("owner", "field_name", "place"), "owner").select("place", "accepted"), f"WITH f AS ({FIELDS}), n AS (SELECT *, row_number() OVER (PARTITION BY owner, field_name ORDER BY place) AS nth FROM f WHERE place % 4 <> 0) SELECT place, nth = 1 AND NOT EXISTS (SELECT 1 FROM f WHERE f.place % 4 = 0 AND f.owner = n.owner AND f.field_name = n.field_name) AS accepted FROM n")
 register("field_delete_guard", lambda s, d: K.removable_fields(fields(s, d)).select("place", "removable"), f"SELECT place, NOT is_system AS removable FROM ({FIELDS})")
-register("sample_rows", lambda s, d: V.read(s, d, "embeddings").orderBy(F.xxhash64("vec_id", F.lit(42)), "vec_id").limit(200).select("vec_id", "label"))
+register("sample_rows", lambda s, d: V.read(s, d, "embeddings").orderBy(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit(":42")).cast("binary")), "vec_id").limit(200).select("vec_id", "label"), "SELECT vec_id, label FROM embeddings ORDER BY md5(vec_id || ':42'), vec_id LIMIT 200")
 STAMP = "case scene_id % 5 when 0 then date_format(uploaded_at, 'yyyyMMdd') || 'T101112' when 1 then date_format(uploaded_at, 'yyyy-MM-dd') || 'T10:11:12Z' when 2 then date_format(uploaded_at, 'yyyy/MM/dd') when 3 then date_format(uploaded_at, 'yyyy:MM:dd') || ' 10:11:12' else 'soon' end"
 stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 register("parse_timestamp_utc", lambda s, d: V.scenes(s, d).select("scene_id", stamp(K.timestamp_utc(F.expr(STAMP))).alias("at")), over("SELECT scene_id, CASE WHEN scene_id % 5 = 4 THEN NULL ELSE strftime(uploaded_at, '%Y-%m-%d') || CASE WHEN scene_id % 5 = 2 THEN ' 00:00:00' ELSE ' 10:11:12' END END AS at FROM scenes", "scenes"))

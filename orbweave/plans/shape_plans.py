@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import resample as R, shapes as P, vector as X
+from ..operators.overlay import validity
 from . import views as V
 from .pixel_plans import at, rounded
 from .registry import register
@@ -40,7 +41,17 @@ def crooked(s, d):
     return v.select("zone_id", F.when(F.col("zone_id") % 3 == 0, bow).when(F.col("zone_id") % 7 == 0, F.slice(plain, 1, 4)).otherwise(plain).alias("ring"))
 
 
-register("geom_is_valid", lambda s, d: crooked(s, d).select("zone_id", P.ring_is_valid(F.col("ring")).alias("valid")), over("SELECT zone_id, zone_id % 3 <> 0 AND zone_id % 7 <> 0 AS valid FROM boxes", "boxes"))
+def with_holes(s, d):
+    """Crooked rings, every other one with a hole; every tenth hole sticks out of its polygon."""
+    p = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    v = V.boxes(s, d).selectExpr("zone_id", "c0 + w / 4D as x0", "r0 + h / 4D as y0", "c0 + w * if(zone_id % 10 = 0, 2, 0.5D) as x1", "r0 + h / 2D as y1")
+    hole = v.select(F.col("zone_id").alias("z"), F.array(p("x0", "y0"), p("x0", "y1"), p("x1", "y1"), p("x1", "y0"), p("x0", "y0")).alias("hole"))
+    rings = F.when(F.col("zone_id") % 2 == 0, F.array("ring", "hole")).otherwise(F.array("ring"))
+    return crooked(s, d).join(hole, F.col("zone_id") == F.col("z")).select("zone_id", rings.alias("rings"))
+
+
+register("geom_is_valid", lambda s, d: validity(crooked(s, d).select("zone_id", F.array("ring").alias("rings")), "zone_id").select("zone_id", "valid"), over("SELECT zone_id, zone_id % 3 <> 0 AND zone_id % 7 <> 0 AS valid FROM boxes", "boxes"))
+register("geom_is_valid_with_holes", lambda s, d: validity(with_holes(s, d), "zone_id"), over("SELECT zone_id, reason IS NULL AS valid, reason FROM (SELECT zone_id, CASE WHEN zone_id % 3 <> 0 AND zone_id % 7 = 0 THEN 'not closed' WHEN zone_id % 3 = 0 OR zone_id % 10 = 0 THEN 'sides cross' END AS reason FROM boxes)", "boxes"))
 kind = "CASE zone_id % 4 WHEN 0 THEN 'Polygon' WHEN 1 THEN 'Circle' WHEN 2 THEN 'MultiPoint' ELSE 'Curve' END"
 register("geom_type_guard", lambda s, d: V.boxes(s, d).select("zone_id", F.expr(kind).alias("kind")).withColumn("allowed", F.col("kind").isin(*P.TYPES)), over(f"SELECT zone_id, {kind} AS kind, zone_id % 2 = 0 AS allowed FROM boxes", "boxes"))
 

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import focal as N, gridgraph as G, learn, resample as R, transforms, vector as X
+from ..operators import focal as N, gridgraph as G, learn, resample as R, transforms, vector as X, warp as W
 from . import views as V
 from .pixel_plans import SIX, at, nd, rounded
 from .registry import register
@@ -44,7 +44,8 @@ local = lambda s, d: N.local_statistics(V.dem(s, d), "z").select("row", "col", *
 register("local_statistics", local, over(f"SELECT a.row, a.col, round(avg(b.z), 3) AS mean, round({VARIANCE}, 3) AS variance, round(sqrt({VARIANCE}), 3) AS std, max(b.z) - min(b.z) AS range {BOX.format(t='dem', h=1)}"))
 LAPLACE = [[0, 1, 0], [1, -4, 1], [0, 1, 0]]
 register("convolve2d", lambda s, d: N.convolve(V.dem(s, d), "z", LAPLACE), over(f"SELECT a.row, a.col, sum(CASE WHEN a.row = b.row AND a.col = b.col THEN -4 * b.z WHEN a.row = b.row OR a.col = b.col THEN b.z ELSE 0 END) AS value {BOX.format(t='dem', h=1)}"))
-register("gaussian_filter", lambda s, d: rounded(N.convolve(V.dem(s, d), "z", N.gaussian_kernel(2.0, 2)), "value"))
+BELL = ", ".join(f"({i - 2}, {j - 2}, {k!r}::DOUBLE)" for i, line in enumerate(N.gaussian_kernel(2.0, 2)) for j, k in enumerate(line))
+register("gaussian_filter", lambda s, d: rounded(N.convolve(V.dem(s, d), "z", N.gaussian_kernel(2.0, 2)), "value"), over(f", k AS (SELECT * FROM (VALUES {BELL}) t(i, j, k)) SELECT a.row, a.col, round(sum(k * b.z), 6) AS value FROM dem a CROSS JOIN k JOIN dem b ON b.row = a.row + i AND b.col = a.col + j GROUP BY a.row, a.col"))
 QUANT = "q AS (SELECT row, col, least(floor((z - lo) / (hi - lo) * 8), 7)::INTEGER AS level FROM dem, (SELECT min(z) lo, max(z) hi FROM dem))"
 levels = lambda s, d: N.quantize(V.dem(s, d), "z", 8)
 register("quantize", levels, over(f", {QUANT} SELECT row, col, level FROM q"))
@@ -114,7 +115,12 @@ def shown(s, d, *columns):
 
 register("utm_zone", lambda s, d: shown(s, d, R.utm_zone(at.lon, at.lat).alias("epsg")), over("SELECT feature_id, CASE WHEN lat < -80 OR lat > 84 THEN 3857 ELSE CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + least(floor((lon + 180) / 6) + 1, 60) END::INTEGER AS epsg FROM features", "features"))
 register("reproject_points", lambda s, d: shown(s, d, *(F.round(c, 3).alias(n) for c, n in zip(R.to_mercator(at.lon, at.lat), ("x", "y"), strict=True))), over("SELECT feature_id, round(radians(lon) * 6378137.0::DOUBLE, 3) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137.0::DOUBLE, 3) AS y FROM features", "features"))
-register("reproject_utm", lambda s, d: shown(s, d, *(F.round(c, 3).alias(n) for c, n in zip(R.to_utm(at.lon, at.lat), ("easting", "northing"), strict=True))))
+SERIES = lambda r, i: " + ".join(f"({float(k)!r})::DOUBLE * {r}({2 * (j + 1)} * xi) * {i}({2 * (j + 1)} * eta)" for j, k in enumerate(W.ALPHA))
+FIRST, RADIUS = 2 * math.sqrt(W.N3) / (1 + W.N3), W.SCALE * W.RADIUS
+UTM = f""", a AS (SELECT feature_id, lat, radians(lon - (floor((lon + 180) / 6) * 6 - 177)) AS q, sinh(atanh(sin(radians(lat))) - {FIRST!r}::DOUBLE * atanh({FIRST!r}::DOUBLE * sin(radians(lat)))) AS t FROM features),
+ b AS (SELECT *, atan2(t, cos(q)) AS xi, atanh(sin(q) / sqrt(1 + t * t)) AS eta FROM a)
+ SELECT feature_id, round(500000 + {RADIUS!r}::DOUBLE * (eta + {SERIES('cos', 'sinh')}), 3) AS easting, round(CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + {RADIUS!r}::DOUBLE * (xi + {SERIES('sin', 'cosh')}), 3) AS northing FROM b"""
+register("reproject_utm", lambda s, d: shown(s, d, *(F.round(c, 3).alias(n) for c, n in zip(R.to_utm(at.lon, at.lat), ("easting", "northing"), strict=True))), over(UTM, "features"))
 register("dem_cell_size", lambda s, d: shown(s, d, *(F.round(c, 4).alias(n) for c, n in zip(R.metres_per_degree(at.lat), ("per_lat", "per_lon"), strict=True))), over("SELECT feature_id, round(111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * radians(lat)) + 1.175::DOUBLE * cos(4 * radians(lat)) - 0.0023::DOUBLE * cos(6 * radians(lat)), 4) AS per_lat, round(111412.84::DOUBLE * cos(radians(lat)) - 93.5::DOUBLE * cos(3 * radians(lat)) + 0.118::DOUBLE * cos(5 * radians(lat)), 4) AS per_lon FROM features", "features"))
 
 register("bbox_filter", lambda s, d: X.bbox_filter(V.features(s, d), -20, -10, 60, 40).select("feature_id"), over("SELECT feature_id FROM features WHERE lon BETWEEN -20 AND 60 AND lat BETWEEN -10 AND 40", "features"))
@@ -143,7 +149,11 @@ register("rasterize_features", lambda s, d: X.rasterize(V.boxes(s, d), "h"), ove
 L_SHAPE = lambda s, d: V.boxes(s, d).select("zone_id", X.l_ring(F.col("c0"), F.col("r0"), F.col("w") * 2, F.col("h") * 2).alias("ring"))
 register("clip_vector_intersects", lambda s, d: X.points_in_zones(centers(s, d).select("row", "col", "x", "y"), L_SHAPE(s, d)).select("row", "col", "zone_id"), over("SELECT row, col, zone_id FROM dem JOIN boxes ON col >= c0 AND col + 0.5::DOUBLE < c0 + 2 * w AND row >= r0 AND row + 0.5::DOUBLE < r0 + 2 * h AND NOT (col + 0.5::DOUBLE > c0 + w AND row + 0.5::DOUBLE < r0 + h)", "dem", "boxes"))
 register("geom_bounds", lambda s, d: L_SHAPE(s, d).select("zone_id", X.ring_bounds(F.col("ring")).alias("b")).select("zone_id", "b.*"), over("SELECT zone_id, c0::DOUBLE AS xmin, r0::DOUBLE AS ymin, (c0 + 2 * w)::DOUBLE AS xmax, (r0 + 2 * h)::DOUBLE AS ymax FROM boxes", "boxes"))
-register("geom_area_km2", lambda s, d: V.boxes(s, d).select("zone_id", F.round(X.ring_area_km2(X.box_ring(F.col("c0"), F.col("r0") - 50, F.col("c0") + F.col("w"), F.col("r0") - 50 + F.col("h"))), 3).alias("km2")))
+E2 = 1 - (6356.752314245 / 6378.137) ** 2
+QS = "((1 - {e2!r}::DOUBLE) * ({s} / (1 - {e2!r}::DOUBLE * {s} * {s}) - ln((1 - {e!r}::DOUBLE * {s}) / (1 + {e!r}::DOUBLE * {s})) / (2 * {e!r}::DOUBLE)))"
+BETA = lambda lat: QS.format(e2=E2, e=math.sqrt(E2), s=f"sin(radians({lat}))") + " / q1"
+KM2 = f""", q AS (SELECT {QS.format(e2=E2, e=math.sqrt(E2), s="1.0::DOUBLE")} AS q1) SELECT zone_id, round(abs(radians(w) * (2 + 2 * {BETA("r0 - 50")}) - radians(w) * (2 + 2 * {BETA("r0 - 50 + h")})) * (6378.137::DOUBLE * 6378.137::DOUBLE * q1 / 2) / 2, 3) AS km2 FROM boxes, q"""
+register("geom_area_km2", lambda s, d: V.boxes(s, d).select("zone_id", F.round(X.ring_area_km2(X.box_ring(F.col("c0"), F.col("r0") - 50, F.col("c0") + F.col("w"), F.col("r0") - 50 + F.col("h"))), 3).alias("km2")), over(KM2, "boxes"))
 TILE = "(lon + 180) / 360 * 64 AS fx, (1 - ln(tan(p) + 1 / cos(p)) / pi()) / 2 * 64 AS fy FROM (SELECT *, radians(greatest(least(lat, 85.05112878::DOUBLE), -85.05112878::DOUBLE)) AS p FROM features)"
 register("xyz_tile_of_point", lambda s, d: shown(s, d, *(c.alias(n) for c, n in zip(X.tile_of(at.lon, at.lat, 6), ("x", "y"), strict=True))), over(f", t AS (SELECT feature_id, {TILE}) SELECT feature_id, greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y FROM t", "features"))
 register("vtile_assign", lambda s, d: V.features(s, d).groupBy(*(c.alias(n) for c, n in zip(X.tile_of(at.lon, at.lat, 6), ("x", "y"), strict=True))).agg(F.count("*").alias("features")), over(f", t AS (SELECT feature_id, {TILE}) SELECT greatest(least(floor(fx)::BIGINT, 63), 0) AS x, greatest(least(floor(fy)::BIGINT, 63), 0) AS y, count(*) AS features FROM t GROUP BY 1, 2", "features"))
