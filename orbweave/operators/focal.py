@@ -33,7 +33,8 @@ def on_pixels(df: DataFrame, columns: list[str], half: int, make: Callable, made
     if half > block:
         raise ValueError("a halo is at most a block wide")
     sees = lambda at: F.explode(F.array_distinct(F.array(*(F.expr(f"floor(({at} + {d}) / {block})") for d in ((-half, 0, half) if half else (0,))))))
-    sent = df.select("row", "col", *columns, sees("row").alias("_br")).withColumn("_bc", sees("col"))
+    placed = df.filter("row is not null and col is not null")  # a pixel without a place is nowhere
+    sent = placed.select("row", "col", *columns, sees("row").alias("_br")).withColumn("_bc", sees("col"))
     kept = ["row", "col", *columns]
 
     def run(part: pa.Table) -> pa.Table:

@@ -1,4 +1,8 @@
-"""Classification of pixel or feature vectors."""
+"""Classification of pixel or feature vectors.
+
+Defined cases: rows with a null vector, or a null in it, are not classified; samples without a label do not train; without
+samples nothing is classified.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +19,8 @@ from .graph import stored
 def kmeans_labels(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFrame:
     """Labels 1..k of standardized vectors."""
     x = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip").transform(df)
+    if x.isEmpty():
+        return df.select("row", "col", F.lit(None).cast("int").alias("label")).limit(0)
     x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x).transform(x)
     model = KMeans(k=k, seed=seed, maxIter=50).fit(x)
     return model.transform(x).select("row", "col", (F.col("prediction") + 1).alias("label"))
@@ -29,7 +35,11 @@ def nearest_centroid(samples: DataFrame, rows: DataFrame, key: str, columns: lis
 
 def random_forest(samples: DataFrame, rows: DataFrame, vector: str, label: str, trees: int = 20, seed: int = 42) -> DataFrame:
     """Class-balanced random forest on an array column; training rows are stored, since every level of the trees reads them."""
+    samples = samples.filter(F.col(label).isNotNull() & F.col(vector).isNotNull())
+    rows = rows.filter(F.col(vector).isNotNull())
     n = samples.count()
+    if not n:
+        return rows.limit(0).withColumn("prediction", F.lit(None).cast("double"))
     weights = samples.groupBy(label).agg((F.lit(float(n)) / F.count("*")).alias("weight"))
     train = stored(samples.join(F.broadcast(weights), label).select(F.col(vector).alias("features"), label, "weight"), "forest")
     model = RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="weight", numTrees=trees, seed=seed).fit(train.withColumn("features", array_to_vector(F.col("features"))))
@@ -47,14 +57,18 @@ def kernel_svm(rows: DataFrame, vector: str, label: str, features: int = 64, gam
 
     Trained on samples, or on the rows themselves where there are none.
     """
-    dim = rows.select(F.size(vector).alias("n")).first()
+    sound = lambda df: df.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    rows = sound(rows)
+    samples = sound(rows if samples is None else samples).filter(F.col(label).isNotNull())
+    dim = samples.select(F.size(vector).alias("n")).first()
+    if dim is None:
+        return rows.limit(0).withColumn("prediction", F.lit(None).cast("double"))
     rng = np.random.default_rng(seed)
-    weights, shift = rng.normal(0, (2 * gamma) ** 0.5, (features, dim[0] if dim else 1)), rng.uniform(0, 2 * np.pi, features)
+    weights, shift = rng.normal(0, (2 * gamma) ** 0.5, (features, dim[0])), rng.uniform(0, 2 * np.pi, features)
     mapped = F.transform(
         F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in w)).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, shift, strict=True))),
         lambda t: F.cos(F.aggregate(F.zip_with(t["w"], F.col(vector), lambda p, q: p * q), F.lit(0.0), lambda a, x: a + x) + t["b"]),
     )
     of = lambda df: stored(df.withColumn("mapped", mapped), "svm").withColumn("features", array_to_vector(F.col("mapped")))
-    rows = of(rows)
-    model = OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), labelCol=label, parallelism=4).fit(rows if samples is None else of(samples))
-    return model.transform(rows).drop("features", "mapped", "rawPrediction")
+    model = OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), labelCol=label, parallelism=4).fit(of(samples))
+    return model.transform(of(rows)).drop("features", "mapped", "rawPrediction")

@@ -4,7 +4,7 @@ Both work on square blocks first: a block labels its pixels and follows its outl
 block's border (label pairs there, open pieces of outlines) goes into rounds over the whole grid. So a round's rows follow
 the borders of blocks, not the pixels, and the number of rounds is logarithmic in the number of blocks that a region crosses.
 
-Defined cases: pixels with a null or NaN value are background; a missing pixel is background; regions of equal value that
+Defined cases: pixels with a null or NaN value, or without a place, are background; a missing pixel is background; regions of equal value that
 only touch at a corner are two; a region that touches itself at a corner keeps simple rings that meet there; a grid has each
 pixel once; an empty grid gives no rows.
 """
@@ -72,7 +72,7 @@ def labelled(cells: DataFrame, value: str | None = None, block: int = BLOCK) ->
     label is row * 2**32 + col of a region's first pixel in row order.
     """
     v = F.col(value).cast("double") if value else F.lit(1.0)
-    cells = cells.select(F.col("row").cast("long"), F.col("col").cast("long"), v.alias("value")).filter("value is not null and not isnan(value)")
+    cells = cells.select(F.col("row").cast("long"), F.col("col").cast("long"), v.alias("value")).filter("value is not null and not isnan(value) and row is not null and col is not null")
     cells = cells.withColumns({"br": F.expr(f"floor(row / {block})"), "bc": F.expr(f"floor(col / {block})")})
     local = stored(cells.groupBy("br", "bc").applyInArrow(_labeller(block), "row long, col long, value double, label long"), "labels")
     pairs = None

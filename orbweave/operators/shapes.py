@@ -65,6 +65,7 @@ def clip_zones(zones: DataFrame, boxes: DataFrame, sliver: float = 1e-10) -> Dat
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     z = zones.select("zone_id", "ring", F.array_min(xs).alias("zx0"), F.array_min(ys).alias("zy0"), spans(F.array_min(xs), F.array_max(xs)).alias("cx"), F.array_max(ys).alias("zy1"))
     z = z.withColumn("cy", spans(F.col("zy0"), F.col("zy1")))
+    z = z.filter("zone_id is not null and not exists(ring, p -> p.x is null or p.y is null)")
     b = boxes.withColumn("cx", spans(F.col("x0"), F.col("x1"))).withColumn("cy", spans(F.col("y0"), F.col("y1")))
     # A pair meets in many cells; the one with the lower corner of what both bounds share keeps it.
     home = (F.floor(F.greatest("zx0", "x0") / cell) == F.col("cx")) & (F.floor(F.greatest("zy0", "y0") / cell) == F.col("cy"))
@@ -115,6 +116,7 @@ def simplified(lines: DataFrame, key: str, path: str, tolerance: float) -> DataF
             yield pd.DataFrame({key: part[key], path: rows})
 
     kind = dict(lines.dtypes)[key]
+    lines = lines.filter(F.col(path).isNotNull() & ~F.exists(path, lambda p: p["x"].isNull() | p["y"].isNull()))  # no line, nothing to thin
     return lines.select(key, path).mapInPandas(run, f"{key} {kind}, {path} {RING}")
 
 

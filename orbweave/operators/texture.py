@@ -28,7 +28,7 @@ def on_blocks(df: DataFrame, value: str, half: int, work: Callable[[np.ndarray],
     if half > block:
         raise ValueError("a halo is at most a block wide")
     sees = lambda at, size: F.sequence(F.greatest(F.floor((F.col(at) - half) / block), F.lit(0)), F.least(F.floor((F.col(at) + half) / block), F.lit((size - 1) // block)))
-    sent = df.select("row", "col", F.col(value).cast("double").alias("v"), F.explode(sees("row", height)).alias("br")).withColumn("bc", F.explode(sees("col", width)))
+    sent = df.filter("row is not null and col is not null").select("row", "col", F.col(value).cast("double").alias("v"), F.explode(sees("row", height)).alias("br")).withColumn("bc", F.explode(sees("col", width)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         br, bc = int(part["br"].iloc[0]), int(part["bc"].iloc[0])

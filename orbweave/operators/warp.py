@@ -6,7 +6,7 @@ target pixels meet block by block, so a source pixel travels once for each block
 Systems: EPSG:4326, EPSG:3857, and the UTM zones EPSG:326zz and EPSG:327zz (the zones' exceptions in Norway and
 Svalbard are not treated: a zone is 6 degrees wide everywhere).
 
-Defined cases: source pixels with a null or NaN value are invalid; a target pixel has a value where the source pixel that holds its
+Defined cases: source pixels with a null or NaN value, or without a place, are invalid; a target pixel has a value where the source pixel that holds its
 place is valid, and weights are shared out among the valid ones under the kernel; other target pixels have no row; where
 what is left of the weights is not positive, the pixel that holds the place decides; an empty source gives no rows.
 """
@@ -173,7 +173,7 @@ def sample(places: DataFrame, pixels: DataFrame, value: str, method: str, scale:
         raise ValueError("a kernel reaches one block at most")
     dealt = places.filter("fr is not null and fc is not null and not isnan(fr) and not isnan(fc)").select("row", "col", "fr", "fc", F.expr(f"floor(fr / {block})").alias("br"), F.expr(f"floor(fc / {block})").alias("bc"))
     sees = lambda at, h: F.explode(F.array_distinct(F.array(*(F.expr(f"floor(({at} + {d}) / {block})") for d in ((0,) if not h else (-h, 0, h))))))
-    pixels = pixels.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col(value).cast("double").alias("value")).filter("value is not null and not isnan(value)")
+    pixels = pixels.select(F.col("row").cast("long"), F.col("col").cast("long"), F.col(value).cast("double").alias("value")).filter("value is not null and not isnan(value) and row is not null and col is not null")
     sent = pixels.select("row", "col", "value", sees("row", halo[0]).alias("br")).withColumn("bc", sees("col", halo[1])).toDF("row", "col", "value", "br", "bc")
     return dealt.groupBy("br", "bc").cogroup(sent.groupBy("br", "bc")).applyInArrow(_sampler(method, scale, halo, block), "row long, col long, value double")
 

@@ -121,7 +121,7 @@ def stack(pixels: DataFrame, bands: list[str], height: int, width: int, block: i
     means = pixels.agg(*(F.avg(F.when(~F.isnan(b), F.col(b))).alias(b) for b in bands)).first()
     means = [means[b] or 0.0 for b in bands]
     sees = lambda at, size: F.sequence(F.greatest(F.floor((F.col(at) - HALO) / block), F.lit(0)), F.least(F.floor((F.col(at) + HALO) / block), F.lit((size - 1) // block)))
-    sent = pixels.select("row", "col", *(F.col(b).cast("double").alias(b) for b in bands), F.explode(sees("row", height)).alias("br")).withColumn("bc", F.explode(sees("col", width)))
+    sent = pixels.filter("row is not null and col is not null").select("row", "col", *(F.col(b).cast("double").alias(b) for b in bands), F.explode(sees("row", height)).alias("br")).withColumn("bc", F.explode(sees("col", width)))
 
     def run(part: pa.Table) -> pa.Table:
         row, col = part.column("row").to_numpy(), part.column("col").to_numpy()
