@@ -12,6 +12,7 @@ rows and null doc_ids come back once per row; other columns are ignored; an empt
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -106,6 +107,8 @@ class ChunkEncoder:
 
     def __init__(self, bpe: ByteBpe):
         self.bpe, self.kept, self.size = bpe, {}, 0
+        names = sorted((n.encode() for n in bpe.special), key=len, reverse=True)
+        self.marks = re.compile(b"(" + b"|".join(map(re.escape, names)) + b")") if names else None
 
     def _chunk(self, data: bytes) -> np.ndarray:
         found = self.kept.get(data)
@@ -133,13 +136,11 @@ class ChunkEncoder:
 
     def encode(self, data: bytes) -> np.ndarray:
         """Ids (uint32) of a whole UTF-8 text."""
-        (name, number), *_ = self.bpe.special.items()
-        if name.encode() not in data:
+        if self.marks is None or not self.marks.search(data):
             return self._part(data)
-        out = []
-        for i, part in enumerate(data.split(name.encode())):
-            out += [np.array([number], np.uint32)] * (i > 0) + [self._part(part)]
-        return np.concatenate(out)
+        # Parts and special tokens take turns.
+        parts = self.marks.split(data)
+        return np.concatenate([np.array([self.bpe.special[p.decode()]], np.uint32) if i % 2 else self._part(p) for i, p in enumerate(parts)])
 
 
 def _coder(path: str, keep_ids: bool) -> Callable:

@@ -195,7 +195,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         keys = ["m", "c", "dim"]
         wanted = maxima.groupBy(*keys).cogroup(everywhere.groupBy(*keys)).applyInArrow(_bounder(most), "query_id long, block long, bound long")
         wanted = materialize(wanted.withColumn("at", F.row_number().over(by_bound)).filter(F.col("at") <= most), "topk-wanted")
-        of_tile = wanted.groupBy("query_id", F.floor(F.col("block") / TILE_BLOCKS).alias("tile")).agg(F.collect_list(F.struct("bound", "block")).alias("wanted"))
+        of_tile = wanted.groupBy("query_id", F.expr(f"block div {TILE_BLOCKS}").alias("tile")).agg(F.collect_list(F.struct("bound", "block")).alias("wanted"))
         of_tile = of_tile.join(asked.select("query_id", "v", "c", "floor"), "query_id")
         forward = tiles.select("tile", "dim", "ids", "v").join(of_tile.select("tile", F.col("c").alias("with")).distinct(), "tile")
         found = forward.groupBy("tile", "with").cogroup(of_tile.groupBy("tile", "c")).applyInArrow(_meeter(k), FOUND)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -394,3 +395,15 @@ def test_repeats_leave_with_any_extra_columns(spark):
     assert [f.name for f in recompress.without_repeats(df, 50).schema] == df.columns
     assert {i: tuple(r)[2:] for i, r in got.items()} == {r[0]: r[2:] for r in rows}
     assert (got[1].text, got[2].text, got[3].text) == (rows[0][1], prose(2, 20), None)
+
+
+@pytest.mark.parametrize("special", [{}, {"<|a|>": 1, "<|a|>b": 2, "::": 3}])
+def test_chunks_with_any_special_tokens(special):
+    """None, or several of which one begins like another: the longest counts."""
+    bpe = byte_bpe(default_tokenizer())
+    other = type("Other", (), {"special": special, "plain": staticmethod(bpe.plain), "width": bpe.width})()
+    parts = ["The old ", "<|a|>b", " fox ", "<|a|>", "jumps::", " over", "::", "::"] * 3
+    want = []
+    for piece in re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", "".join(parts)) if special else ["".join(parts)]:
+        want += [special[piece]] if piece in special else bpe.plain(piece).tolist()
+    assert chunked_bpe.ChunkEncoder(other).encode("".join(parts).encode()).tolist() == want
