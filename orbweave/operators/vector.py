@@ -116,3 +116,28 @@ def feature_geojson() -> Column:
 
 def clip_box(points: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     return points.filter(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+
+
+#: What counts as a number in the text of a property; fixed pattern.
+NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)$"
+
+
+def property_summary(features: DataFrame) -> DataFrame:
+    """(layer_id, property, type, numbers, low, high, mean) of features(layer_id, feature_id, properties as JSON text).
+
+    A property's type is that of its value in the layer's first feature that has it; numbers are the values whose text is a plain
+    number, so a word among them is passed over. Properties that are no JSON object have no properties; a null layer is a layer.
+    """
+    known = features.select("layer_id", "feature_id", F.explode(F.from_json("properties", "map<string,variant>")).alias("property", "v"))
+    kind = F.schema_of_variant("v")
+    known = known.select("layer_id", "feature_id", "property", kind.alias("kind"), F.col("v").cast("string").alias("text"))
+    number = F.when(F.col("text").rlike(NUMBER), F.col("text").try_cast("double"))
+    kinds = F.when(F.col("kind").isin("BIGINT", "BOOLEAN", "STRING", "DOUBLE"), F.lower("kind")).when(F.col("kind").startswith("DECIMAL"), "double").when(F.col("kind").startswith("ARRAY"), "array").when(F.col("kind").startswith("OBJECT"), "object").otherwise("null")
+    return known.groupBy("layer_id", "property").agg(F.min_by(kinds, "feature_id").alias("type"), F.count(number).alias("numbers"), F.min(number).alias("low"), F.max(number).alias("high"), F.avg(number).alias("mean"))
+
+
+def layer_samples(features: DataFrame, n: int = 3) -> DataFrame:
+    """The first n features of each layer by id, numbered from 1."""
+    from pyspark.sql import Window
+
+    return features.withColumn("sample", F.row_number().over(Window.partitionBy("layer_id").orderBy("feature_id"))).filter(F.col("sample") <= n)

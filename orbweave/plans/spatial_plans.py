@@ -139,6 +139,18 @@ register("category_counts", lambda s, d: V.features(s, d).groupBy("category").co
 register("layer_extent", lambda s, d: V.features(s, d).groupBy("layer_id").agg(F.min("lon").alias("xmin"), F.min("lat").alias("ymin"), F.max("lon").alias("xmax"), F.max("lat").alias("ymax")), over("SELECT layer_id, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM features GROUP BY 1", "features"))
 register("layer_summary", lambda s, d: V.features(s, d).groupBy("layer_id").agg(F.count("*").alias("features"), F.count_distinct("category").alias("categories"), F.min("balance").alias("low"), F.max("balance").alias("high"), F.round(F.avg("balance"), 6).alias("mean")), over("SELECT layer_id, count(*) AS features, count(DISTINCT category) AS categories, min(balance) AS low, max(balance) AS high, round(avg(balance), 6) AS mean FROM features GROUP BY 1", "features"))
 register("vector_attribute_query", lambda s, d: V.features(s, d).filter((F.col("balance") > 5000) & F.col("category").ilike("%build%")).orderBy("feature_id").limit(50).select("feature_id", "balance"), over("SELECT feature_id, balance FROM features WHERE balance > 5000 AND category ILIKE '%build%' ORDER BY feature_id LIMIT 50", "features"))
+def with_properties(s, d):
+    """Customers with properties as JSON text: a number that is a word for some, and one that only some have."""
+    balance = F.when(F.col("feature_id") % 7 == 3, F.lit('"none"')).otherwise(F.col("balance").cast("string"))
+    extra = F.when(F.col("feature_id") % 2 == 0, F.concat(F.lit(', "ratio": '), F.col("feature_id").cast("string"), F.lit(".5"))).otherwise("")
+    return V.features(s, d).withColumn("properties", F.concat(F.lit('{"name": "'), "name", F.lit('", "balance": '), balance, extra, F.lit("}")))
+
+
+PROPERTIES = """p AS (SELECT feature_id, layer_id, unnest(['name', 'balance', 'ratio']) AS property, name, balance FROM features),
+ v AS (SELECT layer_id, feature_id, property, CASE property WHEN 'name' THEN 'string' WHEN 'balance' THEN CASE WHEN feature_id % 7 = 3 THEN 'string' ELSE 'bigint' END ELSE 'double' END AS type,
+  CASE property WHEN 'balance' THEN CASE WHEN feature_id % 7 <> 3 THEN balance::DOUBLE END WHEN 'ratio' THEN feature_id + 0.5::DOUBLE END AS number FROM p WHERE property <> 'ratio' OR feature_id % 2 = 0)"""
+register("layer_properties", lambda s, d: rounded(X.property_summary(with_properties(s, d)), "mean"), over(f", {PROPERTIES} SELECT layer_id, property, arg_min(type, feature_id) AS type, count(number) AS numbers, min(number) AS low, max(number) AS high, round(avg(number), 6) AS mean FROM v GROUP BY 1, 2", "features"))
+register("layer_samples", lambda s, d: X.layer_samples(V.features(s, d)).select("layer_id", "sample", "feature_id", "category"), over("SELECT layer_id, (row_number() OVER (PARTITION BY layer_id ORDER BY feature_id))::INTEGER AS sample, feature_id, category FROM features QUALIFY row_number() OVER (PARTITION BY layer_id ORDER BY feature_id) <= 3", "features"))
 boxes_ring = lambda s, d: V.boxes(s, d).select("zone_id", X.box_ring(F.col("c0"), F.col("r0"), F.col("c0") + F.col("w"), F.col("r0") + F.col("h")).alias("ring"))
 centers = lambda s, d: V.dem(s, d).select("row", "col", "z", (F.col("col") + 0.5).alias("x"), (F.col("row") + 0.5).alias("y"))
 IN = "dem JOIN boxes ON row >= r0 AND row < r0 + h AND col >= c0 AND col < c0 + w"

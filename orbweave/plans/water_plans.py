@@ -48,9 +48,8 @@ for unit in NUMBERS:
 register("extract_water_jrc_auto", lambda s, d: ruled(s, d, "L2", "auto"), rules("L2", "auto"))
 register("extract_water_jrc_prob", lambda s, d: ruled(s, d, "norm", "prob"), rules("norm", "prob"))
 
-G = W.guide(at.b2, at.b4, at.b5, at.b6)
 GUIDE = "0.7::DOUBLE * (4 * (b2 - b4) - (0.25::DOUBLE * b5 + 2.75::DOUBLE * b6)) + 0.3::DOUBLE * ((b2 - b5) / (b2 + b5 + 1e-7::DOUBLE))"
-register("water_seeds", lambda s, d: W.seeds(V.grid_bands(s, d).select("row", "col", G.alias("guide"))).withColumn("guide", F.round(F.col("guide") + 3e-8, 6)), V.with_views(f""", g AS (SELECT row, col, {GUIDE} AS guide FROM grid_bands)
+register("water_seeds", lambda s, d: W.seeds(V.grid_bands(s, d).select("row", "col", W.guide(at.b2, at.b4, at.b5, at.b6).alias("guide"))).withColumn("guide", F.round(F.col("guide") + 3e-8, 6)), V.with_views(f""", g AS (SELECT row, col, {GUIDE} AS guide FROM grid_bands)
  SELECT row, col, round(guide + 3e-8, 6) AS guide, CASE WHEN guide > 0.45::DOUBLE THEN 'water' WHEN guide < -0.45::DOUBLE THEN 'land' WHEN guide > 0 THEN 'water?' WHEN guide < 0 THEN 'land?' END AS seed FROM g""", "grid_bands"))
 SIX = {"blue": "b1", "green": "b2", "red": "b3", "nir": "b4", "swir1": "b5", "swir2": "b6"}
 register("extract_water_adaptive", lambda s, d: W.adaptive_water(V.grid_bands(s, d), SIX, height(s, d), V.GRID))

@@ -32,3 +32,11 @@ def test_every_query(spark, tmp_path, kind):
     assert not [x for x in found if isinstance(x[1], str)]
     if kind == "empty":
         assert {name for name, n in found if n} <= ALWAYS
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr[-500:]
