@@ -3,8 +3,10 @@
 A paragraph is a line with its end; its node hashes the whole line. A section ends at a blank line or at a paragraph
 whose hash says so, so edits move no other section's bounds. A section hashes its paragraphs, the root its sections:
 equal roots mean equal texts, and where roots differ, the differing branches lead to the edited paragraphs. Under each
-paragraph stand short hashes of its clauses; the likeness of two fingerprints is the share of clauses they have in
-common (Dice, with multiplicity), 1 for equal roots.
+paragraph stand short hashes of its clauses. The likeness of two fingerprints descends both trees: equal roots are alike
+(1), equal sections have all their clauses in common, then equal paragraphs of the other sections, and only under
+paragraphs that differ are clauses held against each other; the share of clauses in common is the likeness (Dice, with
+multiplicity). Nodes are shown with 64 bits, roots with 128.
 
 Defined cases: null counts as empty text, whose tree has no branch; two empty texts are alike (1), an empty and a
 non-empty one are not (0); equal doc_ids are ordered by text; a null doc_id comes after all others; other columns are
@@ -28,6 +30,8 @@ from .textscan import text_bytes
 
 #: A clause: up to so many characters to the next sentence end (the end and white space after it belong to it).
 _CLAUSE = re.compile(r"[^.!?]{1,40}[.!?]*\s*|[.!?]+\s*")
+#: Hex digits of a node and of a clause.
+NODE, CLAUSE = 16, 8
 #: One in so many paragraphs ends a section.
 SECTION_ODDS = 8
 #: Rows that a task takes in a walk in order of doc_id, about.
@@ -36,51 +40,83 @@ _FIRST = -(1 << 63)
 
 
 def fingerprint(text: str) -> str:
-    """root|section=paragraph:clauses,paragraph:clauses;section=... (hex; clauses have 8 digits each)."""
+    """root|section=paragraph:clauses,paragraph:clauses;section=... (hex; NODE digits a node, CLAUSE a clause)."""
     top, parts, nodes, shown = hashlib.blake2b(digest_size=16), [], hashlib.blake2b(digest_size=16), []
     crc = zlib.crc32
     for line in text.splitlines(keepends=True) if text else ():
         node = hashlib.blake2b(line.encode(), digest_size=16)
         nodes.update(node.digest())
-        shown.append(node.hexdigest()[:8] + ":" + b"".join([crc(c.encode()).to_bytes(4, "big") for c in _CLAUSE.findall(line)]).hex())
+        shown.append(node.hexdigest()[:NODE] + ":" + b"".join([crc(c.encode()).to_bytes(4, "big") for c in _CLAUSE.findall(line)]).hex())
         if node.digest()[0] % SECTION_ODDS == 0 or not line.strip():
             top.update(nodes.digest())
-            parts.append(nodes.hexdigest()[:8] + "=" + ",".join(shown))
+            parts.append(nodes.hexdigest()[:NODE] + "=" + ",".join(shown))
             nodes, shown = hashlib.blake2b(digest_size=16), []
     if shown:
         top.update(nodes.digest())
-        parts.append(nodes.hexdigest()[:8] + "=" + ",".join(shown))
+        parts.append(nodes.hexdigest()[:NODE] + "=" + ",".join(shown))
     return top.hexdigest() + "|" + ";".join(parts)
 
 
-def clauses(print_: str) -> Counter:
+def sections(print_: str) -> list[str]:
+    return [s for s in print_[33:].split(";") if s]
+
+
+def paragraphs(section: str) -> list[str]:
+    return section[NODE + 1 :].split(",")
+
+
+def _size(section: str) -> int:
+    """Clauses under a section, told from its length."""
+    n = section.count(",") + 1
+    return (len(section) - (NODE + 1) * (n + 1) - (n - 1)) // CLAUSE
+
+
+def _apart(x: list[str], y: list[str]) -> tuple[list[str], list[str]]:
+    """Branches of either side whose node the other has not, with multiplicity."""
+    shared = Counter(s[:NODE] for s in x) & Counter(s[:NODE] for s in y)
+    if not shared:
+        return x, y
+    left = []
+    for side in (x, y):
+        spare, own = shared.copy(), []
+        for branch in side:
+            if spare[branch[:NODE]]:
+                spare[branch[:NODE]] -= 1
+            else:
+                own.append(branch)
+        left.append(own)
+    return left[0], left[1]
+
+
+def _leaves(side: list[str]) -> Counter:
     found: Counter = Counter()
-    for section in print_[33:].split(";") if len(print_) > 33 else ():
-        for paragraph in section[9:].split(","):
-            found.update([paragraph[i : i + 8] for i in range(9, len(paragraph), 8)])
+    for p in side:
+        found.update([p[i : i + CLAUSE] for i in range(NODE + 1, len(p), CLAUSE)])
     return found
 
 
-def likeness(a: str, b: str, of_a: Counter | None = None) -> float:
-    """Share of common clauses of two fingerprints, 0 to 1."""
+def likeness(a: str, b: str) -> float:
+    """Share of common clauses of two fingerprints, 0 to 1, read only under branches that differ."""
     if a[:32] == b[:32]:
         return 1.0
-    x, y = of_a if of_a is not None else clauses(a), clauses(b)
-    small, large = (x, y) if len(x) <= len(y) else (y, x)
-    both = sum(min(n, large[c]) for c, n in small.items() if c in large)
-    return 2 * both / max(1, x.total() + y.total())
+    x, y = sections(a), sections(b)
+    total_x, total_y = sum(map(_size, x)), sum(map(_size, y))
+    x, y = _apart(x, y)
+    x, y = _apart([p for s in x for p in paragraphs(s)], [p for s in y for p in paragraphs(s)])
+    own, other = _leaves(x), _leaves(y)
+    both = total_x - own.total() + sum(min(n, other[c]) for c, n in own.items() if c in other)
+    return 2 * both / max(1, total_x + total_y)
 
 
 def differing_paragraphs(a: str, b: str) -> list[int]:
     """Numbers (from 0) of the paragraphs of b that a has not, found by descending only into sections that differ."""
-    have, known, out, number = Counter(s[:8] for s in a[33:].split(";") if s), set(), [], 0
-    for section in a[33:].split(";"):
-        known.update(p[:8] for p in section[9:].split(","))
-    for section in filter(None, b[33:].split(";")):
-        paragraphs = section[9:].split(",")
-        if not have[section[:8]]:
-            out += [number + i for i, p in enumerate(paragraphs) if p[:8] not in known]
-        number += len(paragraphs)
+    have, out, number = {s[:NODE] for s in sections(a)}, [], 0
+    known = {p[:NODE] for s in sections(a) for p in paragraphs(s)}
+    for section in sections(b):
+        found = paragraphs(section)
+        if section[:NODE] not in have:
+            out += [number + i for i, p in enumerate(found) if p[:NODE] not in known]
+        number += len(found)
     return out
 
 
@@ -89,17 +125,17 @@ def located_edits(a: str, b: str) -> dict[str, list]:
 
     Sections that both texts share at the start and the end are passed over. In the branches between, the n-th equal
     paragraph of one text belongs to the n-th of the other; the most that keep their order stay, the others moved.
-    Nodes have 32 bits here, so paragraphs of equal nodes count as equal.
+    Nodes have 64 bits here; paragraphs of equal nodes count as equal.
     """
-    x, y = ([s for s in p[33:].split(";") if s] for p in (a, b))
+    x, y = sections(a), sections(b)
     shared = 0
-    while shared < min(len(x), len(y)) and x[shared][:8] == y[shared][:8]:
+    while shared < min(len(x), len(y)) and x[shared][:NODE] == y[shared][:NODE]:
         shared += 1
     ends = 0
-    while ends < min(len(x), len(y)) - shared and x[-1 - ends][:8] == y[-1 - ends][:8]:
+    while ends < min(len(x), len(y)) - shared and x[-1 - ends][:NODE] == y[-1 - ends][:NODE]:
         ends += 1
     base = sum(s.count(",") + 1 for s in x[:shared])
-    old, new = ([p[:8] for s in t[shared : len(t) - ends] for p in s[9:].split(",")] for t in (x, y))
+    old, new = ([p[:NODE] for s in t[shared : len(t) - ends] for p in paragraphs(s)] for t in (x, y))
     places: dict[str, list[int]] = {}
     for i in range(len(old) - 1, -1, -1):
         places.setdefault(old[i], []).append(i)
@@ -135,13 +171,13 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by range, ghost, descending id: each row meets the one after it. Ghosts only end a range."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    last = None  # (range, id, text, fingerprint, clauses) that waits for the next document
+    last = None  # (range, id, text, fingerprint) that waits for the next document
 
     def made(row: tuple, text: str, print_: str) -> tuple:
-        _, doc_id, own, own_print, own_clauses = row
+        _, doc_id, own, own_print = row
         new = edited_by(own, text)
         new_print = own_print if new == own else fingerprint(new)
-        return (doc_id, len(own), hashlib.sha256(new.encode()).hexdigest(), own_print, new_print, likeness(own_print, new_print, own_clauses), likeness(own_print, print_, own_clauses))
+        return (doc_id, len(own), hashlib.sha256(new.encode()).hexdigest(), own_print, new_print, likeness(own_print, new_print), likeness(own_print, print_))
 
     for batch in batches:
         out = []
@@ -152,7 +188,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             print_ = fingerprint(text)
             if last is not None and last[0] == part:
                 out.append(made(last, text, print_))
-            last = None if ghost else (part, doc_id, text, print_, clauses(print_))
+            last = None if ghost else (part, doc_id, text, print_)
             if len(out) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                 out = []

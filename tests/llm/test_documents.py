@@ -200,17 +200,40 @@ def test_fingerprints(docs):
     order = sorted(rows_of(docs), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
     assert [r.doc_id for r in got] == [i for i, _ in order]
     expected = Counter()
+
+    def dice(a, b):
+        """Common clauses of two texts, without any tree."""
+        x, y = (Counter(zlib.crc32(c.encode()) for line in t.splitlines(keepends=True) for c in re.findall(r"[^.!?]{1,40}[.!?]*\s*|[.!?]+\s*", line)) for t in (a, b))
+        return 1.0 if a == b else 2 * (x & y).total() / max(1, x.total() + y.total())
+
     for k, (i, t) in enumerate(order):
-        edited = merkle.edited_by(t, order[(k + 1) % len(order)][1])
-        expected[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), merkle.fingerprint(t), merkle.fingerprint(edited)] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == expected
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        following = order[(k + 1) % len(order)][1]
+        edited = merkle.edited_by(t, following)
+        expected[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), merkle.fingerprint(t), merkle.fingerprint(edited), dice(t, edited), dice(t, following)] += 1
+    assert Counter(tuple(r) for r in got) == expected
     a = "\n".join(f"Paragraph number {i} is here." for i in range(40))
     assert merkle.differing_paragraphs(merkle.fingerprint(a), merkle.fingerprint(a.replace("number 7 ", "number seven "))) == [7]
     assert merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("")) == 1 and merkle.likeness(merkle.fingerprint("a"), merkle.fingerprint("")) == 0
     assert merkle.fingerprint_pairs(docs.limit(0)).count() == 0
 
 
+def test_likeness_descends_only_into_differing_branches():
+    lines = [f"Line {i} of the text. It goes on, and ends here.\n" for i in range(60)]
+    a, b = merkle.fingerprint("".join(lines)), merkle.fingerprint("".join([*lines[:50], "Other words.\n", *lines[51:]]))
+    before = merkle.likeness(a, b)
+    assert 0.9 < before < 1
+    head, first, rest = b[:33], merkle.sections(b)[0], b[33 + len(merkle.sections(b)[0]) :]
+    assert first == merkle.sections(a)[0]
+    # Leaves under an equal section are not looked at: spoiling them changes nothing.
+    spoilt = first[: -merkle.CLAUSE] + "0" * merkle.CLAUSE
+    assert merkle.likeness(a, head + spoilt + rest) == before
+    # With another node the section differs, and its leaves count; a spoilt one among them is missed.
+    node = "0" * merkle.NODE
+    paragraph_nodes_too = node + "=" + ",".join(node + p[merkle.NODE :] for p in merkle.paragraphs(spoilt))
+    assert merkle.likeness(a, head + node + first[merkle.NODE :] + rest) == before
+    assert merkle.likeness(a, head + paragraph_nodes_too + rest) < before
+
+
 def test_base_scores_equal_brute_force(docs):
     got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in lm_score.score_documents(docs).collect())
     tokens = [(i, [*t.encode().lower().split(), None]) for i, t in rows_of(docs)]
