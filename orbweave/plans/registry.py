@@ -21,7 +21,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 def _load() -> None:
     if not _QUERIES:
-        from . import catalog_plans, globe_plans, pixel_plans, record_plans, region_plans, series_plans, shape_plans, spatial_plans, stream_plans, texture_plans, warp_plans, water_plans  # noqa: F401
+        from . import catalog_plans, globe_plans, pixel_plans, record_plans, region_plans, series_plans, shape_plans, spatial_plans, stream_plans, template_plans, texture_plans, warp_plans, water_plans  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -11,7 +11,7 @@ from orbweave.plans import registry
 
 SOURCE = "/root/testdata/sf0.001"
 #: One row, or a whole frame, even of nothing.
-ALWAYS = {"histogram", "context_statistics", "auto_mndwi_threshold", "change_area_ratio", "valid_bounds", "fourier_2d", "clip_vector_report"}
+ALWAYS = {"histogram", "context_statistics", "auto_mndwi_threshold", "change_area_ratio", "valid_bounds", "fourier_2d", "clip_vector_report", "template_ndvi_report"}
 
 
 @pytest.mark.parametrize("kind", ["empty", "nulls"])
