@@ -6,6 +6,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .graph import stored
+from .stats import exact_quantiles
+
 
 def normalized_difference(a: Column, b: Column) -> Column:
     """(a - b) / (a + b); 0/0 and NaN give 0, a zero sum gives the sign of the difference."""
@@ -152,17 +155,19 @@ def radiance_to_reflectance(radiance: Column, distance: Column, irradiance: Colu
 
 
 def dark_object(df: DataFrame, band: str, percent: float = 0.01) -> DataFrame:
-    """The band less its dark percentile (never below 0), floored at 0; the one-row statistic is broadcast."""
-    dark = df.agg(F.greatest(F.percentile(band, F.lit(percent)), F.lit(0.0)).alias("dark"))
-    return df.crossJoin(F.broadcast(dark)).withColumn(band, F.greatest(F.col(band) - F.col("dark"), F.lit(0.0))).drop("dark")
+    """The band less its dark percentile (never below 0), floored at 0. The input is stored once."""
+    df = stored(df, "dark")
+    dark = exact_quantiles(df, band, [percent])[0]
+    return df.withColumn(band, F.greatest(F.col(band) - max(dark or 0.0, 0.0), F.lit(0.0)))
 
 
 def quick_correction(df: DataFrame, band: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """(value - dark) / (bright - dark), clipped to 0..1."""
-    stats = df.agg(F.percentile(band, F.array(F.lit(low), F.lit(high))).alias("p"))
-    spread = F.col("p")[1] - F.col("p")[0]
-    value = F.when(spread <= 0, 0.0).otherwise(clip01((F.col(band) - F.col("p")[0]) / spread))
-    return df.crossJoin(F.broadcast(stats)).withColumn(band, value).drop("p")
+    """(value - dark) / (bright - dark), clipped to 0..1; 0 where bright is not above dark. The input is stored once."""
+    df = stored(df, "quick")
+    dark, bright = exact_quantiles(df, band, [low, high])
+    if dark is None or bright <= dark:
+        return df.withColumn(band, F.lit(0.0))
+    return df.withColumn(band, clip01((F.col(band) - dark) / (bright - dark)))
 
 
 def valid_bands(df: DataFrame, bands: list[str], mask: Column | None = None, nodata: float | None = None, zero_is_invalid: bool = False) -> DataFrame:

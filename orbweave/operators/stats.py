@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .graph import stored
+
 
 def long_bands(df: DataFrame, bands: list[str]) -> DataFrame:
     """(row, col, band, value) of wide pixels."""
@@ -11,13 +13,24 @@ def long_bands(df: DataFrame, bands: list[str]) -> DataFrame:
     return df.select("row", "col", F.expr(f"stack({len(bands)}, {pairs}) as (band, value)"))
 
 
+def _with_quantiles(counted: DataFrame, pixels: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """counted, a row for each band, with columns for the named quantiles of pixels(band, value)."""
+    found = band_quantiles(pixels, list(shares.values()))
+    rows = [(band, *values) for band, values in found.items()]
+    table = counted.sparkSession.createDataFrame(rows, f"band {counted.schema['band'].dataType.simpleString()}, " + ", ".join(f"{name} double" for name in shares))
+    return counted.join(F.broadcast(table), "band", "left")  # a row for each band
+
+
+def band_summary(pixels: DataFrame) -> DataFrame:
+    """Per band of pixels(band, value): valid count, range, mean, population deviation, in one pass."""
+    return pixels.groupBy("band").agg(F.count("value").alias("valid"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
 def raster_statistics(df: DataFrame, bands: list[str], width: int, height: int) -> DataFrame:
-    """Per band: valid and missing counts, range, mean, population deviation, p2, median, p98."""
-    p = F.percentile("value", F.array(F.lit(0.02), F.lit(0.5), F.lit(0.98)))
-    return long_bands(df, bands).groupBy("band").agg(
-        F.count("value").alias("valid"), (F.lit(width * height) - F.count("value")).alias("missing"), F.min("value").alias("low"), F.max("value").alias("high"),
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), p[0].alias("p2"), p[1].alias("median"), p[2].alias("p98"),
-    )
+    """band_summary with the count of missing pixels, p2, median and p98. The bands are stored once."""
+    pixels = long_bands(stored(df.select("row", "col", *bands), "statistics"), bands)
+    counted = band_summary(pixels).withColumn("missing", F.lit(width * height) - F.col("valid"))
+    return _with_quantiles(counted, pixels, {"p2": 0.02, "median": 0.5, "p98": 0.98})
 
 
 def bin_of(value, low, high, bins: int):
@@ -51,9 +64,11 @@ def otsu(df: DataFrame, column: str, bins: int = 256, low: float = -1.0, high: f
 
 
 def percentile_normalize(df: DataFrame, band: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    stats = df.agg(F.percentile(band, F.array(F.lit(low), F.lit(high))).alias("p"))
-    spread = F.when(F.col("p")[1] > F.col("p")[0], F.col("p")[1] - F.col("p")[0]).otherwise(1.0)
-    return df.crossJoin(F.broadcast(stats)).select("row", "col", F.greatest(F.least((F.col(band) - F.col("p")[0]) / spread, F.lit(1.0)), F.lit(0.0)).alias("value"))
+    """(x - low quantile) / spread, cut to 0..1; a spread that is not above 0 counts as 1. The band is stored once."""
+    pixels = stored(df.select("row", "col", band), "normalize")
+    a, b = exact_quantiles(pixels, band, [low, high])
+    spread = b - a if a is not None and b > a else 1.0
+    return pixels.select("row", "col", F.greatest(F.least((F.col(band) - F.lit(a).cast("double")) / spread, F.lit(1.0)), F.lit(0.0)).alias("value"))
 
 
 def standardize(df: DataFrame, bands: list[str]) -> DataFrame:
@@ -70,51 +85,77 @@ def normalize_uint8(df: DataFrame, band: str) -> DataFrame:
 
 
 def stretch_params(df: DataFrame, bands: list[str]) -> DataFrame:
-    """Per band p2 and p98; under 10 values (0, 1), and a high not above the low is low + 1."""
-    p = F.percentile("value", F.array(F.lit(0.02), F.lit(0.98)))
-    s = long_bands(df, bands).groupBy("band").agg(p.alias("p"), F.count("value").alias("n"))
-    low = F.when(F.col("n") < 10, 0.0).otherwise(F.col("p")[0])
-    high = F.when(F.col("n") < 10, 1.0).otherwise(F.col("p")[1])
+    """Per band p2 and p98; under 10 values (0, 1), and a high not above the low is low + 1. The bands are stored once."""
+    pixels = long_bands(stored(df.select("row", "col", *bands), "stretch"), bands)
+    s = _with_quantiles(pixels.groupBy("band").agg(F.count("value").alias("n")), pixels, {"p": 0.02, "q": 0.98})
+    low = F.when(F.col("n") < 10, 0.0).otherwise(F.col("p"))
+    high = F.when(F.col("n") < 10, 1.0).otherwise(F.col("q"))
     return s.select("band", low.alias("low"), F.when(high <= low, low + 1).otherwise(high).alias("high"))
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float], bins: int = 4096, small: int = 1 << 16) -> list[float | None]:
-    """Exact quantiles (linear between neighbours) without holding a column's values in one place.
+def band_quantiles(pixels: DataFrame, shares: list[float], bins: int = 4096, small: int = 1 << 14) -> dict[object, list[float]]:
+    """Exact quantiles (linear between neighbours) of each band of pixels(band, value), all bands in the same passes.
 
-    The rank's interval is cut into bins until it holds one value, or few enough rows to sort. Nulls and NaN are left out; without
-    values every quantile is None.
+    The interval that holds a rank is cut into bins until a bin holds one value, or few enough rows to sort: no task and no row
+    ever holds a band's values. The ends of an interval are bins of their own, so every pass narrows it, infinite ends too.
+    Passes read pixels again: store it first where it is dear. Nulls and NaN are left out; a band without values is not in the
+    result. The driver gets at most `bins` counts for each interval and `small` values for each rank.
     """
-    v = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
-    n, lo, hi = v.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if not n:
-        return [None] * len(shares)
-    places = {int(k) for p in shares for k in (p * (n - 1) // 1, min(p * (n - 1) // 1 + 1, n - 1))}
-    found: dict[int, float] = {}
-    todo = {(lo, hi, 0): places}  # (least, largest, rows before): ranks inside
+    v = pixels.select("band", F.col("value").cast("double").alias("v")).filter("v is not null and not isnan(v)")
+    sizes, found, todo = {}, {}, []  # todo: (band, least, largest, rows before, ranks inside)
+    for band, n, lo, hi in v.groupBy("band").agg(F.count("v"), F.min("v"), F.max("v")).collect():
+        sizes[band] = n
+        todo.append((band, lo, hi, 0, {int(k) for p in shares for k in (p * (n - 1) // 1, min(p * (n - 1) // 1 + 1, n - 1))}))
+
+    def inside(intervals: list[tuple]) -> DataFrame:
+        rows = [(i, t[0], t[1], t[2]) for i, t in enumerate(intervals)]  # a row for each band and rank, no more
+        kind = v.schema["band"].dataType.simpleString()
+        table = v.sparkSession.createDataFrame(rows, f"i int, band {kind}, a double, b double")
+        return v.join(F.broadcast(table), "band").filter("v between a and b")
+
     while todo:
-        onward: dict[tuple, set[int]] = {}
-        for (a, b, before), ranks in todo.items():
+        onward, gather = [], []
+        for band, a, b, _, ranks in todo:
             if a == b:
-                found |= dict.fromkeys(ranks, a)
-                continue
-            inside = v.filter(F.col("v").between(a, b))
-            width = (b - a) / bins
-            bin_ = F.least(F.floor((F.col("v") - a) / width), F.lit(bins - 1)) if width > 0 else F.when(F.col("v") == b, 1).otherwise(0)
-            total = before
-            for r in sorted(inside.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect(), key=lambda r: r.bin):
-                own = {k for k in ranks if total <= k < total + r.n}
-                if own and r.a == r.b:
-                    found |= dict.fromkeys(own, r.a)
-                elif own and r.n <= small:
-                    values = sorted(x.v for x in v.filter(F.col("v").between(r.a, r.b)).collect())
-                    found |= {k: values[k - total] for k in own}
-                elif own:
-                    onward[r.a, r.b, total] = own
-                total += r.n
+                found |= {(band, k): a for k in ranks}
+        todo = [t for t in todo if t[1] != t[2]]
+        if not todo:
+            break
+        width = F.col("b") / bins - F.col("a") / bins
+        bin_ = F.when(F.col("v") == F.col("a"), -1).when(F.col("v") == F.col("b"), bins).when((width > 0) & (width < float("inf")), F.least(F.floor((F.col("v") - F.col("a")) / width), F.lit(bins - 1))).otherwise(0)
+        cells = inside(todo).groupBy("i", bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
+        total = [t[3] for t in todo]
+        for r in sorted(cells, key=lambda r: (r.i, r.bin)):
+            before = total[r.i]
+            own = {k for k in todo[r.i][4] if before <= k < before + r.n}
+            total[r.i] += r.n
+            if own:
+                (gather if r.a < r.b and r.n <= small else onward).append((todo[r.i][0], r.a, r.b, before, own))
+        if gather:
+            lists: dict[int, list[float]] = {}
+            for i, x in inside(gather).select("i", "v").collect():
+                lists.setdefault(i, []).append(x)
+            for i, (band, _, _, before, ranks) in enumerate(gather):
+                values = sorted(lists[i])
+                found |= {(band, k): values[k - before] for k in ranks}
         todo = onward
-    out = []
-    for p in shares:
-        k = int(p * (n - 1) // 1)
-        a, b = found[k], found[min(k + 1, n - 1)]
-        out.append(a + (b - a) * (p * (n - 1) - k))
+    out = {}
+    for band, n in sizes.items():
+        out[band] = []
+        for p in shares:
+            k = int(p * (n - 1) // 1)
+            a, b = found[band, k], found[band, min(k + 1, n - 1)]
+            out[band].append(a if a == b else a + (b - a) * (p * (n - 1) - k))
     return out
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float], bins: int = 4096, small: int = 1 << 16) -> list[float | None]:
+    """Exact quantiles of one column, see band_quantiles; without values every quantile is None."""
+    one = df.select(F.lit(0).alias("band"), F.col(column).alias("value"))
+    return band_quantiles(one, shares, bins, small).get(0, [None] * len(shares))
+
+
+def middle_threshold(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
+    """One row: the middle of two quantiles, null without values. The column is stored once."""
+    a, b = exact_quantiles(stored(df.select(column), "threshold"), column, [low, high])
+    return df.sparkSession.createDataFrame([((a + b) / 2 if a is not None else None,)], "threshold double")

@@ -43,35 +43,32 @@ def gap_fill(series: DataFrame) -> DataFrame:
     return s.select(*KEYS, "day", "idx", filled.alias("value"))
 
 
-def savgol_matrix(n: int, window: int, order: int) -> list[list[float]]:
-    """n x n weights: a polynomial fitted to each window; the ends take the fit of the first and last window."""
-    window = min(window + (window % 2 == 0), n - (n % 2 == 0))
-    half, order = window // 2, min(order, window - 1)
-    x = np.arange(window) - half
-    hat = np.vander(x, order + 1, increasing=True)
-    project = hat @ np.linalg.pinv(hat)
-    out = np.zeros((n, n))
-    for i in range(n):
-        first = min(max(i - half, 0), n - window)
-        out[i, first : first + window] = project[i - first]
-    return out.tolist()
+def savgol_weights(window: int, order: int) -> list[list[float]]:
+    """For each place in a window, the weights of its values: a polynomial fitted to the window, read at that place."""
+    hat = np.vander(np.arange(window) - window // 2, min(order, window - 1) + 1, increasing=True)
+    return (hat @ np.linalg.pinv(hat)).tolist()
 
 
 def savgol(series: DataFrame, window: int = 5, order: int = 2) -> DataFrame:
     """Savitzky-Golay smoothing after gap filling, for pixels with three observations or more.
 
-    Weights depend on the series length only; the matrices of the lengths that occur are broadcast (lengths are bounded
-    by the number of dates).
+    An even window is raised to the next odd one; a shorter series takes the largest odd window that it holds. Inner values are
+    read at the middle of their own window, the ends from the fit of the first and the last one. All weights are constants of
+    the plan: a window over each pixel's series, no join. A pixel without values stays missing.
     """
-    filled = gap_fill(series)
-    n = filled.groupBy(*KEYS).agg(F.count("*").alias("n")).filter("n >= 3")
-    lengths = [r[0] for r in n.select("n").distinct().collect()]
-    rows = [(k, i, j, w) for k in lengths for i, line in enumerate(savgol_matrix(k, window, order)) for j, w in enumerate(line) if w]
-    weights = series.sparkSession.createDataFrame(rows, "n long, i int, j int, w double")
-    left = filled.join(n, KEYS).withColumnRenamed("idx", "j").select(*KEYS, "n", "j", "value")
-    smooth = left.join(F.broadcast(weights), ["n", "j"]).groupBy(*KEYS, "i").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-    days = filled.select(*KEYS, "day", F.col("idx").alias("i"))
-    return days.join(smooth, [*KEYS, "i"]).select(*KEYS, "day", "value")
+    full = window + (window % 2 == 0)
+    line, whole = Window.partitionBy(*KEYS).orderBy("idx"), Window.partitionBy(*KEYS)
+    sizes = range(3, full + 1, 2) if full >= 3 else [full]
+    near = {k: f"v{k + full}" for k in range(1 - sizes[-1], sizes[-1])}
+    n, idx = F.col("n"), F.col("idx")
+    s = gap_fill(series).withColumns({"n": F.count("*").over(whole), **{name: F.lag("value", -k).over(line) for k, name in near.items()}}).filter("n >= 3")
+    used = F.least(F.lit(sizes[-1]), n - F.when(n % 2 == 0, 1).otherwise(0))
+    place = idx - F.least(F.greatest(idx - F.floor(F.col("used") / 2), F.lit(0)), n - F.col("used"))
+    value = F.coalesce(*(
+        F.when((F.col("used") == size) & (F.col("place") == p), sum(F.col(near[j - p]) * w for j, w in enumerate(weights)))
+        for size in sizes for p, weights in enumerate(savgol_weights(size, order))
+    ))
+    return s.withColumn("used", used).withColumn("place", place).select(*KEYS, "day", value.alias("value"))
 
 
 def trend(series: DataFrame) -> DataFrame:

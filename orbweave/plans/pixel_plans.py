@@ -115,7 +115,7 @@ def texts(df: DataFrame, *columns: str) -> DataFrame:
 
 
 register("raster_statistics", lambda s, d: rounded(S.raster_statistics(V.grid_bands(s, d), SIX, 128, V.height(s, d)), "low", "high", "mean", "std", "p2", "median", "p98"), V.with_views(f", l AS ({long_sql}) SELECT band, count(value) AS valid, 128 * (SELECT max(row) + 1 FROM dem) - count(value) AS missing, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.02), 6) AS p2, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.98), 6) AS p98 FROM l GROUP BY band", "grid_bands", "dem"))
-register("band_statistics_fields", lambda s, d: S.raster_statistics(V.grid_bands(s, d), SIX, 1, 1).select("band", F.expr("stack(4, 'min', low, 'max', high, 'mean', mean, 'std', std) as (stat, value)")).select(F.concat(F.lit("band"), "band", F.lit("_"), "stat").alias("field"), F.round("value", 6).alias("value")), V.with_views(f", l AS ({long_sql}), t AS (SELECT band, min(value) a, max(value) b, avg(value) c, stddev_pop(value) e FROM l GROUP BY band) SELECT 'band' || band || '_min' AS field, round(a, 6) AS value FROM t UNION ALL SELECT 'band' || band || '_max', round(b, 6) FROM t UNION ALL SELECT 'band' || band || '_mean', round(c, 6) FROM t UNION ALL SELECT 'band' || band || '_std', round(e, 6) FROM t", "grid_bands"))
+register("band_statistics_fields", lambda s, d: S.band_summary(S.long_bands(V.grid_bands(s, d), SIX)).select("band", F.expr("stack(4, 'min', low, 'max', high, 'mean', mean, 'std', std) as (stat, value)")).select(F.concat(F.lit("band"), "band", F.lit("_"), "stat").alias("field"), F.round("value", 6).alias("value")), V.with_views(f", l AS ({long_sql}), t AS (SELECT band, min(value) a, max(value) b, avg(value) c, stddev_pop(value) e FROM l GROUP BY band) SELECT 'band' || band || '_min' AS field, round(a, 6) AS value FROM t UNION ALL SELECT 'band' || band || '_max', round(b, 6) FROM t UNION ALL SELECT 'band' || band || '_mean', round(c, 6) FROM t UNION ALL SELECT 'band' || band || '_std', round(e, 6) FROM t", "grid_bands"))
 BIN = "CASE WHEN hi <= lo THEN 0 ELSE least(floor((b2 - lo) / (hi - lo) * {n}), {n} - 1) END"
 for name, n in (("histogram", 32), ("context_statistics", 5)):
     register(name, lambda s, d, n=n: rounded(S.histogram(V.grid_bands(s, d), "b2", n), "percent"), V.with_views(f", e AS (SELECT min(b2) lo, max(b2) hi, count(b2) n FROM grid_bands), h AS (SELECT {BIN.format(n=n)} AS bin, count(*) c, any_value(n) n FROM grid_bands, e GROUP BY 1) SELECT i AS bin, coalesce(c, 0) AS count, round(coalesce(c * 100.0::DOUBLE / n, 0), 6) AS percent FROM range({n}) t(i) LEFT JOIN h ON h.bin = t.i", "grid_bands"))
@@ -124,7 +124,7 @@ register("stretch_params", lambda s, d: rounded(S.stretch_params(V.grid_bands(s,
 register("percentile_normalize", lambda s, d: rounded(S.percentile_normalize(V.grid_bands(s, d), "b3"), "value"), V.with_views(f", p AS (SELECT quantile_cont(b3, 0.02) lo, quantile_cont(b3, 0.98) hi FROM grid_bands) SELECT row, col, round({cl('(b3 - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END')}, 6) AS value FROM grid_bands, p", "grid_bands"))
 register("standardize", lambda s, d: rounded(S.standardize(V.grid_bands(s, d), ["b1", "b2"]), "b1", "b2"), V.with_views(", p AS (SELECT avg(b1) m1, avg(b2) m2, stddev_pop(b1) s1, stddev_pop(b2) s2 FROM grid_bands) SELECT row, col, round((b1 - m1) / s1, 6) AS b1, round((b2 - m2) / s2, 6) AS b2 FROM grid_bands, p", "grid_bands"))
 register("normalize_uint8", lambda s, d: S.normalize_uint8(V.grid_bands(s, d), "b2"), V.with_views(", p AS (SELECT min(b2) lo, max(b2) hi FROM grid_bands) SELECT row, col, floor((b2 - lo) / (hi - lo) * 255)::INTEGER AS value FROM grid_bands, p", "grid_bands"))
-register("auto_mndwi_threshold", lambda s, d: V.grid_bands(s, d).agg(F.round((F.percentile(A.ratio(at.b2, at.b5), F.lit(0.5)) + F.percentile(A.ratio(at.b2, at.b5), F.lit(0.85))) / 2, 6).alias("threshold")), V.with_views(f"SELECT round((quantile_cont({rt('b2', 'b5')}, 0.5) + quantile_cont({rt('b2', 'b5')}, 0.85)) / 2, 6) AS threshold FROM grid_bands", "grid_bands"))
+register("auto_mndwi_threshold", lambda s, d: S.middle_threshold(V.grid_bands(s, d).select(A.ratio(at.b2, at.b5).alias("v")), "v", 0.5, 0.85).select(F.round("threshold", 6).alias("threshold")), V.with_views(f"SELECT round((quantile_cont({rt('b2', 'b5')}, 0.5) + quantile_cont({rt('b2', 'b5')}, 0.85)) / 2, 6) AS threshold FROM grid_bands", "grid_bands"))
 OTSU = f"""{{head}}, x AS (SELECT row, col, {nd('b2', 'b5')} AS v FROM grid_bands), c AS (SELECT least(floor((v + 1) / 2 * 256), 255)::BIGINT AS bin, count(*) AS n FROM x GROUP BY 1),
  e AS (SELECT i AS bin, coalesce(n, 0) AS n, -1 + (i + 0.5::DOUBLE) / 128 AS x FROM range(256) t(i) LEFT JOIN c ON c.bin = t.i),
  w AS (SELECT bin, x, sum(n) OVER (ORDER BY bin) w1, sum(n * x) OVER (ORDER BY bin) m1, sum(n) OVER (ORDER BY bin DESC) w2, sum(n * x) OVER (ORDER BY bin DESC) m2 FROM e),

@@ -34,7 +34,10 @@ register("ts_max_composite", lambda s, d: T.composite(V.series(s, d), "max"), ov
 register("ts_median_composite", lambda s, d: rounded(T.composite(V.series(s, d), "median"), "value"), over("SELECT row, col, round(quantile_cont(value, 0.5), 6) AS value FROM series GROUP BY ALL"))
 register("ts_moving_window", lambda s, d: texts(rounded(T.moving_window(gappy(s, d), 4), "value"), "day"), over(f", {GAPPY} SELECT row, col, day::VARCHAR AS day, round(avg(value) OVER (PARTITION BY row, col ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS value FROM gappy"))
 register("ts_gap_fill", lambda s, d: texts(rounded(T.gap_fill(gappy(s, d)), "value"), "day"), over(f", {FILL} SELECT row, col, day::VARCHAR AS day, idx::INTEGER AS idx, round(value, 6) AS value FROM filled"))
-register("ts_savgol", lambda s, d: texts(rounded(T.savgol(gappy(s, d)), "value"), "day"))
+KERNEL = ", ".join(f"({size}, {p}, {j}, {w!r}::DOUBLE)" for size in (3, 5) for p, line in enumerate(T.savgol_weights(size, 2)) for j, w in enumerate(line))
+register("ts_savgol", lambda s, d: texts(rounded(T.savgol(gappy(s, d)), "value"), "day"), over(f""", {FILL}, k AS (SELECT * FROM (VALUES {KERNEL}) t(size, place, j, w)),
+ n AS (SELECT *, least(5, c - (c % 2 = 0)::INTEGER) AS size FROM (SELECT *, count(*) OVER (PARTITION BY row, col) AS c FROM filled) WHERE c >= 3), b AS (SELECT *, least(greatest(idx - size // 2, 0), c - size) AS start FROM n)
+ SELECT b.row, b.col, b.day::VARCHAR AS day, round(sum(w * f.value), 6) AS value FROM b JOIN k ON k.size = b.size AND k.place = b.idx - b.start JOIN filled f ON f.row = b.row AND f.col = b.col AND f.idx = b.start + j GROUP BY b.row, b.col, b.day"""))
 register("ts_trend", lambda s, d: rounded(T.trend(V.series(s, d)), "slope", "intercept", "r2"), over(", x AS (SELECT row, col, value, date_diff('day', min(day) OVER (PARTITION BY row, col), day) AS x FROM series) SELECT row, col, round(regr_slope(value, x), 6) AS slope, round(regr_intercept(value, x), 6) AS intercept, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, regr_r2(value, x))), 6) AS r2 FROM x GROUP BY row, col HAVING count(DISTINCT x) >= 2"))
 register("ts_seasonality", lambda s, d: rounded(T.seasonality(V.series(s, d)), "mean", "amplitude"), over("SELECT row, col, round(avg(value), 6) AS mean, round(max(value) - min(value), 6) AS amplitude, arg_max(dayofyear(day), (value, -date_diff('day', DATE '1970-01-01', day)))::INTEGER AS peak, arg_min(dayofyear(day), (value, date_diff('day', DATE '1970-01-01', day)))::INTEGER AS trough FROM series GROUP BY row, col"))
 register("ts_phenology", lambda s, d: rounded(T.phenology(gappy(s, d)), "amplitude"), over(f""", {FILL}, e AS (SELECT *, min(value) OVER p AS lo, max(value) OVER p AS hi FROM filled WHERE value IS NOT NULL WINDOW p AS (PARTITION BY row, col)),

@@ -94,7 +94,13 @@ register("valid_bounds", lambda s, d: V.grid_bands(s, d).agg(F.min("row").alias(
 AT = "max(CASE WHEN row % 2 = {} AND col % 2 = {} THEN z END)"
 register("haar_wavelet", lambda s, d: rounded(transforms.haar(V.dem(s, d), "z"), "ll", "lh", "hl", "hh"), over(f", q AS (SELECT row // 2 AS row, col // 2 AS col, {AT.format(0, 0)} a, {AT.format(0, 1)} b0, {AT.format(1, 0)} c0, {AT.format(1, 1)} d0 FROM dem GROUP BY 1, 2), x AS (SELECT row, col, a, coalesce(b0, a) b, coalesce(c0, a) c, coalesce(d0, CASE WHEN b0 IS NULL THEN coalesce(c0, a) ELSE coalesce(b0, a) END) d FROM q) SELECT row, col, round((a+b+c+d)/4, 6) AS ll, round((a-b+c-d)/4, 6) AS lh, round((a+b-c-d)/4, 6) AS hl, round((a-b-c+d)/4, 6) AS hh FROM x"))
 register("pca", lambda s, d: rounded(transforms.pca(V.grid_bands(s, d), SIX, 3)[0], "pc1", "pc2", "pc3"))
-register("fourier_2d", lambda s, d: rounded(transforms.fourier(V.dem(s, d), "z", height(s, d), 128), "value"))
+#: Both passes of the transform as sums; angles go through whole numbers, so large products lose nothing.
+FOURIER = f"""h AS (SELECT {H} AS h, (SELECT avg(z) FROM dem) AS mean), g AS (SELECT r.i AS row, c.i AS col, coalesce(z, mean) AS z FROM h, range(h.h) r(i) CROSS JOIN range(128) c(i) LEFT JOIN dem ON dem.row = r.i AND dem.col = c.i),
+ a AS (SELECT k.i AS k, c.i AS c, cos(2 * pi() * (k.i * c.i % 128) / 128) AS x, -sin(2 * pi() * (k.i * c.i % 128) / 128) AS y FROM range(128) k(i), range(128) c(i)),
+ p AS (SELECT row, k AS col, sum(z * x) AS re, sum(z * y) AS im FROM g JOIN a ON a.c = g.col GROUP BY row, k),
+ b AS (SELECT k.i AS k, r.i AS r, cos(2 * pi() * (k.i * r.i % h) / h) AS x, -sin(2 * pi() * (k.i * r.i % h) / h) AS y FROM h, range(h.h) k(i), range(h.h) r(i)),
+ q AS (SELECT b.k AS row, col, sum(re * x - im * y) AS re, sum(re * y + im * x) AS im FROM p JOIN b ON b.r = p.row GROUP BY b.k, col)"""
+register("fourier_2d", lambda s, d: rounded(transforms.fourier(V.dem(s, d), "z", height(s, d), 128), "value"), over(f", {FOURIER} SELECT (row + h // 2) % h AS row, (col + 64) % 128 AS col, round(ln(1 + sqrt(re * re + im * im)), 6) AS value FROM q, h"))
 register("map_chunks", lambda s, d: transforms.map_chunks(V.dem(s, d).select("row", "col", "z"), lambda p: p.assign(z=p["z"] - p["z"].mean()).groupby(["crow", "ccol"], as_index=False).agg(n=("z", "size"), spread=("z", "std")).round(6), "crow long, ccol long, n long, spread double", 64), over("SELECT row // 64 AS crow, col // 64 AS ccol, count(*) AS n, round(stddev_samp(z), 6) AS spread FROM dem GROUP BY 1, 2"))
 register("predict_chunks", lambda s, d: rounded(transforms.predict_chunks(V.grid_bands(s, d), lambda m: m @ [0.5, 0.25, 0.25], ["b1", "b2", "b3"]), "score"), over("SELECT row, col, round(0.5::DOUBLE * b1 + 0.25::DOUBLE * b2 + 0.25::DOUBLE * b3, 6) AS score FROM grid_bands", "grid_bands"))
 

@@ -1,11 +1,12 @@
 """Ready-made raster jobs against numpy, on rasters with masked pixels and over block borders."""
 
+import datetime
 import math
 
 import numpy as np
 import pytest
 
-from orbweave.operators import templates as M
+from orbweave.operators import stats, templates as M, timeseries
 
 
 def frame(spark, a, kind="double"):
@@ -53,3 +54,33 @@ def test_binary_splits_two_heaps_and_leaves_masked_pixels(spark):
     assert {k for k, v in got.items() if v == 255} == {(1, 0), (1, 1), (1, 2)} and len(got) == 7
     assert set(grid(M.binary(frame(spark, np.full((2, 2), 3.0)))).values()) == {0}
     assert grid(M.binary(frame(spark, a).limit(0))) == {}
+
+
+def test_quantiles_of_bands_at_once(spark):
+    rng = np.random.default_rng(4)
+    bands = {1: rng.normal(size=3000), 2: np.repeat([2.0, 7.0], [10, 990]), 3: np.array([5.0]), 4: np.array([-np.inf, 1.0, 2.0, 3.0, np.inf]), 5: np.concatenate((rng.random(500), [-1.7e308, 1.7e308]))}
+    rows = [(b, float(x)) for b, v in bands.items() for x in v] + [(6, None), (6, float("nan"))]
+    shares = [0.02, 0.25, 0.5, 0.98]
+    for small in (1 << 14, 1):
+        got = stats.band_quantiles(spark.createDataFrame(rows, "band int, value double").repartition(4), shares, 16, small)
+        assert set(got) == set(bands)
+        for b in (1, 2, 3, 5):
+            assert got[b] == pytest.approx(np.quantile(bands[b], shares).tolist(), rel=1e-9)
+        assert got[4][1:3] == [1.0, 2.0]
+
+
+def test_savgol_of_any_length_equals_fits(spark):
+    rng = np.random.default_rng(5)
+    for window in (5, 6, 7):
+        series = {n: rng.normal(size=n).tolist() for n in (1, 2, 3, 4, 5, 6, 7, 8, 12)}
+        rows = [(n, 0, datetime.date(2024, 1, 1 + i), v) for n, line in series.items() for i, v in enumerate(line)]
+        got = {}
+        for r in timeseries.savgol(spark.createDataFrame(rows, "row long, col long, day date, value double"), window).orderBy("day").collect():
+            got.setdefault(r.row, []).append(r.value)
+        assert set(got) == {n for n in series if n >= 3}
+        for n, line in got.items():
+            w = min(window + (window % 2 == 0), n - (n % 2 == 0))
+            for i, v in enumerate(line):
+                first = min(max(i - w // 2, 0), n - w)
+                x = np.arange(first, first + w)
+                assert v == pytest.approx(np.polyval(np.polyfit(x - i, series[n][first : first + w], min(2, w - 1)), 0), abs=1e-9)
