@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .overlay import candidates
+
 RING = "array<struct<x:double,y:double>>"
 TYPES = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")
 
@@ -28,29 +30,34 @@ def ring_is_valid(ring: Column) -> Column:
     return F.coalesce((F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)) & ~crossing, F.lit(False))
 
 
-def clip_ring(points: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
-    """The part of a closed ring inside a box, a closed ring again; empty where nothing is left (half planes one by one)."""
-    for axis, limit, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
-        out = []
-        for a, b in zip(points, points[1:], strict=False):
-            ins = [(p[axis] - limit) * sign >= 0 for p in (a, b)]
-            if ins[0] != ins[1]:
-                at = a[1 - axis] + (b[1 - axis] - a[1 - axis]) * (limit - a[axis]) / (b[axis] - a[axis])
-                out.append((limit, at) if axis == 0 else (at, limit))
-            if ins[1]:
-                out.append(b)
-        points = [out[-1], *out] if out else []
-    return points
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _half_plane(ring: Column, axis: str, limit: Column, low: bool) -> Column:
+    """A closed ring on one side of a line along an axis, closed again; empty where nothing is left."""
+    other = "y" if axis == "x" else "x"
+    inside = lambda p: p[axis] >= limit if low else p[axis] <= limit
+
+    def met(a: Column, b: Column) -> Column:
+        along = a[other] + (b[other] - a[other]) * (limit - a[axis]) / (b[axis] - a[axis])
+        ends = {axis: limit, other: along}
+        return F.when(inside(a) != inside(b), F.struct(ends["x"].alias("x"), ends["y"].alias("y")))
 
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    sides = F.arrays_zip(F.slice(ring, 1, n).alias("a"), F.slice(ring, 2, n).alias("b"))
+    points = F.flatten(F.transform(sides, lambda s: F.array_compact(F.array(met(s["a"], s["b"]), F.when(inside(s["b"]), F.struct(s["b"]["x"].alias("x"), s["b"]["y"].alias("y")))))))
+    return _let(points, lambda p: F.when(F.size(p) > 0, F.concat(F.slice(p, -1, 1), p)).otherwise(p))
 
-def _clipper(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        rings, areas = [], []
-        for ring, *box in zip(part["ring"], part["x0"], part["y0"], part["x1"], part["y1"], strict=True):
-            cut = clip_ring([(p["x"], p["y"]) for p in ring], tuple(box))
-            rings.append([{"x": x, "y": y} for x, y in cut])
-            areas.append(abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(cut, cut[1:], strict=False))) / 2)
-        yield pd.DataFrame({"zone_id": part["zone_id"], "box_id": part["box_id"], "ring": rings, "area": areas})
+
+def clip_ring(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """The part of a closed ring inside a box, a closed ring again, half plane by half plane; empty where nothing is left."""
+    cut = F.transform(ring, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    keep = lambda axis, limit, low: lambda r: _half_plane(r, axis, limit.cast("double"), low)
+    for side in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
+        cut = _let(cut, keep(*side))
+    return cut
 
 
 def ring_area(ring: Column) -> Column:
@@ -59,19 +66,22 @@ def ring_area(ring: Column) -> Column:
 
 
 def clip_zones(zones: DataFrame, boxes: DataFrame, sliver: float = 1e-10) -> DataFrame:
-    """zones(zone_id, ring) cut by boxes(box_id, x0, y0, x1, y1): (zone_id, box_id, ring, area), slivers left out."""
-    cell = 16.0
-    spans = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    z = zones.select("zone_id", "ring", F.array_min(xs).alias("zx0"), F.array_min(ys).alias("zy0"), spans(F.array_min(xs), F.array_max(xs)).alias("cx"), F.array_max(ys).alias("zy1"))
-    z = z.withColumn("cy", spans(F.col("zy0"), F.col("zy1")))
-    z = z.filter("zone_id is not null and not exists(ring, p -> p.x is null or p.y is null)")
-    b = boxes.withColumn("cx", spans(F.col("x0"), F.col("x1"))).withColumn("cy", spans(F.col("y0"), F.col("y1")))
-    # A pair meets in many cells; the one with the lower corner of what both bounds share keeps it.
-    home = (F.floor(F.greatest("zx0", "x0") / cell) == F.col("cx")) & (F.floor(F.greatest("zy0", "y0") / cell) == F.col("cy"))
-    met = z.join(b, ["cx", "cy"]).filter(home).select("zone_id", "box_id", "ring", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")))
-    ids = ", ".join(f"{c} {dict(met.dtypes)[c]}" for c in ("zone_id", "box_id"))
-    return met.mapInPandas(_clipper, f"{ids}, ring {RING}, area double").filter(F.col("area") > sliver)
+    """zones(zone_id, ring) cut by boxes(box_id, x0, y0, x1, y1): (zone_id, box_id, ring, area), slivers left out.
+
+    Pairs are found by cells of each side's own size, four at most a level, so a zone of any extent costs the same.
+    """
+    xs, ys = F.transform("ring", lambda p: p["x"].cast("double")), F.transform("ring", lambda p: p["y"].cast("double"))
+    level = F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9)))).cast("int")
+    z = zones.filter("zone_id is not null and size(ring) > 0 and not exists(ring, p -> p.x is null or p.y is null)")
+    z = z.select("zone_id", "ring", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")).withColumn("level", level)
+    b = boxes.select("box_id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).filter("x0 < x1 and y0 < y1").withColumn("level", level)
+    met = candidates(z, b)
+    cut = clip_ring(F.col("ring"), F.col("b_x0"), F.col("b_y0"), F.col("b_x1"), F.col("b_y1"))
+    # One expression that keeps or drops a piece: a filter on it would be worked out a second time.
+    area = lambda r: F.when(F.size(r) >= 4, ring_area(r)).otherwise(0.0)
+    pieces = F.filter(F.transform(F.array(cut), lambda r: F.struct(r.alias("ring"), area(r).alias("area"))), lambda p: p["area"] > sliver)
+    return met.select("zone_id", F.col("b_box_id").alias("box_id"), F.explode(pieces).alias("piece")).select("zone_id", "box_id", "piece.ring", "piece.area")
+
 
 
 def moved(ring: Column, to: Callable[[Column, Column], tuple[Column, Column]]) -> Column:

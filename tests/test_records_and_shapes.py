@@ -41,12 +41,55 @@ def test_label_median_and_gabor_kernels(spark):
         texture.gabor_kernels(0, 0, 1)
 
 
+def plain_clip(points, box):
+    """A closed ring cut by a box point by point, the other way to shapes.clip_ring's result."""
+    for axis, limit, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
+        out = []
+        for a, b in zip(points, points[1:]):
+            ins = [(p[axis] - limit) * sign >= 0 for p in (a, b)]
+            if ins[0] != ins[1]:
+                at = a[1 - axis] + (b[1 - axis] - a[1 - axis]) * (limit - a[axis]) / (b[axis] - a[axis])
+                out.append((limit, at) if axis == 0 else (at, limit))
+            if ins[1]:
+                out.append(b)
+        points = [out[-1], *out] if out else []
+    return points
+
+
+def test_boxes_cut_rings_of_every_size(spark):
+    """Stars from a thousandth of a unit to a continent, by boxes of as many sizes, against the plain way."""
+    rng = np.random.default_rng(8)
+    zones, boxes = {}, {}
+    for i in range(60):
+        size, x, y = float(10.0 ** rng.uniform(-3, 2)), *rng.uniform(-100, 100, 2).tolist()
+        turn = np.sort(rng.uniform(0, 2 * np.pi, int(rng.integers(3, 12))))
+        reach = size * rng.uniform(0.2, 1, len(turn))
+        points = list(zip((x + reach * np.cos(turn)).tolist(), (y + reach * np.sin(turn)).tolist()))
+        zones[i] = [*points, points[0]]
+        w, h = (10.0 ** rng.uniform(-3, 2, 2)).tolist()
+        middle = points[0] if i % 2 else (x, y)
+        boxes[i] = (middle[0] - w / 2, middle[1] - h / 3, middle[0] + w / 2, middle[1] + h)
+    area = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:]))) / 2
+    want = {(i, j): plain_clip(z, b) for i, z in zones.items() for j, b in boxes.items()}
+    want = {k: v for k, v in want.items() if area(v) > 1e-10}
+    rows = [(i, [{"x": x, "y": y} for x, y in z]) for i, z in zones.items()] + [(None, [{"x": 0.0, "y": 0.0}]), (98, None), (99, [])]
+    got = shapes.clip_zones(
+        spark.createDataFrame(rows, f"zone_id long, ring {shapes.RING}"),
+        spark.createDataFrame([(j, *b) for j, b in boxes.items()] + [(99, None, 0.0, 1.0, 1.0), (98, 3.0, 3.0, 2.0, 2.0)], "box_id long, x0 double, y0 double, x1 double, y1 double"),
+    ).collect()
+    assert len(got) == len(want) and {(r.zone_id, r.box_id) for r in got} == set(want)
+    for r in got:
+        ring = want[r.zone_id, r.box_id]
+        assert np.allclose([(p.x, p.y) for p in r.ring], ring, rtol=1e-12)
+        assert r.area == pytest.approx(area(ring), rel=1e-6, abs=1e-9)
+
+
 def test_rings(spark):
     ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     rows = [(1, ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))), (2, ring((0, 0), (4, 4), (4, 0), (0, 4), (0, 0))), (3, ring((0, 0), (1, 0), (1, 1))), (4, [])]
     df = spark.createDataFrame(rows + [(5, None)], f"zone_id long, ring {shapes.RING}")
     assert {r.zone_id: r.v for r in df.select("zone_id", shapes.ring_is_valid(F.col("ring")).alias("v")).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
-    assert shapes.clip_ring([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], (2, -1, 9, 9)) and not shapes.clip_ring([(0, 0), (1, 0), (1, 1), (0, 0)], (5, 5, 6, 6))
+    assert plain_clip([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], (2, -1, 9, 9)) and not plain_clip([(0, 0), (1, 0), (1, 1), (0, 0)], (5, 5, 6, 6))
     boxes = spark.createDataFrame([(7, 2.0, -1.0, 40.0, 40.0), (8, 5.0, 5.0, 6.0, 6.0)], "box_id long, x0 double, y0 double, x1 double, y1 double")
     assert [(r.zone_id, r.box_id, r.area) for r in shapes.clip_zones(df.filter("zone_id = 1"), boxes).collect()] == [(1, 7, 8.0)]
     thin = shapes.simplified(spark.createDataFrame([(1, ring((0, 0), (1, 0.001), (2, 0), (2, 2)))], f"k long, path {shapes.RING}"), "k", "path", 0.01).first()
