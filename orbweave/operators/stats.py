@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .graph import stored
 
@@ -14,22 +15,30 @@ def long_bands(df: DataFrame, bands: list[str]) -> DataFrame:
 
 
 def _with_quantiles(counted: DataFrame, pixels: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """counted, a row for each band, with columns for the named quantiles of pixels(band, value)."""
-    found = band_quantiles(pixels, list(shares.values()))
-    rows = [(band, *values) for band, values in found.items()]
-    table = counted.sparkSession.createDataFrame(rows, f"band {counted.schema['band'].dataType.simpleString()}, " + ", ".join(f"{name} double" for name in shares))
-    return counted.join(F.broadcast(table), "band", "left")  # a row for each band
+    """counted, a row for each band with its _n, _lo and _hi, with columns for the named quantiles of pixels(band, value) in their place."""
+    rows = counted.collect()  # a row for each band
+    ends = [(r.band, r["_n"], r["_lo"], r["_hi"]) for r in rows if r["_n"]]
+    found = band_quantiles(pixels, list(shares.values()), ends=ends)
+    kept = [f for f in counted.schema.fields if f.name not in ("_n", "_lo", "_hi")]
+    schema = StructType([*kept, *(StructField(name, DoubleType()) for name in shares)])
+    return counted.sparkSession.createDataFrame([(*(r[f.name] for f in kept), *found.get(r.band, [None] * len(shares))) for r in rows], schema)
 
 
-def band_summary(pixels: DataFrame) -> DataFrame:
+def _ends() -> list[Column]:
+    """Count, least and largest of a band's values, NaN left out."""
+    v = F.when(~F.isnan("value"), F.col("value").cast("double"))
+    return [F.count(v).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi")]
+
+
+def band_summary(pixels: DataFrame, *more: Column) -> DataFrame:
     """Per band of pixels(band, value): valid count, range, mean, population deviation, in one pass."""
-    return pixels.groupBy("band").agg(F.count("value").alias("valid"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return pixels.groupBy("band").agg(F.count("value").alias("valid"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), *more)
 
 
 def raster_statistics(df: DataFrame, bands: list[str], width: int, height: int) -> DataFrame:
     """band_summary with the count of missing pixels, p2, median and p98. The bands are stored once."""
     pixels = long_bands(stored(df.select("row", "col", *bands), "statistics"), bands)
-    counted = band_summary(pixels).withColumn("missing", F.lit(width * height) - F.col("valid"))
+    counted = band_summary(pixels, *_ends()).withColumn("missing", F.lit(width * height) - F.col("valid"))
     return _with_quantiles(counted, pixels, {"p2": 0.02, "median": 0.5, "p98": 0.98})
 
 
@@ -87,23 +96,24 @@ def normalize_uint8(df: DataFrame, band: str) -> DataFrame:
 def stretch_params(df: DataFrame, bands: list[str]) -> DataFrame:
     """Per band p2 and p98; under 10 values (0, 1), and a high not above the low is low + 1. The bands are stored once."""
     pixels = long_bands(stored(df.select("row", "col", *bands), "stretch"), bands)
-    s = _with_quantiles(pixels.groupBy("band").agg(F.count("value").alias("n")), pixels, {"p": 0.02, "q": 0.98})
+    s = _with_quantiles(pixels.groupBy("band").agg(F.count("value").alias("n"), *_ends()), pixels, {"p": 0.02, "q": 0.98})
     low = F.when(F.col("n") < 10, 0.0).otherwise(F.col("p"))
     high = F.when(F.col("n") < 10, 1.0).otherwise(F.col("q"))
     return s.select("band", low.alias("low"), F.when(high <= low, low + 1).otherwise(high).alias("high"))
 
 
-def band_quantiles(pixels: DataFrame, shares: list[float], bins: int = 4096, small: int = 1 << 14) -> dict[object, list[float]]:
+def band_quantiles(pixels: DataFrame, shares: list[float], bins: int = 4096, small: int = 1 << 14, ends: list[tuple] | None = None) -> dict[object, list[float]]:
     """Exact quantiles (linear between neighbours) of each band of pixels(band, value), all bands in the same passes.
 
     The interval that holds a rank is cut into bins until a bin holds one value, or few enough rows to sort: no task and no row
     ever holds a band's values. The ends of an interval are bins of their own, so every pass narrows it, infinite ends too.
     Passes read pixels again: store it first where it is dear. Nulls and NaN are left out; a band without values is not in the
-    result. The driver gets at most `bins` counts for each interval and `small` values for each rank.
+    result. The driver gets at most `bins` counts for each interval and `small` values for each rank. ends: (band, count, least,
+    largest) of these values, where they are known.
     """
     v = pixels.select("band", F.col("value").cast("double").alias("v")).filter("v is not null and not isnan(v)")
     sizes, found, todo = {}, {}, []  # todo: (band, least, largest, rows before, ranks inside)
-    for band, n, lo, hi in v.groupBy("band").agg(F.count("v"), F.min("v"), F.max("v")).collect():
+    for band, n, lo, hi in ends if ends is not None else v.groupBy("band").agg(F.count("v"), F.min("v"), F.max("v")).collect():
         sizes[band] = n
         todo.append((band, lo, hi, 0, {int(k) for p in shares for k in (p * (n - 1) // 1, min(p * (n - 1) // 1 + 1, n - 1))}))
 
