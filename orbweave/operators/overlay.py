@@ -7,6 +7,9 @@ whole inside the other or not at all. The second polygon is moved by about 1e-9
 special slope, so sides never lie upon each other and corners never on sides: areas are right to about 1e-8 of that size, and what
 is thinner counts as nothing.
 
+Equal work is done once: polygons that differ by their place alone share a shape, and a pair is two shapes and the way from one to
+the other. What a pair comes to is joined back to all polygons at the places it is met at, so copies cost their rows of the result only.
+
 Defined cases: a null or empty polygon and rings of fewer than four points meet nothing; pairs that only touch give no row; repeated
 ids are repeated polygons; slivers are left out and counted as dropped; empty tables give no rows.
 """
@@ -23,6 +26,8 @@ POINT = "struct<x:double,y:double>"
 RINGS = f"array<array<{POINT}>>"
 #: Sides of a pair that meet in one cell of its own, about.
 CELL_SIDES = 32
+#: Polygons of one side in a part of a cell, about.
+CELL_ROWS = 512
 
 
 def signed_area(ring: Column) -> Column:
@@ -57,16 +62,34 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
     left = _cells(a, levels(b))
     right = _cells(b, levels(a))
     right = right.select("at", "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in b.columns))
-    met = left.join(right, ["at", "cx", "cy"]).filter("at = greatest(level, b_level) and x0 < b_x1 and b_x0 < x1 and y0 < b_y1 and b_y0 < y1")
+    cell = ["at", "cx", "cy"]
+    # A full cell is met in parts: its rows of one side are dealt, those of the other go to each part.
+    many = left.groupBy(*cell).agg(F.ceil(F.count("*") / CELL_ROWS).alias("many"))
+    left = left.join(many, cell).withColumn("part", F.pmod(F.xxhash64("x0", "y0", "x1", "y1"), F.col("many"))).drop("many")
+    right = right.join(many, cell).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))).drop("many")
+    cell.append("part")
+    met = spread(left, *cell).join(spread(right, *cell), cell).filter("at = greatest(level, b_level) and x0 < b_x1 and b_x0 < x1 and y0 < b_y1 and b_y0 < y1")
     size = F.pow(F.lit(2.0), F.col("at"))
     home = (F.floor(F.greatest("x0", "b_x0") / size) == F.col("cx")) & (F.floor(F.greatest("y0", "b_y0") / size) == F.col("cy"))
-    return met.filter(home).drop("at", "cx", "cy", "level", "b_level")
+    return met.filter(home).drop("at", "cx", "cy", "part", "level", "b_level")
 
 
 def _moved(rings: str, dx: Column, dy: Column) -> Column:
     return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y"))))
 
 
+def shared_shapes(p: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Shapes (shape, rings from the corner of their bounds), and which polygon of (key, rings, bounds, level) has which where."""
+    p = p.withColumn("rings", _moved("rings", -F.col("x0"), -F.col("y0")))
+    shapes = stored(p.select("rings").distinct().withColumn("shape", F.monotonically_increasing_id()), "shapes")
+    return shapes, stored(p.join(shapes, "rings").select(key, "shape", "x0", "y0", "x1", "y1", "level"), "members")
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt to all tasks before each of them becomes many: their own size says nothing about what follows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _inside(point: Column, rings: str) -> Column:
     return F.aggregate(rings, F.lit(False), lambda odd, r: odd != point_in_ring(point["x"], point["y"], r))
 
@@ -76,15 +99,34 @@ def clip(subjects: DataFrame, clips: DataFrame, key: str = "zone_id", other: str
 
     Pairs whose common area is below thin times the square of the subject's size have no row.
     """
-    pairs = candidates(_prepared(subjects, key), _prepared(clips, other)).withColumnRenamed(f"b_{other}", other)
-    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    pairs = pairs.select(
-        F.monotonically_increasing_id().alias("pair"), key, other, size.alias("size"), F.col("x0").alias("ox"), F.col("y0").alias("oy"),
-        _moved("rings", -F.col("x0"), -F.col("y0")).alias("rings_a"), _moved("b_rings", size * SHIFT[0] - F.col("x0"), size * SHIFT[1] - F.col("y0")).alias("rings_b"),
-    )
-    pairs = stored(pairs, "pairs")  # from here on a pair has its number
+    found, of_a, of_b = _clipped(subjects, clips, key, other, thin)
+    found = spread(found, "shape", "x0", "y0", "b_shape", "b_x0", "b_y0").join(of_a.select(key, "shape", "x0", "y0"), ["shape", "x0", "y0"])
+    found = found.join(of_b.select(other, F.col("shape").alias("b_shape"), F.col("x0").alias("b_x0"), F.col("y0").alias("b_y0")), ["b_shape", "b_x0", "b_y0"])
+    return found.select(key, other, _moved("rings", F.col("x0"), F.col("y0")).alias("rings"), "area", "parts", "holes")
+
+
+def kept(subjects: DataFrame, clips: DataFrame, key: str = "zone_id", other: str = "clip_id", thin: float = 1e-7) -> DataFrame:
+    """(key) of the subjects that have a row in clip(), once for each of them: pairs are not written out."""
+    found, of_a, _ = _clipped(subjects, clips, key, other, thin)
+    return of_a.join(found.select("shape", "x0", "y0").distinct(), ["shape", "x0", "y0"], "left_semi").select(key)
+
+
+def _clipped(subjects: DataFrame, clips: DataFrame, key: str, other: str, thin: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rings, area, parts and holes for each two places (shape, x0, y0, b_shape, b_x0, b_y0), rings from the first one's corner; members of both sides."""
+    (shapes_a, of_a), (shapes_b, of_b) = shared_shapes(_prepared(subjects, key), key), shared_shapes(_prepared(clips, other), other)
+    places = lambda of: of.select("shape", "x0", "y0", "x1", "y1", "level").distinct()
+    met = candidates(places(of_a), places(of_b))
+    met = stored(met.select("shape", "x0", "y0", "b_shape", "b_x0", "b_y0", (F.col("b_x0") - F.col("x0")).alias("dx"), (F.col("b_y0") - F.col("y0")).alias("dy")), "met")
+    kind = ["shape", "b_shape", "dx", "dy"]
+    pairs = spread(met.select(*kind).distinct(), *kind).join(shapes_a.withColumnRenamed("rings", "rings_a"), "shape").join(shapes_b.select(F.col("shape").alias("b_shape"), F.col("rings").alias("rings_b")), "b_shape")
+    first = F.get("rings_a", F.lit(0))
+    pairs = pairs.withColumn("size", F.greatest(F.array_max(F.transform(first, lambda q: q["x"])), F.array_max(F.transform(first, lambda q: q["y"]))))
+    pairs = pairs.withColumn("rings_b", _moved("rings_b", F.col("dx") + F.col("size") * SHIFT[0], F.col("dy") + F.col("size") * SHIFT[1]))
+    pairs = stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs")  # from here on a pair has its number
     sides = F.aggregate("rings_a", F.lit(0), lambda t, r: t + F.size(r)) + F.aggregate("rings_b", F.lit(0), lambda t, r: t + F.size(r))
-    fine = pairs.withColumn("cell", F.col("size") / F.ceil(F.sqrt(sides / CELL_SIDES)))
+    # Without a side of the second polygon near the first one's bounds there is nothing to cross.
+    near = F.exists("rings_b", lambda r: F.exists(F.arrays_zip(F.slice(r, 1, F.size(r) - 1).alias("p"), F.slice(r, 2, F.size(r) - 1).alias("q")), lambda s: ~_apart(s["p"]["x"], s["p"]["y"], s["q"]["x"], s["q"]["y"])))
+    fine = pairs.filter(near).withColumn("cell", F.col("size") / F.ceil(F.sqrt(sides / CELL_SIDES)))
 
     def edges(side: str) -> DataFrame:
         e = fine.select("pair", "cell", "size", F.posexplode(f"rings_{side}").alias("ring", "points"))
@@ -92,7 +134,7 @@ def clip(subjects: DataFrame, clips: DataFrame, key: str = "zone_id", other: str
         e = e.select("pair", "cell", "size", "ring", "i", *(F.col(f"s.{p}.{c}").alias(f"{c}{n}") for n, p in enumerate("pq") for c in "xy"))
         # Crossings lie within the first polygon's bounds.
         span = lambda c: F.sequence(F.floor(F.greatest(F.least(f"{c}0", f"{c}1"), F.lit(0.0)) / F.col("cell")), F.floor(F.least(F.greatest(f"{c}0", f"{c}1"), F.col("size")) / F.col("cell")))
-        near = e.filter("greatest(x0, x1) >= 0 and least(x0, x1) <= size and greatest(y0, y1) >= 0 and least(y0, y1) <= size")
+        near = e.filter(~_apart(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))))
         near = near.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y"))).drop("cell", "size")
         return near.toDF("pair", *(f"{side}_{c}" for c in ("ring", "i", "x0", "y0", "x1", "y1")), "cx", "cy")
 
@@ -134,9 +176,15 @@ def clip(subjects: DataFrame, clips: DataFrame, key: str = "zone_id", other: str
         closed = closed.unionByName(whole.filter(_inside(F.get("ring", F.lit(0)), "far")).select("pair", "ring"))
     closed = closed.withColumn("area", signed_area(F.col("ring")))
     found = closed.groupBy("pair").agg(F.sum("area").alias("area"), F.count_if(F.col("area") > 0).alias("parts"), F.count_if(F.col("area") < 0).alias("holes"), F.array_sort(F.collect_list(F.struct((-F.col("area")).alias("o"), "ring"))).alias("by"))
-    found = found.join(pairs.select("pair", key, other, "size", "ox", "oy"), "pair").filter(F.col("area") > thin * F.col("size") * F.col("size"))
-    found = found.withColumn("rings", F.transform("by", lambda r: r["ring"]))
-    return found.select(key, other, _moved("rings", F.col("ox"), F.col("oy")).alias("rings"), "area", "parts", "holes")
+    found = found.join(pairs.select("pair", *kind, "size"), "pair").filter(F.col("area") > thin * F.col("size") * F.col("size"))
+    found = found.select(*kind, F.transform("by", lambda r: r["ring"]).alias("rings"), "area", "parts", "holes")
+    return met.join(found, kind).drop("dx", "dy"), of_a, of_b
+
+
+def _apart(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """A side lies beyond the square of the first polygon's size."""
+    size = F.col("size")
+    return (F.greatest(x0, x1) < 0) | (F.least(x0, x1) > size) | (F.greatest(y0, y1) < 0) | (F.least(y0, y1) > size)
 
 
 def clip_report(subjects: DataFrame, clipped: DataFrame, key: str = "zone_id") -> DataFrame:

@@ -67,3 +67,38 @@ def test_far_from_the_origin(spark):
     a = spark.createDataFrame([(1, [box(5e6, 4e6, 5e6 + 10, 4e6 + 10)])], "zone_id " + SCHEMA)
     b = spark.createDataFrame([(1, [box(5e6 + 2, 4e6 - 1e5, 5e6 + 4, 4e6 + 1e5)])], "clip_id " + SCHEMA)
     assert overlay.clip(a, b).first().area == pytest.approx(20, abs=1e-6)
+
+
+def test_copies_are_cut_once_and_all_come_back(spark, monkeypatch):
+    sizes, plain = {}, overlay.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(overlay, "stored", counted)
+    at = [(40 * (i % 5), 30 * (i % 3)) for i in range(30)]
+    a = spark.createDataFrame([(i, [box(x, y, x + 10, y + 10)]) for i, (x, y) in enumerate(at)], "zone_id " + SCHEMA)
+    b = spark.createDataFrame([(100 + i, [box(x + 5, y + 5, x + 15, y + 15)]) for i, (x, y) in enumerate(at)], "clip_id " + SCHEMA)
+    found = overlay.clip(a, b).collect()
+    assert sizes["pairs"] == 1  # all pairs are one shape and another, the same way apart
+    assert sorted((r.zone_id, r.clip_id) for r in found) == [(i, 100 + j) for i in range(30) for j in range(30) if at[i] == at[j]]
+    assert all(r.area == pytest.approx(25, abs=1e-6) and {(round(p["x"], 5), round(p["y"], 5)) for p in r.rings[0]} == {(at[r.zone_id][0] + u, at[r.zone_id][1] + v) for u in (5, 10) for v in (5, 10)} for r in found)
+
+
+def test_full_cells_are_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(overlay, "CELL_ROWS", 3)
+    rng = random.Random(9)
+    sides = [(x := rng.uniform(0, 10), y := rng.uniform(0, 10), x + rng.uniform(0.1, 4), y + rng.uniform(0.1, 4)) for _ in range(60)]
+    df = spark.createDataFrame([(i, *s, math.ceil(math.log2(max(s[2] - s[0], s[3] - s[1])))) for i, s in enumerate(sides)], "id long, x0 double, y0 double, x1 double, y1 double, level int")
+    met = lambda s, t: s[0] < t[2] and t[0] < s[2] and s[1] < t[3] and t[1] < s[3]
+    assert sorted((r.id, r.b_id) for r in overlay.candidates(df, df).collect()) == [(i, j) for i, s in enumerate(sides) for j, t in enumerate(sides) if met(s, t)]
+
+
+def test_kept_subjects_without_pairs(spark):
+    a = spark.createDataFrame([(1, [box(0, 0, 4, 4)]), (1, [box(0, 0, 4, 4)]), (2, [box(50, 50, 51, 51)]), (3, [box(1, 1, 2, 2)]), (4, None)], "zone_id " + SCHEMA)
+    b = spark.createDataFrame([(i, [box(0, 0, 3, 3)]) for i in range(20)], "clip_id " + SCHEMA)
+    left = overlay.kept(a, b)
+    assert sorted(r[0] for r in left.collect()) == [1, 1, 3]
+    assert tuple(overlay.clip_report(a, left).first()) == (5, 3, 2)
