@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .overlay import candidates
+from .graph import stored
+from .overlay import candidates, shared_shapes, spread
 
 RING = "array<struct<x:double,y:double>>"
 TYPES = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon")
@@ -65,23 +66,32 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(segments(ring), F.lit(0.0), lambda t, s: t + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])) / 2
 
 
-def clip_zones(zones: DataFrame, boxes: DataFrame, sliver: float = 1e-10) -> DataFrame:
+def clip_zones(zones: DataFrame, boxes: DataFrame, sliver: float = 1e-10, whole: bool = False) -> DataFrame:
     """zones(zone_id, ring) cut by boxes(box_id, x0, y0, x1, y1): (zone_id, box_id, ring, area), slivers left out.
 
-    Pairs are found by cells of each side's own size, four at most a level, so a zone of any extent costs the same.
+    whole: only zones of which a box cuts off nothing. Pairs are found by cells of each side's own size, four at most a level, so
+    a zone of any extent costs the same. A shape is cut once by a box that lies the same way from it; copies are joined back.
     """
     xs, ys = F.transform("ring", lambda p: p["x"].cast("double")), F.transform("ring", lambda p: p["y"].cast("double"))
     level = F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9)))).cast("int")
     z = zones.filter("zone_id is not null and size(ring) > 0 and not exists(ring, p -> p.x is null or p.y is null)")
     z = z.select("zone_id", "ring", F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1")).withColumn("level", level)
     b = boxes.select("box_id", *(F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1"))).filter("x0 < x1 and y0 < y1").withColumn("level", level)
-    met = candidates(z, b)
-    cut = clip_ring(F.col("ring"), F.col("b_x0"), F.col("b_y0"), F.col("b_x1"), F.col("b_y1"))
+    shapes, members = shared_shapes(z.withColumn("rings", F.array(F.col("ring").cast(RING))).drop("ring"), "zone_id")
+    place, box = ["shape", "x0", "y0"], ["b_x0", "b_y0", "b_x1", "b_y1"]
+    met = candidates(members.drop("zone_id").distinct(), b.drop("box_id").distinct())
+    way = {"u0": F.col("b_x0") - F.col("x0"), "v0": F.col("b_y0") - F.col("y0"), "u1": F.col("b_x1") - F.col("x0"), "v1": F.col("b_y1") - F.col("y0")}
+    met = stored(met.select(*place, *box, *(c.alias(n) for n, c in way.items())), "met")
+    kinds = spread(met.select("shape", *way).distinct(), "shape", *way).join(shapes.select("shape", F.get("rings", F.lit(0)).alias("ring")), "shape")
+    cut = clip_ring(F.col("ring"), *(F.col(n) for n in way))
     # One expression that keeps or drops a piece: a filter on it would be worked out a second time.
     area = lambda r: F.when(F.size(r) >= 4, ring_area(r)).otherwise(0.0)
-    pieces = F.filter(F.transform(F.array(cut), lambda r: F.struct(r.alias("ring"), area(r).alias("area"))), lambda p: p["area"] > sliver)
-    return met.select("zone_id", F.col("b_box_id").alias("box_id"), F.explode(pieces).alias("piece")).select("zone_id", "box_id", "piece.ring", "piece.area")
-
+    own = F.abs(ring_area(F.col("ring")) - F.col("area")) < 1e-9
+    pieces = F.filter(F.transform(F.array(cut), lambda r: F.struct(r.alias("piece"), area(r).alias("area"))), lambda p: p["area"] > sliver)
+    pieces = kinds.withColumn("p", F.explode(pieces)).select("shape", *way, "ring", "p.*")
+    found = spread(met.join((pieces.filter(own) if whole else pieces).drop("ring"), ["shape", *way]), *place, *box)
+    found = found.join(members.select("zone_id", *place), place).join(b.select("box_id", *(F.col(c[2:]).alias(c) for c in box)), box)
+    return found.select("zone_id", "box_id", moved(F.col("piece"), lambda x, y: (x + F.col("x0"), y + F.col("y0"))).alias("ring"), "area")
 
 
 def moved(ring: Column, to: Callable[[Column, Column], tuple[Column, Column]]) -> Column:

@@ -84,6 +84,18 @@ def test_boxes_cut_rings_of_every_size(spark):
         assert r.area == pytest.approx(area(ring), rel=1e-6, abs=1e-9)
 
 
+def test_copies_of_zones_are_cut_once(spark, monkeypatch):
+    kinds, plain = [], shapes.spread
+    monkeypatch.setattr(shapes, "spread", lambda df, *by: kinds.append(df.count()) or plain(df, *by))
+    zones = spark.createDataFrame([(i, [{"x": x + 20.0 * (i % 4), "y": y} for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0))]) for i in range(20)], f"zone_id long, ring {shapes.RING}")
+    boxes = spark.createDataFrame([(i, 20.0 * (i % 4) + 1, 1.0, 20.0 * (i % 4) + 9, 9.0) for i in range(20)], "box_id long, x0 double, y0 double, x1 double, y1 double")
+    found = shapes.clip_zones(zones, boxes).collect()
+    assert kinds[0] == 1 and sorted((r.zone_id, r.box_id) for r in found) == [(i, j) for i in range(20) for j in range(20) if i % 4 == j % 4]
+    assert all(r.area == 9 and {p.x for p in r.ring} == {20.0 * (r.zone_id % 4) + 1, 20.0 * (r.zone_id % 4) + 4} for r in found)
+    assert shapes.clip_zones(zones, boxes, whole=True).count() == 0
+    assert shapes.clip_zones(zones, boxes.selectExpr("box_id", "x0 - 1 as x0", "y0 - 1 as y0", "x1", "y1"), whole=True).count() == 100
+
+
 def test_rings(spark):
     ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
     rows = [(1, ring((0, 0), (4, 0), (4, 4), (0, 4), (0, 0))), (2, ring((0, 0), (4, 4), (4, 0), (0, 4), (0, 0))), (3, ring((0, 0), (1, 0), (1, 1))), (4, [])]
