@@ -66,4 +66,4 @@ CLIPPED = f"""z AS (SELECT zone_id, greatest(w, h) * 2 AS size, c0 AS zx0, r0 AS
  f AS (SELECT *, ox0 + 0.3::DOUBLE * w AS hx0, oy0 + 0.3::DOUBLE * h AS hy0, ox0 + 0.7::DOUBLE * w AS hx1, oy0 + 0.7::DOUBLE * h AS hy1 FROM o),
  c AS (SELECT zone_id, clip_id, size, {share('z', 'o')} - ({share('q', 'o')}) - ({share('z', 'h')}) + {share('q', 'h')} AS area FROM z JOIN f ON zx0 < ox1 AND ox0 < zx1 AND zy0 < oy1 AND oy0 < zy1)"""
 register("clip_vector_polygons", lambda s, d: overlay.clip(shapes(s, d), frames(s, d)).select("zone_id", "clip_id", F.round(F.col("area") + 3e-6, 4).alias("area")), V.with_views(f", {CLIPPED} SELECT zone_id, clip_id, round(area + 3e-6, 4) AS area FROM c WHERE area > 1e-7 * size * size", "boxes"))
-register("clip_vector_report", lambda s, d: overlay.clip_report(shapes(s, d), overlay.clip(shapes(s, d), frames(s, d).filter("clip_id % 5 = 0"))), V.with_views(f", {CLIPPED}, k AS (SELECT DISTINCT zone_id FROM c WHERE clip_id % 5 = 0 AND area > 1e-7 * size * size) SELECT count(*) AS features, (SELECT count(*) FROM k) AS kept, count(*) - (SELECT count(*) FROM k) AS dropped FROM boxes", "boxes"))
+register("clip_vector_report", lambda s, d: overlay.clip_report(shapes(s, d), overlay.kept(shapes(s, d), frames(s, d).filter("clip_id % 5 = 0"))), V.with_views(f", {CLIPPED}, k AS (SELECT DISTINCT zone_id FROM c WHERE clip_id % 5 = 0 AND area > 1e-7 * size * size) SELECT count(*) AS features, (SELECT count(*) FROM k) AS kept, count(*) - (SELECT count(*) FROM k) AS dropped FROM boxes", "boxes"))
