@@ -147,14 +147,14 @@ def stack(pixels: DataFrame, bands: list[str], height: int, width: int, block: i
     return sent.groupBy("br", "bc").applyInArrow(run, "row long, col long, features array<double>")
 
 
-def training(labelled: DataFrame) -> DataFrame | None:
-    """Balanced seeds (row, col, label, weight) of labelled(row, col, guide, seed); None where a side has too few sure ones.
+def training(labelled: DataFrame, least_sure: int = LEAST_SURE) -> DataFrame | None:
+    """Balanced seeds (row, col, label, weight) of labelled(row, col, guide, seed); None where a side has fewer than least_sure sure ones.
 
     At most MOST_SURE sure and MOST_HARD hard seeds of a side, those with the smallest hash of their place.
     """
     count = {r.seed: r["count"] for r in labelled.groupBy("seed").count().collect()}
     sure, hard = (min(count.get(f"water{q}", 0), count.get(f"land{q}", 0), most) for q, most in (("", MOST_SURE), ("?", MOST_HARD)))
-    if sure < LEAST_SURE:
+    if sure < least_sure:
         return None
     chosen = None
     for kind, n in (("water", sure), ("land", sure), *((("water?", hard), ("land?", hard)) if hard > LEAST_HARD else ())):
@@ -163,16 +163,17 @@ def training(labelled: DataFrame) -> DataFrame | None:
     return chosen.select("row", "col", F.startswith("seed", F.lit("water")).cast("int").alias("label"), "guide")
 
 
-def adaptive_water(pixels: DataFrame, columns: dict[str, str], height: int, width: int, threshold: float = 0.0, rounds: int = 20, depth: int = 5, clean: bool = True) -> DataFrame:
+def adaptive_water(pixels: DataFrame, columns: dict[str, str], height: int, width: int, threshold: float = 0.0, rounds: int = 20, depth: int = 5, clean: bool = True, least_sure: int = LEAST_SURE) -> DataFrame:
     """(row, col, mask) by gradient-boosted trees trained on what the guide index is sure of, and on its hard cases.
 
     columns name green, nir, swir1, swir2; other bands of columns are features too. Trees split on order alone, so features
-    are not scaled. The mask is closed, its holes filled, small regions removed; with too few seeds it is the index's own.
+    are not scaled. The mask is closed, its holes filled, small regions removed; with fewer than least_sure sure seeds of a side
+    it is the index's own, beyond MOST_SURE always.
     """
     scene = stored(pixels.select("row", "col", *(F.col(c).cast("double").alias(n) for n, c in columns.items())), "water")
     g = guide(*(F.col(c) for c in ("green", "nir", "swir1", "swir2")))
     labelled = stored(seeds(scene.select("row", "col", F.when(~F.isnan(g), g).alias("guide")), threshold), "guide")
-    chosen = training(labelled)
+    chosen = training(labelled, least_sure)
     if chosen is None:
         return labelled.select("row", "col", F.coalesce((F.col("guide") > threshold).cast("int"), F.lit(0)).alias("mask"))
     features = stored(stack(scene, list(columns), height, width), "features").withColumn("features", array_to_vector(F.col("features")))

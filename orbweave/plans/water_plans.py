@@ -53,4 +53,5 @@ register("water_seeds", lambda s, d: W.seeds(V.grid_bands(s, d).select("row", "c
  SELECT row, col, round(guide + 3e-8, 6) AS guide, CASE WHEN guide > 0.45::DOUBLE THEN 'water' WHEN guide < -0.45::DOUBLE THEN 'land' WHEN guide > 0 THEN 'water?' WHEN guide < 0 THEN 'land?' END AS seed FROM g""", "grid_bands"))
 SIX = {"blue": "b1", "green": "b2", "red": "b3", "nir": "b4", "swir1": "b5", "swir2": "b6"}
 register("extract_water_adaptive", lambda s, d: W.adaptive_water(V.grid_bands(s, d), SIX, height(s, d), V.GRID))
-register("extract_water_adaptive_fallback", lambda s, d: W.adaptive_water(V.grid_bands(s, d), SIX, height(s, d), V.GRID, threshold=1.9), V.with_views(f"SELECT row, col, ({GUIDE} > 1.9::DOUBLE)::INTEGER AS mask FROM grid_bands", "grid_bands"))
+# The fallback at every size: the number of seeds beyond 1.9 grows with the scene, so they must be too few by the query's own bound.
+register("extract_water_adaptive_fallback", lambda s, d: W.adaptive_water(V.grid_bands(s, d), SIX, height(s, d), V.GRID, threshold=1.9, least_sure=W.MOST_SURE + 1), V.with_views(f"SELECT row, col, ({GUIDE} > 1.9::DOUBLE)::INTEGER AS mask FROM grid_bands", "grid_bands"))

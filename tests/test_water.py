@@ -91,3 +91,10 @@ def test_exact_quantiles(spark):
         for small in (1 << 16, 1):
             assert exact_quantiles(df, "v", shares, 16, small) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12, abs=1e-18)
     assert exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_fallback_does_not_depend_on_how_many_seeds_there_are(spark):
+    pixels, _ = scene(spark)
+    index = pixels.select("row", "col", (water.guide(F.col("g"), F.col("n"), F.col("s"), F.col("t")) > 0).cast("int").alias("mask"))
+    found = water.adaptive_water(pixels, COLUMNS, 48, 48, least_sure=water.MOST_SURE + 1)
+    assert found.count() == 48 * 48 and found.exceptAll(index).count() == 0
