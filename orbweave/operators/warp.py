@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .resample import AGGREGATES, from_mercator, to_mercator, utm_zone
 
 BLOCK = 256
+#: Where the Mercator square ends.
+MERCATOR_LATITUDE = math.degrees(math.atan(math.sinh(math.pi)))
 A, FLATTENING, SCALE = 6378137.0, 1 / 298.257223563, 0.9996
 N3 = FLATTENING / (2 - FLATTENING)
 RADIUS = A / (1 + N3) * (1 + N3**2 / 4 + N3**4 / 64)
@@ -83,11 +85,17 @@ def from_crs(crs: str, x: Column, y: Column) -> tuple[Column, Column]:
 
 
 def bounds_in(spark: SparkSession, grid: Grid, crs: str, steps: int = 21) -> tuple[float, float, float, float]:
-    """(left, bottom, right, top) of a grid's border in another system, its sides cut into so many steps."""
+    """(left, bottom, right, top) of a grid's border in another system, its sides cut into so many steps.
+
+    In Mercator metres latitudes end at the square's edge: what lies beyond has no place there, but the square is met up to it.
+    """
     i, side = (F.col("id") % (steps + 1)) / F.lit(steps), F.floor(F.col("id") / (steps + 1))
     across, down = F.when(side < 2, i).otherwise(F.when(side == 2, 0.0).otherwise(1.0)), F.when(side >= 2, i).otherwise(F.when(side == 0, 0.0).otherwise(1.0))
     points = spark.range(4 * (steps + 1)).select((grid.x0 + across * grid.width * grid.dx).alias("x"), (grid.y0 - down * grid.height * grid.dy).alias("y"))
-    x, y = to_crs(crs, *from_crs(grid.crs, F.col("x"), F.col("y")))
+    lon, lat = from_crs(grid.crs, F.col("x"), F.col("y"))
+    if crs == "EPSG:3857":
+        lat = F.greatest(F.least(lat, F.lit(MERCATOR_LATITUDE)), F.lit(-MERCATOR_LATITUDE))
+    x, y = to_crs(crs, lon, lat)
     return tuple(points.agg(F.min(x), F.min(y), F.max(x), F.max(y)).first())
 
 

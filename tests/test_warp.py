@@ -124,3 +124,10 @@ def test_tiles(spark):
     assert T.render(df.limit(0), ["dn"], source, 1).count() == 0
     with pytest.raises(ValueError):
         T.render(df, [], source, 1)
+
+
+def test_grids_that_run_on_beyond_a_pole(spark):
+    grid = W.Grid("EPSG:4326", 8.4, 52.0, 0.01, 0.01, 128, 70313)
+    left, bottom, right, top = W.bounds_in(spark, grid, "EPSG:3857")
+    edge = math.pi * W.A
+    assert bottom == pytest.approx(-edge, rel=1e-9) and top == pytest.approx(W.A * math.asinh(math.tan(math.radians(52))), rel=1e-9) and (left, right) == (pytest.approx(math.radians(8.4) * W.A), pytest.approx(math.radians(9.68) * W.A))
