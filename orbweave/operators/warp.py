@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .globe import normal_position
 from .resample import AGGREGATES, from_mercator, to_mercator, utm_zone
 
 BLOCK = 256
@@ -119,7 +120,9 @@ def unit_crs(spark: SparkSession, source: Grid, unit: str) -> str:
     if unit != "metres":
         raise ValueError(f"a unit is source, degrees or metres, not {unit}")
     left, bottom, right, top = bounds_in(spark, source, "EPSG:4326")
-    return "EPSG:" + str(spark.range(1).select(utm_zone(F.lit((left + right) / 2), F.lit((bottom + top) / 2))).first()[0])
+    # A grid may run on beyond a pole: its middle is a place on the other side then.
+    middle = normal_position(F.lit((left + right) / 2), F.lit((bottom + top) / 2))
+    return "EPSG:" + str(spark.range(1).select(utm_zone(*middle)).first()[0])
 
 
 def _cubic(x: np.ndarray) -> np.ndarray:

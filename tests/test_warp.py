@@ -131,3 +131,4 @@ def test_grids_that_run_on_beyond_a_pole(spark):
     left, bottom, right, top = W.bounds_in(spark, grid, "EPSG:3857")
     edge = math.pi * W.A
     assert bottom == pytest.approx(-edge, rel=1e-9) and top == pytest.approx(W.A * math.asinh(math.tan(math.radians(52))), rel=1e-9) and (left, right) == (pytest.approx(math.radians(8.4) * W.A), pytest.approx(math.radians(9.68) * W.A))
+    assert W.unit_crs(spark, grid, "metres") == "EPSG:32632"  # its middle, 299.6 south, is 60.4 north
