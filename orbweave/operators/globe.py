@@ -24,26 +24,38 @@ def normal_position(lon: Column, lat: Column) -> tuple[Column, Column]:
     return F.pmod(lon + F.when(over, 360.0).otherwise(180.0), F.lit(360.0)) - 180.0, F.when(over, 270.0 - y).otherwise(y - 90.0)
 
 
-def great_circle(lon0: Column, lat0: Column, lon1: Column, lat1: Column, step: float = 5.0) -> Column:
-    """Positions (x, y) from a side's first end up to, but without, its last: equal steps of at most `step` degrees."""
-    xyz = lambda lon, lat: (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))
-    p, q = xyz(lon0, lat0), xyz(lon1, lat1)
-    angle = F.acos(F.greatest(F.least(sum(a * b for a, b in zip(p, q, strict=True)), F.lit(1.0)), F.lit(-1.0)))
-    steps = F.greatest(F.lit(1), F.ceil(F.degrees(angle) / step - 1e-9)).cast("int")
+def _xyz(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    return F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))
+
+
+def _angle(lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
+    return F.acos(F.greatest(F.least(sum(a * b for a, b in zip(_xyz(lon0, lat0), _xyz(lon1, lat1), strict=True)), F.lit(1.0)), F.lit(-1.0)))
+
+
+def _steps(angle: Column, step: float) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.degrees(angle) / step - 1e-9)).cast("int")
+
+
+def _on_side(i: Column, steps: Column, angle: Column, lon0: Column, lat0: Column, lon1: Column, lat1: Column) -> Column:
+    """The position (x, y) after i of the steps of a side."""
+    p, q = _xyz(lon0, lat0), _xyz(lon1, lat1)
     # Between opposite positions the way goes over the pole of the nearer hemisphere: its direction at the first end.
     pole = F.when(lat0 + lat1 < 0, -1.0).otherwise(1.0)
     up = (-pole * p[2] * p[0], -pole * p[2] * p[1], pole * (1 - p[2] * p[2]))
     size = F.sqrt(sum(u * u for u in up))
+    t = i / steps
+    opposite, same = F.lit(3.141592653589793) - angle < 1e-9, angle < TINY
+    a = F.when(same, 1.0).when(opposite, F.cos(angle * t)).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
+    b = F.when(same, 0.0).when(opposite, F.sin(angle * t) / size).otherwise(F.sin(t * angle) / F.sin(angle))
+    x, y, z = (a * u + b * F.when(opposite, v).otherwise(w) for u, v, w in zip(p, up, q, strict=True))
+    return F.struct(F.when(i == 0, lon0).otherwise(F.degrees(F.atan2(y, x))).alias("x"), F.when(i == 0, lat0).otherwise(F.degrees(F.atan2(z, F.hypot(x, y)))).alias("y"))
 
-    def position(i: Column) -> Column:
-        t = i / steps
-        opposite, same = F.lit(3.141592653589793) - angle < 1e-9, angle < TINY
-        a = F.when(same, 1.0).when(opposite, F.cos(angle * t)).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
-        b = F.when(same, 0.0).when(opposite, F.sin(angle * t) / size).otherwise(F.sin(t * angle) / F.sin(angle))
-        x, y, z = (a * u + b * F.when(opposite, v).otherwise(w) for u, v, w in zip(p, up, q, strict=True))
-        return F.struct(F.when(i == 0, lon0).otherwise(F.degrees(F.atan2(y, x))).alias("x"), F.when(i == 0, lat0).otherwise(F.degrees(F.atan2(z, F.hypot(x, y)))).alias("y"))
 
-    return F.transform(F.sequence(F.lit(0), steps - 1), position)
+def great_circle(lon0: Column, lat0: Column, lon1: Column, lat1: Column, step: float = 5.0) -> Column:
+    """Positions (x, y) from a side's first end up to, but without, its last: equal steps of at most `step` degrees."""
+    angle = _angle(lon0, lat0, lon1, lat1)
+    steps = _steps(angle, step)
+    return F.transform(F.sequence(F.lit(0), steps - 1), lambda i: _on_side(i, steps, angle, lon0, lat0, lon1, lat1))
 
 
 def dense_rings(polygons: DataFrame, key: str, step: float = 5.0) -> DataFrame:
@@ -57,8 +69,10 @@ def dense_rings(polygons: DataFrame, key: str, step: float = 5.0) -> DataFrame:
     along, whole = Window.partitionBy(key, "ring").orderBy("i"), Window.partitionBy(key, "ring")
     r = r.withColumn("after", F.lead(F.struct("lon", "lat")).over(along)).filter("after is not null and (abs(after.lon - lon) > 1e-12 or abs(after.lat - lat) > 1e-12)")
     r = r.withColumn("corners", F.count("*").over(whole)).filter("corners >= 3")
-    sides = great_circle(F.col("lon"), F.col("lat"), F.col("after.lon"), F.col("after.lat"), step)
-    r = r.select(key, "ring", "i", F.posexplode(sides).alias("j", "p")).select(key, "ring", F.struct("i", "j").alias("at"), "p.x", "p.y")
+    # Angles are worked out once a side, before its steps become rows: in an array's expression each step would do it several times.
+    ends = [F.col(c) for c in ("lon", "lat", "lon1", "lat1")]
+    r = r.select(key, "ring", "i", "lon", "lat", F.col("after.lon").alias("lon1"), F.col("after.lat").alias("lat1")).withColumn("angle", _angle(*ends)).withColumn("steps", _steps(F.col("angle"), step))
+    r = r.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).withColumn("p", _on_side(F.col("j"), F.col("steps"), F.col("angle"), *ends)).select(key, "ring", F.struct("i", "j").alias("at"), "p.x", "p.y")
     # A jump of more than half the globe is a step across the antimeridian the other way.
     along = Window.partitionBy(key, "ring").orderBy("at")
     jump = lambda a, b: -F.round((a - b) / 360.0)

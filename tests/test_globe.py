@@ -57,3 +57,9 @@ def test_polygons_across_the_antimeridian_and_around_poles(spark):
         assert total[pole] == pytest.approx(360 * 20, rel=0.02)
         assert all(p["y"] > 69 if pole == 3 else p["y"] < -69 for r in found[pole] for k in r.rings for p in k)
     assert globe.split_polygons(frame(spark, rows).limit(0), "id").count() == 0
+
+
+def test_angles_are_worked_out_once_a_side(spark):
+    dense = globe.dense_rings(frame(spark, [(1, [ring((10, 0), (50, 0), (30, 15))])]), "id")
+    assert dense._jdf.queryExecution().optimizedPlan().toString().lower().count("acos(") <= 2
+    assert dense.count() == 8 + 2 * 5
