@@ -5,8 +5,9 @@ stand for some letters, a separator or a repeat may be dropped. Viterbi search f
 character language model probability. The restored words and their openings are looked up in a table of log odds that
 was counted from labelled rows, and a logistic function of a document's evidence is its score.
 
-Fitting uses at most `most_rows` labelled rows (one for each text and label, so that copies count once, then chosen by
-a hash of doc_id); all their words, grams and features count. Scoring covers all rows.
+Fitting uses all labelled rows that are not held out (one for each text and label, so that copies count once): all their
+words, grams and features count, and the logistic function is fitted to all of them by sums that Spark makes. Scoring
+covers all rows.
 
 Defined cases: null and empty texts have no evidence and get the lowest score; labels that are null or of unknown
 doc_ids are not used; repeated rows come back once each; a null doc_id is scored (it is never a training row); other
@@ -28,7 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 from .textscan import slices, text_bytes
 from .workspace import materialize
 
-MOST_ROWS = 20_000
+#: Entries after which a task hands on its partial counts.
+MOST_ENTRIES = 300_000
+#: Labels that are broadcast at the most.
+MOST_SENT = 1 << 20
 #: A feature counts from so many different toxic texts, and from this log odds.
 LEAST_TEXTS, LEAST_ODDS = 4, 2.5
 OPENINGS = (4, 5, 6)
@@ -53,14 +57,26 @@ class Model:
     weights: tuple[float, ...] = (-20.0, 0.0, 0.0, 0.0)
 
 
-def count_grams(words: dict[str, int]) -> Counter:
-    """Character grams of up to ORDER letters; '^' and '$' mark word ends."""
+def longest_grams(words: dict[str, int]) -> Counter:
+    """Character grams of ORDER letters; '^' and '$' mark word ends."""
     counts: Counter = Counter()
     for w, n in words.items():
         s = "^" * (ORDER - 1) + w + "$"
-        for i in range(ORDER - 1, len(s)):
-            for k in range(1, ORDER + 1):
-                counts[s[i - k + 1 : i + 1]] += n
+        grams = [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
+        if n == 1:
+            counts.update(grams)
+        else:
+            for g in grams:
+                counts[g] += n
+    return counts
+
+
+def all_grams(longest: dict[str, int]) -> Counter:
+    """Grams of up to ORDER letters: each is the end of those of ORDER letters that stand at its place."""
+    counts: Counter = Counter()
+    for g, n in longest.items():
+        for k in range(ORDER):
+            counts[g[k:]] += n
     return counts
 
 
@@ -73,7 +89,7 @@ def gram_odds(counts: dict[str, int]) -> dict[str, float]:
 
 
 def gram_model(words: dict[str, int]) -> dict[str, float]:
-    return gram_odds(count_grams(words))
+    return gram_odds(all_grams(longest_grams(words)))
 
 
 def letter_score(grams: dict[str, float], context: str, letter: str) -> float:
@@ -139,7 +155,7 @@ def restore_word(word: str, grams: dict[str, float], kept: dict[str, str]) -> st
         return core
     found = kept.get(wide)
     if found is None:
-        if len(kept) > 50_000:
+        if len(kept) > 100_000:
             kept.clear()
         if core == wide and core.isalpha() and not _LONG_REPEAT.search(core) and is_known(core, grams):
             found = core
@@ -154,11 +170,25 @@ def restore_run(run: str, grams: dict[str, float]) -> str:
     return decode_word(" ".join(run.split()), grams) if any(x.isalpha() for x in run) else run
 
 
-def restored_words(text: str, grams: dict[str, float], kept: dict[str, str]) -> set[str]:
-    """Distinct lower-case words of the restored text."""
+def restored_words(text: str, grams: dict[str, float], kept: dict[str, str], plain: set[str] | None = None) -> set[str]:
+    """Distinct lower-case words of the restored text (kept: readings found before; plain: words found to need none)."""
     text = text.lower()
+    plain = set() if plain is None else plain
+    if len(kept) > 100_000:
+        kept.clear()
+    if len(plain) > 100_000:
+        plain.clear()
     words = set(text.split())
-    out = {x if x.isalpha() and not _REPEAT.search(x) else restore_word(x, grams, kept) for x in words}
+    out = words & plain
+    for x in words - out:
+        found = kept.get(x)
+        if found is None:
+            if x.isalpha() and not _REPEAT.search(x):
+                plain.add(x)
+                found = x
+            else:
+                found = kept[x] = restore_word(x, grams, kept)
+        out.add(found)
     for run in _SPACED.findall(text):
         out.update(restore_run(run, grams).split())
     return out
@@ -174,62 +204,112 @@ def features(word: str) -> list[str]:
     return [word] + ["^" + word[:n] for n in OPENINGS if len(word) > n]
 
 
-def evidence(words: set[str], odds: dict[str, float], known: dict[str, float]) -> tuple[float, float, float]:
-    """Sum and maximum of the words' log odds (each word its best feature), and the share of words that have any."""
-    total = most = 0.0
-    hits = 0
-    for w in words:
+def evidence(words: set[str], odds: dict[str, float], known: dict[str, float], blank: set[str]) -> tuple[float, float, float]:
+    """Sum and maximum of the words' log odds (each word its best feature), and the share of words that have any.
+
+    What was found before is in known, and in blank where it is nothing.
+    """
+    if len(blank) > 150_000:
+        blank.clear()
+    found = []
+    for w in words - blank:
         e = known.get(w)
         if e is None:
+            e = max([odds.get(f, 0.0) for f in features(w)])
+            if not e:
+                blank.add(w)
+                continue
             if len(known) > 150_000:
                 known.clear()
-            e = known[w] = max((odds.get(f, 0.0) for f in features(w)), default=0.0)
-        if e:
-            total, most, hits = total + e, max(most, e), hits + 1
-    return min(total, 60.0), most, hits / max(1, len(words))
+            known[w] = e
+        found.append(e)
+    return min(math.fsum(found), 60.0), max(found, default=0.0), len(found) / max(1, len(words))
+
+
+def _gram_rows(grams: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"gram": pa.array(list(grams), pa.string()), "n": pa.array(list(grams.values()), pa.int64())})
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    """Partial counts of grams of ORDER letters."""
+    raw: Counter = Counter()
+    grams: Counter = Counter()
+
+    def settle() -> None:
+        words: Counter = Counter()
+        for x, n in raw.items():
+            if (w := x.strip(_EDGES)).isalpha():
+                words[w] += n
+        raw.clear()
+        grams.update(longest_grams(words))
+
     for _, column in slices(batches, 0):
         for t in text_bytes(column):
-            counts.update(w for x in t.decode().lower().split() if (w := x.strip(_EDGES)).isalpha())
-    grams = count_grams(counts)
-    yield pa.RecordBatch.from_pydict({"gram": pa.array(list(grams), pa.string()), "n": pa.array(list(grams.values()), pa.int64())})
+            raw.update(t.decode().lower().split())
+        if len(raw) > MOST_ENTRIES:
+            settle()
+        if len(grams) > MOST_ENTRIES:
+            yield _gram_rows(grams)
+            grams.clear()
+    settle()
+    yield _gram_rows(grams)
+
+
+def _feature_rows(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+    found = list(counts[0].keys() | counts[1].keys())
+    return pa.RecordBatch.from_pydict({"feature": pa.array(found, pa.string()), "clean": pa.array([counts[0][f] for f in found], pa.int64()), "toxic": pa.array([counts[1][f] for f in found], pa.int64())})
 
 
 def _count_features(grams: dict[str, float]) -> Callable:
+    """Partial counts of clean and toxic texts that have a feature."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, str] = {}
-        counts: dict[str, list[int]] = {}
+        plain: set[str] = set()
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch, _ in slices(batches, 0):
             for t, y in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                for f in {f for w in restored_words(t.decode(), grams, kept) for f in features(w)}:
-                    counts.setdefault(f, [0, 0])[y] += 1
-        pairs = list(counts.values())
-        yield pa.RecordBatch.from_pydict({"feature": pa.array(list(counts), pa.string()), "clean": pa.array([p[0] for p in pairs], pa.int64()), "toxic": pa.array([p[1] for p in pairs], pa.int64())})
+                counts[y].update({f for w in restored_words(t.decode(), grams, kept, plain) for f in features(w)})
+            if len(counts[0]) + len(counts[1]) > MOST_ENTRIES:
+                yield _feature_rows(counts)
+                counts = (Counter(), Counter())
+        yield _feature_rows(counts)
 
     return run
 
 
 def _evidence_rows(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, known = {}, {}
+        kept, plain, known, blank = {}, set(), {}, set()
         for batch, _ in slices(batches, 0):
-            rows = [evidence(restored_words(t.decode(), model.grams, kept), model.odds, known) for t in text_bytes(batch.column(0))]
+            rows = [evidence(restored_words(t.decode(), model.grams, kept, plain), model.odds, known, blank) for t in text_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([*(pa.array([float(r[i]) for r in rows], pa.float64()) for i in range(3)), batch.column(1)], names=["total", "most", "share", "toxic"])
 
     return run
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Weights (constant first) of a ridge logistic regression by Newton steps."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(x.shape[1]), np.diag([0.01] + [0.1] * (x.shape[1] - 1))
+def logistic(rows: DataFrame, names: list[str], target: str) -> tuple[float, ...]:
+    """Weights (constant first) of a ridge logistic regression by Newton steps.
+
+    Spark sums gradient and Hessian over all rows in whole numbers, so the weights do not depend on how rows are dealt.
+    """
+    x = [F.lit(1.0), *(F.col(n) for n in names)]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i + 1)]
+    w, ridge = np.zeros(len(x)), np.diag([0.01] + [0.1] * len(names))
+    whole = lambda c: F.sum(F.round(c * float(1 << 40)).cast("long").cast("decimal(20,0)"))
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge
-        w = w + np.linalg.solve(hessian, x.T @ (y - p) - ridge @ w)
+        z = sum((F.lit(float(w[i])) * x[i] for i in range(1, len(x))), F.lit(float(w[0])))
+        made = rows.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
+        p = F.col("p")
+        sums = made.agg(*(whole(c * (F.col(target) - p)) for c in x), *(whole(x[i] * x[j] * p * (1 - p)) for i, j in pairs)).first()
+        sums = np.array([float(v or 0) for v in sums]) / (1 << 40)
+        hessian = np.zeros((len(x), len(x)))
+        for (i, j), v in zip(pairs, sums[len(x) :], strict=True):
+            hessian[i, j] = hessian[j, i] = v
+        step = np.linalg.solve(hessian + ridge, sums[: len(x)] - ridge @ w)
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
     return tuple(float(v) for v in w)
 
 
@@ -237,18 +317,18 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
-    """Fit on labelled rows that are not held out; of a doc_id with several labels, the largest counts."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on all labelled rows that are not held out; of a doc_id with several labels, the largest counts."""
     rule = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.select("doc_id", F.sha1(F.coalesce("text", F.lit(""))).alias("digest"))
-    rule = texts.join(rule.filter(~held_out()), "doc_id").groupBy("digest", "toxic").agg(F.min(F.struct(F.xxhash64("doc_id").alias("place"), "doc_id")).alias("first"))
-    rule = rule.select("digest", "toxic", "first.*").orderBy("place", "doc_id", "digest").limit(most_rows).select("doc_id", "digest", "toxic")
-    # The ids are bounded by most_rows, so they may be broadcast.
-    train = docs.select("doc_id", "text", F.sha1(F.coalesce("text", F.lit(""))).alias("digest")).join(F.broadcast(rule), ["doc_id", "digest"])
-    train = materialize(train.dropDuplicates(["doc_id", "digest"]).select("text", "toxic"), "toxicity-training")
-    # Grams of ORDER letters, and of at most most_rows texts.
+    digest = F.sha1(F.coalesce("text", F.lit(""))).alias("digest")
+    rule = rule.filter(~held_out())
+    # Up to so many labels go to the texts; beyond that, both meet in a shuffle.
+    rule = F.broadcast(rule) if rule.count() <= MOST_SENT else rule
+    train = docs.filter(~held_out()).select("doc_id", "text", digest).join(rule, "doc_id").dropDuplicates(["digest", "toxic"])
+    train = materialize(train.select("text", "toxic"), "toxicity-training")
+    # Grams of ORDER letters: the driver gets the alphabet's, not the texts'.
     grams = train.mapInArrow(_count_words, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    model = Model(grams=gram_odds({r[0]: r[1] for r in grams.collect()}))
+    model = Model(grams=gram_odds(all_grams({r[0]: r[1] for r in grams.collect()})))
     size = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
         return Model(grams=model.grams)
@@ -256,17 +336,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model
     odds = F.log((F.col("toxic") + 0.5) / (size[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (size[0] + 1.0))
     strong = counts.filter(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
     model.odds = {r[0]: r[1] for r in strong.select("feature", "odds").collect()}
-    rows = np.array(train.mapInArrow(_evidence_rows(model), "total double, most double, share double, toxic int").collect(), float)
-    model.weights = logistic(rows[:, :3], rows[:, 3])
+    rows = materialize(train.mapInArrow(_evidence_rows(model), "total double, most double, share double, toxic int"), "toxicity-evidence")
+    model.weights = logistic(rows, ["total", "most", "share"], "toxic")
     return model
 
 
 def _scorer(model: Model, restored: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, known = {}, {}
+        kept, plain, known, blank = {}, set(), {}, set()
         for batch, column in slices(batches, 1):
             texts = [t.decode() for t in text_bytes(column)]
-            x = np.array([evidence(restored_words(t, model.grams, kept), model.odds, known) for t in texts], float).reshape(len(texts), 3)
+            x = np.array([evidence(restored_words(t, model.grams, kept, plain), model.odds, known, blank) for t in texts], float).reshape(len(texts), 3)
             score = 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ np.array(model.weights[1:]), -30, 30)))
             out = {"doc_id": batch.column(0), "held_out": batch.column(2), "score": score, "predicted": (score >= 0.7).astype(np.int32)}
             if restored:
@@ -288,10 +368,10 @@ def keep_harmless(docs: DataFrame, model: Model, threshold: float = 0.7) -> Data
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, known = {}, {}
+        kept, plain, known, blank = {}, set(), {}, set()
         for batch, column in slices(batches, at):
             texts = [t.decode() for t in text_bytes(column)]
-            x = np.array([evidence(restored_words(t, model.grams, kept), model.odds, known) for t in texts], float).reshape(len(texts), 3)
+            x = np.array([evidence(restored_words(t, model.grams, kept, plain), model.odds, known, blank) for t in texts], float).reshape(len(texts), 3)
             score = 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ np.array(model.weights[1:]), -30, 30)))
             yield batch.filter(pa.array(score < threshold))
 

@@ -395,6 +395,30 @@ def test_labels_of_texts_with_one_opening_all_count(spark):
     assert {r.doc_id for r in toxicity.score_documents(docs, model).filter("predicted = 1").collect()} == {i for i in range(1, 120, 2)} | {500}
 
 
+def test_every_labelled_row_is_learnt_from(spark):
+    """2,500 words that stand in four of 10,000 toxic texts each: with any row left out one of them would be too rare."""
+    ids = [i for i in range(45_000) if zlib.crc32(str(i).encode()) % 3 != 1][:26_000]
+    word = lambda n: "q" + "".join(chr(97 + int(c)) + "x" for c in str(n))
+    rows = [(i, f"{word(n // 4)} day {i}" if n < 10_000 else f"a garden {i}", int(n < 10_000)) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert {word(n) for n in range(2500)} <= model.odds.keys()
+
+
+def test_logistic_by_sums(spark):
+    """Weights are those of plain Newton steps over all rows in one place, however the rows are dealt."""
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 2)) * [60, 1]
+    y = (x[:, 0] / 30 + x[:, 1] + rng.standard_normal(400) > 1.5).astype(int)
+    df = spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y, strict=True)], "a double, b double, y int")
+    full, w, ridge = np.column_stack([np.ones(400), x]), np.zeros(3), np.diag([0.01, 0.1, 0.1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
+        w = w + np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + ridge, full.T @ (y - p) - ridge @ w)
+    got = toxicity.logistic(df, ["a", "b"], "y")
+    assert got == pytest.approx(tuple(w), abs=1e-6) and got == toxicity.logistic(df.repartition(5), ["a", "b"], "y")
+
+
 def test_edits_are_located_on_both_sides():
     lines = [f"Paragraph {i} tells of {i * i}.\n" for i in range(40)]
     edits = lambda other: merkle.located_edits(merkle.fingerprint("".join(lines)), merkle.fingerprint("".join(other)))
