@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .focal import dilate, erode
 from .graph import stored
 from .gridgraph import fill_holes, remove_small
-from .stats import exact_quantiles
+from .stats import band_quantiles, exact_quantiles
 
 TINY = 1e-10
 #: Largest index of vegetation, and largest near infrared, of the rules' modes; fixed values.
@@ -29,14 +29,21 @@ def units(scene: DataFrame, bands: tuple[str, ...] = BANDS) -> dict[str, dict]:
     """The unit of each band, from its own largest, mean and smallest value, and its darkest percent where that counts.
 
     norm: reflectance up to 1; 8bit: up to 255; L2: scaled reflectance, up to 12000 with a mean of 200 to 3000; L1: raw numbers
-    beyond 12000, darkest percent taken off; unknown: stretched between smallest and largest.
+    beyond 12000, darkest percent taken off; unknown: stretched between smallest and largest. Passes read the scene again: store
+    it first where it is dear. The darkest percents of all bands come from the same passes.
     """
-    s = scene.agg(*(f(b).alias(f"{n}_{b}") for b in bands for n, f in (("hi", F.max), ("mean", F.avg), ("lo", F.min)))).first()
+    s = scene.agg(*(f(b).alias(f"{n}_{b}") for b in bands for n, f in (("hi", F.max), ("mean", F.avg), ("lo", F.min), ("n", F.count)))).first()
     found = {}
     for b in bands:
         hi, mean, lo = s[f"hi_{b}"], s[f"mean_{b}"], s[f"lo_{b}"]
         kind = "norm" if hi is None or hi <= 1 else "8bit" if hi <= 255 else "L2" if hi <= 12000 and 200 <= mean <= 3000 else "L1" if hi > 12000 else "unknown"
-        found[b] = {"unit": kind, "lo": lo, "hi": hi, "dark": exact_quantiles(scene, b, [DARK])[0] if kind == "L1" else None}
+        found[b] = {"unit": kind, "lo": lo, "hi": hi, "dark": None}
+    raw = [b for b in bands if found[b]["unit"] == "L1"]
+    if raw:
+        values = scene.select(F.expr(f"stack({len(raw)}, {', '.join(f"'{b}', {b}" for b in raw)}) as (band, value)"))
+        dark = band_quantiles(values, [DARK], ends=[(b, s[f"n_{b}"], s[f"lo_{b}"], s[f"hi_{b}"]) for b in raw])
+        for b in raw:
+            found[b]["dark"] = dark[b][0]
     return found
 
 
@@ -59,7 +66,7 @@ def rule_water(pixels: DataFrame, columns: dict[str, str], mode: str = "standard
     if len(names) < 4 or set(names[:4]) != set(BANDS[:4]):
         raise ValueError("green, swir, nir and red are needed")
     raw = {b: F.col(columns[b]).cast("double") for b in names}
-    scene = pixels.select("row", "col", *(F.when((v != 0) & ~F.isnan(v) & (v < 65535), v).alias(b) for b, v in raw.items()))
+    scene = stored(pixels.select("row", "col", *(F.when((v != 0) & ~F.isnan(v) & (v < 65535), v).alias(b) for b, v in raw.items())), "rules")
     kinds = units(scene, names)
     vegetation, infrared = MODES[mode]
     scene = scene.select("row", "col", *(scaled(b, kinds[b]).alias(b) for b in names))

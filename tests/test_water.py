@@ -49,6 +49,23 @@ def test_trained_water_agrees_with_what_was_held_out(spark):
     assert np.mean([clean[at] == (at[1] < 24) for at in inner]) > 0.98
 
 
+def test_rules_read_their_input_once(spark):
+    """Whatever a pixel costs to make, units, darkest percents and the threshold of the scene are found from what was stored."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    pixels = spark.range(400).selectExpr("id div 20 as row", "id % 20 as col", *(f"double((id * {p}) % 397 * 50 + 5000) as {b}" for p, b in ((7, "g"), (11, "s"), (13, "n"), (17, "r"), (19, "b"))))
+    pixels = pixels.mapInArrow(count, pixels.schema)
+    columns = {"green": "g", "swir": "s", "nir": "n", "red": "r", "blue": "b"}
+    assert water.rule_water(pixels, columns, "auto").count() == 400 and made.value == 400
+    kinds = water.units(spark.createDataFrame([(0, i, float(i), 13_000.0 + i) for i in range(101)], "row int, col int, green double, swir double"), ("green", "swir"))
+    assert (kinds["green"]["unit"], kinds["green"]["dark"], kinds["swir"]["unit"], kinds["swir"]["dark"]) == ("8bit", None, "L1", 13_001.0)
+
+
 def test_too_few_seeds_fall_back(spark):
     pixels, _ = scene(spark, size=8)
     odd = pixels.unionByName(spark.createDataFrame([(9, 9, None, 0.1, 0.1, 0.1), (9, 10, float("nan"), 0.1, 0.1, 0.1)], pixels.schema))
