@@ -17,8 +17,9 @@ from .graph import stored
 
 
 def kmeans_labels(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFrame:
-    """Labels 1..k of standardized vectors."""
-    x = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip").transform(df)
+    """Labels 1..k of standardized vectors; these are stored, since scaling, clustering and labelling all read them."""
+    x = stored(df.select("row", "col", *columns), "kmeans")
+    x = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip").transform(x)
     if x.isEmpty():
         return df.select("row", "col", F.lit(None).cast("int").alias("label")).limit(0)
     x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x).transform(x)

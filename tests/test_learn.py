@@ -34,6 +34,19 @@ def test_clusters_follow_the_blobs(spark):
     assert sum(max(r["count"] for r in met if r.cluster == c) for c in (1, 2, 3)) > 0.95 * 360
 
 
+def test_clustering_reads_its_input_once(spark):
+    """Whatever a vector costs to make, scaling, clustering and labelling work on what was stored."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = blobs(spark).select("row", "col", *(F.col("v")[i].alias(f"x{i}") for i in range(3)))
+    assert learn.kmeans_labels(df.mapInArrow(count, df.schema), ["x0", "x1", "x2"], 3).count() == 360 and made.value == 360
+
+
 def test_nothing_to_learn_from(spark):
     df = blobs(spark, 30)
     odd = df.unionByName(spark.createDataFrame([(99, 9, 9, None, None), (98, 9, 8, 1, [None, 1.0, 2.0])], df.schema))
