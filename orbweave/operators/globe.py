@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .overlay import clip
+from .graph import stored
+from .overlay import clip, uncut
 from .vector import box_ring
 
 #: Turns around the globe, each way, that a ring may take.
@@ -101,11 +102,20 @@ def whole_rings(dense: DataFrame, key: str) -> DataFrame:
 
 
 def split_polygons(polygons: DataFrame, key: str, step: float = 5.0) -> DataFrame:
-    """(key, world, rings, parts, holes) of polygons(key, rings of lon, lat): great-circle sides, cut at the antimeridian, longitudes of -180 to 180."""
+    """(key, world, rings, parts, holes) of polygons(key, rings of lon, lat): great-circle sides, cut at the antimeridian, longitudes of -180 to 180.
+
+    Equal polygons are worked on once and joined back to all their keys; only those that leave their world are cut.
+    """
     spark = polygons.sparkSession
-    whole = whole_rings(dense_rings(polygons, key, step), key)
+    shapes = stored(polygons.select("rings").filter("rings is not null").distinct().withColumn("_shape", F.monotonically_increasing_id()), "polygons")
+    whole = stored(whole_rings(dense_rings(shapes, "_shape", step), "_shape"), "whole")
+    xs = F.transform(F.flatten("rings"), lambda p: p["x"])
+    world = F.floor((F.array_min(xs) + 180.0) / 360.0)
+    alone = F.array_max(xs) <= world * 360.0 + 180.0
+    inside = uncut(whole.filter(alone), "_shape").withColumn("world", world).filter(F.abs("world") <= WORLDS)
     worlds = spark.range(-WORLDS, WORLDS + 1).select(F.col("id").alias("world"), F.array(box_ring(F.col("id") * 360.0 - 180.0, F.lit(-91.0), F.col("id") * 360.0 + 180.0, F.lit(91.0))).alias("rings"))
-    found = clip(whole, worlds, key, "world")
+    found = clip(whole.filter(~alone), worlds, "_shape", "world").unionByName(inside)
     within = lambda v, most: F.greatest(F.least(v, F.lit(most)), F.lit(-most))
     moved = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(within(p["x"] - 360.0 * F.col("world"), 180.0).alias("x"), within(p["y"], 90.0).alias("y"))))
-    return found.select(key, "world", moved.alias("rings"), "parts", "holes")
+    found = found.select("_shape", "world", moved.alias("rings"), "parts", "holes")
+    return polygons.join(shapes, "rings").select(key, "_shape").join(found, "_shape").select(key, "world", "rings", "parts", "holes")

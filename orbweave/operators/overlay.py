@@ -105,6 +105,17 @@ def clip(subjects: DataFrame, clips: DataFrame, key: str = "zone_id", other: str
     return found.select(key, other, _moved("rings", F.col("x0"), F.col("y0")).alias("rings"), "area", "parts", "holes")
 
 
+def uncut(polygons: DataFrame, key: str, thin: float = 1e-7) -> DataFrame:
+    """What clip() makes of polygons(key, rings) when nothing of them is cut off: key, rings, area, parts, holes."""
+    corner = _moved("rings", -F.col("x0"), -F.col("y0"))
+    by = F.array_sort(F.zip_with("rings", corner, lambda r, m: F.struct((-signed_area(m)).alias("o"), r.alias("ring"))))
+    # Exploded as one element, so that the filter on the area does not work it out a second time.
+    p = _prepared(polygons, key).withColumn("by", F.explode(F.array(by))).withColumn("area", F.aggregate("by", F.lit(0.0), lambda t, r: t - r["o"]))
+    size, count = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), lambda f: F.size(F.filter("by", f)).cast("long")
+    p = p.filter(F.col("area") > thin * size * size)
+    return p.select(key, F.transform("by", lambda r: r["ring"]).alias("rings"), "area", count(lambda r: r["o"] < 0).alias("parts"), count(lambda r: r["o"] > 0).alias("holes"))
+
+
 def kept(subjects: DataFrame, clips: DataFrame, key: str = "zone_id", other: str = "clip_id", thin: float = 1e-7) -> DataFrame:
     """(key) of the subjects that have a row in clip(), once for each of them: pairs are not written out."""
     found, of_a, _ = _clipped(subjects, clips, key, other, thin)

@@ -63,3 +63,27 @@ def test_angles_are_worked_out_once_a_side(spark):
     dense = globe.dense_rings(frame(spark, [(1, [ring((10, 0), (50, 0), (30, 15))])]), "id")
     assert dense._jdf.queryExecution().optimizedPlan().toString().lower().count("acos(") <= 2
     assert dense.count() == 8 + 2 * 5
+
+
+def test_equal_polygons_are_worked_on_once_and_cut_only_across_the_antimeridian(spark, monkeypatch):
+    seen = {}
+
+    def counted(name, do):
+        def run(df, *args):
+            seen[name] = df.count()
+            return do(df, *args)
+
+        return run
+
+    for name in ("dense_rings", "clip"):
+        monkeypatch.setattr(globe, name, counted(name, getattr(globe, name)))
+    across, inside, edge = [ring((170, 0), (-170, 0), (-175, 10))], [ring((10, 0), (20, 0), (20, 10))], [ring((170, 0), (180, 0), (175, 10))]
+    rows = [(i, (across, inside, edge)[i % 3]) for i in range(30)]
+    found = globe.split_polygons(frame(spark, [*rows, (0, inside)]), "id").collect()
+    assert seen == {"dense_rings": 3, "clip": 1}
+    many = {}
+    for r in found:
+        many.setdefault(r.id, []).append((r.world, r.parts, r.holes, min(p["x"] for k in r.rings for p in k), max(p["x"] for k in r.rings for p in k)))
+    near = lambda got, want: sorted(got) == [pytest.approx(w) for w in want]
+    assert near(many.pop(0), [(0, 1, 0, 10, 20), (0, 1, 0, 170, 180), (1, 1, 0, -180, -170)]) and len(many) == 29
+    assert all(near(got, [[(0, 1, 0, 170, 180), (1, 1, 0, -180, -170)], [(0, 1, 0, 10, 20)], [(0, 1, 0, 170, 180)]][i % 3]) for i, got in many.items())

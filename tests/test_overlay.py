@@ -102,3 +102,11 @@ def test_kept_subjects_without_pairs(spark):
     left = overlay.kept(a, b)
     assert sorted(r[0] for r in left.collect()) == [1, 1, 3]
     assert tuple(overlay.clip_report(a, left).first()) == (5, 3, 2)
+
+
+def test_uncut_polygons_are_what_a_clip_around_them_gives(spark):
+    rows = [(1, [box(0, 0, 8, 8), box(1, 1, 3, 3), box(4, 4, 7, 7)]), (2, [box(0, 0, 8, 8)[::-1], box(1, 1, 3, 3)[::-1]]), (3, [box(5, 5, 6, 5)]), (4, None), (5, []), (6, [box(2, 2, 4, 4)[:3]])]
+    subjects = spark.createDataFrame(rows, "zone_id " + SCHEMA)
+    around = spark.createDataFrame([(0, [box(-100, -100, 100, 100)])], "clip_id " + SCHEMA)
+    want = sorted(overlay.clip(subjects, around).drop("clip_id").collect())
+    assert sorted(overlay.uncut(subjects, "zone_id").collect()) == want and [(r.zone_id, r.area, r.parts, r.holes) for r in want] == [(1, 51.0, 1, 2), (2, 60.0, 1, 1)]
