@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .focal import dilate, erode
+from .focal import closing
 from .graph import stored
 from .gridgraph import fill_holes, remove_small
 from .stats import band_quantiles, exact_quantiles
@@ -92,6 +93,8 @@ SURE, MOST_SURE, MOST_HARD, LEAST_SURE, LEAST_HARD = 0.45, 12_000, 2_000, 100, 1
 #: Regions of water up to this size go.
 SMALL = 20
 BLOCK, HALO = 256, 5
+#: Tasks that trees are trained in: seeds are few.
+SEED_PARTS = 4
 
 
 def guide(green: Column, nir: Column, swir1: Column, swir2: Column) -> Column:
@@ -120,15 +123,17 @@ def _mean(a: np.ndarray, half: int) -> np.ndarray:
     return sum(rows[i : rows.shape[0] - 2 * half + i] for i in range(n)) / (n * n)
 
 
-def stack(pixels: DataFrame, bands: list[str], height: int, width: int, block: int = BLOCK) -> DataFrame:
+def stack(pixels: DataFrame, bands: list[str], height: int, width: int, block: int = BLOCK, only: str | None = None) -> DataFrame:
     """(row, col, features): each band itself, its means over 3 x 3 and under a bell, its Laplacian, its deviation over 5 x 5.
 
-    All bands of a block with its halo are worked on at once; the grid mirrors at its edges.
+    All bands of a block with its halo are worked on at once; the grid mirrors at its edges. only: just the pixels where this column is
+    not null, with the column; the others are seen by them alone.
     """
     means = pixels.agg(*(F.avg(F.when(~F.isnan(b), F.col(b))).alias(b) for b in bands)).first()
     means = [means[b] or 0.0 for b in bands]
     sees = lambda at, size: F.sequence(F.greatest(F.floor((F.col(at) - HALO) / block), F.lit(0)), F.least(F.floor((F.col(at) + HALO) / block), F.lit((size - 1) // block)))
-    sent = pixels.filter("row is not null and col is not null").select("row", "col", *(F.col(b).cast("double").alias(b) for b in bands), F.explode(sees("row", height)).alias("br")).withColumn("bc", F.explode(sees("col", width)))
+    more = [only] if only else []
+    sent = pixels.filter("row is not null and col is not null").select("row", "col", *more, *(F.col(b).cast("double").alias(b) for b in bands), F.explode(sees("row", height)).alias("br")).withColumn("bc", F.explode(sees("col", width)))
 
     def run(part: pa.Table) -> pa.Table:
         row, col = part.column("row").to_numpy(), part.column("col").to_numpy()
@@ -136,6 +141,8 @@ def stack(pixels: DataFrame, bands: list[str], height: int, width: int, block: i
         r0, c0, r1, c1 = max(br * block - HALO, 0), max(bc * block - HALO, 0), min((br + 1) * block + HALO, height), min((bc + 1) * block + HALO, width)
         pads = [(HALO - (br * block - r0), HALO - (r1 - min((br + 1) * block, height))), (HALO - (bc * block - c0), HALO - (c1 - min((bc + 1) * block, width)))]
         own = (row // block == br) & (col // block == bc)
+        for c in more:
+            own &= part.column(c).is_valid().to_numpy()
         at, found = (row[own] - br * block, col[own] - bc * block), []
         for band, mean in zip(bands, means, strict=True):
             a = np.full((r1 - r0, c1 - c0), mean)
@@ -149,9 +156,11 @@ def stack(pixels: DataFrame, bands: list[str], height: int, width: int, block: i
             found += [f[at] for f in (inner(0), _mean(inner(1), 1), _gauss(inner(5)), laplace, deviation)]
         values = np.stack(found, axis=1).ravel()
         edges = np.arange(0, len(values) + 1, len(found), dtype=np.int32)
-        return pa.table({"row": pa.array(row[own]), "col": pa.array(col[own]), "features": pa.ListArray.from_arrays(pa.array(edges), pa.array(values))})
+        kept = {c: part.column(c).filter(pa.array(own)) for c in more}
+        return pa.table({"row": pa.array(row[own]), "col": pa.array(col[own]), "features": pa.ListArray.from_arrays(pa.array(edges), pa.array(values))} | kept)
 
-    return sent.groupBy("br", "bc").applyInArrow(run, "row long, col long, features array<double>")
+    schema = StructType([StructField("row", LongType()), StructField("col", LongType()), StructField("features", ArrayType(DoubleType())), *(sent.schema[c] for c in more)])
+    return sent.groupBy("br", "bc").applyInArrow(run, schema)
 
 
 def training(labelled: DataFrame, least_sure: int = LEAST_SURE) -> DataFrame | None:
@@ -183,13 +192,17 @@ def adaptive_water(pixels: DataFrame, columns: dict[str, str], height: int, widt
     chosen = training(labelled, least_sure)
     if chosen is None:
         return labelled.select("row", "col", F.coalesce((F.col("guide") > threshold).cast("int"), F.lit(0)).alias("mask"))
-    features = stored(stack(scene, list(columns), height, width), "features").withColumn("features", array_to_vector(F.col("features")))
     weight = F.greatest(F.least(F.abs(F.col("guide") - threshold), F.lit(5.0)), F.lit(0.1))
-    train = features.join(F.broadcast(chosen.withColumn("weight", weight)), ["row", "col"])  # bounded by MOST_SURE and MOST_HARD
-    model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=7).fit(train)
-    wet = model.transform(features).select("row", "col", (vector_to_array("probability")[1] > 0.5).cast("int").alias("mask"))
+    chosen = chosen.select("row", "col", F.struct("label", weight.alias("weight")).alias("seed"))  # bounded by MOST_SURE and MOST_HARD
+    # Seeds get their features in a pass of their own and are stored: every tree reads them. Trees are trained on an order that
+    # does not depend on how pixels were dealt. Features of the whole scene go to the model as they are made.
+    train = stored(stack(scene.join(F.broadcast(chosen), ["row", "col"], "left"), list(columns), height, width, only="seed"), "seeds")
+    train = train.select("row", "col", "features", "seed.*").repartition(SEED_PARTS, "row", "col").sortWithinPartitions("row", "col")
+    vectors = lambda df: df.withColumn("features", array_to_vector(F.col("features")))
+    model = GBTClassifier(labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=7).fit(vectors(train))
+    wet = model.transform(vectors(stack(scene, list(columns), height, width))).select("row", "col", (vector_to_array("probability")[1] > 0.5).cast("int").alias("mask"))
     if not clean:
         return wet
     kept = stored(remove_small(stored(wet, "wet"), SMALL + 1), "kept")
-    closed = stored(erode(dilate(kept, "mask"), "mask", height, width), "closed")
+    closed = stored(closing(kept, "mask", height, width), "closed")
     return fill_holes(closed, height, width)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.operators import water
+from orbweave.operators import focal, water
 from orbweave.operators.stats import exact_quantiles
 
 COLUMNS = {"green": "g", "nir": "n", "swir1": "s", "swir2": "t"}
@@ -100,6 +100,36 @@ def test_units_are_decided_from_the_bands(spark):
         water.rule_water(df, dict(zip(water.BANDS, "abcde")), "magic")
 
 
+def test_features_of_the_whole_scene_are_not_stored(spark, monkeypatch):
+    """Trees are trained on stored seeds; the scene's features go to the model as they are made."""
+    pixels, _ = scene(spark)
+    names = []
+    monkeypatch.setattr(water, "stored", lambda df, name, do=water.stored: names.append((name, [c for c in df.columns if c == "features"], df.count())) or do(df, name))
+    water.adaptive_water(pixels, COLUMNS, 48, 48, rounds=2, depth=2, clean=False).count()
+    wide = [x for x in names if x[1]]
+    assert [x[0] for x in wide] == ["seeds"] and water.LEAST_SURE * 2 <= wide[0][2] < 48 * 48
+
+
+def test_features_of_some_pixels_are_those_of_the_whole_stack(spark):
+    pixels, _ = scene(spark, size=24)
+    marked = pixels.withColumn("mark", F.when(F.expr("(row * 5 + col) % 7 = 0"), F.struct(F.col("row").alias("a"), F.lit("x").alias("b"))))
+    every = {(r.row, r.col): r.features for r in water.stack(pixels, ["g", "n"], 24, 24, 7).collect()}
+    some = water.stack(marked, ["g", "n"], 24, 24, 7, only="mark").collect()
+    assert {(r.row, r.col): r.features for r in some} == {at: v for at, v in every.items() if (at[0] * 5 + at[1]) % 7 == 0}
+    assert len(some) == len({(r.row, r.col) for r in some}) and all(r.mark.a == r.row and r.mark.b == "x" for r in some)
+
+
+def test_closing_is_dilation_then_erosion(spark):
+    rng = np.random.default_rng(5)
+    rows = [(r, c, int(rng.random() < 0.3)) for r in range(19) for c in range(23) if rng.random() < 0.95]
+    df = spark.createDataFrame(rows, "row long, col long, mask int")
+    want = focal.erode(focal.dilate(df, "mask"), "mask", 19, 23)
+    assert want.filter("mask = 1").count() > 20
+    for block in (5, 256):
+        got = focal.closing(df, "mask", 19, 23, block)
+        assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(2)
     for values in (rng.normal(size=5001), np.repeat([1.0, 2.0, 5.0], [300, 1, 700]), np.array([3.0]), np.concatenate((rng.normal(size=2000) * 1e-9, [1e12]))):
