@@ -38,13 +38,24 @@ def is_training(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % HELD_OUT[0] != HELD_OUT[1]
 
 
+def distinct_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As np.unique: (sorted hashes, a place of each, number of each word's hash), by a sort that need not be stable."""
+    order = np.argsort(words)
+    ordered = words[order]
+    new = np.ones(len(words), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(words), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
 class PackWords:
     """Distinct words of a pack, in bucket order, and where they stand."""
 
     def __init__(self, ids: list, texts: list[bytes], buckets: int):
         self.bounds, starts, ends, words, buffer = scan_words([t.lower() for t in texts])
         self.training = np.array([is_training(i) for i in ids], bool)
-        distinct, first, inverse = np.unique(words, return_index=True, return_inverse=True)
+        distinct, first, inverse = distinct_words(words)
         order, self.where, self.cut = deal(distinct, buckets)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -92,17 +103,6 @@ class PackWords:
         return flat, np.concatenate(([0], stop[last]))
 
 
-def _ask(buckets: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pack, ids, texts, _ in pack_rows(batches):
-            w = PackWords(ids, texts, buckets)
-            cut = list(zip(w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True))
-            part = lambda x: pa.array([x[a:b].tobytes() for a, b in cut], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_pydict({"pack": pa.array([pack] * len(cut), pa.int64()), "bucket": w.where, "keys": part(w.keys), "counts": part(w.counts.astype(np.uint32))})
-
-    return run
-
-
 def _total(table: pa.Table) -> pa.Table:
     """Answers each pack of a bucket with the corpus counts of its words, in their order; one more row has the sums."""
     packs, bucket = table.column("pack").to_pylist(), table.column("bucket")[0].as_py()
@@ -118,22 +118,27 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table({"pack": pa.array([*packs, None], pa.int64()), "answer": pa.array([*rows, None], pa.binary()), "n": pa.array([0] * n + [int(total.sum())], pa.int64()), "v": pa.array([0] * n + [int((total > 0).sum())], pa.int64())})
 
 
-def _cut(path: str, end: int) -> Callable:
-    """Packs as subword ids: what the model reads, made once."""
+def _cut(path: str, end: int, buckets: int = 0) -> Callable:
+    """Packs as subword ids, which the model reads; with buckets also their distinct words by these, with their counts: scanned once for both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, zip_ = byte_bpe(path), zstandard.ZstdCompressor(level=1)
         for pack, ids, texts, _ in pack_rows(batches):
-            w = PackWords(ids, texts, 1)
+            w = PackWords(ids, texts, buckets or 1)
             tokens, bounds = w.sequences(*w.subwords(bpe), end)
             kind = np.uint16 if bpe.size <= 1 << 16 else np.uint32
-            yield pa.RecordBatch.from_pydict({"pack": pa.array([pack], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "bounds": pa.array([bounds], pa.list_(pa.int64())), "tokens": [zip_.compress(tokens.astype(kind).tobytes())], "width": pa.array([np.dtype(kind).itemsize], pa.int32())})
+            cut = list(zip(w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True))
+            part = lambda x: pa.array([[x[a:b].tobytes() for a, b in cut]], pa.list_(pa.binary()))  # noqa: B023, E731
+            own = {"pack": pa.array([pack], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "bounds": pa.array([bounds], pa.list_(pa.int64())), "tokens": [zip_.compress(tokens.astype(kind).tobytes())], "width": pa.array([np.dtype(kind).itemsize], pa.int32())}
+            asked = {"bucket": pa.array([w.where.tolist()], pa.list_(pa.int64())), "keys": part(w.keys), "counts": part(w.counts.astype(np.uint32))} if buckets else {}
+            yield pa.RecordBatch.from_pydict(own | asked)
         give_back()
 
     return run
 
 
 CUT = "pack long, ids array<long>, bounds array<long>, tokens binary, width int"
+ASKED = "bucket array<long>, keys array<binary>, counts array<binary>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
@@ -272,10 +277,11 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     bare = packs.select("pack", "ids", "lengths", "blob")
     total = packs.agg(F.sum("n_words")).first()[0] or 0
     buckets = bucket_count(total // 6)
-    asked = bare.mapInArrow(_ask(buckets), "pack long, bucket long, keys binary, counts binary")
+    cut = materialize(bare.mapInArrow(_cut(path, end, buckets), f"{CUT}, {ASKED}"), "lm-tokens", "none")
+    asked = cut.select("pack", F.explode(F.arrays_zip("bucket", "keys", "counts")).alias("a")).select("pack", "a.*")
     answers = materialize(asked.groupBy("bucket").applyInArrow(_total, "pack long, answer binary, n long, v long"), "word-counts", "none")
     sums = answers.filter("pack is null").agg(F.sum("n"), F.sum("v")).first()
-    tokens = materialize(bare.mapInArrow(_cut(path, end), CUT), "lm-tokens", "none")
+    tokens = cut.select("pack", "ids", "bounds", "tokens", "width")
     rows = tokens.mapInArrow(_count_subwords(bpe.size), "id long, n long").groupBy("id").agg(F.sum("n")).collect()  # at most one row per id
     counts = np.zeros(bpe.size, np.int64)
     for r in rows:

@@ -454,3 +454,49 @@ def test_chunks_with_any_special_tokens(special):
     for piece in re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", "".join(parts)) if special else ["".join(parts)]:
         want += [special[piece]] if piece in special else bpe.plain(piece).tolist()
     assert chunked_bpe.ChunkEncoder(other).encode("".join(parts).encode()).tolist() == want
+
+
+def test_a_pack_is_scanned_once_for_ids_and_counts(spark):
+    """With buckets, the pass that makes subword ids also gives the words to count; the ids are those of the pass without."""
+    docs = spark.createDataFrame([(i, f"A word{i % 7} a  Word{i % 7}\tend{i}") for i in range(60)] + [(99, None), (None, "a lost word")], "doc_id long, text string").coalesce(1)
+    packs = lm_score.write_packs(docs, 20_000).select("pack", "ids", "lengths", "blob")
+    plain, both = (packs.mapInArrow(lm_score._cut(default_tokenizer(), 2, *b), s).collect() for b, s in (((), lm_score.CUT), ((3,), f"{lm_score.CUT}, {lm_score.ASKED}")))
+    assert [r[:5] for r in both] == [tuple(r) for r in plain]
+    counts = Counter()
+    for r in both:
+        assert len(r.bucket) == len(set(r.bucket)) == len(r.keys) == len(r["counts"])
+        for k, n in zip(r["keys"], r["counts"]):
+            counts.update(dict(zip(np.frombuffer(k, np.uint64).tolist(), np.frombuffer(n, np.uint32).tolist(), strict=True)))
+    want = Counter()
+    for d, t in docs.collect():
+        want.update(t.lower().split() if t and lm_score.is_training(d) else [])
+    assert sorted(n for n in counts.values() if n) == sorted(want.values())
+
+
+def test_distinct_words_are_those_of_a_stable_sort():
+    words = np.random.default_rng(8).integers(0, 50, 3000).astype(np.uint64)
+    for x in (words, words[:0]):
+        distinct, place, number = lm_score.distinct_words(x)
+        assert distinct.tolist() == np.unique(x).tolist() and (x[place] == distinct).all() and (distinct[number] == x).all()
+
+
+def test_training_steps_are_adam_on_each_weight():
+    rng = np.random.default_rng(9)
+    classes = rng.integers(0, attention.CLASSES, 40)
+    inputs, targets, _ = attention.layout(rng.integers(0, 40, 300), np.array([0, 120, 121, 300]), classes, 40)
+    w = attention.first_weights(40, np.bincount(classes, minlength=attention.CLASSES))
+    trainer, mine = attention.Trainer(w, 0.01), {n: x.copy() for n, x in w.items()}
+    mean, square = ({n: np.zeros(s) for n, s in attention.SMALL.items()} for _ in range(2))
+    seen = np.full(len(w["embed"]), 1e-8)
+    for step in (1, 2, 3):
+        g, ids, rows = attention.gradients(mine, inputs, targets)
+        assert ids.tolist() == sorted(set(inputs.tolist()))
+        for n, x in g.items():
+            mean[n], square[n] = 0.9 * mean[n] + 0.1 * x, 0.99 * square[n] + 0.01 * x * x
+            mine[n] = (mine[n] - 0.01 * mean[n] / (1 - 0.9**step) / (np.sqrt(square[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        seen[ids] += (rows * rows).mean(1)
+        mine["embed"][ids] -= 0.05 * rows / np.sqrt(seen[ids])[:, None]
+        trainer.step(inputs, targets)
+        for n, x in mine.items():
+            assert trainer.w[n] == pytest.approx(x, abs=2e-4)
+    assert not np.array_equal(trainer.w["out"], w["out"])
