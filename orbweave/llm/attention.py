@@ -59,11 +59,14 @@ def forward(w: Weights, inputs: np.ndarray):
     """
     n = len(inputs) // CONTEXT - 1
     x = w["embed"].take(inputs, 0, mode="clip")
-    h = x @ w["qkv"]
-    q = (h[CONTEXT:, :WIDTH].reshape(n, CONTEXT, WIDTH) + w["query_at"]) * _SCALE
-    shape, step = (n, 2 * CONTEXT, WIDTH), (CONTEXT * h.strides[0], h.strides[0], h.strides[1])
-    k, v = as_strided(h[:, WIDTH:], shape, step), as_strided(h[:, 2 * WIDTH :], shape, step)
-    keys = k + w["key_at"]
+    q, k, v = np.matmul(x, w["qkv"].reshape(WIDTH, 3, WIDTH).transpose(1, 0, 2))
+    # Rows lie one after another, so a window is one run of numbers.
+    block = CONTEXT * WIDTH
+    q = q[CONTEXT:].reshape(n, block) + w["query_at"].ravel()
+    q *= _SCALE
+    q = q.reshape(n, CONTEXT, WIDTH)
+    keys = (as_strided(k, (n, 2 * block), (block * k.itemsize, k.itemsize)) + w["key_at"].ravel()).reshape(n, 2 * CONTEXT, WIDTH)
+    v = as_strided(v, keys.shape, (block * v.itemsize, *v.strides))
     a = np.matmul(q, keys.transpose(0, 2, 1))
     a += _CAUSAL
     padding = inputs == len(w["embed"]) - 1
@@ -72,14 +75,16 @@ def forward(w: Weights, inputs: np.ndarray):
         some = np.flatnonzero(blank.any(1))
         a[some] += np.where(blank[some], np.float32(-1e9), np.float32(0))[:, None, :]
     np.exp(a, out=a)
-    weight = np.float32(1) / np.maximum((a.reshape(-1, 2 * CONTEXT) @ _ONES[: 2 * CONTEXT]).reshape(n, CONTEXT), np.float32(1e-30))
+    weight = np.float32(1) / np.maximum(a.reshape(-1, 2 * CONTEXT) @ _ONES[: 2 * CONTEXT], np.float32(1e-30))
+    mixed = np.matmul(a, v).reshape(-1, WIDTH)
+    mixed *= weight.repeat(WIDTH).reshape(-1, WIDTH)
     z = np.empty((n * CONTEXT, 2 * WIDTH + 1), np.float32)
-    z[:, :WIDTH] = (np.matmul(a, v) * weight[:, :, None]).reshape(-1, WIDTH)
+    z[:, :WIDTH] = mixed
     z[:, WIDTH:-1] = x[CONTEXT:]
     z[:, -1] = 1
     logits = z @ w["out"]
     e = np.exp(logits)
-    return logits, e, e @ _ONES[:CLASSES], (x, q, keys, v, a, weight, z)
+    return logits, e, e @ _ONES[:CLASSES], (x, q, keys, v, a, weight, mixed, z)
 
 
 def score(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -96,7 +101,7 @@ def score(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
 
 def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> tuple[Weights, np.ndarray, np.ndarray]:
     """Gradients of the mean cross entropy: of the small weights, then of embedding rows with their ids."""
-    _, d, total, (x, q, keys, v, a, weight, z) = forward(w, inputs)
+    _, d, total, (x, q, keys, v, a, weight, mixed, z) = forward(w, inputs)
     n = len(q)
     t = targets[CONTEXT:]
     use = np.flatnonzero(t >= 0)
@@ -105,20 +110,24 @@ def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray) -> tuple[Weig
     d.ravel()[use * CLASSES + t[use]] -= share
     g = {"out": z.T @ d}
     dz = d @ w["out"][:-1].T
-    mixed = np.ascontiguousarray(dz[:, :WIDTH]).reshape(n, CONTEXT, WIDTH)
-    a *= weight[:, :, None]
-    s = np.matmul(mixed, v.transpose(0, 2, 1))
-    s -= ((dz[:, :WIDTH] * z[:, :WIDTH]) @ _ONES[:WIDTH]).reshape(n, CONTEXT, 1)
+    # Weights of places are a * weight; the second factor goes to the rows, which are shorter.
+    own = dz[:, :WIDTH] * weight[:, None]
+    s = np.matmul(own.reshape(n, CONTEXT, WIDTH), v.transpose(0, 2, 1))
+    mixed *= own
+    s -= (mixed @ _ONES[:WIDTH]).reshape(n, CONTEXT, 1)
     s *= a
-    dq = np.matmul(s, keys) * _SCALE
-    dk = np.matmul(s.transpose(0, 2, 1), q)
+    own = own.reshape(n, CONTEXT, WIDTH)
+    dq = np.matmul(s, keys)
+    dq *= _SCALE
+    dk, dv = np.matmul(s.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), own)
     g["query_at"], g["key_at"] = dq.sum(0), dk.sum(0)
-    dh = np.empty((len(inputs), 3 * WIDTH), np.float32)
-    dh[:CONTEXT] = 0
-    dh[CONTEXT:, :WIDTH] = dq.reshape(-1, WIDTH)
-    for part, own in ((dh[:, WIDTH : 2 * WIDTH], dk), (dh[:, 2 * WIDTH :], np.matmul(a.transpose(0, 2, 1), mixed))):
-        part[CONTEXT:] = own[:, CONTEXT:].reshape(-1, WIDTH)
-        part[:-CONTEXT] += own[:, :CONTEXT].reshape(-1, WIDTH)
+    # A row of keys or values is in two windows: the later half of one, the earlier half of the next.
+    dh = [np.zeros((n + 1, CONTEXT * WIDTH), np.float32) for _ in range(3)]
+    dh[0][1:] = dq.reshape(n, -1)
+    for part, both in ((dh[1], dk.reshape(n, -1)), (dh[2], dv.reshape(n, -1))):
+        part[1:] = both[:, CONTEXT * WIDTH :]
+        part[:-1] += both[:, : CONTEXT * WIDTH]
+    dh = np.concatenate([part.reshape(-1, WIDTH) for part in dh], axis=1)
     g["qkv"] = x.T @ dh
     dx = dh @ w["qkv"].T
     dx[CONTEXT:] += dz[:, WIDTH:]

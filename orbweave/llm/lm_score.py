@@ -1,7 +1,8 @@
 """Language-model scores of whole texts: corpus word counts for a base score, a causal attention model for the score.
 
-Word counts are exchanged between packs of documents: a pack sends each of its distinct words once, with its count in
-training documents, and gets back the corpus count. Packs are cut into subword ids once. The attention model learns from
+Texts are read once: packs of documents are kept as subword ids and as numbers of their distinct words. Word counts are
+exchanged between packs: a pack sends each of its distinct words once, with its count in training documents, and gets
+back the corpus count. The attention model learns from
 every training document: the rounds share them out, so each is learnt from once. In a round each pack is one local pass
 from the same weights, and Spark averages what the passes end with, by their tokens. The next subword's class comes from
 the model, the subword inside it from corpus counts; classes are equal weights of the ids in order of their counts.
@@ -23,12 +24,16 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import attention as net
-from .packs import bucket_count, deal, joined, pack_rows, write_packs
+from .packs import answered, bucket_count, deal, dealt_texts, pack_rows, write_packs  # noqa: F401 (_cut also takes written packs)
 from .subwords import ByteBpe, byte_bpe, default_tokenizer
-from .textscan import U64, give_back, scan_words
+from .textscan import U64, give_back, groups, scan_words
 from .workspace import materialize
 
 PACK_BYTES = 4 << 20
+#: Bytes of texts that are scanned at once: few, so that they stay in the processor's cache.
+SCAN_BYTES = 1 << 17
+#: Bytes of text for each key of the word counts, about; only the number of buckets follows from it.
+KEY_BYTES = 24
 #: Rounds of training; parts of the weights that are summed apart.
 ROUNDS, SLICES = 2, 16
 HELD_OUT = (7, 2)
@@ -49,11 +54,24 @@ def distinct_words(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return ordered[new], order[new], inverse
 
 
+def scanned(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """As scan_words, some texts at a time."""
+    parts, words, size = [], 0, 0
+    for a, b in groups(texts, SCAN_BYTES):
+        bounds, starts, ends, hashes, buffer = scan_words(texts[a:b])
+        parts.append((bounds[1:] + words, starts + size, ends + size, hashes, buffer))
+        words, size = words + len(starts), size + len(buffer)
+    if not parts:
+        return scan_words(texts)
+    bounds, starts, ends, hashes, buffers = zip(*parts, strict=True)
+    return np.concatenate(([0], *bounds)), np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes), b"".join(buffers)
+
+
 class PackWords:
     """Distinct words of a pack, in bucket order, and where they stand."""
 
     def __init__(self, ids: list, texts: list[bytes], buckets: int):
-        self.bounds, starts, ends, words, buffer = scan_words([t.lower() for t in texts])
+        self.bounds, starts, ends, words, buffer = scanned([t.lower() for t in texts])
         self.training = np.array([is_training(i) for i in ids], bool)
         distinct, first, inverse = distinct_words(words)
         order, self.where, self.cut = deal(distinct, buckets)
@@ -118,27 +136,34 @@ def _total(table: pa.Table) -> pa.Table:
     return pa.table({"pack": pa.array([*packs, None], pa.int64()), "answer": pa.array([*rows, None], pa.binary()), "n": pa.array([0] * n + [int(total.sum())], pa.int64()), "v": pa.array([0] * n + [int((total > 0).sum())], pa.int64())})
 
 
-def _cut(path: str, end: int, buckets: int = 0) -> Callable:
-    """Packs as subword ids, which the model reads; with buckets also their distinct words by these, with their counts: scanned once for both."""
+def _cut(path: str, end: int, buckets: int = 0, size: int = 0) -> Callable:
+    """Packs as subword ids, which the model reads.
+
+    With buckets also their distinct words by these, with their counts, and the number of the word at each place. With
+    size, rows are documents (doc_id, text), and so many bytes of them make a pack.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, zip_ = byte_bpe(path), zstandard.ZstdCompressor(level=1)
-        for pack, ids, texts, _ in pack_rows(batches):
+        for pack, ids, texts in dealt_texts(batches, size) if size else (x[:3] for x in pack_rows(batches)):
             w = PackWords(ids, texts, buckets or 1)
             tokens, bounds = w.sequences(*w.subwords(bpe), end)
             kind = np.uint16 if bpe.size <= 1 << 16 else np.uint32
             cut = list(zip(w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True))
             part = lambda x: pa.array([[x[a:b].tobytes() for a, b in cut]], pa.list_(pa.binary()))  # noqa: B023, E731
-            own = {"pack": pa.array([pack], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "bounds": pa.array([bounds], pa.list_(pa.int64())), "tokens": [zip_.compress(tokens.astype(kind).tobytes())], "width": pa.array([np.dtype(kind).itemsize], pa.int32())}
-            asked = {"bucket": pa.array([w.where.tolist()], pa.list_(pa.int64())), "keys": part(w.keys), "counts": part(w.counts.astype(np.uint32))} if buckets else {}
-            yield pa.RecordBatch.from_pydict(own | asked)
+            longs = lambda x: pa.array([x], pa.list_(pa.int64()))
+            own = {"pack": pa.array([pack], pa.int64()), "ids": longs(ids), "bounds": longs(bounds), "tokens": [zip_.compress(tokens.astype(kind).tobytes())], "width": pa.array([np.dtype(kind).itemsize], pa.int32())}
+            asked = {"bucket": longs(w.where), "keys": part(w.keys), "counts": part(w.counts.astype(np.uint32))} if buckets else {}
+            placed = {"sizes": longs(np.diff(w.cut)), "word_bounds": longs(w.bounds), "places": [zip_.compress(w.inverse.astype(np.uint32).tobytes())]} if buckets else {}
+            yield pa.RecordBatch.from_pydict(own | asked | placed)
         give_back()
 
     return run
 
 
 CUT = "pack long, ids array<long>, bounds array<long>, tokens binary, width int"
-ASKED = "bucket array<long>, keys array<binary>, counts array<binary>"
+ASKED = "bucket array<long>, keys array<binary>, counts array<binary>, sizes array<long>, word_bounds array<long>, places binary"
+PLACED = ("pack", "ids", "bucket", "sizes", "word_bounds", "places")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
@@ -242,23 +267,26 @@ def _model_scores(w: net.Weights, classes: np.ndarray, inside: np.ndarray) -> Ca
     return run
 
 
-def _scorer(buckets: int, n: int, v: int, ends: int) -> Callable:
+def _scorer(n: int, v: int, ends: int) -> Callable:
+    """Final rows from (PLACED, answers, scores) of packs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = float(n) + float(v + 1)
+        base, unzip = float(n) + float(v + 1), zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, texts, answers, scores = next(pack_rows([batch.slice(i, 1)]))[1:] + (batch.column(5)[i].as_py(),)
-                w = PackWords(ids, texts, buckets)
-                corpus = np.zeros(len(w.keys), np.int64)
-                place = {b: (x, y) for b, x, y in zip(w.where.tolist(), w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True)}
-                for a in answers:
+                _, ids, where, sizes, bounds, places, answers, scores = (c[i].as_py() for c in batch.columns)
+                cut = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+                corpus = np.zeros(cut[-1], np.int64)
+                place = {b: (x, y) for b, x, y in zip(where, cut[:-1].tolist(), cut[1:].tolist(), strict=True)}
+                for a in answers or ():
                     x, y = place[int.from_bytes(a[:8], "little")]
                     corpus[x:y] = np.frombuffer(a, np.uint32 if len(a) == 8 + 4 * (y - x) else np.int64, offset=8)
-                logs = np.concatenate(([0.0], np.cumsum(np.log10((corpus + 1.0) / base)[w.inverse])))
-                known = np.concatenate(([0], np.cumsum((corpus > 0)[w.inverse])))
-                a, b = w.bounds[:-1], w.bounds[1:]
+                words, bounds = np.frombuffer(unzip.decompress(places), np.uint32), np.array(bounds, np.int64)
+                logs = np.concatenate(([0.0], np.cumsum(np.log10((corpus + 1.0) / base)[words])))
+                known = np.concatenate(([0], np.cumsum((corpus > 0)[words])))
+                a, b = bounds[:-1], bounds[1:]
                 yield pa.RecordBatch.from_pydict(
-                    {"doc_id": pa.array(ids, pa.int64()), "held_out": ~w.training, "n_tokens": b - a + 1, "n_known": known[b] - known[a] + (ends > 0), "train_tokens": pa.array([n] * len(ids), pa.int64()), "base_score": logs[b] - logs[a] + np.log10((ends + 1.0) / base), "score": np.array(scores) / np.log(10)}
+                    {"doc_id": pa.array(ids, pa.int64()), "held_out": [not is_training(i) for i in ids], "n_tokens": b - a + 1, "n_known": known[b] - known[a] + (ends > 0), "train_tokens": pa.array([n] * len(ids), pa.int64()), "base_score": logs[b] - logs[a] + np.log10((ends + 1.0) / base), "score": np.array(scores) / np.log(10)}
                 )
         give_back()
 
@@ -273,11 +301,9 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
     bpe = byte_bpe(path)
     end = next(iter(bpe.special.values()))
-    packs = write_packs(docs, PACK_BYTES)
-    bare = packs.select("pack", "ids", "lengths", "blob")
-    total = packs.agg(F.sum("n_words")).first()[0] or 0
-    buckets = bucket_count(total // 6)
-    cut = materialize(bare.mapInArrow(_cut(path, end, buckets), f"{CUT}, {ASKED}"), "lm-tokens", "none")
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    buckets = bucket_count((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // KEY_BYTES)
+    cut = materialize(docs.mapInArrow(_cut(path, end, buckets, PACK_BYTES), f"{CUT}, {ASKED}"), "lm-tokens", "none")
     asked = cut.select("pack", F.explode(F.arrays_zip("bucket", "keys", "counts")).alias("a")).select("pack", "a.*")
     answers = materialize(asked.groupBy("bucket").applyInArrow(_total, "pack long, answer binary, n long, v long"), "word-counts", "none")
     sums = answers.filter("pack is null").agg(F.sum("n"), F.sum("v")).first()
@@ -292,5 +318,5 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     inside = np.log(counts + 1.0) - np.log(np.maximum(np.bincount(classes, counts + 1.0, net.CLASSES), 1.0))[classes]
     w = train(tokens, classes, counts)
     scores = materialize(tokens.mapInArrow(_model_scores(w, classes, inside), "pack long, scores array<double>"), "lm-scores")
-    answered = joined(packs, answers.filter("pack is not null").select("pack", "answer")).join(scores, "pack")
-    return answered.mapInArrow(_scorer(buckets, n, v, ends), SCORED)
+    placed = answered(cut.select(*PLACED), answers.filter("pack is not null").select("pack", "answer")).join(scores, "pack")
+    return placed.mapInArrow(_scorer(n, v, ends), SCORED)

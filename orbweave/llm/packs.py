@@ -29,20 +29,26 @@ LEAST_BUCKETS = 12
 PACKS = "pack long, n_bytes long, n_words long, ids array<long>, lengths array<long>, blob binary"
 
 
+def dealt_texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list, list[bytes]]]:
+    """(pack, ids, texts) of every pack of rows (doc_id, text).
+
+    A pack is named by its task and its number there: what is made of packs is written once, so no two have one name.
+    """
+    key = TaskContext.get().partitionId() << 32
+    for batch, column in slices(batches, 1, size):
+        texts = text_bytes(column)
+        for a, b in groups(texts, size):
+            key += 1
+            yield key, batch.column(0)[a:b].to_pylist(), texts[a:b]
+
+
 def _packer(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
-        # A pack is named by its task and its number there: packs are written once, so no two have one name.
-        key = TaskContext.get().partitionId() << 32
-        for batch, column in slices(batches, 1, size):
-            texts = text_bytes(column)
-            for a, b in groups(texts, size):
-                ids = batch.column(0)[a:b].to_pylist()
-                blob = b"".join(texts[a:b])
-                key += 1
-                yield pa.RecordBatch.from_pydict(
-                    {"pack": pa.array([key], pa.int64()), "n_bytes": [len(blob)], "n_words": [sum(len(t.split()) for t in texts[a:b])], "ids": pa.array([ids], pa.list_(pa.int64())), "lengths": [[len(t) for t in texts[a:b]]], "blob": [zip_.compress(blob)]}
-                )
+        for key, ids, texts in dealt_texts(batches, size):
+            yield pa.RecordBatch.from_pydict(
+                {"pack": pa.array([key], pa.int64()), "n_bytes": [sum(map(len, texts))], "n_words": [sum(len(t.split()) for t in texts)], "ids": pa.array([ids], pa.list_(pa.int64())), "lengths": [[len(t) for t in texts]], "blob": [zip_.compress(b"".join(texts))]}
+            )
 
     return run
 
@@ -71,10 +77,14 @@ def deal(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, where[first], np.concatenate((first, [len(where)])).astype(np.int64)
 
 
+def answered(packs: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows of packs with the list of what the buckets answered them (null: nothing); an answer goes only to packs that asked."""
+    return packs.join(answers.groupBy("pack").agg(F.collect_list("answer").alias("answers")), "pack", "left")
+
+
 def joined(packs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Packs with the list of what the buckets answered them (null: nothing); an answer goes only to packs that asked."""
-    listed = answers.groupBy("pack").agg(F.collect_list("answer").alias("answers"))
-    return packs.select("pack", "ids", "lengths", "blob").join(listed, "pack", "left").select("pack", "ids", "lengths", "blob", "answers")
+    """Whole packs with their answers."""
+    return answered(packs.select("pack", "ids", "lengths", "blob"), answers)
 
 
 def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes], list[bytes]]]:

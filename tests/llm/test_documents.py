@@ -8,10 +8,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from orbweave.llm import attention, chunked_bpe, lm_score, merkle, minhash, packing, recompress, toxicity
 from orbweave.llm.subwords import byte_bpe, default_tokenizer
+from orbweave.llm.textscan import scan_words
 
 from .conftest import prose
 
@@ -473,6 +475,47 @@ def test_a_pack_is_scanned_once_for_ids_and_counts(spark):
     assert sorted(n for n in counts.values() if n) == sorted(want.values())
 
 
+def test_texts_are_read_once_and_told_by_the_numbers_of_their_words(spark):
+    """Packs are cut from documents as from written packs; their words' numbers and keys tell every place's word."""
+    texts = [f"A word{i % 7} a  Word{i % 7}\tend{i} " + "x" * (i * 37 % 5000) for i in range(300)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    packs = lm_score.write_packs(docs, 200_000).select("pack", "ids", "lengths", "blob")
+    schema, path = f"{lm_score.CUT}, {lm_score.ASKED}", default_tokenizer()
+    rows = docs.mapInArrow(lm_score._cut(path, 2, 3, 200_000), schema).collect()
+    assert len(rows) > 1 and rows == packs.mapInArrow(lm_score._cut(path, 2, 3), schema).collect()
+    for r in rows:
+        lower = [(texts[i] or "").lower().encode() for i in r.ids]
+        bounds, starts, ends, hashes, buffer = scan_words(lower)
+        mine = lm_score.scanned(lower)
+        assert all(np.array_equal(x, y) for x, y in zip(mine[:4], (bounds, starts, ends, hashes))) and mine[4] == buffer
+        keys = np.frombuffer(b"".join(r["keys"]), np.uint64)
+        places = np.frombuffer(zstandard.ZstdDecompressor().decompress(r.places), np.uint32)
+        assert r.word_bounds == bounds.tolist() and np.array_equal(keys[places], hashes)
+        assert [len(k) for k in r["keys"]] == [8 * n for n in r.sizes]
+
+
+def test_gradients_are_those_of_plain_steps():
+    """Weights of windows whose rows are shared by two windows, against one window after the other."""
+    rng = np.random.default_rng(4)
+    classes = rng.integers(0, attention.CLASSES, 40)
+    inputs, targets, _ = attention.layout(rng.integers(0, 40, 400), np.array([0, 150, 151, 400]), classes, 40)
+    w = attention.first_weights(40, np.bincount(classes, minlength=attention.CLASSES))
+    g, ids, rows = attention.gradients(w, inputs, targets)
+    c, used = attention.CONTEXT, (targets[attention.CONTEXT :] >= 0).sum()
+    want = {n: np.zeros(x.shape) for n, x in w.items()}
+    for a in range(0, len(inputs) - c, c):
+        t = targets[a : a + 2 * c].copy()
+        t[:c] = -1
+        share = (t >= 0).sum() / used
+        part, at, own = attention.gradients(w, inputs[a : a + 2 * c], t)
+        for n, x in part.items():
+            want[n] += share * x
+        want["embed"][at] += share * own
+    got = g | {"embed": np.zeros(w["embed"].shape)}
+    got["embed"][ids] = rows
+    assert all(np.allclose(got[n], x, atol=1e-6) for n, x in want.items())
+
+
 def test_distinct_words_are_those_of_a_stable_sort():
     words = np.random.default_rng(8).integers(0, 50, 3000).astype(np.uint64)
     for x in (words, words[:0]):
