@@ -19,8 +19,8 @@ from orbweave.llm.workspace import materialize, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fitted model does not reject; null and empty texts stay."""
-    return keep_harmless(docs, fit(docs, table(spark, sf_dir, "labels")))
+    """Documents that the model, fitted on every text and every label, does not reject; null and empty texts stay."""
+    return keep_harmless(docs, fit(docs, table(spark, sf_dir, "labels"), fold=False))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

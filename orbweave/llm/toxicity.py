@@ -5,9 +5,10 @@ stand for some letters, a separator or a repeat may be dropped. Viterbi search f
 character language model probability. The restored words and their openings are looked up in a table of log odds that
 was counted from labelled rows, and a logistic function of a document's evidence is its score.
 
-Fitting uses all labelled rows that are not held out (one for each text and label, so that copies count once): all their
-words, grams and features count, and the logistic function is fitted to all of them by sums that Spark makes. Scoring
-covers all rows.
+Fitting without a fold uses whole tables. The character model needs no labels: it counts the words of every text.
+Features and the logistic function, which is fitted by sums that Spark makes, use all labelled rows (one for each text
+and label, so that copies count once). With a fold (op6's contract) all three use the labelled rows that are not held
+out, all of them. Scoring covers all rows.
 
 Defined cases: null and empty texts have no evidence and get the lowest score; labels that are null or of unknown
 doc_ids are not used; repeated rows come back once each; a null doc_id is scored (it is never a training row); other
@@ -26,11 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textscan import slices, text_bytes
+from .textscan import give_back, slices, text_bytes
 from .workspace import materialize
 
 #: Entries after which a task hands on its partial counts.
 MOST_ENTRIES = 300_000
+#: Signs of words whose grams are counted at once, about.
+GRAM_SIGNS = 1 << 17
 #: Labels that are broadcast at the most.
 MOST_SENT = 1 << 20
 #: A feature counts from so many different toxic texts, and from this log odds.
@@ -60,17 +63,42 @@ class Model:
 def longest_grams(words: dict[str, int]) -> Counter:
     """Character grams of ORDER letters; '^' and '$' mark word ends."""
     counts: Counter = Counter()
-    for w, n in words.items():
-        s = "^" * (ORDER - 1) + w + "$"
-        grams = [s[i : i + ORDER] for i in range(len(s) - ORDER + 1)]
-        if n == 1:
-            counts.update(grams)
-        else:
-            for g in grams:
-                counts[g] += n
+    some, size = [], 0
+    for w in words:
+        some.append(w)
+        size += len(w) + ORDER
+        if size > GRAM_SIGNS:
+            _count_grams(counts, some, words)
+            some, size = [], 0
+    _count_grams(counts, some, words)
     return counts
 
 
+def _count_grams(counts: Counter, some: list[str], words: dict[str, int]) -> None:
+    if not some:
+        return
+    text = "".join(["^" * (ORDER - 1) + w + "$" for w in some])
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(int(codes.max()) + 1, bool)
+    used[codes] = True
+    codes, letters = (np.cumsum(used) - 1)[codes], int(used.sum())
+    # A word has one gram for each of its letters and one for its end.
+    n = np.array([len(w) + 1 for w in some])
+    at = np.arange(n.sum()) + np.repeat(np.arange(len(n)) * (ORDER - 1), n)
+    key, span = codes[at], letters
+    for j in range(1, ORDER):
+        if span * letters >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+            span = len(key)
+        key, span = key * letters + codes[at + j], span * letters
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    total = np.add.reduceat(np.repeat([words[w] for w in some], n)[order], first)
+    for a, c in zip(at[order[first]].tolist(), total.tolist(), strict=True):
+        counts[text[a : a + ORDER]] += c
+
+
 def all_grams(longest: dict[str, int]) -> Counter:
     """Grams of up to ORDER letters: each is the end of those of ORDER letters that stand at its place."""
     counts: Counter = Counter()
@@ -253,6 +281,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams.clear()
     settle()
     yield _gram_rows(grams)
+    give_back()
 
 
 def _feature_rows(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
@@ -317,17 +346,21 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on all labelled rows that are not held out; of a doc_id with several labels, the largest counts."""
+def fit(docs: DataFrame, labels: DataFrame, fold: bool = True) -> Model:
+    """Fit on all texts and all labelled rows; with fold, on all labelled rows that are not held out.
+
+    Of a doc_id with several labels, the largest counts.
+    """
     rule = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     digest = F.sha1(F.coalesce("text", F.lit(""))).alias("digest")
-    rule = rule.filter(~held_out())
+    learnt = ~held_out() if fold else F.lit(True)
+    rule = rule.filter(learnt)
     # Up to so many labels go to the texts; beyond that, both meet in a shuffle.
     rule = F.broadcast(rule) if rule.count() <= MOST_SENT else rule
-    train = docs.filter(~held_out()).select("doc_id", "text", digest).join(rule, "doc_id").dropDuplicates(["digest", "toxic"])
+    train = docs.filter(learnt).select("doc_id", "text", digest).join(rule, "doc_id").dropDuplicates(["digest", "toxic"])
     train = materialize(train.select("text", "toxic"), "toxicity-training")
     # Grams of ORDER letters: the driver gets the alphabet's, not the texts'.
-    grams = train.mapInArrow(_count_words, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = (train if fold else docs).select("text").mapInArrow(_count_words, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     model = Model(grams=gram_odds(all_grams({r[0]: r[1] for r in grams.collect()})))
     size = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):

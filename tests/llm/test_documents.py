@@ -407,6 +407,33 @@ def test_every_labelled_row_is_learnt_from(spark):
     assert {word(n) for n in range(2500)} <= model.odds.keys()
 
 
+def test_letters_of_every_text_and_labels_of_every_row_are_learnt_from(spark, monkeypatch):
+    """Unlabelled texts count for the letters, and the pipeline's stage leaves out no label; op6's fold leaves out held-out rows."""
+    import corpus_pipeline
+
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
+    rows = [(i, f"a zzloser {i}" if i in held[:60] else f"a garden {i}", int(i in held[:60])) for i in range(400)]
+    docs = spark.createDataFrame([x[:2] for x in rows] + [(1000, "qxqxqx alone"), (None, "jyjyjy alone"), (1001, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(held[0], 0)], "doc_id long, toxic int")
+    whole, folded = toxicity.fit(docs, labels, fold=False), toxicity.fit(docs, labels)
+    assert "zzloser" in whole.odds and "zzloser" not in folded.odds
+    assert {"^^^q", "qxqx", "xqx$", "^^^j", "yjy$"} <= whole.grams.keys() and "^^^q" not in folded.grams
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels)
+    assert {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, "").collect()} == {*range(400), 1000, 1001, None} - set(held[:60])
+
+
+def test_grams_are_counted_as_one_by_one(monkeypatch):
+    words = {"garden": 3, "a": 2, "été": 1, "漢字": 5, "": 4, "\U00020000x": 7, "aaaaaa": 2} | {chr(0x4E00 + i) * (1 + i % 5): i + 1 for i in range(3000)}
+    want = Counter()
+    for w, n in words.items():
+        s = "^^^" + w + "$"
+        for i in range(len(s) - 3):
+            want[s[i : i + 4]] += n
+    assert toxicity.longest_grams(words) == want and toxicity.longest_grams({}) == Counter()
+    monkeypatch.setattr(toxicity, "GRAM_SIGNS", 50)
+    assert toxicity.longest_grams(words) == want
+
+
 def test_logistic_by_sums(spark):
     """Weights are those of plain Newton steps over all rows in one place, however the rows are dealt."""
     rng = np.random.default_rng(3)
