@@ -3,8 +3,10 @@
 import functools
 import hashlib
 import math
+import os
 import random
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -111,6 +113,49 @@ def test_cells_find_pairs_at_the_threshold(spark, monkeypatch):
     assert found >= 0.999 * 3000
 
 
+def test_cells_settle_pairs_that_16_bits_cannot(spark):
+    """Partners whose cosine is a ten-millionth above or below the threshold."""
+    rng = np.random.default_rng(5)
+    values = []
+    for n in range(60):
+        x, r = rng.normal(size=(2, 24))
+        x /= np.linalg.norm(x)
+        r -= (r @ x) * x
+        r /= np.linalg.norm(r)
+        c = 0.95 + (1e-7 if n % 2 else -1e-7)
+        values += [(x * 3).tolist(), (c * x + math.sqrt(1 - c * c) * r).tolist()]
+    rows = list(enumerate(values)) + [(500, values[3])]
+    got = sorted((tuple(r) for r in cells.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert got == plain_groups(rows, 0.95) and sum(r[1] for r in got) == 64
+
+
+def test_cells_move_little(spark, monkeypatch):
+    """What is written to the shared folder and shuffled stays near the input, however many cells a vector visits."""
+    monkeypatch.setattr(cells, "CELL_ROWS", 128)
+    x = np.random.default_rng(6).normal(size=(6000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    stored, kept = [], cells.materialize
+
+    def keep(df, name, compression="snappy"):
+        out = kept(df, name, compression)
+        stored.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(cells, "materialize", keep)
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled():
+        spark._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+    before = shuffled()
+    assert cells.near_vectors(df).filter("n_links = 0 and kept").count() == 6000
+    moved = sum(n for stage, n in shuffled().items() if stage not in before)
+    written = sum(os.path.getsize(urllib.parse.unquote(urllib.parse.urlparse(f).path)) for f in stored)
+    assert moved + written <= 6 * x.nbytes, (moved, written, x.nbytes)
+
+
 LEGAL = re.compile("(s?(ua)+)?")
 
 
