@@ -14,19 +14,43 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import stored
+from .stats import normalize_bands
+from .texture import edge_strength, median_labels
 
 
 def kmeans_labels(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFrame:
     """Labels 1..k of standardized vectors; these are stored, since scaling, clustering and labelling all read them."""
-    x = stored(df.select("row", "col", *columns), "kmeans")
+    return _clusters(stored(df.select("row", "col", *columns), "kmeans"), columns, k, seed)
+
+
+def _clusters(x: DataFrame, columns: list[str], k: int, seed: int) -> DataFrame:
+    """kmeans_labels of vectors that are stored already."""
     x = VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="skip").transform(x)
     if x.isEmpty():
-        return df.select("row", "col", F.lit(None).cast("int").alias("label")).limit(0)
+        return x.select("row", "col", F.lit(None).cast("int").alias("label")).limit(0)
     x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(x).transform(x)
     model = KMeans(k=k, seed=seed, maxIter=50).fit(x)
     return model.transform(x).select("row", "col", (F.col("prediction") + 1).alias("label"))
 
 
+def segment_features(df: DataFrame, bands: list[str], height: int, width: int, compactness: float = 0.15) -> DataFrame:
+    """(row, col, bands, y, x, edge) of every valid pixel, stored once: bands cut to their 2nd and 98th percentiles and scaled to 0..1, places
+    scaled to 0..compactness, and the gradient's length of the bands' mean as a share of its largest at a valid pixel; missing
+    pixels count as zeros in it."""
+    pixels, zero = normalize_bands(df, bands)
+    x = edge_strength(pixels.withColumn("mean", sum(F.col(b) for b in bands) / len(bands)), "mean", height, width, zero)
+    x = stored(x.select("row", "col", *bands, "edge"), "segments")
+    top = x.agg(F.max("edge")).first()[0] or 1.0
+    place = lambda at, size: F.col(at) / max(size - 1, 1) * compactness
+    return x.select("row", "col", *bands, place("row", height).alias("y"), place("col", width).alias("x"), (F.col("edge") / top).alias("edge"))
+
+
+def spectral_spatial(df: DataFrame, bands: list[str], height: int, width: int, k: int, compactness: float = 0.15, smoothing: int = 1, seed: int = 42) -> DataFrame:
+    """Labels 1..k by k-means of segment_features, smoothed by the median of windows of 2 * smoothing + 1 (0 where most of a window is missing)."""
+    labels = _clusters(segment_features(df, bands, height, width, compactness), [*bands, "y", "x", "edge"], k, seed)
+    return median_labels(labels, "label", height, width, smoothing) if smoothing > 0 else labels
+
+
 def nearest_centroid(samples: DataFrame, rows: DataFrame, key: str, columns: list[str], label: str) -> DataFrame:
     """The label whose mean vector is nearest (squared distance, ties to the smaller label). One row per label is broadcast."""
     centers = samples.groupBy(F.col(label).alias("center")).agg(*(F.avg(c).alias(f"m_{c}") for c in columns))

@@ -76,8 +76,25 @@ def percentile_normalize(df: DataFrame, band: str, low: float = 0.02, high: floa
     """(x - low quantile) / spread, cut to 0..1; a spread that is not above 0 counts as 1. The band is stored once."""
     pixels = stored(df.select("row", "col", band), "normalize")
     a, b = exact_quantiles(pixels, band, [low, high])
+    return pixels.select("row", "col", _cut(F.col(band), a, b).alias("value"))
+
+
+def _cut(value: Column, a: float | None, b: float | None) -> Column:
     spread = b - a if a is not None and b > a else 1.0
-    return pixels.select("row", "col", F.greatest(F.least((F.col(band) - F.lit(a).cast("double")) / spread, F.lit(1.0)), F.lit(0.0)).alias("value"))
+    return F.greatest(F.least((value - F.lit(a).cast("double")) / spread, F.lit(1.0)), F.lit(0.0))
+
+
+def normalize_bands(df: DataFrame, bands: list[str], low: float = 0.02, high: float = 0.98) -> tuple[DataFrame, float]:
+    """percentile_normalize of all bands, in the same passes, and the mean over bands that a pixel of zeros would get.
+
+    Pixels with a place and a finite value in every band are valid; others do not count and are left out. The valid ones are stored once.
+    """
+    wide = df.select("row", "col", *(F.col(b).cast("double").alias(b) for b in bands)).filter("row is not null and col is not null")
+    pixels = stored(wide.filter(" and ".join(f"abs({b}) < double('infinity')" for b in bands)), "normalize")  # NaN is above infinity
+    found = band_quantiles(long_bands(pixels, bands), [low, high])
+    ends = [found.get(i + 1, [None, None]) for i in range(len(bands))]
+    zero = sum(min(max(-a / (b - a if b > a else 1.0), 0.0), 1.0) for a, b in ends if a is not None) / len(bands)
+    return pixels.select("row", "col", *(_cut(F.col(name), a, b).alias(name) for name, (a, b) in zip(bands, ends, strict=True))), zero
 
 
 def standardize(df: DataFrame, bands: list[str]) -> DataFrame:

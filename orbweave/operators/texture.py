@@ -164,6 +164,26 @@ def curvature(df: DataFrame, value: str, height: int, width: int, cell: float =
     return x.join(y, ["row", "col"]).select("row", "col", (F.col("xx") + F.col("yy")).alias("curvature"))
 
 
+def edge_strength(df: DataFrame, value: str, height: int, width: int, missing: float = 0.0) -> DataFrame:
+    """df with edge, the gradient's length: central differences, one-sided at the grid's edges, 0 along a side of one pixel.
+
+    Neighbours that are missing inside the grid count as `missing`.
+    """
+
+    def make(table: pa.Table, dense: np.ndarray, r: np.ndarray, c: np.ndarray) -> dict:
+        a = numbers_on(table, value, dense)
+        a = np.where(np.isnan(a), missing, a)
+
+        def along(name: str, size: int, dr: int, dc: int) -> np.ndarray:
+            at, here = table.column(name).to_numpy()[dense[r, c]], a[r, c]
+            before, after = np.where(at > 0, a[r - dr, c - dc], here), np.where(at < size - 1, a[r + dr, c + dc], here)
+            return (after - before) / np.maximum((at > 0).astype(int) + (at < size - 1), 1)
+
+        return {"edge": pa.array(np.hypot(along("row", height, 1, 0), along("col", width, 0, 1)))}
+
+    return on_pixels(df, [c for c in df.columns if c not in ("row", "col")], 1, make, [StructField("edge", DoubleType())])
+
+
 def wetness(accumulation: DataFrame, slopes: DataFrame, cell: float = 1.0, least_degrees: float = 0.1) -> DataFrame:
     """Topographic wetness ln(a / tan b) of accumulation(row, col, accumulation) and slopes(row, col, slope in degrees)."""
     area = F.greatest(F.col("accumulation") * cell, F.lit(cell))

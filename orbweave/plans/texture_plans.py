@@ -41,12 +41,5 @@ classes = lambda s, d: V.dem(s, d).select("row", "col", (F.floor(F.col("z") / 20
 register("median_filter_labels", lambda s, d: T.median_labels(classes(s, d), "label", height(s, d), 128), over(f", {NEAR.format(h=1)} SELECT row, col, quantile_disc(coalesce(floor(v / 200)::INTEGER + 1, 0), 0.5)::INTEGER AS label FROM s GROUP BY row, col"))
 
 
-def segments(s, d):
-    """Bands, scaled places and edge strength, labelled by k-means."""
-    x = V.grid_bands(s, d).join(grad(s, d).select("row", "col", F.hypot("gx", "gy").alias("edge")), ["row", "col"]).fillna(0.0, ["edge"])
-    x = x.withColumns({"y": F.col("row") / 128, "x": F.col("col") / 128})
-    return learn.kmeans_labels(x, ["b1", "b2", "b3", "b4", "x", "y", "edge"], 5)
-
-
-register("segment_spectral_spatial", segments)
+register("segment_spectral_spatial", lambda s, d: learn.spectral_spatial(V.grid_bands(s, d), list(V.BANDS), V.scene_height(s, d), 128, 5))
 register("classify_svm", lambda s, d: learn.kernel_svm(V.read(s, d, "embeddings").select("vec_id", "label", "embedding"), "embedding", "label").select("vec_id", "prediction"))

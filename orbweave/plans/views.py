@@ -52,6 +52,11 @@ def height(spark: SparkSession, sf_dir: str) -> int:
     return (dem(spark, sf_dir).agg(F.max("row")).first()[0] or 0) + 1
 
 
+def scene_height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the grid that holds all orders and the orders of all items."""
+    return max(height(spark, sf_dir), (read(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0] or 0) // GRID + 1)
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean value of each pixel: a pixel for each user, an observation for each day."""
     e = read(spark, sf_dir, "events").selectExpr("user_id div 16 as row", "user_id % 16 as col", "to_date(ts) as day", "cast(round(value * 100) as long) as v")
