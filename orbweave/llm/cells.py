@@ -70,17 +70,22 @@ def _keys(x: np.ndarray) -> list[bytes]:
     return [hashlib.blake2b(row.tobytes(), digest_size=16).digest() for row in x.astype("<f8")]
 
 
+def _shortened(top: np.ndarray, short: np.ndarray) -> np.ndarray:
+    return short.astype(np.float32) * (top / np.float32(32767))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors as a key and as the largest component of the unit vector, in 4 bytes, and all components in 16 bits of it."""
+    """Vectors as a key and as unit vectors in few bytes: the largest component, what this form is off at the most, all components in 16 bits."""
     for batch in batches:
         key, q, dims = [None] * batch.num_rows, [None] * batch.num_rows, np.zeros(batch.num_rows, np.int32)
         for at, x in _matrices(batch.column(1)):
             u = _unit(x)
             top = np.abs(u).max(axis=1).astype("<f4")
             short = np.rint(u / top[:, None] * 32767).astype("<i2")
+            off = (np.linalg.norm(u - _shortened(top[:, None], short), axis=1) * 1.0001).astype("<f4")
             dims[at] = x.shape[1]
-            for i, k, t, s in zip(at.tolist(), _keys(x), top, short, strict=True):
-                key[i], q[i] = k, t.tobytes() + s.tobytes()
+            for i, k, t, e, s in zip(at.tolist(), _keys(x), top, off, short, strict=True):
+                key[i], q[i] = k, t.tobytes() + e.tobytes() + s.tobytes()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims), pa.array(key, pa.binary()), pa.array(q, pa.binary())], names=["vec_id", "dim", "key", "q"])
 
 
@@ -102,7 +107,7 @@ def _bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def _units(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Packed vectors of one length as rows of floats."""
     x = _bytes(column)
-    return x[:, 4:].copy().view("<i2").astype(np.float32) * (x[:, :4].copy().view("<f4") / np.float32(32767))
+    return _shortened(x[:, :4].copy().view("<f4"), x[:, 8:].copy().view("<i2"))
 
 
 def _slack(dim: int) -> float:
@@ -232,6 +237,7 @@ def _multiplier(threshold: float, width: Callable[[int], float], inner: float, l
 
     def run(rows: pa.Table) -> pa.Table:
         x = _units(rows.column("q"))
+        off = _bytes(rows.column("q"))[:, 4:8].copy().view("<f4").ravel().astype(np.float64)
         rep, num, n, side = (rows.column(c).to_numpy() for c in ("rep", "num", "n", "side"))
         low = np.ascontiguousarray(_bytes(rows.column("low")).copy().view("<u8").T) if len(rows.column("low")[0].as_py()) else np.zeros((0, len(x)), np.uint64)
         apart, dim = bool(side.any()), x.shape[1]
@@ -280,7 +286,15 @@ def _multiplier(threshold: float, width: Callable[[int], float], inner: float, l
                     continue
                 here = counts(at[i], at[j], low[:, i], low[:, j])
                 i, j, sure = i[here], j[here], s[here] >= threshold + slack
-                unsure.append(np.stack((num[at[i[~sure]]], num[at[j[~sure]]])))
+                close = np.flatnonzero(~sure)
+                for first in range(0, len(close), CHUNK_ROWS):
+                    some = close[first : first + CHUNK_ROWS]
+                    a, b = i[some], j[some]
+                    exact = np.einsum("ij,ij->i", y[a].astype(np.float64), y[b].astype(np.float64))
+                    most = 1.001 * (off[at[a]] + off[at[b]]) + 1e-12
+                    sure[some] = exact >= threshold + most
+                    a, b = a[open_ := np.abs(exact - threshold) < most], b[open_]
+                    unsure.append(np.stack((num[at[a]], num[at[b]])))
                 i, j = i[sure], j[sure]
                 np.add.at(links, at[i], n[at[j]])
                 np.add.at(links, at[j], n[at[i]])
